@@ -12,6 +12,22 @@ def field(c, name: str) -> Column:
     return col(c).getField(name)
 
 
+def named(**fields) -> Column:
+    """A struct whose field names do not depend on aliases."""
+    return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
+
+
+def with_each(c, value, fn) -> Column:
+    """``fn(element, value)`` for every element, ``value`` being worked out once per row.
+
+    An expression used inside a lambda is evaluated again for every element, and the optimizer
+    moves columns of an earlier select into lambdas. Handing the value over as a second list
+    keeps it outside.
+    """
+    c = col(c)
+    return F.zip_with(c, F.array_repeat(value, F.size(c)), fn)
+
+
 def tail(c, n) -> Column:
     """The last ``n`` elements; shorter lists stay whole, null stays null."""
     c, n = col(c), n if isinstance(n, Column) else F.lit(n)
@@ -34,15 +50,16 @@ def head_padded(c, n: int, padding) -> Column:
 
 def without(c, removed) -> Column:
     """Elements of ``c`` not in ``removed``; order and repeats are kept."""
-    removed = col(removed)
-    return F.filter(col(c), lambda x: ~F.coalesce(F.array_contains(removed, x), F.lit(False)))
+    marked = with_each(
+        c, col(removed), lambda x, r: named(x=x, gone=F.coalesce(F.array_contains(r, x), F.lit(False)))
+    )
+    return field(F.filter(marked, lambda m: ~m["gone"]), "x")
 
 
 def binary_labels(inview, clicked) -> Column:
     """1 where the in-view id was clicked, else 0; a null click list gives zeros."""
-    clicked = col(clicked)
-    return F.transform(
-        col(inview), lambda x: F.coalesce(F.array_contains(clicked, x), F.lit(False)).cast("tinyint")
+    return with_each(
+        inview, col(clicked), lambda x, c: F.coalesce(F.array_contains(c, x), F.lit(False)).cast("tinyint")
     )
 
 
@@ -54,7 +71,7 @@ def chunked(c, size: int) -> Column:
     """Cut a list into consecutive sublists of ``size``; the last one may be shorter."""
     c = col(c)
     starts = F.sequence(F.lit(0), F.floor((F.size(c) - 1) / size).cast("int"))
-    return F.when(F.size(c) > 0, F.transform(starts, lambda i: F.slice(c, i * size + 1, F.lit(size)))).otherwise(
+    return F.when(F.size(c) > 0, with_each(starts, c, lambda i, all_: F.slice(all_, i * size + 1, F.lit(size)))).otherwise(
         F.when(c.isNotNull(), F.array())
     )
 
@@ -67,13 +84,10 @@ def array_sum(c) -> Column:
 
 
 def _weights(n, ascending: bool, weight) -> Column:
-    """``weight(distance)`` for every place, ``distance`` counted from the largest weight."""
+    """``weight(distance, n)`` for every place, ``distance`` counted from the largest weight."""
     n = F.lit(n) if isinstance(n, int) else n
-    places = F.sequence(F.lit(0), n - 1)
-    distance = (lambda i: n - 1 - i) if ascending else (lambda i: i)
-    return F.when(n > 0, F.transform(places, lambda i: weight(distance(i), n))).otherwise(
-        F.array().cast("array<double>")
-    )
+    distances = F.sequence(n - 1, F.lit(0), F.lit(-1)) if ascending else F.sequence(F.lit(0), n - 1)
+    return F.when(n > 0, with_each(distances, n, weight)).otherwise(F.array().cast("array<double>"))
 
 
 def linear_decay_weights(n, ascending: bool = True) -> Column:
@@ -109,20 +123,7 @@ def norm(v) -> Column:
 def unit(v) -> Column:
     """Scale to length one; a zero vector stays as it is."""
     v = col(v)
-    length = norm(v)
-    return F.when(length == 0, v).otherwise(F.transform(v, lambda x: x / length))
-
-
-def weighted_mean_vector(vectors, weights) -> Column:
-    """Weighted mean of a list of vectors; null when the list is empty."""
-    vectors, weights = col(vectors), col(weights)
-    zero = F.transform(vectors[0], lambda x: F.lit(0.0))
-    total = F.aggregate(
-        F.zip_with(vectors, weights, lambda v, w: F.transform(v, lambda x: x * w)),
-        zero,
-        lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b),
-    )
-    return F.when(F.size(vectors) > 0, F.transform(total, lambda x: x / array_sum(weights)))
+    return with_each(v, norm(v), lambda x, length: F.when(length == 0, x).otherwise(x / length))
 
 
 def cosine_distance(a, b) -> Column:
@@ -153,10 +154,8 @@ def resolve_distance(distance):
 
 def softmax(c) -> Column:
     """Softmax over a list, shifted by its maximum."""
-    c = col(c)
-    top = F.array_max(c)
-    weights = F.transform(c, lambda x: F.exp(x - top))
-    return F.transform(weights, lambda x: x / array_sum(weights))
+    weights = with_each(c, F.array_max(col(c)), lambda x, top: F.exp(x - top))
+    return with_each(weights, array_sum(weights), lambda w, total: w / total)
 
 
 def sigmoid(x) -> Column:

@@ -6,7 +6,7 @@ is run again.
 
 from pyspark.sql import Column, functions as F
 
-from gazette.functions.arrays import col, field
+from gazette.functions.arrays import col, field, named, with_each
 
 
 def digest(seed, *parts) -> Column:
@@ -28,7 +28,7 @@ def uniform_below(bound, seed, *parts) -> Column:
 
 def shuffled(c, seed, *key) -> Column:
     """Permute a list by the digest of its places."""
-    cells = F.transform(col(c), lambda x, i: F.struct(digest(seed, *key, i).alias("d"), x.alias("x")))
+    cells = F.transform(col(c), lambda x, i: named(d=digest(seed, *key, i), x=x))
     return field(F.array_sort(cells), "x")
 
 
@@ -50,8 +50,8 @@ def sample_with_replacement(c, n: int, seed, *key) -> Column:
         return F.slice(c, 1, 0)
     return F.when(
         c.isNotNull(),
-        F.transform(
-            F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(c, uniform_below(F.size(c), seed, *key, i))
+        with_each(
+            F.sequence(F.lit(0), F.lit(n - 1)), c, lambda i, all_: F.get(all_, uniform_below(F.size(all_), seed, *key, i))
         ),
     )
 

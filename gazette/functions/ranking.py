@@ -7,23 +7,21 @@ position; NaN ranks first.
 
 from pyspark.sql import Column, functions as F
 
-from gazette.functions.arrays import array_sum, col, field
+from gazette.functions.arrays import array_sum, col, field, named
 
 
 def ordered(scores, labels=None) -> Column:
     """``(score, pos, y)`` structs from best to worst."""
     scores = col(scores)
     labels = scores if labels is None else col(labels)
-    cells = F.transform(
-        scores,
-        lambda s, i: F.struct(s.alias("score"), i.alias("pos"), F.get(labels, i).cast("double").alias("y")),
-    )
+    pairs = F.zip_with(scores, labels, lambda s, y: named(s=s, y=y.cast("double")))
+    cells = F.transform(pairs, lambda c, i: named(score=c["s"], pos=i, y=c["y"]))
     return F.sort_array(cells, asc=False)
 
 
 def ranks(scores) -> Column:
     """Rank of each position, 1 for the highest score."""
-    placed = F.transform(ordered(scores), lambda s, i: F.struct(s["pos"].alias("pos"), (i + 1).alias("rank")))
+    placed = F.transform(ordered(scores), lambda s, i: named(pos=s["pos"], rank=i + 1))
     return field(F.array_sort(placed), "rank")
 
 
@@ -39,27 +37,22 @@ def _wins(labels, scores) -> Column:
     """
     labels, scores = col(labels), col(scores)
     cells = F.sort_array(
-        F.zip_with(scores, labels, lambda s, y: F.struct(s.cast("double").alias("s"), y.cast("double").alias("y"))),
+        F.zip_with(scores, labels, lambda s, y: named(s=s.cast("double"), y=y.cast("double"))),
         asc=False,
     )
-    start = F.struct(
-        F.lit(None).cast("double").alias("at"),
-        F.lit(0.0).alias("above"),
-        F.lit(0.0).alias("tied"),
-        F.lit(0.0).alias("wins"),
-        F.lit(0.0).alias("strict"),
-    )
+    zero = F.lit(0.0)
+    start = named(at=F.lit(None).cast("double"), above=zero, tied=zero, wins=zero, strict=zero)
 
     def step(acc, c):
         same = F.coalesce(acc["at"] == c["s"], F.lit(False))
         above = F.when(same, acc["above"]).otherwise(acc["above"] + acc["tied"])
         tied = F.when(same, acc["tied"]).otherwise(F.lit(0.0)) + c["y"]
-        return F.struct(
-            c["s"].alias("at"),
-            above.alias("above"),
-            tied.alias("tied"),
-            (acc["wins"] + (1 - c["y"]) * (above + tied / 2)).alias("wins"),
-            (acc["strict"] + (1 - c["y"]) * above).alias("strict"),
+        return named(
+            at=c["s"],
+            above=above,
+            tied=tied,
+            wins=acc["wins"] + (1 - c["y"]) * (above + tied / 2),
+            strict=acc["strict"] + (1 - c["y"]) * above,
         )
 
     return F.aggregate(cells, start, step)

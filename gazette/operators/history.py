@@ -166,11 +166,11 @@ def split_by_date(df, days=1, timestamp_col=C.IMPRESSION_TIME) -> tuple[DataFram
     return df.filter(date < cut), df.filter(date >= cut)
 
 
-def history_sweep(df, sizes, score, history_col=C.HISTORY_IDS, min_length=100) -> DataFrame:
-    """One row per impression and history size: long histories cut to each size, then scored.
+def history_sweep(histories, sizes, history_col=C.HISTORY_IDS, min_length=100) -> DataFrame:
+    """Long histories cut to each of several sizes: one row per user and ``history_size``.
 
-    ``score`` is a function of the frame with a ``history_size`` column; all sizes run as one job.
+    Scoring the result by ``history_size`` evaluates all sizes in one job.
     """
-    long_enough = df.filter(F.size(history_col) >= min_length)
+    long_enough = histories.filter(F.size(history_col) >= min_length)
     each = long_enough.withColumn("history_size", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    return score(each.withColumn(history_col, tail(history_col, F.col("history_size"))))
+    return each.withColumn(history_col, tail(history_col, F.col("history_size")))

@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, functions as F
 from gazette import columns as C
 from gazette.functions.arrays import binary_labels
 from gazette.functions.draws import digest, shuffled
-from gazette.operators.mapping import gather_vectors, map_column, map_list_columns, unknown_vector
+from gazette.operators.mapping import map_column, map_list_columns, unknown_vector
 from gazette.operators.sampling import _seed, create_user_id_to_int_mapping
 from gazette.plans.lists import as_keys
+from gazette.plans.lookup import lookup_join
 from gazette.plans.numbering import row_index
 
 
@@ -35,23 +36,49 @@ def create_lookup_objects(vectors, unknown_representation="zeros") -> tuple[Data
     return numbered.select(id_col, "idx"), zero.unionByName(numbered.select("idx", vec_col))
 
 
+def _mapped_lists(df, mapping, histories, history_col, inview_col, unknown, key, user_col):
+    """Map the in-view list and the history.
+
+    With a ``histories`` table (one row per user) each history is mapped once and then joined to
+    its user's impressions. Otherwise the history is a column of ``df`` and both lists share one
+    explode, join and regroup.
+    """
+    if histories is None:
+        return map_list_columns(df, [history_col, inview_col], mapping, unknown, key)
+    shown = map_list_columns(df, [inview_col], mapping, unknown, key)
+    past = histories.select(user_col, history_col)
+    mapped = map_list_columns(past, [history_col], mapping, unknown, user_col)
+    joined = lookup_join(shown, mapped, user_col, "left")
+    # a user without a history has one unknown item, as an empty history does
+    lists = [c for c in mapped.columns if c != user_col]
+    fills = unknown if isinstance(unknown, dict) else {v: unknown for v in mapping.columns[1:]}
+    by_list = {history_col: mapping.columns[1]} if len(mapping.columns) == 2 else {
+        f"{v}_{history_col}": v for v in mapping.columns[1:]
+    }
+
+    def single(name):
+        return F.array(F.lit(fills.get(by_list[name]))).cast(mapped.schema[name].dataType)
+
+    return joined.withColumns({c: F.coalesce(c, single(c)) for c in lists if c in by_list})
+
+
 def training_examples(
-    df, article_index, history_col=C.HISTORY_IDS, inview_col=C.INVIEW, key=C.IMPRESSION_ID
+    df, article_index, history_col=C.HISTORY_IDS, inview_col=C.INVIEW, key=C.IMPRESSION_ID, histories=None, user_col=C.USER
 ) -> DataFrame:
     """History and in-view ids as table indices, unknown ids as 0, with ``n_samples`` per row.
 
-    Both lists go through one explode, one join and one regroup. Store the result to train on
-    it more than once.
+    Store the result to train on it more than once.
     """
-    mapped = map_list_columns(df, [history_col, inview_col], article_index, fill_nulls=0, key=key)
+    mapped = _mapped_lists(df, article_index, histories, history_col, inview_col, 0, key, user_col)
     return mapped.withColumn("n_samples", F.size(inview_col))
 
 
 def evaluation_examples(
-    df, article_index, history_col=C.HISTORY_IDS, inview_col=C.INVIEW, labels_col=C.LABELS, key=C.IMPRESSION_ID
+    df, article_index, history_col=C.HISTORY_IDS, inview_col=C.INVIEW, labels_col=C.LABELS, key=C.IMPRESSION_ID, histories=None, user_col=C.USER
 ) -> DataFrame:
     """One row per candidate: its index, label and position next to the impression's history."""
-    return unfolded(training_examples(df, article_index, history_col, inview_col, key), inview_col, labels_col)
+    rows = training_examples(df, article_index, history_col, inview_col, key, histories, user_col)
+    return unfolded(rows, inview_col, labels_col)
 
 
 def unfolded(df, inview_col=C.INVIEW, labels_col=C.LABELS) -> DataFrame:
@@ -70,28 +97,17 @@ def with_user_index(df, user_index=None, known_users=None, user_col=C.USER, out=
 
 
 def attribute_examples(
-    df,
-    articles,
-    history_col=C.HISTORY_IDS,
-    inview_col=C.INVIEW,
-    labels_col=C.LABELS,
-    unknown=None,
-    key=C.IMPRESSION_ID,
-    eval_mode=False,
+    df, articles, history_col=C.HISTORY_IDS, inview_col=C.INVIEW, labels_col=C.LABELS, unknown=None, key=C.IMPRESSION_ID, eval_mode=False, histories=None, user_col=C.USER
 ) -> DataFrame:
     """Map history and in-view ids to every attribute of ``articles`` (id first).
 
-    The article table is joined once for all attributes and both lists. ``unknown`` gives a
-    fill per attribute. Lists are named ``<attribute>_<list>``.
+    All attributes come from one join per list. ``unknown`` gives a fill per attribute. The new
+    lists are named ``<attribute>_history`` and ``<attribute>_inview``.
     """
     attributes = articles.columns[1:]
-    wide = map_list_columns(
-        df.withColumnsRenamed({history_col: "history", inview_col: "inview"}),
-        ["history", "inview"],
-        articles,
-        fill_nulls=unknown or {},
-        key=key,
-    )
+    names = {history_col: "history", inview_col: "inview"}
+    past = None if histories is None else histories.withColumnsRenamed(names)
+    wide = _mapped_lists(df.withColumnsRenamed(names), articles, past, "history", "inview", unknown or {}, key, user_col)
     if len(attributes) == 1:
         wide = wide.withColumnsRenamed({c: f"{attributes[0]}_{c}" for c in ("history", "inview")})
     else:
@@ -105,21 +121,8 @@ def attribute_examples(
 
 
 def pointwise_examples(
-    df, article_index, history_col=C.HISTORY_IDS, inview_col=C.INVIEW, labels_col=C.LABELS, seed=None, key=C.IMPRESSION_ID
+    df, article_index, history_col=C.HISTORY_IDS, inview_col=C.INVIEW, labels_col=C.LABELS, seed=None, key=C.IMPRESSION_ID, histories=None, user_col=C.USER
 ) -> DataFrame:
     """One row per candidate with impressions in shuffled order (``order`` is the sort key)."""
-    rows = evaluation_examples(df, article_index, history_col, inview_col, labels_col, key)
+    rows = evaluation_examples(df, article_index, history_col, inview_col, labels_col, key, histories, user_col)
     return rows.withColumn("order", digest(_seed(seed), *as_keys(key)))
-
-
-__all__ = [
-    "create_binary_labels_column",
-    "create_lookup_objects",
-    "training_examples",
-    "evaluation_examples",
-    "unfolded",
-    "with_user_index",
-    "attribute_examples",
-    "pointwise_examples",
-    "gather_vectors",
-]

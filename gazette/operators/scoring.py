@@ -1,13 +1,16 @@
 """Attaching, computing and ranking candidate scores."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gazette import columns as C
-from gazette.functions.arrays import dot, field, sigmoid, softmax, weighted_mean_vector
+from gazette.functions.arrays import dot, field, sigmoid, softmax
 from gazette.functions.draws import shuffled
 from gazette.functions.ranking import ranks
 from gazette.operators.mapping import score_lists
-from gazette.plans.lists import as_keys, gathered
+from gazette.plans.lists import as_keys
+from gazette.plans.lookup import lookup_join
 from gazette.plans.numbering import row_index, running_total
 
 
@@ -99,27 +102,44 @@ def reciprocal_list(df, column) -> DataFrame:
     return df.withColumn(column, F.transform(column, lambda x: 1.0 / x))
 
 
+def user_vectors(histories, vectors, weights, user_key=C.USER, history_col=C.HISTORY_IDS, out="user_vector", **join_options) -> DataFrame:
+    """One vector per user: the weighted mean of the history's vectors.
+
+    ``weights`` maps a length column to a list of weights (see the decay functions). Unknown ids
+    are left out with their weights. Sums are combined on the map side.
+    """
+    id_col, vec_col = vectors.columns[:2]
+    keys = as_keys(user_key)
+    weighted = F.arrays_zip(F.col(history_col).alias("__id"), weights(F.size(history_col)).alias("__w"))
+    rows = histories.filter(F.size(history_col) > 0).select(*keys, F.posexplode(weighted).alias("pos", "__z"))
+    rows = rows.select(*keys, "pos", "__z.*")
+    table = vectors.select(F.col(id_col).alias("__id"), F.col(vec_col).cast("array<double>").alias("__v"))
+    found = lookup_join(rows, table.dropna(), "__id", "inner", spread=[*keys, "pos"], **join_options)
+    mean = Summarizer.mean(array_to_vector(F.col("__v")), F.col("__w"))
+    return found.groupBy(*keys).agg(vector_to_array(mean).alias(out))
+
+
 def embedding_scores(
-    df, vectors, weights, history_col=C.HISTORY_IDS, inview_col=C.INVIEW, key=C.IMPRESSION_ID, **join_options
+    df, histories, vectors, weights, user_key=C.USER, history_col=C.HISTORY_IDS, inview_col=C.INVIEW, key=C.IMPRESSION_ID, **join_options
 ) -> DataFrame:
-    """Score candidates by the dot product with the user's weighted mean history vector.
+    """Score candidates by the dot product with their user's vector.
 
-    ``weights`` maps a length column to a list of weights (see the decay functions). Unknown ids
-    are left out of the user vector and score 0. Adds ``scores``, ``sigmoid`` and ``softmax``.
+    ``histories`` has one row per user, so a history is read once however often its user appears.
+    Candidates meet both vectors as single rows, and only their scores are regrouped. A candidate
+    or user without a vector scores 0. Adds the lists ``scores``, ``sigmoid`` and ``softmax``.
     """
+    keys, users = as_keys(key), as_keys(user_key)
     id_col, vec_col = vectors.columns[:2]
-    table = vectors.select(id_col, F.col(vec_col).cast("array<double>").alias("v"))
-    wide = gathered(df, [history_col, inview_col], table, id_col, ["v"], key, **join_options)
-    past = field(F.filter("cells", lambda c: (c["list"] == 0) & c["hit"]), "v")
-    shown = F.filter("cells", lambda c: c["list"] == 1)
-    with_lists = wide.withColumns({"__past": past, "__shown": shown}).drop("cells")
-    user = F.when(F.size("__past") > 0, weighted_mean_vector("__past", weights(F.size("__past"))))
-    scored = with_lists.withColumn("__user", user).withColumn(
-        "scores", F.transform("__shown", lambda c: F.coalesce(dot(F.col("__user"), c["v"]), F.lit(0.0)))
-    )
-    return scored.withColumns(
+    user = F.struct(*users).alias("__user")
+    tastes = user_vectors(histories, vectors, weights, users, history_col, **join_options).select(user, F.col("user_vector").alias("__u"))
+    items = vectors.select(F.col(id_col).alias("__id"), F.col(vec_col).cast("array<double>").alias("__v"))
+    rows = df.select(*keys, user, F.posexplode(inview_col).alias("pos", "__id"))
+    rows = lookup_join(rows, items, "__id", "left", spread=[*keys, "pos"], **join_options)
+    rows = lookup_join(rows, tastes, "__user", "left", spread=[*keys, "pos"], **join_options)
+    scored = rows.select(*keys, "pos", F.coalesce(dot("__u", "__v"), F.lit(0.0)).alias("__score"))
+    return add_prediction_scores(df, scored, "scores", inview_col, keys).withColumns(
         {"sigmoid": F.transform("scores", lambda s: sigmoid(s)), "softmax": softmax("scores")}
-    ).drop("__past", "__shown", "__user")
+    )
 
 
 def score_batches(df, scorer, schema) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from gazette import columns as C
-from gazette.functions.arrays import field, head_padded, unit
+from gazette.functions.arrays import field, head_padded, named, unit, with_each
 from gazette.functions.draws import as_integer, digest
 from gazette.functions.text import joined_text, list_text, words
 from gazette.plans.lists import as_keys
@@ -82,26 +82,30 @@ def token_vectors(df, column, dim=64, window=2, seed=0, out="vector") -> DataFra
     driver.
     """
     tokens = df.select(words(column).alias("w"))
+    digests = F.transform("w", lambda t: digest(seed, t))
     coordinate = F.transform(
-        "w",
-        lambda t: F.struct(
-            F.pmod(as_integer(digest(seed, t)), F.lit(dim)).cast("int").alias("dim"),
-            F.when(F.substring(digest(seed, t), 9, 1) < "8", 1.0).otherwise(-1.0).alias("sign"),
+        digests,
+        lambda d: named(
+            dim=F.pmod(as_integer(d), F.lit(dim)).cast("int"),
+            sign=F.when(F.substring(d, 9, 1) < "8", 1.0).otherwise(-1.0),
         ),
     )
     placed = tokens.withColumn("c", coordinate)
-    near = F.transform(
-        "w",
-        lambda t, i: F.struct(
-            t.alias("token"),
-            F.concat(
-                F.slice("c", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window))),
-                F.slice("c", i + 2, F.lit(window)),
-            ).alias("near"),
+    numbered = F.transform("w", lambda t, i: named(token=t, i=i))
+    near = with_each(
+        numbered,
+        F.col("c"),
+        lambda t, c: named(
+            token=t["token"],
+            near=F.concat(
+                F.slice(c, F.greatest(t["i"] - window, F.lit(0)) + 1, F.least(t["i"], F.lit(window))),
+                F.slice(c, t["i"] + 2, F.lit(window)),
+            ),
         ),
     )
     pairs = placed.select(F.inline(near)).select("token", F.explode("near").alias("c")).select("token", "c.*")
     sums = pairs.groupBy("token", "dim").agg(F.sum("sign").alias("x"))
     sparse = sums.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    dense = with_each(places, F.col("m"), lambda d, m: F.coalesce(F.try_element_at(m, d), F.lit(0.0)))
     return sparse.select("token", unit(dense).alias(out))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from gazette import columns as C
+from gazette.functions.arrays import named
 from gazette.plans.lookup import lookup_join
 
 
@@ -29,7 +30,7 @@ def gather_cells(
 
     def tagged(i, name):
         return F.transform(
-            F.col(name), lambda x, p: F.struct(F.lit(i).alias("list"), p.alias("pos"), x.alias("__id"))
+            F.col(name), lambda x, p: named(list=F.lit(i), pos=p, __id=x)
         )
 
     parts = [F.coalesce(tagged(i, c), F.array()) for i, c in enumerate(list_columns)]

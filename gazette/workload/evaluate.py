@@ -58,9 +58,12 @@ _INDEX = """
              FROM shown LEFT JOIN idx ON idx.article_id = id)"""
 
 
-def _log_with_history(spark, d):
-    log = V.impressions(spark, d).join(V.histories(spark, d).select(C.USER, C.HISTORY_IDS), C.USER, "left")
-    return L.create_binary_labels_column(log)
+def _labelled(spark, d):
+    return L.create_binary_labels_column(V.impressions(spark, d))
+
+
+def _past(spark, d):
+    return V.histories(spark, d).select(C.USER, C.HISTORY_IDS)
 
 
 def _article_index(spark, d):
@@ -75,7 +78,7 @@ def _article_index(spark, d):
     )
 )
 def examples_train(spark, d):
-    out = L.training_examples(_log_with_history(spark, d), _article_index(spark, d))
+    out = L.training_examples(_labelled(spark, d), _article_index(spark, d), histories=_past(spark, d))
     return out.select(
         C.IMPRESSION_ID, as_text(C.HISTORY_IDS).alias("history"), as_text(C.INVIEW).alias("inview"), as_text(C.LABELS).alias("labels"), "n_samples"
     )
@@ -88,7 +91,7 @@ def examples_train(spark, d):
     )
 )
 def examples_eval(spark, d):
-    out = L.evaluation_examples(_log_with_history(spark, d), _article_index(spark, d))
+    out = L.evaluation_examples(_labelled(spark, d), _article_index(spark, d), histories=_past(spark, d))
     return out.select(
         C.IMPRESSION_ID, "pos", as_text(C.HISTORY_IDS).alias("history"), F.col(C.INVIEW).alias("candidate"), F.col(C.LABELS).cast("int").alias("label")
     )
@@ -103,7 +106,7 @@ def examples_eval(spark, d):
 )
 def examples_user(spark, d):
     users = sampling.create_user_id_to_int_mapping(V.clicks(spark, d), value_str="idx", offset=1)
-    rows = L.evaluation_examples(_log_with_history(spark, d), _article_index(spark, d))
+    rows = L.evaluation_examples(_labelled(spark, d), _article_index(spark, d), histories=_past(spark, d))
     return L.with_user_index(rows, users).select(
         C.IMPRESSION_ID, "pos", "user_index", F.col(C.INVIEW).alias("candidate"), F.col(C.LABELS).cast("int").alias("label")
     )
@@ -124,7 +127,9 @@ def examples_user(spark, d):
 )
 def examples_multi(spark, d):
     attributes = small_articles(spark, d).select(C.ARTICLE_ID, C.TITLE, F.col(C.CATEGORY_STR).alias("category"), "size")
-    out = L.attribute_examples(_log_with_history(spark, d), attributes, unknown={C.TITLE: "?", "category": "?", "size": 0})
+    out = L.attribute_examples(
+        _labelled(spark, d), attributes, histories=_past(spark, d), unknown={C.TITLE: "?", "category": "?", "size": 0}
+    )
     lists = [f"{a}_{s}" for a in (C.TITLE, "category", "size") for s in ("history", "inview")]
     return out.select(C.IMPRESSION_ID, *[as_text(c).alias(c) for c in lists])
 
@@ -136,7 +141,7 @@ def examples_multi(spark, d):
     )
 )
 def examples_pointwise(spark, d):
-    out = L.pointwise_examples(_log_with_history(spark, d), _article_index(spark, d), seed=SEED)
+    out = L.pointwise_examples(_labelled(spark, d), _article_index(spark, d), histories=_past(spark, d), seed=SEED)
     return out.select(C.IMPRESSION_ID, "pos", F.col(C.INVIEW).alias("candidate"), F.col(C.LABELS).cast("int").alias("label"), "order")
 
 
@@ -188,8 +193,8 @@ def gather_vectors(spark, d):
     )
 )
 def embedding_scores(spark, d):
-    log = V.impressions(spark, d).join(V.histories(spark, d).select(C.USER, C.HISTORY_IDS), C.USER, "left")
-    out = scoring.embedding_scores(log, V.vectors(spark, d), arrays.linear_decay_weights)
+    past = V.histories(spark, d).select(C.USER, C.HISTORY_IDS)
+    out = scoring.embedding_scores(V.impressions(spark, d), past, V.vectors(spark, d), arrays.linear_decay_weights)
     rows = out.select(C.IMPRESSION_ID, F.posexplode(F.arrays_zip("scores", "sigmoid", "softmax")).alias("pos", "z"))
     return rows.select(C.IMPRESSION_ID, "pos", *[F.round(f"z.{c}", 6).alias(n) for c, n in (("scores", "score"), ("sigmoid", "sigmoid"), ("softmax", "softmax"))])
 

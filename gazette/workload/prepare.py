@@ -8,6 +8,7 @@ from gazette import columns as C
 
 
 from gazette.functions import ranking
+from gazette.functions.arrays import binary_labels
 from gazette.operators import checks, filters, history, mapping, sampling, scoring
 from gazette.plans.numbering import row_index as number_rows
 from gazette.plans.store import scratch_folder
@@ -482,18 +483,18 @@ SWEEP_SIZES = [1, 2, 5, 10, 20, 40]
     )
 )
 def history_sweep(spark, d):
-    from gazette.functions.arrays import binary_labels
-
-    log = files.join_history(V.impressions(spark, d), V.histories(spark, d), V.HISTORY_LIMIT, None)
-    weights = lambda n: F.array_repeat(F.lit(1.0), n)
-
-    def score(rows):
-        scored = scoring.embedding_scores(rows, V.vectors(spark, d), weights, key=[C.IMPRESSION_ID, "history_size"])
-        y = binary_labels(C.INVIEW, C.CLICKED)
-        auc = scored.select("history_size", ranking.auc(y, F.col("scores")).alias("auc"))
-        return auc.groupBy("history_size").agg(F.count("auc").alias("n"), F.round(F.avg("auc"), 6).alias("auc"))
-
-    return history.history_sweep(log, SWEEP_SIZES, score, min_length=20)
+    each = history.history_sweep(V.histories(spark, d).select(C.USER, C.HISTORY_IDS), SWEEP_SIZES, min_length=20)
+    log = V.impressions(spark, d).join(each.select(C.USER, "history_size"), C.USER)
+    scored = scoring.embedding_scores(
+        log,
+        each,
+        V.vectors(spark, d),
+        lambda n: F.array_repeat(F.lit(1.0), n),
+        user_key=[C.USER, "history_size"],
+        key=[C.IMPRESSION_ID, "history_size"],
+    )
+    auc = scored.select("history_size", ranking.auc(binary_labels(C.INVIEW, C.CLICKED), F.col("scores")).alias("auc"))
+    return auc.groupBy("history_size").agg(F.count("auc").alias("n"), F.round(F.avg("auc"), 6).alias("auc"))
 
 
 # --- set operations, splitting, numbering, sampling ----------------------------------------
