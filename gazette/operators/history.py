@@ -55,12 +55,12 @@ def create_dynamic_history(
         return rows.withColumn(history_col, F.collect_list(item_col).over(frame))
 
     hot = df.groupBy(user_col).count().filter(F.col("count") > hot_rows).select(user_col)
-    hot_users = [r[0] for r in hot.limit(1).collect()]
-    if not hot_users:
+    if hot.isEmpty():
         return framed(df, [user_col], order)
 
-    mark = F.broadcast(hot.withColumn("__hot", F.lit(True)))  # at most rows / hot_rows users
-    marked = df.join(mark, df[user_col].eqNullSafe(mark[user_col]), "left").select(*[df[c] for c in df.columns], "__hot")
+    # at most rows / hot_rows users
+    mark = F.broadcast(hot.select(F.col(user_col).alias("__hot_user"), F.lit(True).alias("__hot")))
+    marked = df.join(mark, F.col(user_col).eqNullSafe(F.col("__hot_user")), "left").drop("__hot_user")
     cold = framed(marked.filter("__hot IS NULL").drop("__hot"), [user_col], order)
     block = max(history_size, hot_rows)
     numbered = row_index(marked.filter("__hot").drop("__hot"), [user_col, *order], "__nr").withColumn(

@@ -92,7 +92,7 @@ def unfolded(df, inview_col=C.INVIEW, labels_col=C.LABELS) -> DataFrame:
 def with_user_index(df, user_index=None, known_users=None, user_col=C.USER, out="user_index") -> DataFrame:
     """Add the user's number; known users start at 1 and 0 means unknown."""
     if user_index is None:
-        user_index = create_user_id_to_int_mapping(known_users or df, user_col, "idx", offset=1)
+        user_index = create_user_id_to_int_mapping(df if known_users is None else known_users, user_col, "idx", offset=1)
     return map_column(df, user_col, user_index, default=0, out=out)
 
 
