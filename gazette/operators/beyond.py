@@ -223,7 +223,7 @@ def candidate_diversity(
     All combinations are tried while there are at most ``max_number_combinations``; beyond that,
     as many random subsets are drawn instead.
     """
-    known = lookup_join(candidates.select(item_col), items.select(item_col).distinct(), item_col, "left_semi")
+    known = candidates.select(item_col).join(items.select(item_col), item_col, "left_semi")
     indexed = row_index(known, [item_col], "__nr")
     total = indexed.count()
     if n > total:
@@ -259,7 +259,7 @@ def _combinations(spark, total, n) -> DataFrame:
 
 
 def _extremes(candidates, items, value, n, item_col, names):
-    rows = lookup_join(candidates.select(item_col), items.select(item_col, value.alias("__x"), F.lit(1).alias("__k")), item_col, "inner")
+    rows = candidates.select(item_col).join(items.select(item_col, value.alias("__x")), item_col)
     low = rows.orderBy(F.col("__x").asc(), item_col).limit(n).agg(F.avg("__x").alias(names[1]))
     high = rows.orderBy(F.col("__x").desc(), item_col).limit(n).agg(F.avg("__x").alias(names[0]))
     return high.withColumn(names[1], low.scalar())
@@ -344,7 +344,7 @@ def item_table(articles, histories, candidates, vectors, pageviews_col=C.TOTAL_P
     """Catalogue rows needed for evaluation: candidates and history items, counters filled with 1,
     popularity normalised two ways, vectors joined."""
     needed = candidates.select(item_col).unionByName(histories.select(F.explode(history_col).alias(item_col))).distinct()
-    kept = lookup_join(articles, needed, item_col, "left_semi").fillna(
+    kept = articles.join(needed, item_col, "left_semi").fillna(
         1, subset=[c for c in (C.TOTAL_INVIEWS, C.TOTAL_PAGEVIEWS) if c in articles.columns]
     )
     x = F.col(pageviews_col)
@@ -359,7 +359,7 @@ def item_table(articles, histories, candidates, vectors, pageviews_col=C.TOTAL_P
             f"{pageviews_col}_normalized_min_max": scaled,
         }
     )
-    return lookup_join(normalised, vectors, item_col, "left")
+    return normalised.join(vectors, item_col, "left")
 
 
 def by_segment(scores, segments, value, segment_col, on) -> DataFrame:

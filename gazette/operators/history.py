@@ -106,6 +106,12 @@ def fixed_histories(
     )
 
 
+def _with_past(df, past, user_col):
+    """Spread each user's list over their rows. The lists come out of the whole log, so they are
+    not computed a second time to be measured."""
+    return lookup_join(df, past, user_col, "left", broadcast_bytes=0, count_on=df.select(user_col))
+
+
 def create_fixed_history(
     df,
     dt_cutoff,
@@ -121,7 +127,7 @@ def create_fixed_history(
     past = fixed_histories(
         df, dt_cutoff, history_size, [item_col], [history_col], user_col, item_col, timestamp_col, tie_cols
     )
-    return lookup_join(df, past, user_col, "left").select(*df.columns, history_col)
+    return _with_past(df, past, user_col).select(*df.columns, history_col)
 
 
 def create_fixed_history_aggr_columns(
@@ -140,7 +146,7 @@ def create_fixed_history_aggr_columns(
     wanted = list(dict.fromkeys([item_col, *columns]))
     names = [c + suffix for c in wanted]
     past = fixed_histories(df, dt_cutoff, history_size, wanted, names, user_col, item_col, timestamp_col, tie_cols)
-    return lookup_join(df, past, user_col, "left").select(*df.columns, *names)
+    return _with_past(df, past, user_col).select(*df.columns, *names)
 
 
 def down_sample_on_users(df, n, user_col=C.USER, seed=None, key=C.IMPRESSION_ID) -> DataFrame:

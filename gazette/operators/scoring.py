@@ -12,6 +12,7 @@ from gazette.operators.mapping import score_lists
 from gazette.plans.lists import as_keys
 from gazette.plans.lookup import lookup_join
 from gazette.plans.numbering import row_index, running_total
+from gazette.plans.store import materialise
 
 
 def add_prediction_scores(df, scores, prediction_scores_col=C.SCORES, inview_col=C.INVIEW, key=C.IMPRESSION_ID) -> DataFrame:
@@ -87,7 +88,9 @@ POPULARITY_SCORES = [
 
 def popularity_baselines(df, articles, inviews, inview_col=C.INVIEW, key=C.IMPRESSION_ID, **join_options) -> DataFrame:
     """Ranks of the in-view ids under the four popularity scores, looked up in one pass."""
-    scored = score_lists(df, popularity_scores(articles, inviews), inview_col, key=key, **join_options)
+    # the estimate reads the whole log: store the per-article table so that it is counted once
+    scores = materialise(popularity_scores(articles, inviews))
+    scored = score_lists(df, scores, inview_col, key=key, **join_options)
     return scored.select(*as_keys(key), *[ranks(c).alias(c) for c in POPULARITY_SCORES])
 
 
@@ -134,9 +137,12 @@ def embedding_scores(
     tastes = user_vectors(histories, vectors, weights, users, history_col, **join_options).select(user, F.col("user_vector").alias("__u"))
     items = vectors.select(F.col(id_col).alias("__id"), F.col(vec_col).cast("array<double>").alias("__v"))
     rows = df.select(*keys, user, F.posexplode(inview_col).alias("pos", "__id"))
-    rows = lookup_join(rows, items, "__id", "left", spread=[*keys, "pos"], **join_options)
-    rows = lookup_join(rows, tastes, "__user", "left", spread=[*keys, "pos"], **join_options)
-    scored = rows.select(*keys, "pos", F.coalesce(dot("__u", "__v"), F.lit(0.0)).alias("__score"))
+    found = lookup_join(rows, items, "__id", "left", spread=[*keys, "pos"], **join_options)
+    # user vectors come out of a join of their own: shuffle them rather than compute them twice
+    both = lookup_join(
+        found, tastes, "__user", "left", spread=[*keys, "pos"], **{**join_options, "broadcast_bytes": 0}, count_on=rows.select("__user")
+    )
+    scored = both.select(*keys, "pos", F.coalesce(dot("__u", "__v"), F.lit(0.0)).alias("__score"))
     return add_prediction_scores(df, scored, "scores", inview_col, keys).withColumns(
         {"sigmoid": F.transform("scores", lambda s: sigmoid(s)), "softmax": softmax("scores")}
     )

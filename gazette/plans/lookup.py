@@ -39,6 +39,7 @@ def lookup_join(
     spread: list[str] | None = None,
     broadcast_bytes: int | None = None,
     hot_rows: int | None = None,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join many rows to a table with one row per ``key``.
 
@@ -49,17 +50,22 @@ def lookup_join(
       salts taken from the ``spread`` columns, and only their lookup rows are repeated.
       Null keys match nothing and are always spread.
 
-    ``how`` is ``left``, ``inner`` or ``left_semi``.
+    Measuring costs one pass over the table, so give a stored or cheaply derived one. Where it
+    is itself the result of heavy work, ``broadcast_bytes=0`` skips the measurement: the join is
+    planned as a shuffle, which adaptive execution still turns into a broadcast if the finished
+    stage proves small. ``count_on`` names a cheaper frame with the same keys to count hot keys
+    on. ``how`` is ``left``, ``inner`` or ``left_semi``.
     """
     broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    if measured_bytes(lookup) <= broadcast_bytes:
+    if broadcast_bytes and measured_bytes(lookup) <= broadcast_bytes:
         return df.join(F.broadcast(lookup), key, how)
 
     spread = spread or [c for c in df.columns if c != key]
     # at most (rows / hot_rows) keys can be hot, which bounds this broadcast
     hot = (
-        df.filter(F.col(key).isNotNull())
+        (df if count_on is None else count_on)
+        .filter(F.col(key).isNotNull())
         .groupBy(key)
         .count()
         .filter(F.col("count") > hot_rows)

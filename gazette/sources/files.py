@@ -40,14 +40,14 @@ def write_table(df, path, mode="overwrite") -> None:
 
 
 def load_article_id_embeddings(df, path, item_col=C.ARTICLE_ID) -> DataFrame:
-    """Attach the vectors stored at ``path`` (id first, vector last)."""
-    return lookup_join(df, df.sparkSession.read.parquet(path), item_col, "left")
+    """Attach the vectors stored at ``path`` (id first, vector last); one row per id on both sides."""
+    return df.join(df.sparkSession.read.parquet(path), item_col, "left")
 
 
 def load_join_embeddings(df, vectors, item_col=C.ARTICLE_ID) -> DataFrame:
     """Cut the vector table down to the ids in ``df``, then attach it."""
-    needed = lookup_join(vectors, df.select(item_col).distinct(), item_col, "left_semi")
-    return lookup_join(df, needed, item_col, "left")
+    needed = vectors.join(df.select(item_col), item_col, "left_semi")
+    return df.join(needed, item_col, "left")
 
 
 def submission_lines(df, ranks_col, key=C.IMPRESSION_ID) -> DataFrame:

@@ -6,6 +6,7 @@ from gazette import columns as C
 from gazette.functions import arrays, ranking
 from gazette.operators import accuracy, beyond, describe, labels as L, mapping, sampling, scoring
 from gazette.plans.numbering import row_index
+from gazette.plans.store import materialise
 from gazette.workload import views as V
 from gazette.workload.prepare import SEED, _sql_draws, small_articles
 from gazette.workload.registry import query
@@ -488,8 +489,8 @@ def diversity_euclidean(spark, d):
 @query(
     with_views(
         "units",
-        f"""WITH {_sql_draws(20000, '(SELECT count(*) FROM embeddings)', 5)},
-        idx AS (SELECT vec_id AS article_id, row_number() OVER (ORDER BY vec_id) - 1 AS nr FROM embeddings),
+        f"""WITH {_sql_draws(20000, '(SELECT count(*) FROM part JOIN embeddings ON p_partkey = vec_id)', 5)},
+        idx AS (SELECT vec_id AS article_id, row_number() OVER (ORDER BY vec_id) - 1 AS nr FROM part JOIN embeddings ON p_partkey = vec_id),
         l AS (SELECT list_id, article_id FROM draws JOIN idx USING (nr)), {_DIVERSITY}
         SELECT round(min(diversity), 6) AS min_diversity, round(max(diversity), 6) AS max_diversity FROM div""",
     )
@@ -569,7 +570,9 @@ def serendipity(spark, d):
 
 
 def _popular_items(spark, d):
-    return describe.normalise_max(V.counters(spark, d), C.TOTAL_INVIEWS, out="popularity").select(C.ARTICLE_ID, "popularity")
+    """The stored popularity of each article, worked out from the log once."""
+    scaled = describe.normalise_max(V.counters(spark, d), C.TOTAL_INVIEWS, out="popularity")
+    return materialise(scaled.select(C.ARTICLE_ID, "popularity"))
 
 
 @query(

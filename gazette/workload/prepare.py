@@ -11,7 +11,7 @@ from gazette.functions import ranking
 from gazette.functions.arrays import binary_labels
 from gazette.operators import checks, filters, history, mapping, sampling, scoring
 from gazette.plans.numbering import row_index as number_rows
-from gazette.plans.store import scratch_folder
+from gazette.plans.store import materialise, scratch_folder
 from gazette.sources import files
 from gazette.workload import views as V
 from gazette.workload.registry import query
@@ -325,7 +325,7 @@ def map_list_null(spark, d):
 )
 def score_lookup(spark, d):
     scores = V.counters(spark, d).filter(F.col(C.TOTAL_INVIEWS) >= 30).select(C.ARTICLE_ID, F.col(C.TOTAL_PAGEVIEWS).alias("score"))
-    out = mapping.score_lists(V.inview(spark, d), scores)
+    out = mapping.score_lists(V.inview(spark, d), materialise(scores))
     return out.select(C.IMPRESSION_ID, F.posexplode("score").alias("pos", "score"))
 
 
