@@ -48,7 +48,7 @@ def _mapped_lists(df, mapping, histories, history_col, inview_col, unknown, key,
     shown = map_list_columns(df, [inview_col], mapping, unknown, key)
     past = histories.select(user_col, history_col)
     mapped = map_list_columns(past, [history_col], mapping, unknown, user_col)
-    joined = lookup_join(shown, mapped, user_col, "left", broadcast_bytes=0, count_on=df.select(user_col))
+    joined = lookup_join(shown, mapped, user_col, "left", spread=as_keys(key), broadcast_bytes=0, count_on=df.select(user_col))
     # a user without a history has one unknown item, as an empty history does
     lists = [c for c in mapped.columns if c != user_col]
     fills = unknown if isinstance(unknown, dict) else {v: unknown for v in mapping.columns[1:]}

@@ -41,7 +41,7 @@ def map_list_article_id_to_value(
         unknown = F.lit(fill_nulls).cast(dtype)
         if fill_nulls is not None:
             values = F.transform(values, lambda v: F.coalesce(v, unknown))
-        mapped = F.coalesce(values, F.array(unknown))
+        mapped = F.when(F.size(values) > 0, values).otherwise(F.array(unknown))
     return wide.select(*rest, mapped.alias(behaviors_column))
 
 

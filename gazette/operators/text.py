@@ -45,8 +45,10 @@ def convert_text2encoding(df, vocab, column, name="vocab", max_length=None, key=
     ids = F.coalesce(field("__c", "id"), F.array().cast("array<bigint>"))
     if max_length:
         ids = head_padded(ids, max_length, 0)
-    ids = F.when(F.col(column).isNotNull(), ids)
-    return df.join(lists, keys, "left").withColumn(out, ids).drop("__c"), out
+    # the text itself is not needed behind the join and drops out where the caller does not select it
+    marked = df.withColumn("__known", F.col(column).isNotNull())
+    encoded = marked.join(lists, keys, "left").withColumn(out, F.when(F.col("__known"), ids))
+    return encoded.select(*df.columns, out), out
 
 
 def hashed_embeddings(df, column, dim=256, out="embedding", key=C.ARTICLE_ID) -> DataFrame:

@@ -11,7 +11,7 @@ def as_keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def gather_cells(
+def gathered(
     df: DataFrame,
     list_columns: list[str],
     lookup: DataFrame,
@@ -20,39 +20,41 @@ def gather_cells(
     key=C.IMPRESSION_ID,
     **join_options,
 ) -> DataFrame:
-    """Return ``key`` and ``cells``: one struct per list element, ordered by list and position.
+    """``df`` with a column ``cells``: one struct per list element, ordered by list and position.
+
+    A cell holds ``(list, pos, id, hit, <value_cols>)``, where ``list`` is the index of the column
+    in ``list_columns`` and ``hit`` tells whether the id is in ``lookup``. ``cells`` is empty for a
+    row whose lists are all null or empty. ``key`` must identify a row.
 
-    ``cells`` holds ``(list, pos, id, hit, <value_cols>)``, where ``list`` is the index of the
-    column in ``list_columns`` and ``hit`` tells whether the id is in ``lookup``. Rows whose
-    lists are all null or empty do not appear. ``key`` must identify a row.
+    One pass and one regrouping shuffle: the other columns ride on the first element of their row
+    only, so nothing is joined back and no wide value is repeated. Each is carried by its own
+    aggregate, which the optimizer drops when the column is not used later.
     """
     keys = as_keys(key)
+    rest = [c for c in df.columns if c not in keys]
 
     def tagged(i, name):
-        return F.transform(
-            F.col(name), lambda x, p: named(list=F.lit(i), pos=p, __id=x)
-        )
+        return F.transform(F.col(name), lambda x, p: named(list=F.lit(i), pos=p, __id=x))
 
     parts = [F.coalesce(tagged(i, c), F.array()) for i, c in enumerate(list_columns)]
-    cells = parts[0] if len(parts) == 1 else F.concat(*parts)
-    rows = df.select(*keys, F.explode(cells).alias("__cell")).select(*keys, "__cell.*")
+    every = parts[0] if len(parts) == 1 else F.concat(*parts)
+    exploded = df.select(*keys, *rest, F.posexplode_outer(every).alias("__place", "__cell"))
+    first = F.coalesce(F.col("__place"), F.lit(0)) == 0
+    rows = exploded.select(
+        *keys, *[F.when(first, F.col(c)).alias(c) for c in rest], "__place", F.col("__cell.*")
+    )
     table = lookup.select(
-        F.col(id_col).alias("__id"), F.lit(True).alias("hit"), *[F.col(c).alias(f"__v_{c}") for c in value_cols]
+        F.col(id_col).alias("__id"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__v_{c}") for c in value_cols]
     )
-    joined = lookup_join(rows, table, "__id", "left", spread=[*keys, "list", "pos"], **join_options)
-    cell = F.struct(
-        "list",
-        "pos",
-        F.col("__id").alias("id"),
-        F.coalesce("hit", F.lit(False)).alias("hit"),
-        *[F.col(f"__v_{c}").alias(c) for c in value_cols],
+    joined = lookup_join(rows, table, "__id", "left", spread=[*keys, "__place"], **join_options)
+    cell = F.named_struct(
+        F.lit("list"), F.col("list"),
+        F.lit("pos"), F.col("pos"),
+        F.lit("id"), F.col("__id"),
+        F.lit("hit"), F.coalesce("__hit", F.lit(False)),
+        *[part for c in value_cols for part in (F.lit(c), F.col(f"__v_{c}"))],
+    )
+    cells = F.array_sort(F.collect_list(F.when(F.col("__place").isNotNull(), cell)))
+    return joined.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest], cells.alias("cells")).select(
+        *df.columns, "cells"
     )
-    return joined.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-
-
-def gathered(
-    df: DataFrame, list_columns: list[str], lookup: DataFrame, id_col: str, value_cols: list[str], key=C.IMPRESSION_ID, **join_options
-) -> DataFrame:
-    """``df`` with the ``cells`` of :func:`gather_cells` attached (null when there are none)."""
-    cells = gather_cells(df, list_columns, lookup, id_col, value_cols, key, **join_options)
-    return df.join(cells, as_keys(key), "left")

@@ -61,7 +61,8 @@ def lookup_join(
     if broadcast_bytes and measured_bytes(lookup) <= broadcast_bytes:
         return df.join(F.broadcast(lookup), key, how)
 
-    spread = spread or [c for c in df.columns if c != key]
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    spread = spread or [c for c in plain if c != key]
     # at most (rows / hot_rows) keys can be hot, which bounds this broadcast
     hot = (
         (df if count_on is None else count_on)
