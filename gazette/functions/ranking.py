@@ -75,33 +75,54 @@ def auc_strict(labels, scores) -> Column:
     return F.when(pairs > 0, _wins(labels, scores)["strict"] / pairs)
 
 
-def mrr(labels, scores) -> Column:
+# The metrics of a ranking look only at the labels in rank order, so several of them can share
+# one sort: see ``MetricEvaluator``.
+
+
+def ranked_labels(labels, scores) -> Column:
+    """The labels as doubles, from the best ranked to the worst."""
+    return field(ordered(scores, labels), "y")
+
+
+def mrr_of(ranked) -> Column:
     """Mean of 1/rank over the positives; NaN without a positive."""
-    total = array_sum(F.transform(ordered(scores, labels), lambda c, i: c["y"] / (i + 1)))
-    p = n_positive(labels)
+    total = array_sum(F.transform(col(ranked), lambda y, i: y / (i + 1)))
+    p = array_sum(ranked)
     return F.when(p > 0, total / p).otherwise(F.lit(float("nan")))
 
 
-def reciprocal_rank(labels, scores) -> Column:
+def reciprocal_rank_of(ranked) -> Column:
     """1/rank of the best ranked positive; 1 without a positive."""
-    first = F.array_position(field(ordered(scores, labels), "y"), 1.0)
+    first = F.array_position(col(ranked), 1.0)
     return F.when(first > 0, 1 / first).otherwise(F.lit(1.0))
 
 
-def _gain(labels_in_order: Column, k: int) -> Column:
-    gains = F.transform(F.slice(labels_in_order, 1, k), lambda y, i: (F.pow(F.lit(2.0), y) - 1) / F.log2(i + 2.0))
-    return array_sum(gains)
+def dcg_of(ranked, k: int = 10) -> Column:
+    """Discounted cumulative gain of the top ``k``."""
+    top = F.slice(col(ranked), 1, k)
+    return array_sum(F.transform(top, lambda y, i: (F.pow(F.lit(2.0), y) - 1) / F.log2(i + 2.0)))
+
+
+def ndcg_of(ranked, k: int = 10) -> Column:
+    """DCG divided by the best possible DCG; NaN without a positive."""
+    ideal = dcg_of(F.sort_array(col(ranked), asc=False), k)
+    return F.when(ideal > 0, dcg_of(ranked, k) / ideal).otherwise(F.lit(float("nan")))
+
+
+def mrr(labels, scores) -> Column:
+    return mrr_of(ranked_labels(labels, scores))
+
+
+def reciprocal_rank(labels, scores) -> Column:
+    return reciprocal_rank_of(ranked_labels(labels, scores))
 
 
 def dcg(labels, scores, k: int = 10) -> Column:
-    """Discounted cumulative gain of the top ``k``."""
-    return _gain(field(ordered(scores, labels), "y"), k)
+    return dcg_of(ranked_labels(labels, scores), k)
 
 
 def ndcg(labels, scores, k: int = 10) -> Column:
-    """DCG divided by the best possible DCG; NaN without a positive."""
-    ideal = _gain(F.sort_array(F.transform(col(labels), lambda y: y.cast("double")), asc=False), k)
-    return F.when(ideal > 0, dcg(labels, scores, k) / ideal).otherwise(F.lit(float("nan")))
+    return ndcg_of(ranked_labels(labels, scores), k)
 
 
 # Fixed value: scores are clipped this far from 0 and 1 before taking logarithms.

@@ -45,7 +45,10 @@ def format_delta(seconds) -> Column:
 
 
 def seconds_between(later, earlier) -> Column:
-    return F.unix_micros(col(later).cast("timestamp")) / 1e6 - F.unix_micros(col(earlier).cast("timestamp")) / 1e6
+    """Seconds between two timestamps of the same type; no time zone is involved."""
+    gap = col(later) - col(earlier)
+    part = lambda unit: F.extract(F.lit(unit), gap)
+    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND").cast("double")
 
 
 def timestamp_text(ts) -> Column:

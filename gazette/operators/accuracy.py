@@ -14,15 +14,23 @@ from gazette.plans.numbering import row_index
 
 @dataclass(frozen=True)
 class Metric:
-    """A named expression over parallel label and score lists."""
+    """A named expression over parallel label and score lists.
+
+    ``of_ranked``, where given, computes the same from the labels in rank order.
+    """
 
     name: str
     expr: Callable[[Column, Column], Column]
+    of_ranked: Callable[[Column], Column] | None = None
 
     def __call__(self, labels, scores) -> Column:
         return self.expr(labels, scores)
 
 
+def _ranking_metric(name, of_ranked):
+    return Metric(name, lambda y, p: of_ranked(ranking.ranked_labels(y, p)), of_ranked)
+
+
 def AucScore():
     return Metric("auc", ranking.auc)
 
@@ -32,19 +40,19 @@ def StrictAucScore():
 
 
 def MrrScore():
-    return Metric("mrr", ranking.mrr)
+    return _ranking_metric("mrr", ranking.mrr_of)
 
 
 def ReciprocalRankScore():
-    return Metric("reciprocal_rank", ranking.reciprocal_rank)
+    return _ranking_metric("reciprocal_rank", ranking.reciprocal_rank_of)
 
 
 def DcgScore(k=10):
-    return Metric(f"dcg@{k}", lambda y, p: ranking.dcg(y, p, k))
+    return _ranking_metric(f"dcg@{k}", lambda ranked: ranking.dcg_of(ranked, k))
 
 
 def NdcgScore(k=10):
-    return Metric(f"ndcg@{k}", lambda y, p: ranking.ndcg(y, p, k))
+    return _ranking_metric(f"ndcg@{k}", lambda ranked: ranking.ndcg_of(ranked, k))
 
 
 def LogLossScore():
@@ -80,14 +88,19 @@ class MetricEvaluator:
         self.labels_col, self.scores_col, self.strict = labels_col, scores_col, strict
 
     def per_impression(self) -> DataFrame:
-        """One column per metric next to the input columns."""
+        """One column per metric next to the input columns; the ranking is sorted once for all."""
         y, p = F.col(self.labels_col), F.col(self.scores_col)
-        return self.df.withColumns({m.name: m(y, p) for m in self.metrics})
+        ranked = self.df.withColumn("__ranked", ranking.ranked_labels(y, p))
+
+        def value(m):
+            of_ranked = getattr(m, "of_ranked", None)
+            return of_ranked(F.col("__ranked")) if of_ranked else m(y, p)
+
+        return ranked.withColumns({m.name: value(m) for m in self.metrics}).drop("__ranked")
 
     def evaluate(self) -> DataFrame:
         """One row: the mean of each metric, ``n_rows`` and ``n_skipped``."""
-        y, p = F.col(self.labels_col), F.col(self.scores_col)
-        rows = self.df.select(*[m(y, p).alias(m.name) for m in self.metrics])
+        rows = self.per_impression().select(*[F.col(f"`{m.name}`") for m in self.metrics])
         undefined = F.lit(False)
         for m in self.metrics:
             undefined = undefined | F.col(f"`{m.name}`").isNull()

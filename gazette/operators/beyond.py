@@ -19,6 +19,7 @@ from gazette.operators.checks import require_columns
 from gazette.plans.lists import as_keys
 from gazette.plans.lookup import lookup_join
 from gazette.plans.numbering import row_index
+from gazette.plans.store import materialise
 
 NAN = float("nan")
 
@@ -293,6 +294,8 @@ def beyond_accuracy_table(
     ``(list_id, history)``. A shared list is set against every history for serendipity, any
     other one against the history of its own ``list_id``.
     """
+    # every metric reads the lists and the items: store both once
+    lists, items = materialise(lists), materialise(items)
     keys = [name_col, list_id]
     common = dict(list_id=keys, items_col=items_col, item_col=item_col)
     per_list = [

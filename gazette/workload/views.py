@@ -46,13 +46,11 @@ def impressions_all(spark, sf_dir) -> DataFrame:
 def scored(spark, sf_dir) -> DataFrame:
     """Impressions with parallel lists: ids, labels, a price score and a discount score with ties.
 
-    Lines are brought together by order once; both aggregates reuse that partitioning.
+    Repeated lines are folded per (order, part) before the shuffle, so an order with very many
+    lines is spread over tasks until only its distinct parts are left.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_returnflag", "l_extendedprice", "l_discount"
-    )
     cells = (
-        lines.repartition("l_orderkey")
+        table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_partkey")
         .agg(
             F.max((F.col("l_returnflag") == "R").cast("tinyint")).alias("y"),

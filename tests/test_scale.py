@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gazette import columns as C
 from gazette.operators import history, mapping, sampling
 from gazette.plans import lookup
-from gazette.plans.store import materialise
+from gazette.plans.store import materialise, scratch_folder
 from gazette.workload import views as V
 
 
@@ -89,3 +89,18 @@ def test_down_sampling_is_limited_before_the_shuffle(spark, small):
 def test_materialise_has_no_lineage(spark):
     out = materialise(spark.range(10).withColumn("x", F.rand()))
     assert "FileScan parquet" in plan(out) and sorted(map(str, out.collect())) == sorted(map(str, out.collect()))
+
+
+class _Session:
+    """Just enough of a session to ask for its scratch folder."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_scratch_folder_comes_from_the_session(tmp_path):
+    assert scratch_folder(_Session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert scratch_folder(_Session("local[2]")) == scratch_folder(_Session("local[2]"))
+    with pytest.raises(RuntimeError):
+        scratch_folder(_Session("yarn"))
