@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gazette import columns as C
 from gazette.functions import ranking
 from gazette.functions.arrays import field
-from gazette.functions.ranking import binarise
 from gazette.plans.numbering import row_index
 
 

@@ -5,7 +5,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from gazette import columns as C
-from gazette.functions.arrays import empty_to_null, field
+from gazette.functions.arrays import col, empty_to_null, field
 from gazette.plans.lists import as_keys, gathered
 from gazette.plans.lookup import lookup_join
 
@@ -122,6 +122,21 @@ def gather_vectors(df, column, vectors, unknown="zeros", key=C.IMPRESSION_ID, ou
     return wide.withColumn("__unknown", fallback).withColumn(out or column, cells).drop("cells", "__unknown")
 
 
+def repeat_vectors(df, column, vectors, repeats, unknown="zeros", spread=None, out="vector", **join_options) -> DataFrame:
+    """Look up one vector per row and repeat the row ``repeats`` times (a column or a number).
+
+    Unknown ids get zeros or the mean vector. ``copy`` counts the repeats from 0.
+    """
+    id_col, vec_col = vectors.columns[:2]
+    fallback = unknown_vector(vectors, unknown)
+    table = vectors.select(F.col(id_col).alias(column), F.col(vec_col).alias("__v"))
+    found = lookup_join(df, table, column, "left", spread=spread, **join_options)
+    n = F.lit(repeats) if isinstance(repeats, int) else col(repeats)
+    copies = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    filled = found.withColumn(out, F.coalesce("__v", fallback))
+    return filled.withColumn("copy", F.explode(copies)).select(*df.columns, "copy", out)
+
+
 def unknown_vector(vectors, how):
     """The stand-in vector for unknown ids as a scalar: zeros or the element-wise mean."""
     vec_col = vectors.columns[1]

@@ -41,15 +41,20 @@ def gathered(
     exploded = df.select(*keys, *rest, F.posexplode_outer(every).alias("__place", "__cell"))
     first = F.coalesce(F.col("__place"), F.lit(0)) == 0
     rows = exploded.select(
-        *keys, *[F.when(first, F.col(c)).alias(c) for c in rest], "__place", F.col("__cell.*")
+        *keys,
+        *[F.when(first, F.col(c)).alias(c) for c in rest],
+        "__place",
+        F.col("__cell.list").alias("__list"),
+        F.col("__cell.pos").alias("__pos"),
+        F.col("__cell.__id").alias("__id"),
     )
     table = lookup.select(
         F.col(id_col).alias("__id"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__v_{c}") for c in value_cols]
     )
     joined = lookup_join(rows, table, "__id", "left", spread=[*keys, "__place"], **join_options)
     cell = F.named_struct(
-        F.lit("list"), F.col("list"),
-        F.lit("pos"), F.col("pos"),
+        F.lit("list"), F.col("__list"),
+        F.lit("pos"), F.col("__pos"),
         F.lit("id"), F.col("__id"),
         F.lit("hit"), F.coalesce("__hit", F.lit(False)),
         *[part for c in value_cols for part in (F.lit(c), F.col(f"__v_{c}"))],

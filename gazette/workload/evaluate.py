@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gazette import columns as C
-from gazette.functions import arrays, ranking
+from gazette.functions import arrays
 from gazette.operators import accuracy, beyond, describe, labels as L, mapping, sampling, scoring
 from gazette.plans.numbering import row_index
 from gazette.plans.store import materialise

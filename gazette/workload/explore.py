@@ -4,10 +4,9 @@ from pyspark.sql import functions as F
 
 from gazette import columns as C
 from gazette.functions import arrays, text as X
-from gazette.operators import beyond, checks, describe, history, mapping, text as T
+from gazette.operators import beyond, checks, decay, describe, mapping, text as T
 from gazette.plans.lookup import lookup_join
 from gazette.workload import views as V
-from gazette.workload.prepare import small_articles
 from gazette.workload.registry import query
 from gazette.workload.views import as_text, sql_text, with_views
 
@@ -219,11 +218,6 @@ def decay_exp(spark, d):
     return _weights(spark, d, lambda n: arrays.exponential_decay_weights(n, 0.8, ascending=False))
 
 
-def add_decay_weights(df, column, decay_func, ascending=True, **kwargs):
-    n = F.greatest(F.size(column), F.lit(0))
-    return df.withColumn(f"{column}_weights", decay_func(n, ascending=ascending, **kwargs))
-
-
 @query(
     with_views(
         "impressions_all",
@@ -231,7 +225,7 @@ def add_decay_weights(df, column, decay_func, ascending=True, **kwargs):
     )
 )
 def decay_add(spark, d):
-    out = add_decay_weights(V.impressions_all(spark, d), C.CLICKED, arrays.exponential_decay_weights, lambda_factor=0.5)
+    out = decay.add_decay_weights(V.impressions_all(spark, d), C.CLICKED, arrays.exponential_decay_weights, lambda_factor=0.5)
     weights = f"{C.CLICKED}_weights"
     return out.select(C.IMPRESSION_ID, F.size(weights).alias("n"), F.round(arrays.array_sum(weights), 9).alias("total"))
 
@@ -246,9 +240,9 @@ def decay_add(spark, d):
 )
 def decay_apply(spark, d):
     cells = mapping.map_list_article_id_to_value(V.inview(spark, d).select(C.IMPRESSION_ID, C.INVIEW), C.INVIEW, V.vectors(spark, d))
-    weighted = add_decay_weights(cells, C.INVIEW, arrays.linear_decay_weights)
-    scaled = weighted.withColumn("scaled", arrays.weighted_vectors(C.INVIEW, f"{C.INVIEW}_weights"))
-    rows = scaled.select(C.IMPRESSION_ID, F.posexplode("scaled").alias("pos", "v"))
+    weighted = decay.add_decay_weights(cells, C.INVIEW)
+    scaled = decay.decay_weighting_nested_lists(weighted, C.INVIEW, f"{C.INVIEW}_weights")
+    rows = scaled.select(C.IMPRESSION_ID, F.posexplode(C.INVIEW).alias("pos", "v"))
     at = lambda i: F.round(F.get("v", F.lit(i)), 6)
     return rows.select(C.IMPRESSION_ID, "pos", at(0).alias("v0"), at(63).alias("v63"))
 
@@ -270,10 +264,8 @@ def chunk_list(spark, d):
 def gather_repeat(spark, d):
     """Each gathered vector once per candidate of its impression."""
     rows = V.inview(spark, d).select(C.IMPRESSION_ID, F.size(C.INVIEW).alias("n"), F.posexplode(C.INVIEW).alias("pos", C.ARTICLE_ID))
-    first = V.vectors(spark, d).select(C.ARTICLE_ID, F.get("vector", F.lit(0)).alias("v0"))
-    found = lookup_join(rows, first, C.ARTICLE_ID, "left", spread=[C.IMPRESSION_ID, "pos"])
-    repeated = found.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return repeated.select(C.IMPRESSION_ID, "pos", "copy", F.round(F.coalesce("v0", F.lit(0.0)), 6).alias("v0"))
+    out = mapping.repeat_vectors(rows, C.ARTICLE_ID, V.vectors(spark, d), "n", spread=[C.IMPRESSION_ID, "pos"])
+    return out.select(C.IMPRESSION_ID, "pos", "copy", F.round(F.get("vector", F.lit(0)), 6).alias("v0"))
 
 
 @query(

@@ -7,7 +7,7 @@ from gazette import columns as C
 from gazette.functions import arrays, text as X
 from gazette.operators import checks, filters, history, labels, mapping, sampling, scoring, text as T
 from gazette.sources import files
-from gazette.workload.explore import add_decay_weights
+from gazette.operators.decay import add_decay_weights, decay_weighting_nested_lists
 
 
 def values(df, column, key="k"):
@@ -99,7 +99,7 @@ def test_decay(spark):
     df = frame(spark, "h array<array<double>>", ([[1.0]] * 4,), ([[1.0, 1.0]] * 2,), ([[1.0], None],), (None,))
     weighted = add_decay_weights(df, "h", arrays.linear_decay_weights)
     assert values(weighted, "h_weights")[1:] == [[0.5, 1.0], [0.5, 1.0], []]
-    scaled = weighted.withColumn("h", arrays.weighted_vectors("h", "h_weights"))
+    scaled = decay_weighting_nested_lists(weighted, "h", "h_weights")
     assert values(scaled, "h") == [[[0.25], [0.5], [0.75], [1.0]], [[0.5, 0.5], [1.0, 1.0]], [[0.5], [None]], None]
 
 
