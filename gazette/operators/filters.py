@@ -6,6 +6,7 @@ from gazette import columns as C
 from gazette.functions.arrays import empty_to_null, field
 from gazette.plans.lists import gathered
 from gazette.plans.lookup import lookup_join
+from gazette.plans.store import materialise
 
 
 def _active(df: DataFrame, n, column: str) -> bool:
@@ -48,7 +49,7 @@ def filter_list_elements(df, column, ids, key=C.IMPRESSION_ID) -> DataFrame:
             column,
             empty_to_null(F.filter(column, lambda x: F.coalesce(F.array_contains(wanted, x), F.lit(False)))),
         )
-    table = ids.select(F.col(ids.columns[0]).alias("__wanted")).dropna().distinct()
+    table = _distinct_ids(ids, "__wanted")
     hits = field(F.filter("cells", lambda c: c["hit"]), "id")
     return gathered(df, [column], table, "__wanted", [], key).withColumn(column, empty_to_null(hits)).drop("cells")
 
@@ -60,8 +61,13 @@ def filter_elements(df, column, ids) -> DataFrame:
     ) else _flagged(df, column, ids, "__hit").withColumn(column, F.when(F.col("__hit"), F.col(column))).drop("__hit")
 
 
+def _distinct_ids(ids, name) -> DataFrame:
+    """The ids once each, stored: they are measured and then joined, but only worked out once."""
+    return materialise(ids.select(F.col(ids.columns[0]).alias(name)).dropna().distinct())
+
+
 def _flagged(df, column, ids, flag) -> DataFrame:
-    table = ids.select(F.col(ids.columns[0]).alias(column)).dropna().distinct().withColumn("__in", F.lit(True))
+    table = _distinct_ids(ids, column).withColumn("__in", F.lit(True))
     return (
         lookup_join(df, table, column, "left")
         .withColumn(flag, F.coalesce("__in", F.lit(False)))

@@ -31,6 +31,15 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
 
 
+def fits_broadcast(df: DataFrame, limit: int) -> bool:
+    """Whether the payload of ``df`` is at most ``limit`` bytes.
+
+    Rows are counted first, which a stored table answers from its footers, so that a table with
+    too many rows is never read to be measured.
+    """
+    return df.count() * 16 * len(df.columns) <= limit and measured_bytes(df) <= limit
+
+
 def lookup_join(
     df: DataFrame,
     lookup: DataFrame,
@@ -50,7 +59,7 @@ def lookup_join(
       salts taken from the ``spread`` columns, and only their lookup rows are repeated.
       Null keys match nothing and are always spread.
 
-    Measuring costs one pass over the table, so give a stored or cheaply derived one. Where it
+    Measuring costs a count and, for a small table, one pass, so give a stored or cheap one. Where it
     is itself the result of heavy work, ``broadcast_bytes=0`` skips the measurement: the join is
     planned as a shuffle, which adaptive execution still turns into a broadcast if the finished
     stage proves small. ``count_on`` names a cheaper frame with the same keys to count hot keys
@@ -58,7 +67,7 @@ def lookup_join(
     """
     broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    if broadcast_bytes and measured_bytes(lookup) <= broadcast_bytes:
+    if broadcast_bytes and fits_broadcast(lookup, broadcast_bytes):
         return df.join(F.broadcast(lookup), key, how)
 
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
