@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette import columns as C
-from gazette.operators import history, mapping, sampling
+from gazette.functions.arrays import linear_decay_weights
+from gazette.operators import history, mapping, sampling, scoring
 from gazette.plans import lookup
 from gazette.plans.store import materialise, scratch_folder
 from gazette.workload import views as V
@@ -104,3 +105,18 @@ def test_scratch_folder_comes_from_the_session(tmp_path):
     assert scratch_folder(_Session("local[2]")) == scratch_folder(_Session("local[2]"))
     with pytest.raises(RuntimeError):
         scratch_folder(_Session("yarn"))
+
+
+def test_embedding_scores_are_the_same_without_broadcast(spark):
+    log = spark.createDataFrame([(i, i % 4 if i % 3 else 0, [i % 5, 9]) for i in range(60)], "impression_id int, user_id int, article_ids_inview array<int>")
+    past = spark.createDataFrame([(0, [1, 2, 9]), (1, [3]), (2, [])], "user_id int, article_id_fixed array<int>")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "article_id int, vector array<double>")
+
+    def run(**options):
+        out = scoring.embedding_scores(log, past, vectors, linear_decay_weights, **options)
+        return {r[C.IMPRESSION_ID]: r["scores"] for r in out.collect()}
+
+    plain, salted = run(), run(broadcast_bytes=0, hot_rows=10)
+    # user 0: weights 1/3, 2/3 over items 1 and 2; item 9 has no vector and drops out with its weight
+    assert plain[3] == pytest.approx([3 * (1 / 3 + 4 / 3) + 1, 0.0]) and plain[2] == [0.0, 0.0]
+    assert plain.keys() == salted.keys() and all(plain[k] == pytest.approx(salted[k]) for k in plain)
