@@ -307,7 +307,6 @@ def contamination(
     )
 
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _ANY_CASE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -323,6 +322,34 @@ def cut_words(text: str, spans: list[dict]) -> str:
     return "".join(out) + text[last:]
 
 
+def cut_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the spans of ``found`` (rows of ``contamination``) cut out of their texts.
+
+    All columns stay. Rows without spans stay as they are; rows left without any word go. Rows of a
+    repeated id that do not have the same words are cut by their own spans only if their number of
+    words agrees; give unique ids where texts differ.
+    """
+    from gazette.llm.blocks import with_columns
+
+    spans = found.filter(F.size("spans") > 0).select(
+        F.col("id").alias("__id"), F.col("n_words").alias("__n"), F.col("spans").alias("__spans")
+    ).dropDuplicates(["__id", "__n"])
+    joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    text_at, n_at, spans_at = (joined.columns.index(c) for c in (text_col, "__n", "__spans"))
+
+    def cut(batch):
+        out, gone = [], []
+        for text, n, own in zip(*(batch.column(i).to_pylist() for i in (text_at, n_at, spans_at)), strict=True):
+            hit = bool(own) and text is not None and len(plain_words(text.encode())) == n
+            new = cut_words(text, own) if hit else text
+            out.append(new)
+            gone.append(hit and not plain_words(new.encode()))
+        return [pa.array(out, pa.string()), pa.array(gone, pa.bool_())]
+
+    done = with_columns(joined, "__text string, __gone boolean", cut).filter("NOT __gone")
+    return done.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 @query(
     sql=r"""
     WITH d AS (
