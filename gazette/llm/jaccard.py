@@ -149,11 +149,15 @@ def choose_matches(n: int, df: np.ndarray, percent: int, most: int = MOST_MATCHE
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """``token, node, n, level, matches``: a token is in the prefix for ``m`` matches from ``m = level`` on."""
+    """``token, node, n, own, rest, level, matches`` of every prefix token that others have.
+
+    A token is in the prefix for ``m`` matches from ``m = level`` on; ``own`` counts the tokens of the node
+    alone and ``rest`` those from this token to the end of the set.
+    """
 
     def run(batches):
         for b in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], [], []]
             for node, n, tokens in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 df = np.array([t["df"] for t in tokens], np.int64)
                 m, places = choose_matches(n, df, percent)
@@ -162,14 +166,15 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
                 out[0] += [t["token"] for t in tokens[:used]]
                 out[1] += [node] * used
                 out[2] += [n] * used
-                out[3] += level.tolist()
-                out[4] += [m] * used
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["token", "node", "n", "level", "matches"]
-            )
+                out[3] += [n - len(df)] * used
+                out[4] += range(len(df), len(df) - used, -1)
+                out[5] += level.tolist()
+                out[6] += [m] * used
+            names = ["token", "node", "n", "own", "rest", "level", "matches"]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=names)
 
-    return sets.select("node", "n", "tokens").mapInArrow(run, "token long, node long, n long, level int, matches int")
+    schema = "token long, node long, n long, own long, rest long, level long, matches long"
+    return sets.select("node", "n", "tokens").mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,8 +207,11 @@ def similar_links(sets: DataFrame, percent: int = PERCENT, stars: int = 2) -> tu
     links, labels = None, None
     for turn in range(stars):
         lists = _open_lists(postings, labels)
-        hub = F.min(F.struct("label", "node", "n")) if turn % 2 == 0 else F.max(F.struct("label", "node", "n"))
-        centres = lists.groupBy("token").agg(hub.alias("hub")).select("token", "hub.*").toDF("token", "hub_label", "a", "n_a")
+        # the least edited copy has the most links; then one from another component
+        hub = F.min(F.struct("own", "label", "node", "n")) if turn % 2 == 0 else F.max(F.struct("label", "own", "node", "n"))
+        centres = lists.groupBy("token").agg(hub.alias("hub")).select(
+            "token", F.col("hub.label").alias("hub_label"), F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a")
+        )
         pairs = (
             lists.join(centres, "token")
             .filter((F.col("label") != F.col("hub_label")) & _similar_size("n", "n_a", percent))
@@ -213,14 +221,17 @@ def similar_links(sets: DataFrame, percent: int = PERCENT, stars: int = 2) -> tu
         found = materialise(_verified(pairs, sets, percent))
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
-    lists = materialise(_open_lists(postings, labels).select("token", "node", "n", "level", "matches", "label"))
-    left = lists.toDF("token", "a", "n_a", "level_a", "m_a", "label_a")
-    right = lists.toDF("token", "b", "n_b", "level_b", "m_b", "label_b")
+    lists = materialise(_open_lists(postings, labels).select("token", "node", "n", "own", "rest", "level", "matches", "label"))
+    left = lists.toDF("token", "a", "n_a", "own_a", "rest_a", "level_a", "m_a", "label_a")
+    right = lists.toDF("token", "b", "n_b", "own_b", "rest_b", "level_b", "m_b", "label_b")
     need = F.least("m_a", "m_b")
+    # of the first ``need`` shared tokens of a linked pair, each has less than ``need`` shared ones before it
+    before = F.least(need - 1, F.expr("n_a - own_a - rest_a"), F.expr("n_b - own_b - rest_b"))
+    reach = (100 + percent) * (F.least("rest_a", "rest_b") + before) >= percent * (F.col("n_a") + F.col("n_b"))
     pairs = (
         left.join(right, "token")
         .filter((F.col("label_a") < F.col("label_b")) & _similar_size("n_a", "n_b", percent))
-        .filter((F.col("level_a") <= need) & (F.col("level_b") <= need))
+        .filter((F.col("level_a") <= need) & (F.col("level_b") <= need) & reach)
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.first(need).alias("need"))
         .filter("shared >= need")

@@ -20,7 +20,7 @@ from gazette.llm.hashing import crc32_remainder
 from gazette.llm.registry import query, table
 
 UNDETERMINED = "und"
-_KNOWN_GRAMS = 50_000  # rows of n-gram vectors that a worker keeps; others are bound again when met
+_KNOWN_GRAMS = 32_768  # rows of n-gram vectors that a worker keeps; others are bound again when met
 
 
 class Encoder:
@@ -30,7 +30,7 @@ class Encoder:
         self.dims, self.n, self.seed = dims, n, seed
         self.letters: dict[int, np.ndarray] = {}
         self.grams: dict[int, int] = {}
-        self.rows = np.zeros((1024, dims), np.float32)
+        self.rows = np.zeros((1024, dims), np.int8)
         self.kind = np.full(0x110000, -1, np.int32)  # code point -> lower-case letter, 0 for others
 
     def _letter(self, code: int) -> np.ndarray:
@@ -57,7 +57,7 @@ class Encoder:
                     self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                 self.rows[row] = self._bind(g)
             at[i] = row
-        return self.rows[at]
+        return self.rows[at].astype(np.float32)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams, as packed code points, and how often each occurs; none without a letter."""
@@ -81,8 +81,8 @@ class Encoder:
         if not len(grams):
             return None
         out = np.zeros(self.dims)
-        for at in range(0, len(grams), 8192):
-            out += counts[at : at + 8192].astype(np.float32) @ self._vectors(grams[at : at + 8192])
+        for at in range(0, len(grams), 2048):
+            out += counts[at : at + 2048].astype(np.float32) @ self._vectors(grams[at : at + 2048])
         return out
 
 
