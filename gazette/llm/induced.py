@@ -144,6 +144,8 @@ def suffixes_with_common(text: np.ndarray, cap: int = CAP, budget: int = 1 << 28
     leftmost = np.flatnonzero(small & ~np.concatenate([[True], small[:-1]]))
     if len(leftmost):
         leftmost = leftmost[_sorted_leftmost(text, small, leftmost)]
+    if len(text) < 1 << 31:
+        leftmost = leftmost.astype(np.int32)  # every other position is derived from these
     close = np.zeros(len(leftmost), np.uint8)
     close[1:] = _common(text, leftmost[:-1], leftmost[1:], cap)
     symbols = int(text.max()) + 1
@@ -207,10 +209,9 @@ def suffixes_with_common(text: np.ndarray, cap: int = CAP, budget: int = 1 << 28
             common[0] = 0
             yield leftmost[cuts[c] : cuts[c + 1]], common
 
-    large = induce(True, leftmost_of, ~small)
     flat = [
         (np.concatenate([p for p, _ in chunks]), np.concatenate([v for _, v in chunks])) if chunks else (np.empty(0, np.int64), np.empty(0, np.uint8))
-        for chunks in large
+        for chunks in induce(True, leftmost_of, ~small)
     ]
 
     def large_of(c):

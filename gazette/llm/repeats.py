@@ -30,9 +30,9 @@ from gazette.plans.store import materialise
 
 LENGTH = 100
 _GRAM = 32
-_RANGE_BYTES = 1 << 26  # text per range of gram hashes
-_SHARD_BYTES = 1 << 23  # segments per suffix-sorted shard
-_BLOCK_TEXT = 1 << 25
+_RANGE_BYTES = 1 << 25  # text per range of gram hashes
+_SHARD_BYTES = 1 << 21  # segments per suffix-sorted shard
+_BLOCK_TEXT = 1 << 24
 
 
 def _segments(parts: list[bytes], length: int):
