@@ -74,8 +74,8 @@ class MetricEvaluator:
     """Evaluate metrics on a frame with one impression per row.
 
     Each metric is an expression on the row's own lists, so the evaluation is one scan with a
-    partial aggregate. A metric that is null for a row (one-class AUC or log loss) is left out
-    of the mean; :meth:`evaluate` reports how many rows had such a null as ``n_skipped``, and
+    partial aggregate. A metric that is null or NaN for a row (one-class AUC or log loss, MRR and
+    nDCG without a click) is left out of the mean; :meth:`evaluate` reports how many rows had such a metric as ``n_skipped``, and
     ``strict`` raises instead.
     """
 
@@ -99,7 +99,9 @@ class MetricEvaluator:
 
     def evaluate(self) -> DataFrame:
         """One row: the mean of each metric, ``n_rows`` and ``n_skipped``."""
-        rows = self.per_impression().select(*[F.col(f"`{m.name}`") for m in self.metrics])
+        rows = self.per_impression().select(
+            *[F.nanvl(F.col(f"`{m.name}`").cast("double"), F.lit(None).cast("double")).alias(m.name) for m in self.metrics]
+        )
         undefined = F.lit(False)
         for m in self.metrics:
             undefined = undefined | F.col(f"`{m.name}`").isNull()

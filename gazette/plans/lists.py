@@ -24,7 +24,8 @@ def gathered(
 
     A cell holds ``(list, pos, id, hit, <value_cols>)``, where ``list`` is the index of the column
     in ``list_columns`` and ``hit`` tells whether the id is in ``lookup``. ``cells`` is empty for a
-    row whose lists are all null or empty. ``key`` must identify a row.
+    row whose lists are all null or empty. ``key`` must identify a row and ``id_col`` a row of ``lookup``;
+    where that is not so, the job fails instead of merging rows.
 
     One pass and one regrouping shuffle: the other columns ride on the first element of their row
     only, so nothing is joined back and no wide value is repeated. Each is carried by its own
@@ -60,6 +61,13 @@ def gathered(
         *[part for c in value_cols for part in (F.lit(c), F.col(f"__v_{c}"))],
     )
     cells = F.array_sort(F.collect_list(F.when(F.col("__place").isNotNull(), cell)))
-    return joined.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest], cells.alias("cells")).select(
+    # a second first element, or a place met twice, would merge rows or lengthen lists without a word
+    firsts = F.count_if(F.coalesce(F.col("__place"), F.lit(0)) == 0)
+    places = F.coalesce(F.max("__place") + 1, F.lit(0))
+    sound = F.when(
+        (firsts > 1) | (F.count("__place") > places),
+        F.raise_error(F.lit("the key does not identify a row, or the lookup table repeats an id")),
+    ).otherwise(cells)
+    return joined.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest], sound.alias("cells")).select(
         *df.columns, "cells"
     )

@@ -11,15 +11,33 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 2_000_000
 
 
+# Types of at most 8 bytes, and those of at most 16; any other is never taken to be small.
+_EIGHT_BYTES = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_FIXED = (*_EIGHT_BYTES, T.NullType, T.DayTimeIntervalType, T.YearMonthIntervalType)
+
+
+def _measurable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _measurable(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _measurable(dtype.keyType) and _measurable(dtype.valueType)
+    if isinstance(dtype, T.StructType):
+        return all(_measurable(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (*_FIXED, T.StringType, T.BinaryType))
+
+
 def _value_bytes(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(value), F.lit(0)) + 16
     if isinstance(dtype, T.ArrayType):
         inner = dtype.elementType
-        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+        if not isinstance(inner, _EIGHT_BYTES):
             each = F.transform(value, lambda x: _value_bytes(x, inner).cast("bigint"))
             return F.coalesce(F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0)) + 16
         return F.greatest(F.size(value), F.lit(0)) * 8 + 16
+    if isinstance(dtype, T.MapType):
+        sides = _value_bytes(F.map_keys(value), T.ArrayType(dtype.keyType)) + _value_bytes(F.map_values(value), T.ArrayType(dtype.valueType))
+        return F.coalesce(sides, F.lit(0)) + 16
     if isinstance(dtype, T.StructType):
         return reduce(add, [_value_bytes(value[f.name], f.dataType) for f in dtype.fields], F.lit(16))
     return F.lit(16)
@@ -34,9 +52,11 @@ def measured_bytes(df: DataFrame) -> int:
 def fits_broadcast(df: DataFrame, limit: int) -> bool:
     """Whether the payload of ``df`` is at most ``limit`` bytes.
 
-    Rows are counted first, which a stored table answers from its footers, so that a table with
+    A table with a type whose size is unknown never fits. Rows are counted first, which a stored table answers from its footers, so that a table with
     too many rows is never read to be measured.
     """
+    if not _measurable(df.schema):
+        return False
     return df.count() * 16 * len(df.columns) <= limit and measured_bytes(df) <= limit
 
 

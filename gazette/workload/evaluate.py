@@ -8,7 +8,7 @@ from gazette.operators import accuracy, beyond, describe, labels as L, mapping,
 from gazette.plans.numbering import row_index
 from gazette.plans.store import materialise
 from gazette.workload import views as V
-from gazette.workload.prepare import SEED, _sql_draws, small_articles
+from gazette.workload.prepare import SEED, _sql_draws
 from gazette.workload.registry import query
 from gazette.workload.views import as_text, sql_key, sql_text, with_views
 
@@ -53,7 +53,7 @@ def attach_flat_scores(spark, d):
 _INDEX = """
     idx AS (SELECT vec_id AS article_id, row_number() OVER (ORDER BY vec_id) AS idx FROM embeddings),
     hist AS (SELECT user_id, string_agg(coalesce(idx, 0)::VARCHAR, ',' ORDER BY nr) AS history
-             FROM past LEFT JOIN idx USING (article_id) WHERE back <= 50 GROUP BY 1),
+             FROM past LEFT JOIN idx USING (article_id) GROUP BY 1),
     shown AS (SELECT impression_id, user_id, unnest(article_ids_inview) AS id, unnest(range(len(article_ids_inview))) AS pos, article_ids_clicked AS c FROM impressions),
     cand AS (SELECT impression_id, user_id, pos, coalesce(idx, 0) AS idx, CASE WHEN list_contains(c, id) THEN 1 ELSE 0 END AS y
              FROM shown LEFT JOIN idx ON idx.article_id = id)"""
@@ -116,9 +116,9 @@ def examples_user(spark, d):
 @query(
     with_views(
         "impressions past articles",
-        """WITH known AS (SELECT * FROM articles WHERE size <= 25),
+        """WITH known AS (SELECT * FROM articles),
         h AS (SELECT user_id, string_agg(coalesce(title, '?'), ',' ORDER BY nr) AS title_history, string_agg(coalesce(category_str, '?'), ',' ORDER BY nr) AS category_history,
-              string_agg(coalesce(size, 0)::VARCHAR, ',' ORDER BY nr) AS size_history FROM past LEFT JOIN known USING (article_id) WHERE back <= 50 GROUP BY 1),
+              string_agg(coalesce(size, 0)::VARCHAR, ',' ORDER BY nr) AS size_history FROM past LEFT JOIN known USING (article_id) GROUP BY 1),
         shown AS (SELECT impression_id, user_id, unnest(article_ids_inview) AS article_id, unnest(range(len(article_ids_inview))) AS pos FROM impressions),
         v AS (SELECT impression_id, any_value(user_id) AS user_id, string_agg(coalesce(title, '?'), ',' ORDER BY pos) AS title_inview, string_agg(coalesce(category_str, '?'), ',' ORDER BY pos) AS category_inview,
               string_agg(coalesce(size, 0)::VARCHAR, ',' ORDER BY pos) AS size_inview FROM shown LEFT JOIN known USING (article_id) GROUP BY 1)
@@ -127,7 +127,7 @@ def examples_user(spark, d):
     )
 )
 def examples_multi(spark, d):
-    attributes = small_articles(spark, d).select(C.ARTICLE_ID, C.TITLE, F.col(C.CATEGORY_STR).alias("category"), "size")
+    attributes = V.articles(spark, d).select(C.ARTICLE_ID, C.TITLE, F.col(C.CATEGORY_STR).alias("category"), "size")
     out = L.attribute_examples(
         _labelled(spark, d), attributes, histories=_past(spark, d), unknown={C.TITLE: "?", "category": "?", "size": 0}
     )
@@ -183,7 +183,7 @@ def gather_vectors(spark, d):
     with_views(
         "impressions past vectors",
         """WITH heard AS (SELECT user_id, vector, row_number() OVER (PARTITION BY user_id ORDER BY nr) AS w
-                 FROM past JOIN vectors USING (article_id) WHERE back <= 50),
+                 FROM past JOIN vectors USING (article_id)),
         dims AS (SELECT user_id, dim, sum(vector[dim] * w) / sum(w) AS x FROM heard, (SELECT unnest(range(1, 65)) AS dim) GROUP BY ALL),
         taste AS (SELECT user_id, list(x ORDER BY dim) AS u FROM dims GROUP BY 1),
         shown AS (SELECT impression_id, user_id, unnest(article_ids_inview) AS article_id, unnest(range(len(article_ids_inview))) AS pos FROM impressions),
@@ -276,7 +276,7 @@ def candidate_check(spark, d):
         "inview counters",
         f"""WITH {_EXPLODED}, est AS (SELECT id, count(*) AS n FROM e GROUP BY 1),
         s AS (SELECT impression_id, pos, coalesce(total_pageviews, 0) AS c, coalesce(total_inviews, 0) AS i, coalesce(n, 0) AS n, coalesce(total_read_time, 0) AS r
-              FROM e LEFT JOIN (SELECT * FROM counters WHERE total_inviews >= 30) k ON k.article_id = e.id LEFT JOIN est USING (id))
+              FROM e LEFT JOIN counters k ON k.article_id = e.id LEFT JOIN est USING (id))
         SELECT impression_id, pos::INT AS pos,
             row_number() OVER (PARTITION BY impression_id ORDER BY c DESC, pos DESC)::INT AS clicked,
             row_number() OVER (PARTITION BY impression_id ORDER BY i DESC, pos DESC)::INT AS inview,
@@ -286,7 +286,7 @@ def candidate_check(spark, d):
 )
 def popularity_baselines(spark, d):
     log = V.inview(spark, d)
-    known = V.counters(spark, d).filter(F.col(C.TOTAL_INVIEWS) >= 30)
+    known = V.counters(spark, d)
     out = scoring.popularity_baselines(log, known, describe.inview_counts(log))
     names = dict(zip(scoring.POPULARITY_SCORES, ["clicked", "inview", "estimate", "read_time"]))
     zipped = F.arrays_zip(*[F.col(c).alias(n) for c, n in names.items()])
@@ -399,14 +399,13 @@ ALL_METRICS = [
 @query(
     with_views(
         "cells",
-        f"""WITH {_METRICS} SELECT round(avg(auc), 6) AS auc, round(avg(mrr), 6) AS mrr, round(avg(dcg5 / best5), 6) AS ndcg5, round(avg(dcg / best10), 6) AS ndcg10,
+        f"""WITH {_METRICS} SELECT round(avg(auc), 6) AS auc, round(avg(mrr), 6) AS mrr, round(avg(CASE WHEN np > 0 THEN dcg5 / best5 END), 6) AS ndcg5, round(avg(CASE WHEN np > 0 THEN dcg / best10 END), 6) AS ndcg10,
             round(avg(logloss), 6) AS logloss, round(avg(rmse), 6) AS rmse, round(avg(accuracy), 6) AS accuracy, round(avg(f1), 6) AS f1,
-            count(*) AS n_rows, count(*) FILTER (WHERE auc IS NULL) AS n_skipped FROM m WHERE np > 0""",
+            count(*) AS n_rows, count(*) FILTER (WHERE auc IS NULL) AS n_skipped FROM m""",
     )
 )
 def evaluate_all(spark, d):
-    clicked = V.scored(spark, d).filter(F.array_contains(C.LABELS, F.lit(1).cast("tinyint")))
-    out = accuracy.MetricEvaluator(clicked, ALL_METRICS).evaluate().withColumnsRenamed({"ndcg@5": "ndcg5", "ndcg@10": "ndcg10"})
+    out = accuracy.MetricEvaluator(V.scored(spark, d), ALL_METRICS).evaluate().withColumnsRenamed({"ndcg@5": "ndcg5", "ndcg@10": "ndcg10"})
     return out.withColumns(r6("auc", "mrr", "ndcg5", "ndcg10", "logloss", "rmse", "accuracy", "f1"))
 
 
@@ -504,23 +503,23 @@ def candidate_diversity(spark, d):
 @query(
     with_views(
         "inview articles",
-        f"WITH {_LISTED} SELECT category_str AS value, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM l JOIN articles USING (article_id) WHERE size <= 25 GROUP BY 1",
+        f"WITH {_LISTED} SELECT category_str AS value, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM l JOIN articles USING (article_id) GROUP BY 1",
     )
 )
 def distribution(spark, d):
-    out = beyond.distribution(_lists(spark, d), small_articles(spark, d), C.CATEGORY_STR)
+    out = beyond.distribution(_lists(spark, d), V.articles(spark, d), C.CATEGORY_STR)
     return out.withColumn("share", F.round("share", 9))
 
 
 @query(
     with_views(
         "inview articles",
-        f"""WITH {_LISTED}, v AS (SELECT unnest(subcategory) AS value FROM l JOIN articles USING (article_id) WHERE size <= 25)
+        f"""WITH {_LISTED}, v AS (SELECT unnest(subcategory) AS value FROM l JOIN articles USING (article_id))
         SELECT value, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM v GROUP BY 1""",
     )
 )
 def distribution_list(spark, d):
-    out = beyond.distribution(_lists(spark, d), small_articles(spark, d), C.SUBCATEGORY)
+    out = beyond.distribution(_lists(spark, d), V.articles(spark, d), C.SUBCATEGORY)
     return out.withColumn("share", F.round("share", 9))
 
 
@@ -537,12 +536,12 @@ def coverage(spark, d):
 @query(
     with_views(
         "inview articles",
-        f"""WITH {_LISTED}, s AS (SELECT list_id, avg(sentiment_score) AS x FROM l JOIN articles USING (article_id) WHERE size <= 25 GROUP BY 1)
+        f"""WITH {_LISTED}, s AS (SELECT list_id, avg(sentiment_score) AS x FROM l JOIN articles USING (article_id) GROUP BY 1)
         SELECT impression_id AS list_id, coalesce(round(x, 6), 'nan'::DOUBLE) AS sentiment FROM inview LEFT JOIN s ON list_id = impression_id""",
     )
 )
 def sentiment(spark, d):
-    return beyond.sentiment(_lists(spark, d), small_articles(spark, d)).withColumns(r6("sentiment"))
+    return beyond.sentiment(_lists(spark, d), V.articles(spark, d)).withColumns(r6("sentiment"))
 
 
 @query(
@@ -559,7 +558,7 @@ def candidate_sentiment(spark, d):
         "impressions past units",
         """WITH l AS (SELECT impression_id, user_id, unnest(article_ids_inview) AS article_id FROM impressions WHERE user_id IN (SELECT user_id FROM past)),
         r AS (SELECT impression_id, any_value(user_id) AS user_id, dim, sum(u[dim]) / count(*) AS x FROM l JOIN units USING (article_id), (SELECT unnest(range(1, 65)) AS dim) GROUP BY 1, 3),
-        h AS (SELECT user_id, dim, sum(u[dim]) / count(*) AS x FROM past JOIN units USING (article_id), (SELECT unnest(range(1, 65)) AS dim) WHERE back <= 50 GROUP BY 1, 2),
+        h AS (SELECT user_id, dim, sum(u[dim]) / count(*) AS x FROM past JOIN units USING (article_id), (SELECT unnest(range(1, 65)) AS dim) GROUP BY 1, 2),
         s AS (SELECT impression_id, 1 - sum(r.x * h.x) AS x FROM r JOIN h USING (user_id, dim) GROUP BY 1)
         SELECT DISTINCT l.impression_id AS list_id, coalesce(round(x, 6), 'nan'::DOUBLE) AS serendipity FROM l LEFT JOIN s USING (impression_id)""",
     )
@@ -636,7 +635,7 @@ _NAMED = f"""
         "past counters articles units",
         f"""WITH {_NAMED}, {_POPULARITY},
         v AS (SELECT list_name, list_id, dim, sum(u[dim]) AS s, count(*) AS n FROM named JOIN units USING (article_id), (SELECT unnest(range(1, 65)) AS dim) GROUP BY 1, 2, 3),
-        h AS (SELECT user_id, dim, sum(u[dim]) / count(*) AS x FROM past JOIN units USING (article_id), (SELECT unnest(range(1, 65)) AS dim) WHERE back <= 50 GROUP BY 1, 2),
+        h AS (SELECT user_id, dim, sum(u[dim]) / count(*) AS x FROM past JOIN units USING (article_id), (SELECT unnest(range(1, 65)) AS dim) GROUP BY 1, 2),
         per AS (SELECT list_name, 'diversity' AS metric, (any_value(n) * any_value(n) - sum(s * s)) / (any_value(n) * (any_value(n) - 1)) AS x FROM v GROUP BY list_name, list_id
                 UNION ALL SELECT list_name, 'sentiment', avg(s) FROM named JOIN pop USING (article_id) GROUP BY list_name, list_id
                 UNION ALL SELECT list_name, 'novelty', avg(-log2(p)) FROM named JOIN pop USING (article_id) GROUP BY list_name, list_id
@@ -663,7 +662,7 @@ def beyond_table(spark, d):
 @query(
     with_views(
         "inview counters articles past",
-        """WITH needed AS (SELECT article_id FROM counters WHERE total_inviews >= 35 UNION SELECT article_id FROM past WHERE back <= 50),
+        """WITH needed AS (SELECT article_id FROM counters UNION SELECT article_id FROM past),
         kept AS (SELECT article_id, title, coalesce(total_inviews, 1) AS total_inviews, coalesce(total_pageviews, 1) AS v
                  FROM articles LEFT JOIN counters USING (article_id) WHERE article_id IN (SELECT article_id FROM needed))
         SELECT article_id, title, total_inviews, v AS total_pageviews, round(v / (SELECT max(v) FROM kept), 6) AS total_pageviews_normalized_max,
@@ -672,7 +671,7 @@ def beyond_table(spark, d):
     )
 )
 def item_table(spark, d):
-    candidates = V.counters(spark, d).filter(F.col(C.TOTAL_INVIEWS) >= 35)
+    candidates = V.counters(spark, d)
     out = beyond.item_table(V.articles_full(spark, d), V.histories(spark, d), candidates, V.vectors(spark, d))
     scaled = [f"{C.TOTAL_PAGEVIEWS}_normalized_max", f"{C.TOTAL_PAGEVIEWS}_normalized_min_max"]
     out = out.withColumn("has_vector", F.col("vector").isNotNull()).withColumns(r6(*scaled))

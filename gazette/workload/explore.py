@@ -20,6 +20,10 @@ def r(digits, *names):
 # --- aggregates ----------------------------------------------------------------------------
 
 
+# All p_type values, the columns of the wide table.
+P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query(
     with_views(
         "impressions_all",
@@ -35,7 +39,7 @@ def time_range(spark, d):
     return describe.min_max_impression_time_behaviors(V.order_heads(spark, d))
 
 
-@query(with_views("past", "SELECT min(impression_time) AS min, max(impression_time) AS max FROM past WHERE back <= 50"))
+@query(with_views("past", "SELECT min(impression_time) AS min, max(impression_time) AS max FROM past"))
 def time_range_lists(spark, d):
     return describe.min_max_impression_time_history(V.histories(spark, d))
 
@@ -79,7 +83,7 @@ def category_share(spark, d):
         FROM (SELECT count(*) AS n_impressions, sum(len(article_ids_clicked))::BIGINT AS n_pos, sum(len(article_ids_inview) - len(article_ids_clicked))::BIGINT AS n_neg,
                 count(DISTINCT user_id) AS n_users, count(DISTINCT CASE WHEN len(article_ids_inview) > 6 THEN user_id END) AS n_sso_users,
                 count(DISTINCT CASE WHEN len(article_ids_clicked) > 2 THEN user_id END) AS n_subscribers FROM impressions),
-             (SELECT count(*) AS n_history FROM (SELECT DISTINCT user_id, impression_time FROM past WHERE back <= 50))""",
+             (SELECT count(*) AS n_history FROM (SELECT DISTINCT user_id, impression_time FROM past))""",
     )
 )
 def overview(spark, d):
@@ -127,7 +131,7 @@ def first_segment_share(spark, d):
     return out.withColumns(r(9, "share"))
 
 
-@query(with_views("past", "SELECT user_id, count(DISTINCT impression_time) AS n_times FROM past WHERE back <= 50 GROUP BY 1"))
+@query(with_views("past", "SELECT user_id, count(DISTINCT impression_time) AS n_times FROM past GROUP BY 1"))
 def history_interactions(spark, d):
     return describe.unique_history_times(V.histories(spark, d))
 
@@ -186,18 +190,17 @@ _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 @query(
     with_views(
         "inview articles",
-        """WITH l AS (SELECT len(article_ids_inview)::VARCHAR AS name, unnest(article_ids_inview) AS id FROM inview),
+        f"""WITH l AS (SELECT len(article_ids_inview)::VARCHAR AS name, unnest(article_ids_inview) AS id FROM inview),
         c AS (SELECT name, subcategory[1] AS value, count(*) AS n FROM l JOIN articles ON article_id = id GROUP BY 1, 2)
-        SELECT name, round(max(n) FILTER (WHERE value = 'ECONOMY') / sum(n), 9) AS ECONOMY, round(max(n) FILTER (WHERE value = 'LARGE') / sum(n), 9) AS LARGE,
-               round(max(n) FILTER (WHERE value = 'PROMO') / sum(n), 9) AS PROMO FROM c GROUP BY 1""",
+        SELECT name, {", ".join(f"round(max(n) FILTER (WHERE value = '{v}') / sum(n), 9) AS {v}" for v in P_TYPES)} FROM c GROUP BY 1""",
     )
 )
 def distribution_wide(spark, d):
     lists = V.inview(spark, d).select(F.size(C.INVIEW).cast("string").alias("name"), F.col(C.INVIEW).alias("items"))
     items = V.articles(spark, d).withColumn("type", F.get(C.SUBCATEGORY, F.lit(0)))
     shares = beyond.distribution(lists, items, "type", group=["name"])
-    wide = beyond.distribution_table(shares, "name", ["ECONOMY", "LARGE", "PROMO"])
-    return wide.withColumns(r(9, "ECONOMY", "LARGE", "PROMO"))
+    wide = beyond.distribution_table(shares, "name", P_TYPES)
+    return wide.withColumns(r(9, *P_TYPES))
 
 
 # --- decay, vectors, lists -----------------------------------------------------------------

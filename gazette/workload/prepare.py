@@ -29,7 +29,7 @@ def sql_tail(c, n):
 
 
 def small_articles(spark, d):
-    """Half of the catalogue, so that lists hold unknown ids too."""
+    """Half of the catalogue: the id set of the operators that keep or drop ids by a set."""
     return V.articles(spark, d).filter("size <= 25")
 
 
@@ -42,14 +42,14 @@ def small_articles(spark, d):
         f"""
         SELECT impression_id, i.user_id, len(article_ids_inview)::INT AS n_inview,
                CASE WHEN article_id_fixed IS NULL THEN NULL ELSE
-               {sql_text(f"list_concat(list_transform(range(greatest(60 - len(article_id_fixed), 0)), lambda x: 0::BIGINT), {sql_tail('article_id_fixed', 60)})")}
+               {sql_text(f"list_concat(list_transform(range(greatest(30 - len(article_id_fixed), 0)), lambda x: 0::BIGINT), {sql_tail('article_id_fixed', 30)})")}
                END AS history
         FROM impressions i LEFT JOIN histories h ON i.user_id = h.user_id""",
     )
 )
 def impressions_with_history(spark, d):
     past = V.histories(spark, d)
-    out = files.join_history(V.impressions(spark, d), past, history_size=60, padding=0)
+    out = files.join_history(V.impressions(spark, d), past, history_size=30, padding=0)
     return out.select(C.IMPRESSION_ID, C.USER, F.size(C.INVIEW).alias("n_inview"), as_text(C.HISTORY_IDS).alias("history"))
 
 
@@ -225,11 +225,11 @@ def frontpage_share(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT l_partkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem WHERE l_quantity > 49 GROUP BY 1)
+    """WITH c AS (SELECT l_partkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
        SELECT p_partkey AS article_id, coalesce(n, 1) AS total_inviews, coalesce(r, 1) AS total_pageviews FROM part LEFT JOIN c ON p_partkey = l_partkey"""
 )
 def fill_defaults(spark, d):
-    lines = V.table(spark, d, "lineitem").filter("l_quantity > 49")
+    lines = V.table(spark, d, "lineitem")
     counted = lines.groupBy(F.col("l_partkey").alias(C.ARTICLE_ID)).agg(
         F.count("*").alias(C.TOTAL_INVIEWS), F.count_if(F.col("l_returnflag") == "R").alias(C.TOTAL_PAGEVIEWS)
     )
@@ -260,12 +260,12 @@ def working_set(spark, d):
 @query(
     with_views(
         "histories",
-        f"""SELECT o_orderkey AS impression_id, CASE WHEN article_id_fixed IS NOT NULL THEN {sql_text('article_id_fixed')} END AS history
+        f"""SELECT o_orderkey AS impression_id, CASE WHEN article_id_fixed IS NOT NULL THEN {sql_text(sql_tail('article_id_fixed', 50))} END AS history
             FROM orders LEFT JOIN histories ON o_custkey = user_id""",
     )
 )
 def join_history(spark, d):
-    out = files.join_history(V.order_heads(spark, d), V.histories(spark, d), history_size=V.HISTORY_LIMIT, padding=None)
+    out = files.join_history(V.order_heads(spark, d), V.histories(spark, d), history_size=50, padding=None)
     return out.select(C.IMPRESSION_ID, as_text(C.HISTORY_IDS).alias("history"))
 
 
@@ -273,11 +273,11 @@ _MAPPED = """
     mapped AS (
         SELECT e.impression_id, e.pos, a.category_str AS v
         FROM (SELECT impression_id, unnest(article_ids_inview) AS id, unnest(range(len(article_ids_inview))) AS pos FROM impressions_all) e
-        LEFT JOIN (SELECT * FROM articles WHERE size <= 25) a ON a.article_id = e.id)"""
+        LEFT JOIN articles a ON a.article_id = e.id)"""
 
 
 def _mapped(spark, d, **options):
-    mapping_df = mapping.create_article_id_to_value_mapping(small_articles(spark, d), C.CATEGORY_STR)
+    mapping_df = mapping.create_article_id_to_value_mapping(V.articles(spark, d), C.CATEGORY_STR)
     out = mapping.map_list_article_id_to_value(V.impressions_all(spark, d), C.INVIEW, mapping_df, **options)
     return out.select(C.IMPRESSION_ID, as_text(C.INVIEW).alias("mapped"))
 
@@ -320,25 +320,24 @@ def map_list_null(spark, d):
         "inview counters",
         """WITH e AS (SELECT impression_id, unnest(article_ids_inview) AS id, unnest(range(len(article_ids_inview))) AS pos FROM inview)
         SELECT impression_id, pos::INT AS pos, coalesce(total_pageviews, 0)::DOUBLE AS score
-        FROM e LEFT JOIN (SELECT * FROM counters WHERE total_inviews >= 30) c ON c.article_id = id""",
+        FROM e LEFT JOIN counters c ON c.article_id = id""",
     )
 )
 def score_lookup(spark, d):
-    scores = V.counters(spark, d).filter(F.col(C.TOTAL_INVIEWS) >= 30).select(C.ARTICLE_ID, F.col(C.TOTAL_PAGEVIEWS).alias("score"))
+    scores = V.counters(spark, d).select(C.ARTICLE_ID, F.col(C.TOTAL_PAGEVIEWS).alias("score"))
     out = mapping.score_lists(V.inview(spark, d), materialise(scores))
     return out.select(C.IMPRESSION_ID, F.posexplode("score").alias("pos", "score"))
 
 
 @query(
-    """SELECT p_partkey AS article_id, CASE WHEN p_size <= 25 AND g.n > 0 THEN upper(p_brand) ELSE 'MSC' END AS coarse
-       FROM part JOIN (SELECT p_brand AS b, count(*) FILTER (WHERE p_type = 'PROMO' AND p_size > 40) AS n FROM part GROUP BY 1) g ON b = p_brand
-       WHERE p_size <= 25"""
+    """SELECT p_partkey AS article_id, CASE WHEN g.n > 0 THEN upper(p_brand) ELSE 'MSC' END AS coarse
+       FROM part JOIN (SELECT p_brand AS b, count(*) FILTER (WHERE p_type = 'PROMO' AND p_size > 40) AS n FROM part GROUP BY 1) g ON b = p_brand"""
 )
 def category_map(spark, d):
     catalogue = V.articles(spark, d)
     promoted = catalogue.filter((F.get(C.SUBCATEGORY, F.lit(0)) == "PROMO") & (F.col("size") > 40))
     coarse = promoted.select(C.CATEGORY_STR).distinct().withColumn("coarse", F.upper(C.CATEGORY_STR))
-    return mapping.map_column(small_articles(spark, d), C.CATEGORY_STR, coarse, default="MSC", out="coarse").select(C.ARTICLE_ID, "coarse")
+    return mapping.map_column(V.articles(spark, d), C.CATEGORY_STR, coarse, default="MSC", out="coarse").select(C.ARTICLE_ID, "coarse")
 
 
 @query(
@@ -355,12 +354,12 @@ def mapping_table(spark, d):
     with_views(
         "inview articles",
         """WITH e AS (SELECT impression_id, unnest(article_ids_inview) AS id, unnest(range(len(article_ids_inview))) AS pos FROM inview)
-        SELECT impression_id, pos::INT AS pos, article_id, title FROM e JOIN articles ON article_id = id WHERE size <= 25""",
+        SELECT impression_id, pos::INT AS pos, article_id, title FROM e JOIN articles ON article_id = id""",
     )
 )
 def known_items(spark, d):
     out = mapping.known_items(
-        V.inview(spark, d), small_articles(spark, d), C.IMPRESSION_ID, C.INVIEW, C.ARTICLE_ID, columns=[C.TITLE]
+        V.inview(spark, d), V.articles(spark, d), C.IMPRESSION_ID, C.INVIEW, C.ARTICLE_ID, columns=[C.TITLE]
     )
     return out.select(C.IMPRESSION_ID, "pos", C.ARTICLE_ID, C.TITLE)
 

@@ -9,7 +9,6 @@ from gazette.plans.store import materialise
 
 # Fixed values of the views.
 READ_EVENTS = ("view", "click", "purchase")
-HISTORY_LIMIT = 50
 FAR_FUTURE = "2100-01-01"
 
 
@@ -83,7 +82,7 @@ def clicks(spark, sf_dir) -> DataFrame:
 
 
 def histories(spark, sf_dir) -> DataFrame:
-    """Per user: the last articles read with their times and read times.
+    """Per user: all articles read with their times and read times; queries cut by their own sizes.
 
     A stored table, as it is in the data model: queries measure it and read it more than once.
     """
@@ -91,7 +90,7 @@ def histories(spark, sf_dir) -> DataFrame:
         fixed_histories(
             clicks(spark, sf_dir),
             F.lit(FAR_FUTURE).cast("timestamp_ntz"),
-            HISTORY_LIMIT,
+            None,
             [C.ARTICLE_ID, C.IMPRESSION_TIME, C.READ_TIME],
             [C.HISTORY_IDS, C.HISTORY_TIMES, C.HISTORY_READ_TIMES],
             tie_cols=["event_id"],
@@ -179,7 +178,7 @@ SQL_VIEWS = {
         SELECT user_id, list(article_id ORDER BY nr) AS article_id_fixed,
                list(impression_time ORDER BY nr) AS impression_time_fixed,
                list(read_time ORDER BY nr) AS read_time_fixed
-        FROM past WHERE back <= 50 GROUP BY user_id""",
+        FROM past GROUP BY user_id""",
     "articles": """
         SELECT p_partkey AS article_id, p_name AS title, p_brand AS category_str, [p_type, p_brand] AS subcategory,
                p_size / 50 AS sentiment_score, p_size AS size FROM part""",

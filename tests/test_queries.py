@@ -6,8 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from gazette.workload import QUERIES, SQL
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
 # the only query that runs Python in its tasks: scoring with a user's model
 PYTHON = {"batch_score"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -49,5 +49,9 @@ def test_query(spark, duck, small, name):
         assert normal(rows, df.columns) == normal(answer.fetchall(), names)
 
 
+def test_registered():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 1

@@ -120,3 +120,32 @@ def test_embedding_scores_are_the_same_without_broadcast(spark):
     # user 0: weights 1/3, 2/3 over items 1 and 2; item 9 has no vector and drops out with its weight
     assert plain[3] == pytest.approx([3 * (1 / 3 + 4 / 3) + 1, 0.0]) and plain[2] == [0.0, 0.0]
     assert plain.keys() == salted.keys() and all(plain[k] == pytest.approx(salted[k]) for k in plain)
+
+
+def test_repeated_keys_and_ids_fail(spark):
+    from gazette.plans.lists import gathered
+
+    lookup = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string")
+    rows = spark.createDataFrame([(1, [1, 2]), (2, [2])], "k int, ids array<int>")
+    repeated = spark.createDataFrame([(1, [1]), (1, [2]), (None, [1]), (None, [2])], "k int, ids array<int>")
+    for limit in (None, 0):
+        assert gathered(rows, ["ids"], lookup, "id", ["v"], key="k", broadcast_bytes=limit).count() == 2
+        for df, table in ((repeated, lookup), (rows, twice)):
+            with pytest.raises(Exception, match="does not identify a row"):
+                gathered(df, ["ids"], table, "id", ["v"], key="k", broadcast_bytes=limit).collect()
+
+
+def test_wide_maps_are_measured(spark):
+    from gazette.plans.lookup import fits_broadcast
+
+    wide = spark.range(10).selectExpr("id", "map_from_arrays(sequence(1, 100000), sequence(1, 100000)) AS m")
+    assert not fits_broadcast(wide, 1 << 20)
+    assert fits_broadcast(spark.range(10).selectExpr("id", "map(1, 2) AS m"), 1 << 20)
+
+
+def test_histories_are_whole(spark, small):
+    from gazette.workload import views as V
+
+    read = V.clicks(spark, small).filter("article_id IS NOT NULL").count()
+    assert V.histories(spark, small).selectExpr("sum(size(article_id_fixed))").first()[0] == read
