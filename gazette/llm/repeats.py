@@ -192,7 +192,7 @@ def _sorted_repeats(length: int):
         by = np.lexsort((at, owner))
         owner, at = owner[by], at[by]
         first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)])
-        last = np.append(first[1:], len(at)) - 1
+        last = np.append(first[1:], len(at))[: len(first)] - 1
         return pa.table({"id": ids[owner[first]], "start": at[first], "end": at[last] + length})
 
     return run
