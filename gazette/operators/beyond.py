@@ -217,21 +217,23 @@ def index_of_dispersion(df, column, group=()) -> DataFrame:
 
 
 def candidate_diversity(
-    candidates, items, vector_col, n, item_col=C.ARTICLE_ID, distance="cosine", max_number_combinations=20000, seed=None, **join_options
+    candidates, items, vector_col, n, item_col=C.ARTICLE_ID, distance="cosine", method="exact", n_samples=20000, seed=None, **join_options
 ) -> DataFrame:
     """Lowest and highest diversity of ``n`` candidates.
 
-    All combinations are tried while there are at most ``max_number_combinations``; beyond that,
-    as many random subsets are drawn instead.
+    ``exact`` tries all combinations, whatever their number; ``sampled`` draws ``n_samples`` random
+    subsets and gives bounds over those. Which one runs never depends on the size of the input.
     """
+    if method not in ("exact", "sampled"):
+        raise ValueError(f"method is exact or sampled, not {method}")
     known = candidates.select(item_col).join(items.select(item_col), item_col, "left_semi")
     indexed = row_index(known, [item_col], "__nr")
     total = indexed.count()
     if n > total:
         raise ValueError(f"cannot recommend {n} of {total} candidates")
     spark = candidates.sparkSession
-    if math.comb(total, n) > max_number_combinations:
-        picks = spark.range(max_number_combinations).select(
+    if method == "sampled":
+        picks = spark.range(n_samples).select(
             F.col("id").alias("list_id"), distinct_draws(total, n, seed, "id").alias("picks")
         )
     else:
@@ -255,6 +257,8 @@ def _combinations(spark, total, n) -> DataFrame:
         upper = F.lit(total - n + place)
         choices = F.when(last + 1 <= upper, F.sequence(last + 1, upper)).otherwise(F.array().cast("array<int>"))
         grown = grown.select("picks", F.explode(choices).alias("i")).select(F.array_append("picks", F.col("i")).alias("picks"))
+        if place == 0:
+            grown = grown.repartition("picks")  # every first pick grows in a task of its own
     name = F.concat_ws("-", F.col("picks").cast("array<string>"))
     return grown.select(name.alias("list_id"), "picks")
 

@@ -496,7 +496,7 @@ def diversity_euclidean(spark, d):
 )
 def candidate_diversity(spark, d):
     items = V.vectors(spark, d)
-    out = beyond.candidate_diversity(V.articles(spark, d), items, "vector", 5, seed=SEED)
+    out = beyond.candidate_diversity(V.articles(spark, d), items, "vector", 5, method="sampled", seed=SEED)
     return out.withColumns(r6("min_diversity", "max_diversity"))
 
 

@@ -156,7 +156,7 @@ def test_distances_against_all_pairs(lists, items, distance):
 
 def test_candidate_bounds(candidates, items):
     assert tuple(B.candidate_diversity(candidates, items, "vec", 2).first()) == pytest.approx((0.0, 2.0))
-    low, high = B.candidate_diversity(candidates, items, "vec", 2, max_number_combinations=20, seed=1).first()
+    low, high = B.candidate_diversity(candidates, items, "vec", 2, method="sampled", n_samples=20, seed=1).first()
     assert 0 <= low <= high <= 2
     with pytest.raises(ValueError):
         B.candidate_diversity(candidates, items, "vec", 11)
