@@ -31,7 +31,7 @@ from gazette.plans.store import materialise
 LENGTH = 100
 _GRAM = 32
 _RANGE_BYTES = 1 << 25  # text per range of gram hashes
-_SHARD_BYTES = 1 << 21  # segments per suffix-sorted shard
+_SHARD_BYTES = 1 << 22  # segments per suffix-sorted shard
 _BLOCK_TEXT = 1 << 24
 
 
@@ -211,12 +211,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     places = found.groupBy("node").agg(F.collect_list("place").alias("places"))
     node = F.conv(F.substring("md5", 1, 16), 16, -10).cast("long")  # as the tasks read it: 8 bytes, signed
     wanted = firsts.select("id", "md5", node.alias("node")).join(places, "node").select("id", "md5", "places")
-    segments = materialise(_cut_segments(rows.join(wanted, ["id", "md5"]).dropDuplicates(["id"]), length))
+    segments = materialise(_cut_segments(rows.join(wanted, ["id", "md5"]).dropDuplicates(["id", "md5"]), length))
     total = segments.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
     bits = int(total // _SHARD_BYTES).bit_length()
     distinct = segments.groupBy("gram", "key").agg(F.min(F.struct("id", "start")).alias("at"), F.min("content").alias("content"))
     shards = distinct.select(F.shiftrightunsigned("gram", 64 - bits).alias("part") if bits else F.lit(0).cast("long").alias("part"), "content", "at.id", "at.start")
-    inside = shards.groupBy("part").applyInArrow(_sorted_repeats(length), "id long, start long, end long")
+    # as many tasks as shards: small shuffle partitions put together would sort them one after the other
+    dealt = shards.repartition(1 << bits, "part")
+    inside = dealt.groupBy("part").applyInArrow(_sorted_repeats(length), "id long, start long, end long")
     first_of = segments.groupBy("gram", "key").agg(F.min(F.struct("id", "start")).alias("at"))
     later = (
         segments.select("gram", "key", "id", "start", F.octet_length("content").cast("long").alias("size"))
