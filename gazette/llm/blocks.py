@@ -5,6 +5,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 
+_ROWS = 256
+
+
 def column(batch: pa.RecordBatch, name: str, kind=None) -> list:
     col = batch.column(batch.schema.get_field_index(name))
     return (col if kind is None else col.cast(kind)).to_pylist()
@@ -42,7 +45,7 @@ def shards(batches, name: str = "text", limit: int = 1 << 25):
 
 
 def with_columns(df: DataFrame, extra: str, fn) -> DataFrame:
-    """``df`` plus the columns of the schema ``extra``, made by ``fn(batch) -> list of arrays`` per Arrow batch.
+    """``df`` plus the columns of the schema ``extra``, made by ``fn(batch) -> list of arrays`` for a few rows at a time.
 
     ``fn`` reads columns by their place in ``df``. Columns of ``df`` with a name of ``extra`` are
     replaced; others pass unchanged, whatever their names.
@@ -53,7 +56,7 @@ def with_columns(df: DataFrame, extra: str, fn) -> DataFrame:
     plain = df.toDF(*[f"c{i}" for i in range(width)])
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             arrays = [pa.array(x) if not isinstance(x, pa.Array) else x for x in fn(b)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, *arrays], names=[*b.schema.names, *[f"x{i}" for i in range(len(arrays))]]

@@ -31,8 +31,9 @@ from gazette.plans.store import materialise
 LENGTH = 100
 _GRAM = 32
 _RANGE_BYTES = 1 << 25  # text per range of gram hashes
-_SHARD_BYTES = 1 << 22  # segments per suffix-sorted shard
+_SHARD_BYTES = 1 << 20  # segments per suffix-sorted shard
 _BLOCK_TEXT = 1 << 24
+_SLICE_BYTES = 1 << 18  # text hashed at a time: a few arrays of 8 bytes for each of its own
 
 
 def _segments(parts: list[bytes], length: int):
@@ -97,7 +98,7 @@ def _packed_grams(rows: DataFrame, length: int, bits: int) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for part in slices(batches):
+        for part in slices(batches, limit=_SLICE_BYTES):
             own = [t or b"" for t in texts(part)]
             text, _, _, place, grams = _segments(own, length)
             nodes = np.array([_digest(t) for t in own], np.int64)
@@ -147,7 +148,7 @@ def _cut_segments(candidates: DataFrame, length: int) -> DataFrame:
     """``gram, key, content, id, start`` of the segments at the given places (``id, text, places``)."""
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=_SLICE_BYTES):
             own = [t or b"" for t in texts(part)]
             text, start, count, place, grams = _segments(own, length)
             wanted = [np.array(p, np.int64) for p in column(part, "places")]
