@@ -22,14 +22,15 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, **options) -> DataFrame:
     """Write ``df`` once and read it back.
 
     The result has no lineage: losing an executor never recomputes it, and every
     later reader sees the very same rows, so values that depend on how rows were
-    partitioned are stable. Columnar files let later passes prune columns.
+    partitioned are stable. Columnar files let later passes prune columns. ``options`` are those of
+    the parquet writer.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/gazette-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
