@@ -102,7 +102,7 @@ def _packed_grams(rows: DataFrame, length: int, bits: int) -> DataFrame:
             own = [t or b"" for t in texts(part)]
             text, _, _, place, grams = _segments(own, length)
             nodes = np.array([_digest(t) for t in own], np.int64)
-            held.append((nodes, np.bincount(text, minlength=len(own)), grams, place))
+            held.append((nodes, np.bincount(text, minlength=len(own)), grams, place.astype(np.int32)))
             size += sum(map(len, own))
             if size >= _BLOCK_TEXT:
                 yield emit(held)
@@ -119,7 +119,7 @@ def _repeated_grams(group: pa.Table) -> pa.Table:
     nodes = np.concatenate([np.frombuffer(x, np.int64) for x in read["nodes"]])
     counts = np.concatenate([np.frombuffer(x, np.int32) for x in read["counts"]])
     grams = np.concatenate([np.frombuffer(x, np.uint64) for x in read["grams"]])
-    places = np.concatenate([np.frombuffer(x, np.int64) for x in read["places"]])
+    places = np.concatenate([np.frombuffer(x, np.int32) for x in read["places"]]).astype(np.int64)
     owner = np.repeat(nodes, counts)
 
     def in_groups(*columns):
@@ -212,7 +212,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     places = found.groupBy("node").agg(F.collect_list("place").alias("places"))
     node = F.conv(F.substring("md5", 1, 16), 16, -10).cast("long")  # as the tasks read it: 8 bytes, signed
     wanted = firsts.select("id", "md5", node.alias("node")).join(places, "node").select("id", "md5", "places")
-    segments = materialise(_cut_segments(rows.join(wanted, ["id", "md5"]).dropDuplicates(["id", "md5"]), length))
+    cut = _cut_segments(rows.join(wanted, ["id", "md5"]).dropDuplicates(["id", "md5"]), length)
+    segments = materialise(cut, compression="zstd")  # neighbouring segments overlap
     total = segments.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
     bits = int(total // _SHARD_BYTES).bit_length()
     distinct = segments.groupBy("gram", "key").agg(F.min(F.struct("id", "start")).alias("at"), F.min("content").alias("content"))
