@@ -143,8 +143,13 @@ def manhattan_distance(a, b) -> Column:
 DISTANCES = {"cosine": cosine_distance, "euclidean": euclidean_distance, "manhattan": manhattan_distance}
 
 
+def is_udf(function) -> bool:
+    """Whether a function is a Python UDF, which Spark cannot call inside a lambda."""
+    return hasattr(function, "evalType")
+
+
 def resolve_distance(distance):
-    """A named distance, or any ``(Column, Column) -> Column`` (an Arrow UDF fits too)."""
+    """A named distance, or any ``(Column, Column) -> Column``, a UDF of two array columns among them."""
     if callable(distance):
         return distance
     if distance not in DISTANCES:

@@ -15,15 +15,15 @@ def digest(seed, *parts) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *words))
 
 
-def as_integer(d: Column) -> Column:
-    """The leading 32 bits of a digest as a bigint."""
-    return F.conv(F.substring(d, 1, 8), 16, 10).cast("bigint")
+def as_integer(d: Column, digits: int = 15) -> Column:
+    """The leading hex digits of a digest as a bigint: 60 bits, enough for an even draw below any count of rows."""
+    return F.conv(F.substring(d, 1, digits), 16, 10).cast("bigint")
 
 
 def uniform_below(bound, seed, *parts) -> Column:
     """An integer in ``[0, bound)``; null when ``bound`` is 0."""
     bound = bound if isinstance(bound, Column) else F.lit(bound)
-    return F.try_mod(as_integer(digest(seed, *parts)), bound.cast("bigint")).cast("int")
+    return F.try_mod(as_integer(digest(seed, *parts)), bound.cast("bigint"))
 
 
 def shuffled(c, seed, *key) -> Column:
@@ -63,14 +63,14 @@ def distinct_draws(total, n: int, seed, *key) -> Column:
     ``total - n + j + 1``, and a value already taken is replaced by the largest allowed one.
     Null when ``n`` exceeds ``total``.
     """
-    total = total if isinstance(total, Column) else F.lit(total)
+    total = (total if isinstance(total, Column) else F.lit(total)).cast("bigint")
 
     def take(chosen, j):
-        top = total.cast("int") - n + j
+        top = total - n + j
         x = uniform_below(top + 1, seed, *key, j)
         return F.array_append(chosen, F.when(F.array_contains(chosen, x), top).otherwise(x))
 
     return F.when(
         total >= n,
-        F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<int>"), take),
+        F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<bigint>"), take),
     )

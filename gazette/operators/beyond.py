@@ -2,7 +2,7 @@
 
 Lists are rows ``(list_id, items)`` with an array of ids; the item table has one row per id.
 Ids missing from the item table are dropped first (coverage apart). Lists are exploded, joined
-to the item table once and folded back with map-side partial aggregates.
+to the item table once and folded back with map-side partial aggregates, in a single pass.
 """
 
 import math
@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gazette import columns as C
-from gazette.functions.arrays import array_sum, dot, resolve_distance, unit
+from gazette.functions.arrays import array_sum, dot, is_udf, resolve_distance, unit
 from gazette.functions.draws import distinct_draws
 from gazette.operators.mapping import known_items
 from gazette.operators.checks import require_columns
@@ -24,10 +24,18 @@ from gazette.plans.store import materialise
 NAN = float("nan")
 
 
-def _per_list(lists, folded, list_id, value):
-    """Attach a per-list value; lists without any known item get NaN."""
+def _listed(lists, table, columns, list_id, items_col, item_col, **join_options):
+    """One row per listed item with its looked-up columns, null where the item is unknown.
+
+    A list without items keeps one such row, so a fold by list has every list and none is joined back.
+    """
     keys = as_keys(list_id)
-    return lists.select(*keys).join(folded, keys, "left").select(*keys, F.coalesce(value, F.lit(NAN)).alias("value"))
+    rows = lists.select(*keys, F.posexplode_outer(items_col).alias("pos", item_col))
+    return lookup_join(rows, table.select(item_col, *columns), item_col, "left", spread=[*keys, "pos"], **join_options)
+
+
+def _or_nan(value):
+    return F.coalesce(value, F.lit(NAN))
 
 
 def _unit_items(items, vector_col, item_col):
@@ -40,6 +48,37 @@ def _vector_sum(c):
     return vector_to_array(Summarizer.sum(array_to_vector(F.col(c))))
 
 
+def _folded_units(lists, items, vector_col, list_id, items_col, item_col, **join_options):
+    """Per list: known items ``n``, the sum ``s`` of their unit vectors and the sum ``sq`` of its squared lengths."""
+    rows = _listed(lists, _unit_items(items, vector_col, item_col), ["__u", "__sq"], list_id, items_col, item_col, **join_options)
+    # the summarizer takes no nulls: an unknown item adds a vector of zeros
+    width = F.greatest(items.agg(F.max(F.size(vector_col))).scalar(), F.lit(1))
+    filled = rows.withColumn("__s", F.coalesce("__u", F.array_repeat(F.lit(0.0), width)))
+    return filled.groupBy(*as_keys(list_id)).agg(F.count("__u").alias("n"), F.sum("__sq").alias("sq"), _vector_sum("__s").alias("s"))
+
+
+def _folded_vectors(lists, items, vector_col, list_id, items_col, item_col, **join_options):
+    """Per list: the vectors ``vs`` of its known items."""
+    table = items.select(item_col, F.col(vector_col).cast("array<double>").alias("__v"))
+    rows = _listed(lists, table, ["__v"], list_id, items_col, item_col, **join_options)
+    return rows.groupBy(*as_keys(list_id)).agg(F.collect_list("__v").alias("vs"))
+
+
+def _with_total(df, keys, left, right, distance):
+    """``df`` with ``total``: the distances between all vectors of two of its list columns, added up.
+
+    Column functions run inside the row. A Python UDF cannot, so for one the pairs of each row are
+    unfolded for the call and added up again; its lists should be recommendation lists, not catalogues.
+    """
+    measure = resolve_distance(distance)
+    if not is_udf(distance):
+        total = F.transform(left, lambda a: array_sum(F.transform(right, lambda b: measure(a, b))))
+        return df.withColumn("total", array_sum(total))
+    pairs = df.select(*keys, right, F.explode(left).alias("__a")).select(*keys, "__a", F.explode(right).alias("__b"))
+    measured = pairs.select(*keys, measure(F.col("__a"), F.col("__b")).cast("double").alias("__d"))
+    return df.join(measured.groupBy(*keys).agg(F.sum("__d").alias("total")), keys, "left")
+
+
 def intralist_diversity(
     lists, items, vector_col, list_id="list_id", items_col="items", item_col=C.ARTICLE_ID, distance="cosine", name="diversity", **join_options
 ) -> DataFrame:
@@ -51,65 +90,48 @@ def intralist_diversity(
     """
     require_columns(items, [vector_col])
     keys = as_keys(list_id)
-    options = dict(list_id=list_id, items_col=items_col, item_col=item_col, **join_options)
+    n = F.col("n").cast("double")
     if distance == "cosine":
-        rows = known_items(lists, _unit_items(items, vector_col, item_col), columns=["__u", "__sq"], **options)
-        folded = rows.groupBy(*keys).agg(
-            F.count("*").cast("double").alias("n"), F.sum("__sq").alias("sq"), _vector_sum("__u").alias("s")
-        )
+        folded = _folded_units(lists, items, vector_col, list_id, items_col, item_col, **join_options)
         # a zero vector is at distance 1 from all others and 0 from itself
-        total = F.greatest((F.col("n") * F.col("n") - dot("s", "s")) - (F.col("n") - F.col("sq")), F.lit(0.0))
+        total = F.greatest((n * n - dot("s", "s")) - (n - F.col("sq")), F.lit(0.0))
     else:
-        measure = resolve_distance(distance)
-        vectors = items.filter(F.col(vector_col).isNotNull()).select(
-            item_col, F.col(vector_col).cast("array<double>").alias("__v")
-        )
-        rows = known_items(lists, vectors, columns=["__v"], **options)
-        folded = rows.groupBy(*keys).agg(
-            F.count("*").cast("double").alias("n"), F.collect_list("__v").alias("vs")
-        )
-        total = array_sum(F.transform("vs", lambda a: array_sum(F.transform("vs", lambda b: measure(a, b)))))
-    score = F.when(F.col("n") > 1, F.try_divide(total, F.col("n") * (F.col("n") - 1)))
-    return _per_list(lists, folded, list_id, score).withColumnRenamed("value", name)
+        vectors = _folded_vectors(lists, items, vector_col, list_id, items_col, item_col, **join_options)
+        folded = _with_total(vectors, keys, "vs", "vs", distance).withColumn("n", F.size("vs"))
+        total = F.col("total")
+    return folded.select(*keys, _or_nan(F.when(n > 1, F.try_divide(total, n * (n - 1)))).alias(name))
 
 
 def serendipity(
-    lists, histories, items, vector_col, list_id="list_id", items_col="items", history_col="history", item_col=C.ARTICLE_ID, distance="cosine", name="serendipity", **join_options
+    lists, histories, items, vector_col, list_id="list_id", items_col="items", history_col="history", item_col=C.ARTICLE_ID,
+    distance="cosine", name="serendipity", history_key=None, **join_options
 ) -> DataFrame:
-    """Mean distance between the items of a list and of the user's history; NaN if either is empty.
+    """Mean distance between the items of a list and of its history; NaN if either is empty or missing.
 
-    ``histories`` is keyed like ``lists``. For cosine the mean is one minus the dot product of the
-    two mean unit vectors, so each side is summed once and no pair is formed.
+    ``histories`` is keyed like ``lists``, or by ``history_key``, columns of both (the user, say): then
+    a history is read and folded once, however many lists refer to it. For cosine the mean is one minus
+    the dot product of the two mean unit vectors, so each side is summed once and no pair is formed.
     """
     keys = as_keys(list_id)
-    sides = lists.select(*keys, F.col(items_col).alias("__ids"), F.lit(0).alias("side")).unionByName(
-        histories.select(*keys, F.col(history_col).alias("__ids"), F.lit(1).alias("side"))
-    )
-    options = dict(list_id=[*keys, "side"], items_col="__ids", item_col=item_col, **join_options)
-
-    def side(i, c):
-        return F.max(F.when(F.col("side") == i, F.col(c)))
-
+    shared = as_keys(history_key) if history_key else keys
+    fold = _folded_units if distance == "cosine" else _folded_vectors
+    here = fold(lists, items, vector_col, [*keys, *(c for c in shared if c not in keys)], items_col, item_col, **join_options)
+    past = fold(histories, items, vector_col, shared, history_col, item_col, **join_options)
+    past = past.select(*shared, *[F.col(c).alias(f"past_{c}") for c in past.columns if c not in shared])
+    if history_key:
+        owner = F.struct(*shared).alias("__owner")
+        past = past.select(owner, *[c for c in past.columns if c not in shared])
+        # folded histories come out of a join of their own: shuffle them rather than compute them twice
+        options = {**join_options, "broadcast_bytes": 0, "count_on": lists.select(owner)}
+        both = lookup_join(here.withColumn("__owner", owner), past, "__owner", "left", spread=keys, **options)
+    else:
+        both = here.join(past, keys, "left")
     if distance == "cosine":
-        rows = known_items(sides, _unit_items(items, vector_col, item_col), columns=["__u"], **options)
-        sums = rows.groupBy(*keys, "side").agg(F.count("*").alias("n"), _vector_sum("__u").alias("s"))
-        both = sums.groupBy(*keys).agg(
-            side(0, "s").alias("r"), side(1, "s").alias("h"), side(0, "n").alias("nr"), side(1, "n").alias("nh")
-        )
-        score = 1 - F.try_divide(dot("r", "h"), F.col("nr") * F.col("nh"))
+        score = 1 - F.try_divide(dot("s", "past_s"), F.col("n") * F.col("past_n"))
     else:
-        measure = resolve_distance(distance)
-        vectors = items.filter(F.col(vector_col).isNotNull()).select(
-            item_col, F.col(vector_col).cast("array<double>").alias("__v")
-        )
-        rows = known_items(sides, vectors, columns=["__v"], **options)
-        both = rows.groupBy(*keys).agg(
-            F.collect_list(F.when(F.col("side") == 0, F.col("__v"))).alias("r"),
-            F.collect_list(F.when(F.col("side") == 1, F.col("__v"))).alias("h"),
-        )
-        total = array_sum(F.transform("r", lambda a: array_sum(F.transform("h", lambda b: measure(a, b)))))
-        score = F.try_divide(total, (F.size("r") * F.size("h")).cast("double"))
-    return _per_list(lists, both, list_id, score).withColumnRenamed("value", name)
+        both = _with_total(both, keys, "vs", "past_vs", distance)
+        score = F.try_divide(F.col("total"), (F.size("vs") * F.size("past_vs")).cast("double"))
+    return both.select(*keys, _or_nan(score).alias(name))
 
 
 def unmatched_lists(lists, histories, list_id="list_id") -> DataFrame:
@@ -122,10 +144,8 @@ def unmatched_lists(lists, histories, list_id="list_id") -> DataFrame:
 
 
 def _mean_over(lists, items, value, list_id, items_col, item_col, name, **join_options):
-    table = items.select(item_col, value.alias("__x")).filter("__x IS NOT NULL")
-    rows = known_items(lists, table, list_id, items_col, item_col, columns=["__x"], **join_options)
-    folded = rows.groupBy(*as_keys(list_id)).agg(F.avg("__x").alias("x"))
-    return _per_list(lists, folded, list_id, F.col("x")).withColumnRenamed("value", name)
+    rows = _listed(lists, items.select(item_col, value.alias("__x")), ["__x"], list_id, items_col, item_col, **join_options)
+    return rows.groupBy(*as_keys(list_id)).agg(_or_nan(F.avg("__x")).alias(name))
 
 
 def sentiment(lists, items, score_col=C.SENTIMENT_SCORE, list_id="list_id", items_col="items", item_col=C.ARTICLE_ID, name="sentiment", **join_options) -> DataFrame:

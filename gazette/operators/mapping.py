@@ -5,7 +5,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from gazette import columns as C
-from gazette.functions.arrays import col, empty_to_null, field
+from gazette.functions.arrays import col, empty_to_null, field, with_each
 from gazette.plans.lists import as_keys, gathered
 from gazette.plans.lookup import lookup_join
 
@@ -118,7 +118,7 @@ def gather_vectors(df, column, vectors, unknown="zeros", key=C.IMPRESSION_ID, ou
     id_col, vec_col = vectors.columns[:2]
     fallback = unknown_vector(vectors, unknown)
     wide = gathered(df, [column], vectors, id_col, [vec_col], key, **join_options)
-    cells = F.transform("cells", lambda c: F.coalesce(c[vec_col], F.col("__unknown")))
+    cells = with_each("cells", F.col("__unknown"), lambda c, other: F.coalesce(c[vec_col], other))
     return wide.withColumn("__unknown", fallback).withColumn(out or column, cells).drop("cells", "__unknown")
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from gazette import columns as C
 from gazette.functions.arrays import without
@@ -77,10 +77,12 @@ def shuffle_list_column(df, column, seed=None, key=C.IMPRESSION_ID) -> DataFrame
 def shuffle_rows(df, seed=None, key=None) -> DataFrame:
     """Rows in random order: a range sort on the digest of the key.
 
-    The source position is the last sort key, so copies of one row still spread over tasks.
+    Rows with one key follow a second digest of all their columns, so the order is the same for any
+    partitioning; only rows equal in every column tie, and those cannot be told apart.
     """
-    d = digest(_seed(seed), *(as_keys(key) if key else df.columns))
-    return df.orderBy(d, F.monotonically_increasing_id())
+    names = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    every = F.md5(F.to_json(F.struct(*names)))
+    return df.orderBy(digest(_seed(seed), *(as_keys(key) if key else [every])), every)
 
 
 def shuffled_index(df, seed, key=C.IMPRESSION_ID, name="row_nr", offset=0) -> DataFrame:

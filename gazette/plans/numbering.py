@@ -90,7 +90,9 @@ def digest_cut(df: DataFrame, digest: Column, n: Column) -> Column:
     """The digest of the ``n``-th row in digest order, as a scalar; null when ``n`` is 0.
 
     ``n`` is an expression over ``total`` (the row count). Only the bucket in which the
-    cut falls is sorted, so an exact split or sample shuffles 1/65,536 of the rows.
+    cut falls is counted by digest (combined on the map side) and sorted, so an exact split or sample
+    shuffles 1/65,536 of the rows. The job fails where the cut would fall between copies of one digest,
+    since no digest then separates exactly ``n`` rows.
     """
     digests = df.select(digest.alias("__digest")).withColumn("__part", _bucket(F.col("__digest")))
     sizes = digests.groupBy("__part").agg(F.count("*").alias("__n"))
@@ -107,11 +109,12 @@ def digest_cut(df: DataFrame, digest: Column, n: Column) -> Column:
         .filter((F.col("__rank") >= 1) & (F.col("__rank") <= F.col("__n")))
         .select("__part", "__rank")
     )
-    inside = Window.partitionBy("__part").orderBy("__digest")
+    counted = digests.join(F.broadcast(edge), "__part").groupBy("__part", "__rank", "__digest").agg(F.count("*").alias("__n"))
+    inside = Window.partitionBy("__part").orderBy("__digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    torn = F.raise_error(F.lit("the key does not identify a row: copies of one key lie on both sides of the cut"))
     return (
-        digests.join(F.broadcast(edge), "__part")
-        .withColumn("__nr", F.row_number().over(inside))
-        .filter(F.col("__nr") == F.col("__rank"))
-        .agg(F.max("__digest"))
+        counted.withColumn("__upto", F.sum("__n").over(inside))
+        .filter((F.col("__upto") >= F.col("__rank")) & (F.col("__upto") - F.col("__n") < F.col("__rank")))
+        .agg(F.max(F.when(F.col("__upto") == F.col("__rank"), F.col("__digest")).otherwise(torn)))
         .scalar()
     )

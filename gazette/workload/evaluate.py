@@ -444,12 +444,6 @@ def _lists(spark, d):
     return V.inview(spark, d).select(F.col(C.IMPRESSION_ID).alias("list_id"), F.col(C.INVIEW).alias("items"))
 
 
-def _past_lists(spark, d):
-    """Impressions of users with a history, next to it."""
-    log = V.impressions(spark, d).join(V.histories(spark, d).select(C.USER, C.HISTORY_IDS), C.USER)
-    return log.select(F.col(C.IMPRESSION_ID).alias("list_id"), F.col(C.INVIEW).alias("items"), F.col(C.HISTORY_IDS).alias("history"))
-
-
 _LISTED = "l AS (SELECT impression_id AS list_id, unnest(article_ids_inview) AS article_id FROM inview)"
 _POPULARITY = "pop AS (SELECT article_id, total_inviews / (SELECT max(total_inviews) FROM counters) AS p, size / 50 AS s FROM counters JOIN articles USING (article_id))"
 # the diversity of lists given as ``l(list_id, article_id)``
@@ -556,16 +550,18 @@ def candidate_sentiment(spark, d):
 @query(
     with_views(
         "impressions past units",
-        """WITH l AS (SELECT impression_id, user_id, unnest(article_ids_inview) AS article_id FROM impressions WHERE user_id IN (SELECT user_id FROM past)),
+        """WITH l AS (SELECT impression_id, user_id, unnest(article_ids_inview) AS article_id FROM impressions),
         r AS (SELECT impression_id, any_value(user_id) AS user_id, dim, sum(u[dim]) / count(*) AS x FROM l JOIN units USING (article_id), (SELECT unnest(range(1, 65)) AS dim) GROUP BY 1, 3),
         h AS (SELECT user_id, dim, sum(u[dim]) / count(*) AS x FROM past JOIN units USING (article_id), (SELECT unnest(range(1, 65)) AS dim) GROUP BY 1, 2),
         s AS (SELECT impression_id, 1 - sum(r.x * h.x) AS x FROM r JOIN h USING (user_id, dim) GROUP BY 1)
-        SELECT DISTINCT l.impression_id AS list_id, coalesce(round(x, 6), 'nan'::DOUBLE) AS serendipity FROM l LEFT JOIN s USING (impression_id)""",
+        SELECT impression_id AS list_id, coalesce(round(x, 6), 'nan'::DOUBLE) AS serendipity FROM impressions LEFT JOIN s USING (impression_id)""",
     )
 )
 def serendipity(spark, d):
-    log = _past_lists(spark, d)
-    return beyond.serendipity(log, log, V.vectors(spark, d), "vector").withColumns(r6("serendipity"))
+    lists = V.impressions(spark, d).select(F.col(C.IMPRESSION_ID).alias("list_id"), C.USER, F.col(C.INVIEW).alias("items"))
+    past = V.histories(spark, d).select(C.USER, F.col(C.HISTORY_IDS).alias("history"))
+    out = beyond.serendipity(lists, past, V.vectors(spark, d), "vector", history_key=C.USER)
+    return out.withColumns(r6("serendipity"))
 
 
 def _popular_items(spark, d):

@@ -581,7 +581,7 @@ def sample_list(spark, d):
 
 
 def _sql_int(digest_sql):
-    return f"CAST('0x' || substr({digest_sql}, 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr({digest_sql}, 1, 15) AS BIGINT)"
 
 
 @query(

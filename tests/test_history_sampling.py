@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.operators import history, sampling
 from gazette.plans.numbering import digest_index, row_index, running_total
-from gazette.functions.draws import digest
+from gazette.functions.draws import digest, distinct_draws
 
 DAY = lambda n: dt.datetime(2023, 2, n)
 ROWS = [
@@ -170,6 +170,29 @@ def test_random_candidates_are_distinct_and_even(spark):
         sampling.random_candidates(items, 9, 1, seed=4)
 
 
+def test_draws_reach_beyond_32_bits(spark):
+    total = 1 << 40
+    row = spark.range(200).select(distinct_draws(total, 3, 1, "id").alias("d")).collect()
+    drawn = [x for r in row for x in r["d"]]
+    assert all(0 <= x < total for x in drawn) and len(set(drawn)) == 600
+    assert 0.4 < sum(x >= total // 2 for x in drawn) / 600 < 0.6
+
+
+def test_exact_splits_need_keys_that_identify_rows(spark):
+    copies = spark.range(100).select((F.col("id") % 5).alias("k"))
+    whole, none = sampling.split_df_fraction(copies, 0.4, 1, key="k")
+    assert (whole.count(), none.count()) == (40, 60)
+    with pytest.raises(Exception, match="both sides of the cut"):
+        sampling.sample_rows(copies, n=10, seed=1, key="k").count()
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_row_order_does_not_depend_on_partitions(spark, parts):
+    df = spark.range(200).select((F.col("id") % 9).alias("k"), F.col("id").alias("v"))
+    once, again = (sampling.shuffle_rows(x, 3, "k").collect() for x in (df, df.repartition(parts)))
+    assert once == again and [r["v"] for r in once] != sorted(r["v"] for r in once)
+
+
 def test_user_mapping(spark):
     df = spark.createDataFrame([(5,), (3,), (5,), (None,)], "user_id int")
     assert sorted(map(tuple, sampling.create_user_id_to_int_mapping(df).collect())) == [(3, 0), (5, 1)]

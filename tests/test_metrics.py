@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import ranking
 from gazette.operators import accuracy as A, beyond as B, describe as D
+from gazette.workload import QUERIES
 
 NAN = float("nan")
 
@@ -154,6 +155,39 @@ def test_distances_against_all_pairs(lists, items, distance):
         assert got == pytest.approx(across, nan_ok=True, abs=1e-9)
 
 
+def test_python_distance(spark):
+    @F.udf("double")
+    def furthest(a, b):
+        return max(abs(x - y) for x, y in zip(a, b))
+
+    items = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 1.0]), (3, [0.0, 5.0])], "article_id long, v array<double>")
+    lists = spark.createDataFrame([(1, [1, 2, 3]), (2, [1, 9]), (3, None)], "list_id long, items array<long>")
+    got = {r[0]: r[1] for r in B.intralist_diversity(lists, items, "v", distance=furthest).collect()}
+    assert got[1] == pytest.approx((3 + 5 + 4) / 3) and math.isnan(got[2]) and math.isnan(got[3])
+    past = spark.createDataFrame([(1, [2]), (2, [3, 1])], "list_id long, history array<long>")
+    got = {r[0]: r[1] for r in B.serendipity(lists, past, items, "v", distance=furthest).collect()}
+    assert got[1] == pytest.approx((3 + 0 + 4) / 3) and got[2] == pytest.approx(2.5) and math.isnan(got[3])
+
+
+@pytest.mark.parametrize("distance", ["cosine", "manhattan"])
+def test_shared_histories(spark, distance):
+    items = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 1.0]), (3, [2.0, 5.0])], "article_id long, v array<double>")
+    lists = spark.createDataFrame([(1, 7, [1, 2]), (2, 7, [3]), (3, 8, [1]), (4, None, [2])], "list_id long, user_id long, items array<long>")
+    past = spark.createDataFrame([(7, [3, 2, 99])], "user_id long, history array<long>")
+    shared = B.serendipity(lists, past, items, "v", distance=distance, history_key="user_id").collect()
+    each = lists.join(past, "user_id", "left").select("list_id", "history")
+    copied = {r[0]: r[1] for r in B.serendipity(lists, each, items, "v", distance=distance).collect()}
+    got = {r[0]: r[1] for r in shared}
+    assert [got[i] for i in (1, 2)] == pytest.approx([copied[i] for i in (1, 2)])
+    assert len(shared) == 4 and math.isnan(got[3]) and math.isnan(got[4])
+
+
+def test_list_metrics_scan_the_lists_once(spark, small):
+    for name in ("diversity", "sentiment"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Relation" in x and "l_orderkey" in x for x in plan.splitlines()) == 1, name
+
+
 def test_candidate_bounds(candidates, items):
     assert tuple(B.candidate_diversity(candidates, items, "vec", 2).first()) == pytest.approx((0.0, 2.0))
     low, high = B.candidate_diversity(candidates, items, "vec", 2, method="sampled", n_samples=20, seed=1).first()
