@@ -5,10 +5,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from gazette import columns as C
-from gazette.functions.arrays import head_padded, named, unit, with_each
+from gazette.functions.arrays import field, head_padded, named, unit, with_each
 from gazette.functions.draws import as_integer, digest
 from gazette.functions.text import joined_text, list_text, words
-from gazette.plans.lists import as_keys, gathered
+from gazette.plans.lists import as_keys
+from gazette.plans.lookup import lookup_join
 from gazette.plans.numbering import row_index
 
 
@@ -33,17 +34,23 @@ def convert_text2encoding(df, vocab, column, name="vocab", max_length=None, key=
 
     With ``max_length`` lists are cut, before anything is joined, and filled with 0 on the right.
     Unknown tokens get ``unknown``, a null text null. The new column is ``<column>_encode_<name>``;
-    ``key`` must identify a row. One pass over the texts and one regrouping, nothing is joined back.
+    ``key`` must identify a row.
     """
+    keys = as_keys(key)
     out = f"{column}_encode_{name}"
     tokens = F.slice(words(column), 1, max_length) if max_length else words(column)
-    table = vocab.select("token", F.col("id").cast("bigint").alias("__v"))
-    wide = df.withColumn("__known", F.col(column).isNotNull()).withColumn("__tokens", tokens)
-    found = gathered(wide, ["__tokens"], table, "token", ["__v"], key, **join_options)
-    ids = F.transform("cells", lambda c: F.coalesce(c["__v"], F.lit(unknown).cast("bigint")))
+    rows = df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
+    table = vocab.select("token", F.col("id").cast("bigint").alias("__id"))
+    found = lookup_join(rows, table, "token", "left", spread=[*keys, "pos"], **join_options)
+    cell = F.struct("pos", F.coalesce("__id", F.lit(unknown).cast("bigint")).alias("id"))
+    lists = found.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("__c"))
+    ids = F.coalesce(field("__c", "id"), F.array().cast("array<bigint>"))
     if max_length:
         ids = head_padded(ids, max_length, 0)
-    return found.withColumn(out, F.when(F.col("__known"), ids)).select(*df.columns, out), out
+    # the text itself is not needed behind the join and drops out where the caller does not select it
+    marked = df.withColumn("__known", F.col(column).isNotNull())
+    encoded = marked.join(lists, keys, "left").withColumn(out, F.when(F.col("__known"), ids))
+    return encoded.select(*df.columns, out), out
 
 
 def hashed_embeddings(df, column, dim=256, out="embedding", key=C.ARTICLE_ID) -> DataFrame:
