@@ -54,8 +54,10 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 def _linked(nodes: DataFrame) -> DataFrame:
     """``node, parent, score``; a parent that is null, missing or the node itself makes a root."""
-    ids = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
-    return nodes.join(ids, "parent", "left").select(
+    ids = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"), F.lit(0).cast("long").alias("__spread"))
+    # null parents meet nothing; a second key keeps them out of one task
+    spread = nodes.withColumn("__spread", F.when(F.col("parent").isNull(), F.xxhash64("id")).otherwise(0))
+    return spread.join(ids, ["parent", "__spread"], "left").select(
         F.col("id").alias("node"),
         F.when(F.col("there") & (F.col("parent") != F.col("id")), F.col("parent")).alias("parent"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
@@ -101,8 +103,9 @@ def reply_paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     chosen = ranked if branches is None else ranked.filter(F.col("branch") <= branches)
     rows = materialise(chosen.select("root", F.col("node").alias("leaf"), "branch", "node", F.lit(0).cast("long").alias("above")))
     for k in range(len(links) - 1, -1, -1):
-        up = rows.join(links[k], "node").select("root", "leaf", "branch", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
-        rows = rows.unionByName(up)
+        # each row and the one 2**k steps above it, from a single read of the rows so far
+        both = F.array(F.struct("node", "above"), F.struct(F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above")))
+        rows = rows.join(links[k], "node", "left").select("root", "leaf", "branch", F.inline(both)).filter("node IS NOT NULL")
     return rows.select("root", "leaf", "branch", F.col("above"), F.col("node").alias("id"))
 
 
