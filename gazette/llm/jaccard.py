@@ -18,6 +18,7 @@ How the work is kept linear:
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gazette.llm.blocks import slices, texts
@@ -155,22 +156,25 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     alone and ``rest`` those from this token to the end of the set.
     """
 
+    def rows(part):
+        nodes, sizes, lists = (part.column(i) for i in range(3))
+        cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        flat = lists.flatten()
+        tokens, dfs = (flat.field(name).to_numpy() for name in ("token", "df"))
+        for i, (node, n) in enumerate(zip(nodes.to_pylist(), sizes.to_pylist(), strict=True)):
+            df = dfs[cuts[i] : cuts[i + 1]].astype(np.int64)
+            m, places = choose_matches(n, df, percent)
+            used = places[m - 1]
+            level = np.searchsorted(np.array(places[:m]), np.arange(used), side="right") + 1
+            same = [np.full(used, x, np.int64) for x in (node, n, n - len(df), m)]
+            rest = np.arange(len(df), len(df) - used, -1)
+            yield tokens[cuts[i] : cuts[i] + used], same[0], same[1], same[2], rest, level, same[3]
+
     def run(batches):
-        for b in batches:
-            out = [[], [], [], [], [], [], []]
-            for node, n, tokens in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                df = np.array([t["df"] for t in tokens], np.int64)
-                m, places = choose_matches(n, df, percent)
-                used = places[m - 1]
-                level = np.searchsorted(np.array(places[:m]), np.arange(used), side="right") + 1
-                out[0] += [t["token"] for t in tokens[:used]]
-                out[1] += [node] * used
-                out[2] += [n] * used
-                out[3] += [n - len(df)] * used
-                out[4] += range(len(df), len(df) - used, -1)
-                out[5] += level.tolist()
-                out[6] += [m] * used
-            names = ["token", "node", "n", "own", "rest", "level", "matches"]
+        names = ["token", "node", "n", "own", "rest", "level", "matches"]
+        # token lists stay in Arrow: as Python objects those of one batch took hundreds of MB
+        for part in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            out = [np.concatenate(x) for x in zip(*rows(part), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=names)
 
     schema = "token long, node long, n long, own long, rest long, level long, matches long"
