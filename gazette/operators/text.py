@@ -1,6 +1,6 @@
 """Text columns: concatenation, vocabularies, token ids and vectors."""
 
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -53,12 +53,16 @@ def convert_text2encoding(df, vocab, column, name="vocab", max_length=None, key=
     return encoded.select(*df.columns, out), out
 
 
-def hashed_embeddings(df, column, dim=256, out="embedding", key=C.ARTICLE_ID) -> DataFrame:
-    """A unit-length hashed bag of words per text, computed where the text lies."""
-    rows = df.select(*as_keys(key), words(F.coalesce(column, F.lit(""))).alias("__w"))
-    counted = HashingTF(inputCol="__w", outputCol="__tf", numFeatures=dim).transform(rows)
-    scaled = Normalizer(p=2.0, inputCol="__tf", outputCol="__v").transform(counted)
-    return scaled.select(*as_keys(key), vector_to_array("__v", "float32").alias(out))
+def hashed_embeddings(df, column, dim=256, out="embedding", key=C.ARTICLE_ID, seed=0, dtype="float32") -> DataFrame:
+    """A unit-length hashed bag of words per text, computed where the text lies.
+
+    A word adds one to the coordinate that its digest names.
+    """
+    place = F.transform(words(F.coalesce(column, F.lit(""))), lambda t: F.pmod(as_integer(digest(seed, t), 8), F.lit(dim)).cast("string"))
+    rows = df.select(*as_keys(key), place.alias("__w"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="__w", outputCol="__tf")
+    scaled = Normalizer(p=2.0, inputCol="__tf", outputCol="__v").transform(counter.transform(rows))
+    return scaled.select(*as_keys(key), vector_to_array("__v", dtype).alias(out))
 
 
 def encode_with(df, column, encoder, out="embedding", key=C.ARTICLE_ID) -> DataFrame:

@@ -416,9 +416,18 @@ def encode_text_padded(spark, d):
     return out.select(C.ARTICLE_ID, as_text(name).alias("ids"))
 
 
-@query()
+@query(
+    with_views(
+        "words",
+        """WITH placed AS (SELECT article_id, CAST('0x' || substr(md5('0:' || token), 1, 8) AS BIGINT) % 256 AS dim FROM words),
+        counts AS (SELECT article_id, dim, count(*)::DOUBLE AS n FROM placed GROUP BY 1, 2),
+        lengths AS (SELECT article_id, sqrt(sum(n * n)) AS len FROM counts GROUP BY 1)
+        SELECT article_id, dim::INT AS dim, round(n / len, 6) AS x FROM counts JOIN lengths USING (article_id)""",
+    )
+)
 def hash_embeddings(spark, d):
-    return T.hashed_embeddings(V.texts(spark, d), C.BODY, dim=256)
+    out = T.hashed_embeddings(V.texts(spark, d), C.BODY, dim=256, dtype="float64")
+    return out.select(C.ARTICLE_ID, F.posexplode("embedding").alias("dim", "x")).filter("x <> 0").withColumns(r(6, "x"))
 
 
 @query(
