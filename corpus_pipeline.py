@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gazette.llm.decontaminate import contamination, cut_spans
 from gazette.llm.jaccard import near_duplicate_groups
 from gazette.llm.language import UNDETERMINED, identify, learn_prototypes
-from gazette.llm.lines import drop_recurring_lines
+from gazette.llm.lines import drop_lines_across_copies
 from gazette.llm.packing import pack
 from gazette.plans.store import materialise
 
@@ -21,9 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without recurring lines; ``n_chars`` follows the text."""
-    kept = drop_recurring_lines(docs).select(*docs.columns)
-    return kept.withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without recurring lines, near copies counting as one document; ``n_chars`` follows the text."""
+    return drop_lines_across_copies(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

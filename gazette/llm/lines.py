@@ -6,7 +6,9 @@ have it there; any other becomes ``<*>``. What results is the line's template. A
 documents carry, and that is constant for the most part, is recurring.
 
 A document that consists of recurring lines for the most part is a copy of other documents rather
-than a carrier of boilerplate. Its lines stay, because copies are for document dedup to judge.
+than a carrier of boilerplate. Its lines stay, because copies are for document dedup to judge. That is the
+rule of ``drop_recurring_lines``, which SQL gives too. ``drop_lines_across_copies`` exempts nothing:
+near copies are found first and count as one document, and every document is judged line by line.
 
 Lines travel as hashes of leaf and masked tokens; only one carrier of each distinct line in a leaf with
 enough documents is read again for its tokens. Support is counted in distinct (document, line)
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gazette.llm.blocks import column, slices, texts
+from gazette.llm.jaccard import near_duplicate_groups
 from gazette.llm.registry import query, table
 from gazette.plans.store import materialise
 
@@ -101,6 +104,11 @@ def recurring_templates(rows: DataFrame, parsed: DataFrame, min_docs: int, min_c
         parsed.filter("id IS NOT NULL").groupBy("leaf", "line", "id").agg(F.min(F.struct("id", "h", "nr")).alias("rep"))
         .groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
     )
+    return _recurring(rows, per_line, min_docs, min_constant)
+
+
+def _recurring(rows: DataFrame, per_line: DataFrame, min_docs: int, min_constant: int) -> DataFrame:
+    """``recurring_templates`` from ``leaf, line, n, rep``: documents and a carrier of each distinct line."""
     leaves = per_line.groupBy("leaf").agg(F.sum("n").alias("__n")).filter(F.col("__n") >= min_docs).select("leaf")
     lines = materialise(_tokens_of(rows, per_line.join(leaves, "leaf")))
     cells = lines.select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token"))
@@ -168,6 +176,52 @@ def drop_recurring_lines(
     )
 
 
+def _carriers(parsed: DataFrame, copies: DataFrame) -> DataFrame:
+    """``parsed`` rows with an id once each, with ``copy_of``: the id that stands for all near copies of the document."""
+    once = parsed.filter("id IS NOT NULL").dropDuplicates(["id", "h", "nr"])
+    return once.join(copies, "id", "left").withColumn("copy_of", F.coalesce("copy_of", "id"))
+
+
+def _recurring_across_copies(rows: DataFrame, carriers: DataFrame, min_docs: int, min_constant: int) -> DataFrame:
+    """``leaf, line`` of every distinct line whose template recurs in documents that are not near copies."""
+    counted = carriers.select("leaf", "line", F.col("copy_of").alias("id"), F.struct("id", "h", "nr").alias("rep"))
+    per_line = (
+        counted.groupBy("leaf", "line", "id").agg(F.min("rep").alias("rep"))
+        .groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    )
+    return _recurring(rows, per_line, min_docs, min_constant).select("leaf", "line")
+
+
+def drop_lines_across_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    depth: int = DEPTH,
+    min_docs: int = MIN_DOCS,
+    min_constant: int = MIN_CONSTANT,
+) -> DataFrame:
+    """``docs`` with shorter texts; all rows and columns stay, and no document is exempt.
+
+    Near copies (components of ``jaccard.near_duplicate_groups``) count as one document, so lines that
+    only copies of one document share do not recur, and boilerplate goes from copies as from any
+    other text. Only documents with a line that recurs when each counts for itself are compared.
+    Null texts and texts with a null id stay as they are; blank lines are never dropped.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    named = rows.filter("id IS NOT NULL")
+    parsed = materialise(_parsed(rows, depth))
+    recurring = recurring_templates(named, parsed, min_docs, min_constant).select("leaf", "line")
+    suspects = materialise(parsed.filter("id IS NOT NULL").join(recurring, ["leaf", "line"], "left_semi").select("id").distinct())
+    groups = near_duplicate_groups(named.join(suspects, "id", "left_semi"), "id")
+    copies = materialise(groups.groupBy("id").agg(F.min("component_id").alias("copy_of")))
+    carriers = materialise(_carriers(parsed, copies))
+    hits = carriers.join(_recurring_across_copies(named, carriers, min_docs, min_constant), ["leaf", "line"], "left_semi")
+    found = hits.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("nr").alias("__at"))
+    joined = docs.withColumn("__key", F.xxhash64(text_col)).join(found, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
+    cut = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line, nr: ~F.array_contains(F.col("__at"), nr)), "\n")
+    return joined.select(*[F.when(F.col("__at").isNotNull(), cut).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 @query(
     sql=r"""
     WITH l AS (

@@ -164,6 +164,21 @@ def test_line_dedup_odd(spark, odd):
     assert lines.drop_recurring_lines(odd.limit(0)).count() == 0
 
 
+def test_lines_across_copies(spark):
+    def words(seed, n):
+        rng = random.Random(seed)
+        return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+    short = [f"{w} to the list of our {w}s today" for w in ("home", "sign", "mail")]  # in 12 different documents
+    rows = [(i, "\n".join([words(i, 60), short[i % 3], short[(i + 1) % 3]])) for i in range(40)]
+    rows += [(100, "\n".join(short))]  # made up of recurring lines, and a copy of nothing
+    own = [words(1000 + k, 12) for k in range(30)]
+    rows += [(200 + k, "\n".join([*own, short[0]]) + f"\nnumber {words(5000 + k, 1)}") for k in range(15)]  # near copies
+    got = {r.doc_id: r.text for r in lines.drop_lines_across_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "" and all(not any(x in t for x in short) for t in got.values())
+    assert all(all(x in got[200 + k] for x in own) for k in range(15)) and all(words(i, 60) in got[i] for i in range(40))
+
+
 def test_lm(spark, small, texts):
     def tokens(t):
         return [*(t or "").encode().lower().split(), None]
