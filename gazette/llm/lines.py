@@ -29,6 +29,8 @@ from gazette.plans.store import materialise
 DEPTH = 3
 MIN_DOCS = 10
 MIN_CONSTANT = 60
+LONG_TOKENS = 50
+LONG_DOCS = 2
 COPY_PERCENT = 80
 FIELD = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
@@ -48,12 +50,16 @@ def _hash(parts: list[bytes]) -> int:
     return ((zlib.crc32(data) << 32) | zlib.adler32(data[::-1] + b"%d" % zlib.crc32(data, 77))) - (1 << 63)
 
 
-def _parsed(rows: DataFrame, depth: int) -> DataFrame:
-    """``id, h, nr, chars, leaf, line`` of every line that is not blank."""
+def _parsed(rows: DataFrame, depth: int, long_tokens: int | None = None) -> DataFrame:
+    """``id, h, nr, chars, leaf, line`` of every line that is not blank.
+
+    With ``long_tokens`` also ``raw``, a hash of the unmasked tokens of lines with so many; others have null.
+    """
+    names = ["id", "h", "nr", "chars", "leaf", "line", *["raw"] * (long_tokens is not None)]
 
     def run(batches):
         for part in slices(batches):
-            ids, nr, chars, leaf, line = [], [], [], [], []
+            ids, nr, chars, leaf, line, full = [], [], [], [], [], []
             for i, text in enumerate(texts(part)):
                 for k, raw in enumerate(text.split(b"\n") if text is not None else ()):
                     tokens = masked(raw)
@@ -63,17 +69,20 @@ def _parsed(rows: DataFrame, depth: int) -> DataFrame:
                         chars.append(len(raw))
                         leaf.append(_hash([b"%d" % len(tokens), *tokens[:depth]]))
                         line.append(_hash(tokens))
+                        if long_tokens is not None:
+                            full.append(_hash(raw.split()) if len(tokens) >= long_tokens else None)
             at = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).take(at), part.column(1).take(at), pa.array(nr, pa.int32()),
                     pa.array(chars, pa.int64()), pa.array(leaf, pa.int64()), pa.array(line, pa.int64()),
+                    *[pa.array(full, pa.int64())] * (long_tokens is not None),
                 ],
-                names=["id", "h", "nr", "chars", "leaf", "line"],
+                names=names,
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, h long, nr int, chars long, leaf long, line long")
+    return rows.mapInArrow(run, ", ".join(f"{c} {kind if c == 'id' else 'int' if c == 'nr' else 'long'}" for c in names))
 
 
 def _tokens_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -107,16 +116,22 @@ def recurring_templates(rows: DataFrame, parsed: DataFrame, min_docs: int, min_c
     return _recurring(rows, per_line, min_docs, min_constant)
 
 
-def _recurring(rows: DataFrame, per_line: DataFrame, min_docs: int, min_constant: int) -> DataFrame:
-    """``recurring_templates`` from ``leaf, line, n, rep``: documents and a carrier of each distinct line."""
+def _recurring(rows: DataFrame, per_line: DataFrame, min_docs: int, min_constant: int, pairs: DataFrame | None = None) -> DataFrame:
+    """``recurring_templates`` from ``leaf, line, n, rep``: documents and a carrier of each distinct line.
+
+    With ``pairs`` (``leaf, line, id``) support is counted in distinct documents and ``n_docs`` left out,
+    else in (document, line) pairs.
+    """
     leaves = per_line.groupBy("leaf").agg(F.sum("n").alias("__n")).filter(F.col("__n") >= min_docs).select("leaf")
     lines = materialise(_tokens_of(rows, per_line.join(leaves, "leaf")))
     cells = lines.select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token"))
     field = FIELD.decode()
-    constant = (
-        cells.filter(F.col("token") != field).groupBy("leaf", "place", "token").agg(F.sum("n").alias("support"))
-        .filter(F.col("support") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("kept"))
-    )
+    at = ["leaf", "place", "token"]
+    if pairs is None:
+        constant = cells.filter(F.col("token") != field).groupBy(*at).agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
+    else:
+        constant = _with_support(cells.filter(F.col("token") != field), at, pairs, min_docs)
+    constant = constant.select(*at, F.lit(True).alias("kept"))
     slot = F.struct("place", F.when(F.col("kept"), F.col("token")).otherwise(field).alias("token"))
     templates = (
         cells.join(constant, ["leaf", "place", "token"], "left")
@@ -125,6 +140,8 @@ def _recurring(rows: DataFrame, per_line: DataFrame, min_docs: int, min_constant
         .filter(F.col("fixed") * 100 >= F.col("size") * min_constant)
         .select("leaf", "line", "n", F.concat_ws(" ", F.transform("slots", lambda s: s["token"])).alias("template"))
     )
+    if pairs is not None:
+        return templates.join(_with_support(templates, ["leaf", "template"], pairs, min_docs), ["leaf", "template"]).select("leaf", "line", "template")
     support = templates.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     return templates.join(support, ["leaf", "template"]).select("leaf", "line", "template", "n_docs")
 
@@ -182,14 +199,41 @@ def _carriers(parsed: DataFrame, copies: DataFrame) -> DataFrame:
     return once.join(copies, "id", "left").withColumn("copy_of", F.coalesce("copy_of", "id"))
 
 
+def _with_support(cells: DataFrame, keys: list[str], pairs: DataFrame, least: int) -> DataFrame:
+    """``keys`` of ``cells`` (``leaf, line, n`` and ``keys``) whose lines stand in ``least`` distinct documents together.
+
+    The largest and the sum of the lines' own counts settle most; only lines of keys in between are
+    joined with their documents (``pairs``: ``leaf, line, id``), so no line of them has ``least``.
+    """
+    bounds = cells.groupBy(*keys).agg(F.max("n").alias("most"), F.sum("n").alias("sum")).filter(F.col("sum") >= least)
+    counted = (
+        cells.join(bounds.filter(F.col("most") < least), keys, "left_semi").select("line", *keys).join(pairs, ["leaf", "line"])
+        .select(*keys, "id").distinct().groupBy(*keys).count().filter(F.col("count") >= least)
+    )
+    return bounds.filter(F.col("most") >= least).select(*keys).unionByName(counted.select(*keys))
+
+
 def _recurring_across_copies(rows: DataFrame, carriers: DataFrame, min_docs: int, min_constant: int) -> DataFrame:
     """``leaf, line`` of every distinct line whose template recurs in documents that are not near copies."""
     counted = carriers.select("leaf", "line", F.col("copy_of").alias("id"), F.struct("id", "h", "nr").alias("rep"))
-    per_line = (
-        counted.groupBy("leaf", "line", "id").agg(F.min("rep").alias("rep"))
-        .groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    pairs = materialise(counted.groupBy("leaf", "line", "id").agg(F.min("rep").alias("rep")))
+    per_line = pairs.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    return _recurring(rows, per_line, min_docs, min_constant, pairs.select("leaf", "line", "id")).select("leaf", "line")
+
+
+def _later_long_lines(carriers: DataFrame, long_docs: int) -> DataFrame:
+    """``id, h, nr`` of long lines that ``long_docs`` documents have word for word, but for those of one document.
+
+    That one is a document that near-copy removal keeps, if any has the line, and then has the smallest id;
+    its near copies keep the line with it.
+    """
+    long = carriers.filter("raw IS NOT NULL")
+    per_copy = long.groupBy("raw", "copy_of").agg(F.min(F.col("id") != F.col("copy_of")).alias("later"))
+    shared = (
+        per_copy.groupBy("raw").agg(F.count("*").alias("n"), F.min(F.struct("later", "copy_of")).alias("first"))
+        .filter(F.col("n") >= long_docs).select("raw", F.col("first.copy_of").alias("keeper"))
     )
-    return _recurring(rows, per_line, min_docs, min_constant).select("leaf", "line")
+    return long.join(shared, "raw").filter(F.col("copy_of") != F.col("keeper")).select("id", "h", "nr")
 
 
 def drop_lines_across_copies(
@@ -199,23 +243,33 @@ def drop_lines_across_copies(
     depth: int = DEPTH,
     min_docs: int = MIN_DOCS,
     min_constant: int = MIN_CONSTANT,
+    long_tokens: int = LONG_TOKENS,
+    long_docs: int = LONG_DOCS,
 ) -> DataFrame:
     """``docs`` with shorter texts; all rows and columns stay, and no document is exempt.
 
     Near copies (components of ``jaccard.near_duplicate_groups``) count as one document, so lines that
     only copies of one document share do not recur, and boilerplate goes from copies as from any
     other text. Only documents with a line that recurs when each counts for itself are compared.
+
+    Support is counted in distinct documents: alike lines inside one document are one. A line of
+    ``long_tokens`` tokens that ``long_docs`` documents share word for word, digits included, stays in one
+    of them (see ``_later_long_lines``) and goes from the others; a shorter one needs ``min_docs``.
     Null texts and texts with a null id stay as they are; blank lines are never dropped.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     named = rows.filter("id IS NOT NULL")
-    parsed = materialise(_parsed(rows, depth))
+    parsed = materialise(_parsed(rows, depth, long_tokens))
+    known = parsed.filter("id IS NOT NULL")
     recurring = recurring_templates(named, parsed, min_docs, min_constant).select("leaf", "line")
-    suspects = materialise(parsed.filter("id IS NOT NULL").join(recurring, ["leaf", "line"], "left_semi").select("id").distinct())
+    passages = known.filter("raw IS NOT NULL").select("raw", "id").distinct().groupBy("raw").count().filter(F.col("count") >= long_docs)
+    suspects = known.join(recurring, ["leaf", "line"], "left_semi").select("id").unionByName(known.join(passages, "raw", "left_semi").select("id"))
+    suspects = materialise(suspects.distinct())
     groups = near_duplicate_groups(named.join(suspects, "id", "left_semi"), "id")
     copies = materialise(groups.groupBy("id").agg(F.min("component_id").alias("copy_of")))
     carriers = materialise(_carriers(parsed, copies))
     hits = carriers.join(_recurring_across_copies(named, carriers, min_docs, min_constant), ["leaf", "line"], "left_semi")
+    hits = hits.select("id", "h", "nr").unionByName(_later_long_lines(carriers, long_docs))
     found = hits.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("nr").alias("__at"))
     joined = docs.withColumn("__key", F.xxhash64(text_col)).join(found, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
     cut = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line, nr: ~F.array_contains(F.col("__at"), nr)), "\n")

@@ -179,6 +179,21 @@ def test_lines_across_copies(spark):
     assert all(all(x in got[200 + k] for x in own) for k in range(15)) and all(words(i, 60) in got[i] for i in range(40))
 
 
+def test_lines_of_one_document_and_long_passages(spark):
+    def words(seed, n):
+        rng = random.Random(seed)
+        return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+    verse = "\n".join(f"the river runs to {words(k, 1)} and on to the sea" for k in range(12))
+    passage, figures = words(7, 60), " ".join(["total of the year", *["and of the next 1"] * 20])
+    rows = [(i, words(100 + i, 80) + "\n" + words(200 + i, 90)) for i in range(8)]
+    rows = [(i, t + f"\n{passage}" * (i in (2, 5, 6)) + (f"\n{figures}{i}" if i in (3, 4) else "")) for i, t in rows]
+    rows += [(50, words(300, 80) + "\n" + verse), (60, f"{words(400, 80)}\nsome words of a line that nine have")]
+    got = {r.doc_id: r.text for r in lines.drop_lines_across_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in got if passage in got[i]] == [2]
+    assert all(got[i] == t.replace(f"\n{passage}", "" if i != 2 else f"\n{passage}") for i, t in rows)
+
+
 def test_lm(spark, small, texts):
     def tokens(t):
         return [*(t or "").encode().lower().split(), None]
