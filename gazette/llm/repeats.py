@@ -8,7 +8,9 @@ without sorting the whole corpus in one place:
   (winnowing). Equal strings choose the same gram, so a string can only repeat if its gram does.
 * Neighbouring starts with the same chosen gram make a segment. Segments whose gram occurs once
   are done; the others go to the shard of their gram's hash. Equal segments are combined before,
-  so a passage in very many documents arrives once.
+  so a passage in very many documents arrives once. A gram whose segments exceed a shard (a short
+  passage with ever other neighbours) goes to none: each string of its segments is told by its
+  digest, which spreads over all tasks.
 * A shard sorts the suffixes of its segments by external induced sorting (``induced``). Suffixes whose
   common prefixes reach ``length`` are equal strings, and all but the first start are repeats.
 
@@ -26,6 +28,7 @@ from gazette.llm.decontaminate import merged
 from gazette.llm.hashing import Spans
 from gazette.llm.induced import suffixes_with_common
 from gazette.llm.registry import query, table
+from gazette.plans.lookup import lookup_join
 from gazette.plans.store import materialise
 
 LENGTH = 100
@@ -199,6 +202,34 @@ def _sorted_repeats(length: int):
     return run
 
 
+def _strings(segments: DataFrame, length: int) -> DataFrame:
+    """``digest, id, start`` of every string of ``length`` bytes in segments (``content, id, start``)."""
+
+    def run(batches):
+        for part in slices(batches, "content", _SLICE_BYTES):
+            content = column(part, "content")
+            counts = np.fromiter((len(c) - length + 1 for c in content), np.int64, len(content))
+            owner = pa.array(np.repeat(np.arange(len(content)), counts))
+            ahead = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            digests = [hashlib.blake2b(c[i : i + length], digest_size=16).digest() for c in content for i in range(len(c) - length + 1)]
+            starts = part.column("start").to_numpy(zero_copy_only=False)[owner.to_numpy()] + ahead
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.binary()), part.column("id").take(owner), pa.array(starts, pa.int64())], names=["digest", "id", "start"]
+            )
+
+    return segments.select("content", "id", "start").mapInArrow(run, "digest binary, id long, start long")
+
+
+def _repeats_by_digest(segments: DataFrame, length: int) -> DataFrame:
+    """What the shards find, ``id, start, end``, without bringing the segments of a gram together."""
+    strings = materialise(_strings(segments, length))
+    firsts = strings.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("at"), F.count("*").alias("n"))
+    firsts = materialise(firsts.filter("n > 1").select("digest", F.col("at.id").alias("first_id"), F.col("at.start").alias("first_start")))
+    found = lookup_join(strings, firsts, "digest", how="inner")
+    later = (F.col("id") != F.col("first_id")) | (F.col("start") != F.col("first_start"))
+    return found.filter(later).select("id", "start", (F.col("start") + length).alias("end"))
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """Of ``id, md5, text``: the first row of every text (``id, md5, first``) and spans ``id, start, end`` to remove.
 
@@ -217,6 +248,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     total = segments.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
     bits = int(total // _SHARD_BYTES).bit_length()
     distinct = segments.groupBy("gram", "key").agg(F.min(F.struct("id", "start")).alias("at"), F.min("content").alias("content"))
+    sizes = segments.groupBy("gram").agg(F.sum(F.octet_length("content").cast("long")).alias("size"))
+    # at most one for each _SHARD_BYTES of segments
+    hot = materialise(sizes.filter(F.col("size") > _SHARD_BYTES).select("gram"))
+    spread = None
+    if not hot.isEmpty():
+        large = distinct.join(F.broadcast(hot), "gram", "left_semi").select("content", "at.id", "at.start")
+        spread = _repeats_by_digest(large, length)
+        distinct = distinct.join(F.broadcast(hot), "gram", "left_anti")
     shards = distinct.select(F.shiftrightunsigned("gram", 64 - bits).alias("part") if bits else F.lit(0).cast("long").alias("part"), "content", "at.id", "at.start")
     # as many tasks as shards: small shuffle partitions put together would sort them one after the other
     dealt = shards.repartition(1 << bits, "part")
@@ -228,7 +267,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         .filter(F.struct("id", "start") != F.col("at"))
         .select("id", "start", (F.col("start") + F.col("size")).alias("end"))
     )
-    return firsts, inside.unionByName(later)
+    spans = inside.unionByName(later)
+    return firsts, spans if spread is None else spans.unionByName(spread)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

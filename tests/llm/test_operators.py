@@ -320,6 +320,33 @@ def test_repeats_odd(spark, odd):
     assert repeats.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_repeats_of_a_hot_gram(spark, monkeypatch):
+    limit, inner = 1 << 14, repeats._sorted_repeats
+
+    def bounded(length):
+        run = inner(length)
+
+        def checked(group):
+            assert sum(map(len, group.column("content").to_pylist())) <= 4 * limit
+            return run(group)
+
+        return checked
+
+    monkeypatch.setattr(repeats, "_SHARD_BYTES", limit)
+    monkeypatch.setattr(repeats, "_sorted_repeats", bounded)
+    rng = random.Random(5)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+
+    short, long = noise(70), noise(108)  # the second has nine strings that repeat
+    docs = {i: noise(90) + (short if i % 3 else long) + noise(90) for i in range(900)}
+    docs |= {900 + i: docs[i] + noise(3) for i in range(0, 60, 7)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in repeats.remove_repeats(df).collect()}
+    assert got == removed(docs)
+
+
 def test_induced_sorting():
     rng = random.Random(1)
     for _ in range(300):
