@@ -248,7 +248,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     total = segments.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
     bits = int(total // _SHARD_BYTES).bit_length()
     distinct = segments.groupBy("gram", "key").agg(F.min(F.struct("id", "start")).alias("at"), F.min("content").alias("content"))
-    sizes = segments.groupBy("gram").agg(F.sum(F.octet_length("content").cast("long")).alias("size"))
+    distinct = materialise(distinct, compression="zstd")
+    first_of = distinct.select("gram", "key", "at")
+    sizes = distinct.groupBy("gram").agg(F.sum(F.octet_length("content").cast("long")).alias("size"))
     # at most one for each _SHARD_BYTES of segments
     hot = materialise(sizes.filter(F.col("size") > _SHARD_BYTES).select("gram"))
     spread = None
@@ -260,7 +262,6 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     # as many tasks as shards: small shuffle partitions put together would sort them one after the other
     dealt = shards.repartition(1 << bits, "part")
     inside = dealt.groupBy("part").applyInArrow(_sorted_repeats(length), "id long, start long, end long")
-    first_of = segments.groupBy("gram", "key").agg(F.min(F.struct("id", "start")).alias("at"))
     later = (
         segments.select("gram", "key", "id", "start", F.octet_length("content").cast("long").alias("size"))
         .join(first_of, ["gram", "key"])
