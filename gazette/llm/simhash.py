@@ -29,7 +29,7 @@ from gazette.plans.store import materialise
 WORDS = 3
 RADIUS = 2
 SEED = 42
-TILE = 2048
+TILE = 1024  # a task takes up to 10,000 pairs of tiles in one Arrow batch
 _AT_ONCE = 1 << 15  # hashes whose bits are counted together
 _QUARTER = 0xFFFF
 
