@@ -33,8 +33,8 @@ SCALE = 1024
 PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
-_FANOUT = 12  # split points of a node
-_LEAF = 12  # entries that are not split further
+_FANOUT = 16  # split points of a node
+_LEAF = 16  # entries that are not split further
 _BLOCK = 4096  # vectors of a task at a time
 _EXACT = 2.0**53
 
@@ -54,15 +54,17 @@ def _safe(points: np.ndarray, dims: int) -> bool:
     return points.dtype != object and (not points.size or dims * (2 * float(np.abs(points).max())) ** 2 < _EXACT)
 
 
-def _squared(queries: np.ndarray, point: np.ndarray) -> np.ndarray:
-    apart = queries - point
-    return (apart * apart).sum(axis=1)
+def _squared(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances of every query to every point; all terms are whole numbers, so any order of adding is exact."""
+    if queries.dtype == object:
+        return np.stack([((queries - p) ** 2).sum(axis=1) for p in points], axis=1)
+    return (queries * queries).sum(axis=1)[:, None] - 2 * (queries @ points.T) + (points * points).sum(axis=1)
 
 
 def _roots(squared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of square roots."""
     if squared.dtype == object:
-        low = np.array([math.isqrt(int(s)) for s in squared], object)
+        low = np.array([math.isqrt(int(s)) for s in squared.ravel()], object).reshape(squared.shape)
         return low, low + 1
     near = np.sqrt(squared)
     return np.nextafter(near, -np.inf), np.nextafter(near, np.inf)
@@ -82,15 +84,14 @@ class Gnat:
             return members
         own = self.entries[members]
         # split points far from one another: each is the farthest from those before it
-        picks, least = [0], _squared(own, own[0])
-        apart = [least]
+        picks, least = [0], _squared(own, own[:1])[:, 0]
         while len(picks) < _FANOUT and least.max() > 0:
             picks.append(int(np.argmax(least)))
-            apart.append(_squared(own, own[picks[-1]]))
-            least = np.minimum(least, apart[-1])
+            least = np.minimum(least, _squared(own, own[picks[-1:]])[:, 0])
         if len(picks) == 1:  # all entries are equal
             return members
-        apart = np.stack(apart)
+        picks.sort()
+        apart = _squared(own, own[picks]).T
         below = np.argmin(apart, axis=0)
         below[picks] = np.arange(len(picks))
         low, high, children = [], [], []
@@ -104,41 +105,36 @@ class Gnat:
 
     def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of and squared distance to the nearest entry of each query."""
-        best = _squared(queries, self.entries[0])
+        best = _squared(queries, self.entries[:1])[:, 0]
         index = np.zeros(len(queries), np.int64)
         self._search(self.root, queries, np.arange(len(queries)), best, index)
         return index, best
 
-    def _look(self, entry: int, queries, who, best, index):
-        squared = _squared(queries[who], self.entries[entry])
-        self.looked += len(who)
-        better = (squared < best[who]) | ((squared == best[who]) & (entry < index[who]))
-        better = better.astype(bool)
-        best[who[better]] = squared[better]
-        index[who[better]] = entry
+    def _look(self, entries: np.ndarray, queries, who, best, index) -> np.ndarray:
+        """Distances of the queries ``who`` to ``entries`` (ascending); the best ones so far are kept."""
+        squared = _squared(queries[who], self.entries[entries])
+        self.looked += squared.size
+        near = np.argmin(squared, axis=1)
+        least, entry = squared[np.arange(len(who)), near], entries[near]
+        better = ((least < best[who]) | ((least == best[who]) & (entry < index[who]))).astype(bool)
+        best[who[better]] = least[better]
+        index[who[better]] = entry[better]
         return squared
 
     def _search(self, node, queries, who, best, index):
         if isinstance(node, np.ndarray):
-            for entry in node.tolist():
-                self._look(entry, queries, who, best, index)
+            self._look(node, queries, who, best, index)
             return
         splits, low, high, children = node
-        open_ = np.ones((len(splits), len(who)), bool)
-        for i, entry in enumerate(splits.tolist()):
-            here = np.flatnonzero(open_[i])
-            if not len(here):
-                continue
-            near, far = _roots(self._look(entry, queries, who[here], best, index))
-            # the split point itself is done; its subtree and the others stay while the range can hold a nearest entry
-            reach = _roots(best[who[here]])[1]
-            for j in range(len(splits)):
-                misses = ((near - reach > high[i, j]) | (far + reach < low[i, j])).astype(bool)
-                open_[j, here[misses]] = False
+        near, far = _roots(self._look(splits, queries, who, best, index))
         for j, child in enumerate(children):
-            rest = who[open_[j]]
-            if child is not None and len(rest):
-                self._search(child, queries, rest, best, index)
+            if child is None:
+                continue
+            # what children before this one gave counts
+            reach = _roots(best[who])[1][:, None]
+            misses = ((near - reach > high[:, j]) | (far + reach < low[:, j])).any(axis=1).astype(bool)
+            if not misses.all():
+                self._search(child, queries, who[~misses], best, index)
 
 
 # --- jobs ------------------------------------------------------------------------------------
