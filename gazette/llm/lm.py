@@ -12,6 +12,8 @@ order. So a key crosses the network once per block, however frequent it is, and
 one block or one range.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,7 +22,8 @@ from gazette.llm.hashing import Words, crc32_remainder, lower_words, mix
 from gazette.llm.registry import query, table
 from gazette.plans.store import materialise
 
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 1 << 22
+_SLICE_BYTES = 1 << 18  # text hashed at a time
 LEAST_BLOCKS = 8
 _RANGE_BYTES = 1 << 23  # text per hash range
 _BUCKETS = 32
@@ -31,6 +34,14 @@ _WORD, _PAIR = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def _token_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of every token and of its pair with the token before, and the token counts of the texts."""
+    sizes = np.cumsum([len(t or b"") for t in texts])
+    cuts = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1], _SLICE_BYTES), side="left")) if len(sizes) else []
+    # a slice starts at a text, before which an end stands, so slices do not depend on one another
+    held = [_slice_keys(texts[a:b]) for a, b in itertools.pairwise([*cuts, len(texts)]) if b > a]
+    return tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else _slice_keys(texts)
+
+
+def _slice_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = Words([lower_words(t) for t in texts])
     counts = np.diff(words.first) + 1
     ends = np.cumsum(counts) - 1
