@@ -31,7 +31,7 @@ WORDS = 5
 PERCENT = 80
 MOST_MATCHES = 4
 _RANGE_TOKENS = 2_000_000  # tokens of one hash range, on average
-_BLOCK_TOKENS = 4_000_000  # tokens that a task packs at a time
+_BLOCK_TOKENS = 500_000  # tokens that a task packs at a time
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
