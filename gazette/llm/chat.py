@@ -54,14 +54,11 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 def _linked(nodes: DataFrame) -> DataFrame:
     """``node, parent, score``; a parent that is null, missing or the node itself makes a root."""
-    ids = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"), F.lit(0).cast("long").alias("__spread"))
-    # null parents meet nothing; a second key keeps them out of one task
-    spread = nodes.withColumn("__spread", F.when(F.col("parent").isNull(), F.xxhash64("id")).otherwise(0))
-    return spread.join(ids, ["parent", "__spread"], "left").select(
-        F.col("id").alias("node"),
-        F.when(F.col("there") & (F.col("parent") != F.col("id")), F.col("parent")).alias("parent"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
-    )
+    ids = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
+    # null parents meet nothing, and all of them would meet in one task of the join
+    asked, roots = nodes.filter("parent IS NOT NULL"), nodes.filter("parent IS NULL")
+    met = asked.join(ids, "parent", "left").select("id", F.when(F.col("there") & (F.col("parent") != F.col("id")), F.col("parent")).alias("parent"), "score")
+    return met.unionByName(roots.select("id", "parent", "score")).select(F.col("id").alias("node"), "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def _doubled(linked: DataFrame) -> tuple[list[DataFrame], DataFrame]:
