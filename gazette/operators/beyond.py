@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gazette import columns as C
 from gazette.functions.arrays import array_sum, dot, is_udf, resolve_distance, unit
 from gazette.functions.draws import distinct_draws
-from gazette.operators.mapping import known_items
 from gazette.operators.checks import require_columns
 from gazette.plans.lists import as_keys
 from gazette.plans.lookup import lookup_join
@@ -38,27 +37,39 @@ def _or_nan(value):
     return F.coalesce(value, F.lit(NAN))
 
 
-def _unit_items(items, vector_col, item_col):
+def _unit_items(items, vector_col, item_col, *extra):
+    """Item id, unit vector ``__u`` and its squared length ``__sq``; both null without a vector."""
     v = unit(F.col(vector_col).cast("array<double>"))
-    known = items.filter(F.col(vector_col).isNotNull()).select(item_col, v.alias("__u"))
-    return known.withColumn("__sq", dot("__u", "__u"))
+    return items.select(item_col, v.alias("__u"), *extra).withColumn("__sq", dot("__u", "__u"))
 
 
-def _vector_sum(c):
-    return vector_to_array(Summarizer.sum(array_to_vector(F.col(c))))
+# Vectors of up to this many components are summed place by place in generated code, which took a third of
+# the time of the summarizer; beyond it Spark generates no code for so many sums.
+_PLACES = 96
 
 
-def _folded_units(lists, items, vector_col, list_id, items_col, item_col, **join_options):
-    """Per list: known items ``n``, the sum ``s`` of their unit vectors and the sum ``sq`` of its squared lengths.
+def _vector_sums(items, vector_col):
+    """Aggregates that add up ``__u`` by list, unknown items left out, and the sum as one list made of them."""
+    width = items.agg(F.max(F.size(vector_col))).first()[0] or 0
+    none = F.array().cast("array<double>")
+    if width <= _PLACES:
+        sums = [F.sum(F.col("__u")[k]).alias(f"__s{k}") for k in range(width)]
+        return sums, F.array(*[F.coalesce(f"__s{k}", F.lit(0.0)) for k in range(width)]) if width else none
+    # the summarizer takes no nulls and no empty group, but passes rows of weight 0 by before it looks at
+    # them: unknown items weigh nothing, and the first place of a list adds zeros instead
+    known, first = F.col("__u").isNotNull(), F.coalesce(F.col("pos") == 0, F.lit(True))
+    vector = F.when(known, F.col("__u")).when(first, F.array_repeat(F.lit(0.0), width)).otherwise(none)
+    total = Summarizer.sum(array_to_vector(vector), F.when(known | first, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return [vector_to_array(total).alias("__s")], F.col("__s")
 
-    The summarizer takes no nulls, so unknown items leave at the join and lists without a known one come
-    back by their keys. Summing zero vectors for unknown items instead took 2.4 times as long.
-    """
+
+def _folded_units(lists, items, vector_col, list_id, items_col, item_col, **join_options):
+    """Per list: known items ``n``, the sum ``s`` of their unit vectors and the sum ``sq`` of its squared lengths."""
+    rows = _listed(lists, _unit_items(items, vector_col, item_col), ["__u", "__sq"], list_id, items_col, item_col, **join_options)
+    sums, total = _vector_sums(items, vector_col)
     keys = as_keys(list_id)
-    table = _unit_items(items, vector_col, item_col)
-    rows = known_items(lists, table, list_id, items_col, item_col, columns=["__u", "__sq"], **join_options)
-    folded = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("__sq").alias("sq"), _vector_sum("__u").alias("s"))
-    return lists.select(*keys).join(folded, keys, "left")
+    folded = rows.groupBy(*keys).agg(F.count("__sq").alias("n"), F.coalesce(F.sum("__sq"), F.lit(0.0)).alias("sq"), *sums)
+    return folded.select(*keys, "n", "sq", total.alias("s"))
 
 
 def _folded_vectors(lists, items, vector_col, list_id, items_col, item_col, **join_options):
@@ -94,16 +105,26 @@ def intralist_diversity(
     """
     require_columns(items, [vector_col])
     keys = as_keys(list_id)
-    n = F.col("n").cast("double")
     if distance == "cosine":
         folded = _folded_units(lists, items, vector_col, list_id, items_col, item_col, **join_options)
-        # a zero vector is at distance 1 from all others and 0 from itself
-        total = F.greatest((n * n - dot("s", "s")) - (n - F.col("sq")), F.lit(0.0))
+        total = _cosine_total()
     else:
         vectors = _folded_vectors(lists, items, vector_col, list_id, items_col, item_col, **join_options)
         folded = _with_total(vectors, keys, "vs", "vs", distance).withColumn("n", F.size("vs"))
         total = F.col("total")
-    return folded.select(*keys, _or_nan(F.when(n > 1, F.try_divide(total, n * (n - 1)))).alias(name))
+    return folded.select(*keys, _mean_of_pairs(total).alias(name))
+
+
+def _cosine_total():
+    """Distances between all ordered pairs of a list's unit vectors, from their sum."""
+    n = F.col("n").cast("double")
+    # a zero vector is at distance 1 from all others and 0 from itself
+    return F.greatest((n * n - dot("s", "s")) - (n - F.col("sq")), F.lit(0.0))
+
+
+def _mean_of_pairs(total):
+    n = F.col("n").cast("double")
+    return _or_nan(F.when(n > 1, F.try_divide(total, n * (n - 1))))
 
 
 def serendipity(
@@ -313,62 +334,154 @@ def mean_std(df, value, group=()) -> DataFrame:
     return df.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
+METRICS = ("diversity", "sentiment", "novelty", "serendipity")
+ITEM = "item"  # the attribute under which listed ids are counted, for coverage
+
+
+def _attribute_values(items, attributes):
+    """All (attribute, value) pairs of an item as one array; the values of list attributes side by side."""
+
+    def pairs(name):
+        def pair(v):
+            return F.struct(F.lit(name).alias("attribute"), v.cast("string").alias("value"))
+
+        if isinstance(items.schema[name].dataType, T.ArrayType):
+            return F.coalesce(F.transform(name, pair), F.array().cast("array<struct<attribute:string,value:string>>"))
+        return F.array(pair(F.col(name)))
+
+    parts = [pairs(name) for name in attributes]
+    return F.concat(*parts) if parts else F.array().cast("array<struct<attribute:string,value:string>>")
+
+
+def scored_lists(
+    lists, items, vector_col, sentiment_col, popularity_col, keys, items_col="items", item_col=C.ARTICLE_ID, **join_options
+) -> DataFrame:
+    """Every list with all that its items tell: ``keys``, ``diversity``, ``sentiment``, ``novelty``, ``n``, ``s``, ``ids``.
+
+    The lists are exploded and joined to the items once, and one fold gives every metric side by side. ``n`` and ``s`` are
+    the number and the sum of the unit vectors; ``ids`` are the listed ids.
+    """
+    require_columns(items, [vector_col, sentiment_col, popularity_col])
+    extra = [F.col(sentiment_col).alias("__feeling"), self_information(popularity_col).alias("__i")]
+    table = _unit_items(items, vector_col, item_col, *extra)
+    rows = _listed(lists, table, ["__u", "__sq", "__feeling", "__i"], keys, items_col, item_col, **join_options)
+    sums, total = _vector_sums(items, vector_col)
+    folded = rows.groupBy(*keys).agg(
+        F.count("__sq").alias("n"),
+        F.coalesce(F.sum("__sq"), F.lit(0.0)).alias("sq"),
+        *sums,
+        _or_nan(F.avg("__feeling")).alias("sentiment"),
+        _or_nan(F.avg("__i")).alias("novelty"),
+        F.collect_list(item_col).alias("ids"),
+    )
+    summed = folded.withColumn("s", total)
+    return summed.select(*keys, _mean_of_pairs(_cosine_total()).alias("diversity"), "sentiment", "novelty", "n", "s", "ids")
+
+
+def _with_serendipity(scored, past, name_col, user_col, shared_col) -> DataFrame:
+    """A row per list and user: a list of its own meets its user's history, a shared one every history.
+
+    Shared lists are few and short: they ride along with every history as one array.
+    """
+    known = past.select(F.col(user_col).alias("__user"), F.col("n").alias("hn"), F.col("s").alias("hs"))
+    own = scored.filter(~F.col(shared_col)).join(known, F.col(user_col) == F.col("__user"), "left").drop("__user")
+    columns = [name_col, "diversity", "sentiment", "novelty", "n", "s"]
+    together = scored.filter(shared_col).agg(F.collect_list(F.struct(*columns))).scalar()
+    shared = past.select(user_col, F.col("n").alias("hn"), F.col("s").alias("hs"), F.explode(together).alias("__r"))
+    both = own.select(user_col, *columns, "hn", "hs").unionByName(shared.select(user_col, "__r.*", "hn", "hs"))
+    score = 1 - F.try_divide(dot("s", "hs"), F.col("n") * F.col("hn"))
+    return both.select(name_col, user_col, "diversity", "sentiment", "novelty", _or_nan(score).alias("serendipity"))
+
+
+def _by_groups(df, segments, keys, aggregates) -> DataFrame:
+    """``aggregates`` over all rows and by each segment, in one pass: ``keys, segment, segment_value``, results."""
+    sets = [[*keys], *[[*keys, s] for s in segments]]
+    out = df.groupingSets(sets, *keys, *segments).agg(*[F.grouping(s).alias(f"__g_{s}") for s in segments], *aggregates)
+    segment, value = F.lit("all"), F.lit(None).cast("string")
+    for s in segments:
+        segment = F.when(F.col(f"__g_{s}") == 0, F.lit(s)).otherwise(segment)
+        value = F.when(F.col(f"__g_{s}") == 0, F.col(s).cast("string")).otherwise(value)
+    names = [c for c in out.columns if c not in {*keys, *segments} and not c.startswith("__g_")]
+    return out.select(*keys, segment.alias("segment"), value.alias("segment_value"), *names)
+
+
+def beyond_accuracy_report(
+    lists, items, histories, vector_col, sentiment_col, popularity_col, attributes=(), users=None, segments=(), user_col=C.USER,
+    name_col="list_name", list_id="list_id", items_col="items", history_col="history", item_col=C.ARTICLE_ID, shared_col="is_shared",
+    candidates=None, **join_options,
+) -> tuple[DataFrame, DataFrame]:
+    """All beyond-accuracy metrics and distributions of named sets of lists, whole and by user segment.
+
+    ``lists`` rows are ``(list_name, list_id, user, items, is_shared)``, ``histories`` rows ``(user, history)`` and ``users`` one
+    row per user with the ``segments`` columns. Returns two tables:
+
+    * ``list_name, segment, segment_value, metric, mean, std, n`` for diversity, sentiment, novelty, serendipity, and the
+      coverage as a count and, given ``candidates``, as a fraction of these. Means leave out undefined values; ``n``
+      counts the others. A shared list is set against every history, so it counts once per user with one.
+    * ``list_name, segment, segment_value, attribute, value, share`` for each of ``attributes``. A shared list
+      is the same in all segments and given as a whole only, here and for coverage.
+
+    ``segment`` is ``all`` for the whole. The lists are read, exploded and joined to the items once; one stored row per list
+    then feeds every table.
+    """
+    keys = list(dict.fromkeys([name_col, list_id, user_col, shared_col]))
+    segments = list(segments)
+    scored = materialise(
+        scored_lists(lists, items, vector_col, sentiment_col, popularity_col, keys, items_col, item_col, **join_options)
+    )
+    past = _folded_units(histories, items, vector_col, user_col, history_col, item_col, **join_options)
+    scores = _with_serendipity(scored, past, name_col, user_col, shared_col)
+    listed = scored.select(name_col, user_col, shared_col, "ids")
+    if segments:
+        known = users.select(user_col, *segments)
+        scores = lookup_join(scores, known, user_col, "left", spread=[name_col], count_on=scored)
+        listed = lookup_join(listed, known, user_col, "left", spread=[name_col])
+
+    defined = {m: F.nanvl(m, F.lit(None)) for m in METRICS}
+    cells = [F.struct(F.lit(m).alias("metric"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count(x).alias("n")) for m, x in defined.items()]
+    metrics = _by_groups(scores, segments, [name_col], [F.array(*cells).alias("__m")])
+    metrics = metrics.select(name_col, "segment", "segment_value", F.inline("__m"))
+
+    # ids are counted by all segments at once, on the map side, and only then meet their attributes
+    shown = listed.select(name_col, shared_col, *segments, F.explode("ids").alias(item_col))
+    shown = shown.groupBy(name_col, shared_col, *segments, item_col).agg(F.count("*").alias("n"))
+    told = items.select(item_col, _attribute_values(items, attributes).alias("__values"))
+    shown = lookup_join(shown, told, item_col, "left", spread=[name_col, *segments], **join_options)
+    itself = F.array(F.struct(F.lit(ITEM).alias("attribute"), F.col(item_col).cast("string").alias("value")))
+    pairs = F.inline(F.when(F.col("__values").isNull(), itself).otherwise(F.concat(itself, "__values")))
+    counted = shown.select(name_col, shared_col, *segments, "n", pairs)
+    counted = counted.groupBy(name_col, shared_col, *segments, "attribute", "value").agg(F.sum("n").alias("n"))
+    grouped = _by_groups(counted, segments, [name_col, shared_col, "attribute", "value"], [F.sum("n").alias("n")])
+    grouped = materialise(grouped.filter(~F.col(shared_col) | (F.col("segment") == "all")).drop(shared_col))
+    place = [name_col, "segment", "segment_value", "attribute"]
+    totals = grouped.groupBy(*place).agg(F.sum("n").alias("total"), F.count("*").alias("n_values"))
+    here = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in place]
+    shares = grouped.filter(F.col("attribute") != ITEM).alias("a").join(totals.alias("b"), here)
+    shares = shares.select(*[f"a.{c}" for c in place], "value", (F.col("n") / F.col("total")).alias("share"))
+
+    none, count = F.lit(None).cast("double"), F.col("n_values").cast("double")
+    covered = [F.struct(F.lit("coverage_count").alias("metric"), count.alias("mean"), none.alias("std"), F.col("total").alias("n"))]
+    if candidates is not None:
+        fraction = F.try_divide(count, candidates.agg(F.count_distinct(item_col)).scalar())
+        covered.append(F.struct(F.lit("coverage_fraction").alias("metric"), fraction.alias("mean"), none.alias("std"), F.col("total").alias("n")))
+    coverage_rows = totals.filter(F.col("attribute") == ITEM).select(name_col, "segment", "segment_value", F.inline(F.array(*covered)))
+    return metrics.unionByName(coverage_rows), shares
+
+
 def beyond_accuracy_table(
     lists, items, histories, vector_col, sentiment_col, popularity_col, name_col="list_name", list_id="list_id", items_col="items", item_col=C.ARTICLE_ID, candidates=None
 ) -> DataFrame:
-    """Long ``(list_name, metric, mean, std)`` table for named sets of lists.
+    """Long ``(list_name, metric, mean, std)`` table for named sets of lists, without segments.
 
     ``lists`` rows are ``(list_name, list_id, items, is_shared)`` and ``histories`` rows
     ``(list_id, history)``. A shared list is set against every history for serendipity, any
     other one against the history of its own ``list_id``.
     """
-    # every metric reads the lists and the items: store both once
-    lists, items = materialise(lists), materialise(items)
-    keys = [name_col, list_id]
-    common = dict(list_id=keys, items_col=items_col, item_col=item_col)
-    per_list = [
-        ("diversity", intralist_diversity(lists, items, vector_col, name="x", **common)),
-        ("sentiment", sentiment(lists, items, sentiment_col, name="x", **common)),
-        ("novelty", novelty(lists, items, popularity_col, name="x", **common)),
-        ("serendipity", shared_serendipity(lists, histories, items, vector_col, name_col, list_id, items_col, item_col)),
-    ]
-    out = None
-    for metric, scores in per_list:
-        rows = mean_std(scores, "x", [name_col]).withColumn("metric", F.lit(metric))
-        out = rows if out is None else out.unionByName(rows)
-    out = out.select(name_col, "metric", "mean", "std")
-    listed = lists.select(name_col, F.explode(items_col).alias("i")).groupBy(name_col).agg(F.count_distinct("i").cast("double").alias("n"))
-    n_candidates = None if candidates is None else candidates.agg(F.count_distinct(item_col)).scalar()
-    coverage_rows = listed.select(name_col, F.lit("coverage_count").alias("metric"), F.col("n").alias("mean"), F.lit(None).cast("double").alias("std"))
-    out = out.unionByName(coverage_rows)
-    if n_candidates is not None:
-        out = out.unionByName(
-            listed.select(name_col, F.lit("coverage_fraction").alias("metric"), F.try_divide("n", n_candidates).alias("mean"), F.lit(None).cast("double").alias("std"))
-        )
-    return out
-
-
-def shared_serendipity(lists, histories, items, vector_col, name_col="list_name", list_id="list_id", items_col="items", item_col=C.ARTICLE_ID, shared_col="is_shared") -> DataFrame:
-    """Serendipity of every history against its own list, or against the name's shared list.
-
-    A shared list is summed once; its sum (one row per name) then rides along with every history.
-    """
-    table = _unit_items(items, vector_col, item_col)
-
-    def sums(df, keys, ids):
-        rows = known_items(df, table, keys, ids, item_col, columns=["__u"])
-        folded = rows.groupBy(*keys).agg(F.count("*").alias("n"), _vector_sum("__u").alias("s"))
-        return df.select(*keys).join(folded, keys, "left")
-
-    keys = [name_col, list_id]
-    listed = lists.select(*keys, shared_col).join(sums(lists, keys, items_col), keys)
-    past = sums(histories, [list_id], "history").withColumnsRenamed({"n": "hn", "s": "hs"})
-    own = listed.filter(~F.col(shared_col)).join(past, list_id)
-    by_name = listed.filter(shared_col).agg(F.collect_list(F.struct(name_col, "n", "s")))
-    shared = past.withColumn("__r", F.explode(by_name.scalar())).select(list_id, "hn", "hs", "__r.*")
-    score = F.coalesce(1 - F.try_divide(dot("s", "hs"), F.col("n") * F.col("hn")), F.lit(NAN))
-    cols = [*keys, "n", "s", "hn", "hs"]
-    return own.select(*cols).unionByName(shared.select(*cols)).select(*keys, score.alias("x"))
+    metrics, _ = beyond_accuracy_report(
+        lists, materialise(items), histories, vector_col, sentiment_col, popularity_col, user_col=list_id, name_col=name_col,
+        list_id=list_id, items_col=items_col, item_col=item_col, candidates=candidates,
+    )
+    return metrics.select(name_col, "metric", "mean", "std")
 
 
 def item_table(articles, histories, candidates, vectors, pageviews_col=C.TOTAL_PAGEVIEWS, item_col=C.ARTICLE_ID, history_col=C.HISTORY_IDS) -> DataFrame:

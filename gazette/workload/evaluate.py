@@ -655,6 +655,88 @@ def beyond_table(spark, d):
     return out.withColumns(r6("mean", "std"))
 
 
+SEGMENTS = ["segment", "nation", "in_debt"]
+ATTRIBUTES = [C.CATEGORY_STR, C.SUBCATEGORY, C.SENTIMENT_LABEL]
+
+
+def _report(spark, d):
+    """All impressions' lists next to the shared popular list, by three user segments, with three attributes."""
+    label = F.when(F.col("size") <= 15, "negative").when(F.col("size") <= 35, "neutral").otherwise("positive")
+    items = materialise(
+        V.articles(spark, d)
+        .join(_popular_items(spark, d), C.ARTICLE_ID, "left")
+        .join(V.vectors(spark, d), C.ARTICLE_ID, "left")
+        .select(C.ARTICLE_ID, C.CATEGORY_STR, C.SUBCATEGORY, C.SENTIMENT_SCORE, label.alias(C.SENTIMENT_LABEL), "popularity", "vector")
+    )
+    best = items.filter("popularity IS NOT NULL").orderBy(F.desc("popularity"), C.ARTICLE_ID).limit(TOP_N)
+    popular = best.agg(F.collect_list(C.ARTICLE_ID).alias("items")).select(
+        F.lit("popular").alias("list_name"), F.lit(-1).cast("bigint").alias("list_id"), F.lit(None).cast("bigint").alias(C.USER), "items", F.lit(True).alias("is_shared")
+    )
+    shown = V.impressions(spark, d).select(
+        F.lit("inview").alias("list_name"), F.col(C.IMPRESSION_ID).alias("list_id"), C.USER, F.col(C.INVIEW).alias("items"), F.lit(False).alias("is_shared")
+    )
+    past = V.histories(spark, d).select(C.USER, F.col(C.HISTORY_IDS).alias("history"))
+    return beyond.beyond_accuracy_report(
+        shown.unionByName(popular), items, past, "vector", C.SENTIMENT_SCORE, "popularity", ATTRIBUTES, V.users(spark, d), SEGMENTS, candidates=items
+    )
+
+
+_REPORTED = f"""
+    popular AS (SELECT article_id FROM counters JOIN articles USING (article_id) ORDER BY total_inviews DESC, article_id LIMIT {TOP_N}),
+    groups AS (SELECT c_custkey AS user_id, unnest(['all', 'segment', 'nation', 'in_debt']) AS segment,
+                      unnest([NULL, c_mktsegment, c_nationkey::VARCHAR, (c_acctbal < 0)::VARCHAR]) AS segment_value FROM customer),
+    listed AS (SELECT 'inview' AS list_name, impression_id AS list_id, user_id, unnest(article_ids_inview) AS article_id FROM impressions
+               UNION ALL SELECT 'popular', -1, NULL, article_id FROM popular)"""
+
+
+@query(
+    with_views(
+        "impressions counters articles past units",
+        f"""WITH {_REPORTED}, {_POPULARITY},
+        v AS (SELECT list_name, list_id, dim, sum(u[dim]) AS s, count(*) AS n FROM listed JOIN units USING (article_id), (SELECT unnest(range(1, 65)) AS dim) GROUP BY 1, 2, 3),
+        h AS (SELECT user_id, dim, sum(u[dim]) / count(*) AS x FROM past JOIN units USING (article_id), (SELECT unnest(range(1, 65)) AS dim) GROUP BY 1, 2),
+        div AS (SELECT list_name, list_id, CASE WHEN any_value(n) > 1 THEN (any_value(n) * any_value(n) - sum(s * s)) / (any_value(n) * (any_value(n) - 1)) END AS diversity FROM v GROUP BY 1, 2),
+        sen AS (SELECT list_name, list_id, avg(sentiment_score) AS sentiment FROM listed JOIN articles USING (article_id) GROUP BY 1, 2),
+        nov AS (SELECT list_name, list_id, avg(-log2(p)) AS novelty FROM listed JOIN pop USING (article_id) GROUP BY 1, 2),
+        lists AS (SELECT 'inview' AS list_name, impression_id AS list_id, user_id FROM impressions
+                  UNION ALL SELECT 'popular', -1, user_id FROM (SELECT DISTINCT user_id FROM past)),
+        ser AS (SELECT list_name, list_id, user_id, 1 - sum(s / n * x) AS serendipity FROM lists JOIN v USING (list_name, list_id) JOIN h USING (user_id, dim) GROUP BY 1, 2, 3),
+        scores AS (SELECT * FROM lists LEFT JOIN div USING (list_name, list_id) LEFT JOIN sen USING (list_name, list_id)
+                   LEFT JOIN nov USING (list_name, list_id) LEFT JOIN ser USING (list_name, list_id, user_id)),
+        long AS (SELECT list_name, user_id, unnest(['diversity', 'sentiment', 'novelty', 'serendipity']) AS metric, unnest([diversity, sentiment, novelty, serendipity]) AS x FROM scores),
+        placed AS (SELECT list_name, 'all' AS segment, NULL AS segment_value, metric, x FROM long
+                   UNION ALL SELECT list_name, s.segment, g.segment_value, metric, x FROM long CROSS JOIN (VALUES ('segment'), ('nation'), ('in_debt')) s(segment)
+                   LEFT JOIN groups g ON g.user_id = long.user_id AND g.segment = s.segment),
+        ids AS (SELECT list_name, 'all' AS segment, NULL AS segment_value, article_id FROM listed
+                UNION ALL SELECT list_name, segment, segment_value, article_id FROM listed JOIN groups USING (user_id) WHERE segment <> 'all'),
+        cov AS (SELECT list_name, segment, segment_value, count(DISTINCT article_id) AS k, count(*) AS n FROM ids GROUP BY 1, 2, 3)
+        SELECT list_name, segment, segment_value, metric, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) + 0 AS std, count(x) AS n FROM placed GROUP BY 1, 2, 3, 4
+        UNION ALL SELECT list_name, segment, segment_value, 'coverage_count', k, NULL, n FROM cov
+        UNION ALL SELECT list_name, segment, segment_value, 'coverage_fraction', round(k / (SELECT count(*) FROM articles), 6), NULL, n FROM cov""",
+    )
+)
+def beyond_report(spark, d):
+    return _report(spark, d)[0].withColumns(r6("mean", "std"))
+
+
+@query(
+    with_views(
+        "impressions counters articles",
+        f"""WITH {_REPORTED},
+        told AS (SELECT article_id, 'category_str' AS attribute, category_str AS value FROM articles
+                 UNION ALL SELECT article_id, 'subcategory', unnest(subcategory) FROM articles
+                 UNION ALL SELECT article_id, 'sentiment_label', CASE WHEN size <= 15 THEN 'negative' WHEN size <= 35 THEN 'neutral' ELSE 'positive' END FROM articles),
+        counted AS (SELECT list_name, user_id, attribute, value, count(*) AS n FROM listed JOIN told USING (article_id) GROUP BY 1, 2, 3, 4),
+        placed AS (SELECT list_name, 'all' AS segment, NULL AS segment_value, attribute, value, n FROM counted
+                   UNION ALL SELECT list_name, segment, segment_value, attribute, value, n FROM counted JOIN groups USING (user_id) WHERE segment <> 'all')
+        SELECT list_name, segment, segment_value, attribute, value, round(sum(n) / sum(sum(n)) OVER (PARTITION BY list_name, segment, segment_value, attribute), 9) AS share
+        FROM placed GROUP BY list_name, segment, segment_value, attribute, value""",
+    )
+)
+def beyond_shares(spark, d):
+    return _report(spark, d)[1].withColumn("share", F.round("share", 9))
+
+
 @query(
     with_views(
         "inview counters articles past",

@@ -135,7 +135,7 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 def users(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias(C.USER), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")
+        F.col("c_custkey").alias(C.USER), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") < 0).alias("in_debt")
     )
 
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.functions import ranking
+from gazette.functions.arrays import dot
 from gazette.operators import accuracy as A, beyond as B, describe as D
-from gazette.workload import QUERIES
+from gazette.workload import QUERIES, views
 
 NAN = float("nan")
 
@@ -183,11 +184,71 @@ def test_shared_histories(spark, distance):
 
 
 def test_list_metrics_scan_the_lists_once(spark, small):
-    for name in ("sentiment",):
+    for name in ("sentiment", "diversity", "novelty"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
         assert sum("Relation" in x and "l_orderkey" in x for x in plan.splitlines()) == 1, name
 
 
+def _report_tables(spark):
+    items = spark.createDataFrame(
+        [(1, [0.0, 1.0], 0.5, 0.5, "a", ["x", "y"]), (2, [3.0, 1.0], 0.1, 1.0, "b", ["x"]), (3, None, 0.3, 0.25, "a", None), (4, [1.0, 0.0], None, None, None, [])],
+        "article_id long, v array<double>, mood double, pop double, kind string, topics array<string>",
+    )
+    lists = spark.createDataFrame(
+        [("own", 10, 7, [1, 2], False), ("own", 11, 8, [3, 99], False), ("own", 12, None, [], False), ("own", 13, 7, [4], False), ("top", -1, None, [1, 4], True)],
+        "list_name string, list_id long, user_id long, items array<long>, is_shared boolean",
+    )
+    past = spark.createDataFrame([(7, [2]), (8, [1, 3]), (9, [99])], "user_id long, history array<long>")
+    users = spark.createDataFrame([(7, "m", 1), (8, "f", 1), (9, None, 2)], "user_id long, sex string, area int")
+    return lists, items, past, users
+
+
+def test_report_by_segment(spark):
+    lists, items, past, users = _report_tables(spark)
+    metrics, shares = B.beyond_accuracy_report(lists, items, past, "v", "mood", "pop", ["kind", "topics"], users, ["sex", "area"], candidates=items)
+    got = {(r["list_name"], r["segment"], r["segment_value"], r["metric"]): (r["mean"], r["n"]) for r in metrics.collect()}
+    cosine = 1 - 1 / math.sqrt(10)
+    assert got["own", "all", None, "diversity"] == pytest.approx((cosine, 1))
+    assert got["own", "all", None, "sentiment"] == pytest.approx(((0.3 + 0.3) / 2, 2))
+    assert got["own", "sex", "f", "novelty"] == pytest.approx((2.0, 1))
+    assert got["own", "sex", None, "diversity"] == (None, 0)
+    # list 13 holds (1, 0) against a history of (3, 1); list 11 knows no vector
+    r = math.sqrt(10)
+    assert got["own", "area", "1", "serendipity"] == pytest.approx((((1 - 1 / r) / 2 + 1 - 3 / r) / 2, 2))
+    assert got["top", "all", None, "diversity"] == pytest.approx((1.0, 3))
+    assert got["top", "area", "1", "sentiment"] == pytest.approx((0.5, 2))
+    assert got["own", "all", None, "coverage_count"] == (5, 5) and got["own", "sex", "m", "coverage_count"] == (3, 3)
+    assert got["own", "all", None, "coverage_fraction"] == (1.25, 5) and ("top", "sex", "m", "coverage_count") not in got
+    told = {(r["list_name"], r["segment"], r["segment_value"], r["attribute"], r["value"]): r["share"] for r in shares.collect()}
+    assert told["own", "all", None, "kind", "a"] == 0.5 and told["own", "all", None, "kind", None] == 0.25
+    assert told["own", "sex", "m", "topics", "x"] == pytest.approx(2 / 3) and told["top", "all", None, "topics", "y"] == 0.5
+    none, empty = B.beyond_accuracy_report(lists.limit(0), items, past, "v", "mood", "pop", ["kind"], users, ["sex"])
+    assert none.count() == 0 and empty.count() == 0
+
+
+def test_report_reads_and_explodes_the_lists_once(spark, small):
+    lists = views.impressions(spark, small).select(
+        F.lit("inview").alias("list_name"), F.col("impression_id").alias("list_id"), "user_id", F.col("article_ids_inview").alias("items")
+    )
+    items = views.articles(spark, small).join(views.vectors(spark, small), "article_id", "left").withColumn("pop", F.lit(0.5))
+    keys = ["list_name", "list_id", "user_id"]
+    plan = B.scored_lists(lists, items, "vector", "sentiment_score", "pop", keys)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation" in x and "l_orderkey" in x for x in plan) == 1
+    assert sum("Generate" in x for x in plan) == 1
+
+
+def test_wide_vectors(spark):
+    """Sums beyond the width of generated code give the same numbers."""
+    rows = [(i, [math.sin(i * k + 1) for k in range(100)]) for i in range(6)]
+    items = spark.createDataFrame(rows, "article_id long, v array<double>")
+    lists = spark.createDataFrame([(1, [0, 1, 2]), (2, [3, 99, 4]), (3, [99, 5]), (4, [99]), (5, [])], "list_id long, items array<long>")
+    got = {r[0]: r[1] for r in B.intralist_diversity(lists, items, "v").collect()}
+    pairs = B.intralist_diversity(lists, items, "v", distance=lambda a, b: 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)))
+    want = {r[0]: r[1] for r in pairs.collect()}
+    assert [got[i] for i in (1, 2)] == pytest.approx([want[i] for i in (1, 2)])
+    assert all(math.isnan(got[i]) for i in (3, 4, 5))
+
+
 def test_candidate_bounds(candidates, items):
     assert tuple(B.candidate_diversity(candidates, items, "vec", 2).first()) == pytest.approx((0.0, 2.0))
     low, high = B.candidate_diversity(candidates, items, "vec", 2, method="sampled", n_samples=20, seed=1).first()
