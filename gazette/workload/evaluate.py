@@ -1,12 +1,14 @@
 """Labels, example tables, scores, ranks, accuracy and beyond-accuracy metrics."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gazette import columns as C
 from gazette.functions import arrays
-from gazette.operators import accuracy, beyond, describe, labels as L, mapping, sampling, scoring
+from gazette.operators import accuracy, beyond, describe, inference, labels as L, mapping, sampling, scoring
 from gazette.plans.numbering import row_index
-from gazette.plans.store import materialise
+from gazette.plans.store import materialise, scratch_folder
 from gazette.workload import views as V
 from gazette.workload.prepare import SEED, _sql_draws
 from gazette.workload.registry import query
@@ -212,6 +214,35 @@ def batch_score(spark, d):
     return scoring.score_batches(rows, _half_price, "impression_id bigint, article_id bigint, score double")
 
 
+def _offer_value(batch):
+    return batch.assign(score=batch["price"] * (1 - batch["discount"] / 10))[["impression_id", "pos", "score"]]
+
+
+def _ranked_offers(chunk):
+    """Scores by a model in Arrow batches, regrouped to lists and ranked."""
+    offers = F.arrays_zip(F.col("price_scores").alias("price"), F.col(C.SCORES).alias("discount"))
+    rows = chunk.select(C.IMPRESSION_ID, F.posexplode(offers).alias("pos", "z")).select(C.IMPRESSION_ID, "pos", "z.*")
+    scored = scoring.score_batches(rows, _offer_value, "impression_id bigint, pos int, score double")
+    lists = scoring.add_prediction_scores(chunk.select(C.IMPRESSION_ID, C.INVIEW), scored, "value")
+    return scoring.rank_predictions_by_score(lists, "value", "ranks")
+
+
+@query(
+    with_views(
+        "cells",
+        """WITH s AS (SELECT impression_id, article_id, price * (1 - score / 10) AS score FROM cells)
+        SELECT impression_id, article_id, round(score, 6) AS score,
+               row_number() OVER (PARTITION BY impression_id ORDER BY score DESC, article_id DESC)::INT AS rank FROM s""",
+    )
+)
+def batch_rank(spark, d):
+    """The whole chain: score in chunks, rank, write, and read back what the run has completed."""
+    run = f"{scratch_folder(spark).rstrip('/')}/gazette-run-{uuid.uuid4().hex}"
+    out = inference.score_in_chunks(V.scored(spark, d), _ranked_offers, run, n_chunks=16, chunks_at_once=8)
+    rows = out.select(C.IMPRESSION_ID, F.inline(F.arrays_zip(F.col(C.INVIEW).alias(C.ARTICLE_ID), F.col("value").alias("score"), F.col("ranks").alias("rank"))))
+    return rows.withColumns({**r6("score"), "rank": F.col("rank").cast("int")})
+
+
 # --- ranks ---------------------------------------------------------------------------------
 
 
