@@ -15,6 +15,7 @@ from gazette import columns as C
 from gazette.functions.arrays import array_sum, dot, is_udf, resolve_distance, unit
 from gazette.functions.draws import distinct_draws
 from gazette.operators.checks import require_columns
+from gazette.operators.extremes import diversity_bounds
 from gazette.plans.lists import as_keys
 from gazette.plans.lookup import lookup_join
 from gazette.plans.numbering import row_index
@@ -264,25 +265,24 @@ def index_of_dispersion(df, column, group=()) -> DataFrame:
 def candidate_diversity(
     candidates, items, vector_col, n, item_col=C.ARTICLE_ID, distance="cosine", method="exact", n_samples=20000, seed=None, **join_options
 ) -> DataFrame:
-    """Lowest and highest diversity of ``n`` candidates.
+    """Lowest and highest diversity of ``n`` candidates; candidates without a vector take no part.
 
-    ``exact`` tries all combinations, whatever their number; ``sampled`` draws ``n_samples`` random
-    subsets and gives bounds over those. Which one runs never depends on the size of the input.
+    ``exact`` gives the bounds over all combinations by branch and bound (``operators.extremes``); ``sampled`` draws
+    ``n_samples`` random subsets and gives bounds over those. Which one runs never depends on the size of
+    the input. Below two candidates a list has no diversity, and the bounds are NaN.
     """
     if method not in ("exact", "sampled"):
         raise ValueError(f"method is exact or sampled, not {method}")
-    known = candidates.select(item_col).join(items.select(item_col), item_col, "left_semi")
-    indexed = row_index(known, [item_col], "__nr")
-    total = indexed.count()
+    known = candidates.select(item_col).join(items.filter(F.col(vector_col).isNotNull()).select(item_col, vector_col), item_col)
+    total = known.count()
     if n > total:
         raise ValueError(f"cannot recommend {n} of {total} candidates")
     spark = candidates.sparkSession
-    if method == "sampled":
-        picks = spark.range(n_samples).select(
-            F.col("id").alias("list_id"), distinct_draws(total, n, seed, "id").alias("picks")
-        )
-    else:
-        picks = _combinations(spark, total, n)
+    if method == "exact":
+        low, high = diversity_bounds(known, vector_col, n, [item_col], distance) if n > 1 else (NAN, NAN)
+        return spark.range(1).select(F.lit(low).alias("min_diversity"), F.lit(high).alias("max_diversity"))
+    indexed = row_index(known.select(item_col), [item_col], "__nr")
+    picks = spark.range(n_samples).select(F.col("id").alias("list_id"), distinct_draws(total, n, seed, "id").alias("picks"))
     rows = picks.select("list_id", F.posexplode("picks").alias("pos", "__nr")).withColumn("__nr", F.col("__nr").cast("bigint"))
     named = lookup_join(rows, indexed, "__nr", "inner", spread=["list_id"])
     lists = named.groupBy("list_id").agg(F.collect_list(item_col).alias("items"))
@@ -294,20 +294,6 @@ def candidate_diversity(
     )
 
 
-def _combinations(spark, total, n) -> DataFrame:
-    """All increasing index lists of length ``n`` below ``total``, grown place by place."""
-    grown = spark.range(1).select(F.array().cast("array<int>").alias("picks"))
-    for place in range(n):
-        last = F.coalesce(F.try_element_at("picks", F.lit(-1)), F.lit(-1))
-        upper = F.lit(total - n + place)
-        choices = F.when(last + 1 <= upper, F.sequence(last + 1, upper)).otherwise(F.array().cast("array<int>"))
-        grown = grown.select("picks", F.explode(choices).alias("i")).select(F.array_append("picks", F.col("i")).alias("picks"))
-        if place == 0:
-            grown = grown.repartition("picks")  # every first pick grows in a task of its own
-    name = F.concat_ws("-", F.col("picks").cast("array<string>"))
-    return grown.select(name.alias("list_id"), "picks")
-
-
 def _extremes(candidates, items, value, n, item_col, names):
     rows = candidates.select(item_col).join(items.select(item_col, value.alias("__x")), item_col)
     low = rows.orderBy(F.col("__x").asc(), item_col).limit(n).agg(F.avg("__x").alias(names[1]))

@@ -525,6 +525,23 @@ def candidate_diversity(spark, d):
     return out.withColumns(r6("min_diversity", "max_diversity"))
 
 
+@query(
+    with_views(
+        "units",
+        """WITH v AS MATERIALIZED (SELECT article_id, u FROM units JOIN part ON p_partkey = article_id),
+        d AS MATERIALIZED (SELECT a.article_id AS a, b.article_id AS b, 1 - list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2])) AS x
+                           FROM v a JOIN v b ON a.article_id < b.article_id),
+        trios AS (SELECT ab.x + ac.x + bc.x AS x FROM d ab JOIN d bc ON bc.a = ab.b JOIN d ac ON ac.a = ab.a AND ac.b = bc.b)
+        SELECT round(min(x) / 3, 6) AS min_diversity, round(max(x) / 3, 6) AS max_diversity FROM trios""",
+    )
+)
+def candidate_diversity_exact(spark, d):
+    """Over every three of all articles with a vector."""
+    items = V.vectors(spark, d)
+    out = beyond.candidate_diversity(V.articles(spark, d), items, "vector", 3, method="exact")
+    return out.withColumns(r6("min_diversity", "max_diversity"))
+
+
 @query(
     with_views(
         "inview articles",
