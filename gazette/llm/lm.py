@@ -22,7 +22,7 @@ from gazette.llm.hashing import Words, crc32_remainder, lower_words, mix
 from gazette.llm.registry import query, table
 from gazette.plans.store import materialise
 
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 1 << 24
 _SLICE_BYTES = 1 << 18  # text hashed at a time
 LEAST_BLOCKS = 8
 _RANGE_BYTES = 1 << 23  # text per hash range
@@ -78,6 +78,16 @@ def _distinct(keys: np.ndarray, taught: np.ndarray):
     return distinct, place, np.bincount(place[taught], minlength=len(distinct))
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: high bytes are mostly zero, which the shuffle's compression then finds."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _send(bits: int):
     def run(group: pa.Table) -> pa.Table:
         keys, _, own, _ = _block_keys(group)
@@ -88,8 +98,8 @@ def _send(bits: int):
             {
                 "part": pa.array(parts, pa.int32()),
                 "block": pa.array([block] * len(parts), pa.int64()),
-                "keys": pa.array([keys[cuts[p] : cuts[p + 1]].tobytes() for p in parts], pa.binary()),
-                "counts": pa.array([own[cuts[p] : cuts[p + 1]].astype(np.int32).tobytes() for p in parts], pa.binary()),
+                "keys": pa.array([_planes(np.diff(keys[cuts[p] : cuts[p + 1]], prepend=np.uint64(0))) for p in parts], pa.binary()),
+                "counts": pa.array([_planes(own[cuts[p] : cuts[p + 1]].astype(np.int32)) for p in parts], pa.binary()),
             }
         )
 
@@ -99,8 +109,9 @@ def _send(bits: int):
 def _answer(group: pa.Table) -> pa.Table:
     """Totals over all blocks of the keys of one hash range, for each block in its own order."""
     blocks = group.column("block").to_pylist()
-    keys = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()])
+    # the keys of a block are sorted and sent as differences
+    keys = [np.cumsum(_from_planes(x, np.uint64), dtype=np.uint64) for x in group.column("keys").to_pylist()]
+    counts = np.concatenate([_from_planes(x, np.int32) for x in group.column("counts").to_pylist()])
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(place, counts).astype(np.int64)[place]
     cuts = np.cumsum([len(k) for k in keys])[:-1]
@@ -109,7 +120,7 @@ def _answer(group: pa.Table) -> pa.Table:
         {
             "block": pa.array(blocks, pa.int64()),
             "part": pa.array([part] * len(blocks), pa.int32()),
-            "totals": pa.array([t.tobytes() for t in np.split(totals, cuts)], pa.binary()),
+            "totals": pa.array([_planes(t) for t in np.split(totals, cuts)], pa.binary()),
         }
     )
 
@@ -118,7 +129,7 @@ def _resolve(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """``id, held_out, words, pairs``: training counts of every token's word and pair."""
     _, place, _, counts = _block_keys(docs)
     answers = answers.sort_by("part")
-    totals = np.concatenate([np.frombuffer(x, np.int64) for x in answers.column("totals").to_pylist()])[place]
+    totals = np.concatenate([_from_planes(x, np.int64) for x in answers.column("totals").to_pylist()])[place]
     n = len(totals) // 2
     cuts = np.cumsum(counts)[:-1]
     return pa.table(
