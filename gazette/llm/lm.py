@@ -22,7 +22,7 @@ from gazette.llm.hashing import Words, crc32_remainder, lower_words, mix
 from gazette.llm.registry import query, table
 from gazette.plans.store import materialise
 
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 _SLICE_BYTES = 1 << 18  # text hashed at a time
 LEAST_BLOCKS = 8
 _RANGE_BYTES = 1 << 23  # text per hash range
@@ -165,6 +165,13 @@ def token_counts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: i
     )
 
 
+def _few(batches, rows: int = 512):
+    """The batches in pieces of a few rows, since work on their flat counts takes many times their size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _columns(batch, start):
     """Flat counts of a batch of ``token_counts`` rows, and the count of the token before each."""
     words, pairs = batch.column(start), batch.column(start + 1)
@@ -227,7 +234,7 @@ def interpolated_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id
     n_ends = counted.filter("NOT held_out").count()
 
     def words_seen(batches):
-        for b in batches:
+        for b in _few(batches):
             values, n = np.unique(_columns(b, 0)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["c", "n"])
 
@@ -239,7 +246,7 @@ def interpolated_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id
     total, vocabulary = total or 0, vocabulary or 0
 
     def deleted(batches):
-        for b in batches:
+        for b in _few(batches):
             words, pairs, sizes = _columns(b, 0)
             context = _contexts(words, sizes, n_ends) - 1
             by_pair = np.where(context > 0, (pairs - 1) / np.maximum(context, 1), 0)
@@ -253,7 +260,7 @@ def interpolated_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id
     weights = learn_weights([tuple(c) for c in cells], vocabulary)
 
     def score(batches):
-        for b in batches:
+        for b in _few(batches):
             words, pairs, sizes = _columns(b, 2)
             context = _contexts(words, sizes, n_ends)
             w = weights[_bucket(context)]
