@@ -131,13 +131,15 @@ def _resolve(docs: pa.Table, answers: pa.Table) -> pa.Table:
     answers = answers.sort_by("part")
     totals = np.concatenate([_from_planes(x, np.int64) for x in answers.column("totals").to_pylist()])[place]
     n = len(totals) // 2
-    cuts = np.cumsum(counts)[:-1]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    del place
+    pa.default_memory_pool().release_unused()
     return pa.table(
         {
             "id": docs.column("id"),
             "held_out": docs.column("held_out"),
-            "words": pa.array(np.split(totals[:n], cuts), pa.list_(pa.int64())),
-            "pairs": pa.array(np.split(totals[n:], cuts), pa.list_(pa.int64())),
+            "words": pa.ListArray.from_arrays(offsets, pa.array(totals[:n])),
+            "pairs": pa.ListArray.from_arrays(offsets, pa.array(totals[n:])),
         }
     )
 
@@ -170,6 +172,7 @@ def _few(batches, rows: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def _columns(batch, start):
