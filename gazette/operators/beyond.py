@@ -5,8 +5,6 @@ Ids missing from the item table are dropped first (coverage apart). Lists are ex
 to the item table once and folded back with map-side partial aggregates.
 """
 
-import math
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
