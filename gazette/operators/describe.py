@@ -180,12 +180,17 @@ def normalise_max(df, column, out=None) -> DataFrame:
 
 
 def same_candidate_list(df, inview_col=C.INVIEW) -> DataFrame:
-    """Number of different lists and the first of them; a shared candidate list has one."""
-    return df.agg(F.count_distinct(inview_col).alias("n_lists"), F.min(inview_col).alias("items"))
+    """Number of different lists and the first of them; a shared candidate list has one.
+
+    Lists are told apart by digests, so that no list but the first of each task is moved.
+    """
+    digest = F.when(F.col(inview_col).isNotNull(), F.sha2(F.to_json(F.struct(inview_col)), 256))
+    return df.agg(F.count_distinct(digest).alias("n_lists"), F.min(inview_col).alias("items"))
 
 
 def shared_candidates(df, inview_col=C.INVIEW, item_col=C.ARTICLE_ID) -> DataFrame:
     """The candidate list every row carries, one id per row; raises when rows differ."""
-    check = same_candidate_list(df, inview_col)
-    ok = F.when(F.col("n_lists") == 1, F.col("items")).otherwise(F.raise_error(F.lit("rows carry different candidate lists")))
+    # the least list is the greatest one only if all are equal
+    check = df.agg(F.min(inview_col).alias("items"), F.max(inview_col).alias("last"))
+    ok = F.when(F.col("items") == F.col("last"), F.col("items")).otherwise(F.raise_error(F.lit("rows carry different candidate lists")))
     return check.select(F.explode(ok).alias(item_col))
