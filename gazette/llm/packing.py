@@ -9,6 +9,7 @@ dot product of demand and room. That plan has at most a few kinds per length, wh
 documents; pieces find their place in it from their rank among pieces of their length.
 """
 
+import json
 import re
 import zlib
 
@@ -22,14 +23,18 @@ from gazette.plans.store import materialise
 
 MAX_TOKENS = 1024
 END_ID = 2
-_KNOWN = 400_000  # chunks whose ids a worker keeps
+_KNOWN = 100_000  # chunks in each of the two generations whose ids a worker keeps
+_ROW = 256  # chunks encoded in a row
+_LONGEST = 64  # longer chunks are not kept, which bounds the bytes too
 
 
 class ChunkTokenizer:
     """A byte-level BPE tokenizer that remembers the ids of chunks between blanks.
 
     Its pre-tokenizer always starts anew at a blank before a non-blank character, so the ids of a
-    text are those of its chunks in turn. Texts with a special token's string are encoded whole.
+    text are those of its chunks in turn. The usual byte-level one also does so around a line feed
+    between non-blanks, and between ASCII letters, digits and other signs, so that a word is encoded
+    once, whatever follows it. Texts with a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -40,31 +45,84 @@ class ChunkTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        pre = spec.get("pre_tokenizer") or {}
+        self.fine = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not spec.get("normalizer")
+
+        # in a byte-level vocabulary exactly the tokens that begin with a blank begin with this letter
+        self.opens = np.zeros(self.model.get_vocab_size(with_added_tokens=True), bool)
+        if pre.get("type") == "ByteLevel":
+            self.opens[[i for token, i in self.model.get_vocab().items() if token.startswith("\u0120")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of each chunk. Those that begin with their only blank are encoded many in a row and told apart by it."""
+        alone, joint = [], []
+        for c in chunks:
+            (joint if _OPENED.fullmatch(c) else alone).append(c)
+        groups = [joint[at : at + _ROW] for at in range(0, len(joint), _ROW)]
+        out = {}
+        for group, raw in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])
+            if len(starts) != len(group):
+                alone += group
+                continue
+            cuts = [*(4 * starts).tolist(), len(raw)]
+            out.update((c, raw[a:b]) for c, a, b in zip(group, cuts, cuts[1:]))
+        out.update(zip(alone, self._encode(alone), strict=True))
+        return out
+
+    def _chunks(self, text: str) -> list[str]:
+        if _WIDE.search(text) or "\0" in text:
+            return (_FINE_CUT if self.fine else _CUT).split(text)
+        text = text.replace(" ", "\0 ")
+        return (text.replace("\n", "\0\n\0") if self.fine else text).split("\0")
+
+    def _parts(self, chunk: str) -> list[str]:
+        """The pieces of a chunk that the pre-tokenizer sets apart; the chunk itself unless that is plain."""
+        if self.fine and chunk.isascii() and "'" not in chunk:
+            parts = _KINDS.findall(chunk)
+            if len("".join(parts)) == len(chunk):
+                return parts
+        return [chunk]
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        self.recent.update((c, ids) for c, ids in found.items() if len(c) <= _LONGEST)
+        if len(self.recent) > _KNOWN:
+            self.older, self.recent = self.recent, {}
+
+    def _lookup(self, wanted: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Known ids, and the strings without; those from the older generation count as recent again."""
+        found = {c: ids for c in wanted if (ids := self.recent.get(c)) is not None}
+        again = {c: ids for c in wanted if c not in found and (ids := self.older.get(c)) is not None}
+        found.update(again)
+        self._keep(again)
+        return found, [c for c in wanted if c not in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        chunked = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                chunked.append(None)
-                continue
-            parts = _GAP.split(text) if _WIDE.search(text) else text.split(" ")
-            chunked.append([parts[0], *[" " + p for p in parts[1:]]])
-        known = self.known
-        missing = list({c for chunks in chunked if chunks for c in chunks if c not in known})
-        if len(known) + len(missing) > _KNOWN:
-            missing = list({c for chunks in chunked if chunks for c in chunks})
-            known.clear()
-        known.update(zip(missing, self._encode(missing), strict=True))
+        chunked = [None if any(s in t for s in self.special) else self._chunks(t) for t in texts]
+        known, missing = self._lookup({c for chunks in chunked if chunks for c in chunks})
+        cut = {c: self._parts(c) for c in missing}
+        ids, new = self._lookup({p for parts in cut.values() for p in parts})
+        fresh = self._encode_chunks(new)
+        ids.update(fresh)
+        whole = {c: b"".join([ids[p] for p in parts]) for c, parts in cut.items()}
+        self._keep(fresh | whole)
+        known.update(whole)
         return [self._encode([t])[0] if c is None else b"".join([known[x] for x in c]) for t, c in zip(texts, chunked, strict=True)]
 
 
+_OPENED = re.compile(r" \S+")
 _WIDE = re.compile(r"\s\s")
-_GAP = re.compile(r" (?=\S)")
+_CUT = re.compile(r"(?= \S)")
+_FINE_CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+_KINDS = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+")
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
 

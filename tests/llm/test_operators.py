@@ -155,6 +155,23 @@ def test_tokenizer_chunks():
     assert own.encode(cases) == want
 
 
+def test_tokenizer_forgets_in_generations(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, own = Tokenizer.from_file(path), packing.ChunkTokenizer(path)
+    monkeypatch.setattr(packing, "_KNOWN", 40)
+    monkeypatch.setattr(packing, "_ROW", 3)
+    signs = [" ", "  ", "\n", "\t", "\r", "a", "Bc", "9", "'s", "'", "\u00e9", "\u00a0", "\u3000", "\0", "\x1c", ",", "...", "\x85", "_", "\u4e2d", "\u0301", "<|endoftext|>", "\U0001f600"]
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        some = ["".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(10)] + ["x" * 100, ""]
+        want = [np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+        assert own.encode(some) == want
+        assert len(own.recent) <= 40 and max(map(len, [*own.recent, *own.older])) <= 64
+
+
 def test_line_dedup_odd(spark, odd):
     got = lines.drop_recurring_lines(odd).collect()
     assert len(got) == len(ODD) and all(r.n_dropped == 0 for r in got)
