@@ -1,5 +1,7 @@
 """Walking over Arrow batches in pieces of bounded size."""
 
+import ctypes
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
@@ -17,8 +19,19 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return column(batch, name, pa.binary())
 
 
+def give_back() -> None:
+    """Return freed memory to the system, since a worker outlives its task and an executor has many."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, name: str = "text", limit: int = 1 << 20):
-    """Slices of the batches with at most ``limit`` bytes of text each, or a single row."""
+    """Slices of the batches with at most ``limit`` bytes of text each, or a single row.
+
+    Once they are used up, the task's freed memory goes back to the system.
+    """
     for batch in batches:
         start = size = 0
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0)
@@ -29,6 +42,7 @@ def slices(batches, name: str = "text", limit: int = 1 << 20):
             size += n
         if batch.num_rows > start:
             yield batch.slice(start)
+    give_back()
 
 
 def shards(batches, name: str = "text", limit: int = 1 << 25):

@@ -17,7 +17,7 @@ def _power(base: int, n: int) -> np.ndarray:
     while len(table) < n:
         step = np.uint64(pow(base, len(table), 2**64))
         table = np.concatenate([table, table * step])
-    if len(table) <= 1 << 22:
+    if len(table) <= 1 << 21:  # 16 MB; a longer table is for one long text
         _powers[base] = table
     return table[:n]
 
