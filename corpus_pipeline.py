@@ -9,15 +9,18 @@ from gazette.llm.lines import drop_lines_across_copies
 from gazette.llm.packing import pack
 from gazette.plans.store import materialise
 
-# A text less like every learnt language than this is in none of them. Texts of two or three
-# ordinary words score above 0.05, texts without letters 0.
-LEAST_LIKENESS = 0.02
+# Unrelated texts have a likeness of 1/32 on average spread (profiles of 1,024 dimensions), so five times that
+# is beyond chance. Cuttings of 60 letters from ordinary texts score above it, shorter ones often do not: too
+# short to tell, they stay if they have a letter.
+LEAST_LIKENESS = 5 / 32
+ENOUGH_LETTERS = 60
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus labels; texts without letters and unlike all of them go."""
+    """Documents in a language that the corpus labels; texts without letters and longer ones unlike all of them go."""
     found = identify(docs, learn_prototypes(docs), lang_name="__lang", score_name="__like")
-    return found.filter((F.col("__lang") != UNDETERMINED) & (F.col("__like") >= LEAST_LIKENESS)).select(*docs.columns)
+    short = F.length(F.regexp_replace("text", r"[^\p{L}]+", "")) < ENOUGH_LETTERS
+    return found.filter((F.col("__lang") != UNDETERMINED) & (short | (F.col("__like") >= LEAST_LIKENESS))).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
