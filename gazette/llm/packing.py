@@ -9,32 +9,38 @@ dot product of demand and room. That plan has at most a few kinds per length, wh
 documents; pieces find their place in it from their rank among pieces of their length.
 """
 
+import itertools
 import json
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gazette.llm.blocks import slices, texts
+from gazette.llm.blocks import slices
 from gazette.llm.registry import query, table
 from gazette.plans.store import materialise
 
 MAX_TOKENS = 1024
 END_ID = 2
-_KNOWN = 100_000  # chunks in each of the two generations whose ids a worker keeps
-_ROW = 256  # chunks encoded in a row
+_SLICE_BYTES = 1 << 22  # text tokenised at a time
+_KNOWN = 200_000  # chunks whose ids a worker keeps
 _LONGEST = 64  # longer chunks are not kept, which bounds the bytes too
+_ROW = 256  # chunks encoded in a row
+_LINE_FEED = "\u010a"  # the token of a line feed in a byte-level vocabulary, where a blank is the letter below
+_BLANK = "\u0120"
 
 
 class ChunkTokenizer:
-    """A byte-level BPE tokenizer that remembers the ids of chunks between blanks.
+    """A byte-level BPE tokenizer that encodes each distinct chunk between blanks once and remembers it.
 
     Its pre-tokenizer always starts anew at a blank before a non-blank character, so the ids of a
     text are those of its chunks in turn. The usual byte-level one also does so around a line feed
-    between non-blanks, and between ASCII letters, digits and other signs, so that a word is encoded
-    once, whatever follows it. Texts with a special token's string are encoded whole.
+    between non-blanks. Splitting, finding distinct chunks and putting ids together are done on
+    columns; chunks are encoded many in a row, set apart by the tokens that begin with a blank or are
+    line feeds. Texts with a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -45,84 +51,123 @@ class ChunkTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre = spec.get("pre_tokenizer") or {}
-        self.fine = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not spec.get("normalizer")
-
-        # in a byte-level vocabulary exactly the tokens that begin with a blank begin with this letter
+        bytewise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.fine = bytewise and pre.get("use_regex", True)
         self.opens = np.zeros(self.model.get_vocab_size(with_added_tokens=True), bool)
-        if pre.get("type") == "ByteLevel":
-            self.opens[[i for token, i in self.model.get_vocab().items() if token.startswith("\u0120")]] = True
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each chunk. Those that begin with their only blank are encoded many in a row and told apart by it."""
-        alone, joint = [], []
-        for c in chunks:
-            (joint if _OPENED.fullmatch(c) else alone).append(c)
-        groups = [joint[at : at + _ROW] for at in range(0, len(joint), _ROW)]
-        out = {}
-        for group, raw in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
-            starts = np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])
-            if len(starts) != len(group):
-                alone += group
-                continue
-            cuts = [*(4 * starts).tolist(), len(raw)]
-            out.update((c, raw[a:b]) for c, a, b in zip(group, cuts, cuts[1:]))
-        out.update(zip(alone, self._encode(alone), strict=True))
+        self.feeds = self.opens.copy()
+        if bytewise:
+            self.opens[[i for token, i in self.model.get_vocab().items() if token.startswith(_BLANK)]] = True
+        if self.fine and _LINE_FEED in self.model.get_vocab():
+            self.feeds[self.model.token_to_id(_LINE_FEED)] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.cuts = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after the other, and where each chunk's begin and end."""
+        opened = pc.match_substring_regex(chunks, _OPENED).to_numpy(zero_copy_only=False) & self.opens.any()
+        plain = pc.match_substring_regex(chunks, _PLAIN).to_numpy(zero_copy_only=False) & self.feeds.any()
+        order, found, sizes = [], [], []
+        for chosen, glue, marks in ((opened, "", self.opens), (plain, "\n", self.feeds)):
+            at = np.flatnonzero(chosen)
+            names = chunks.take(pa.array(at)).to_pylist()
+            groups = [slice(i, i + _ROW) for i in range(0, len(at), _ROW)]
+            for group, ids in zip(groups, self._encode([glue.join(names[g]) for g in groups]), strict=True):
+                n = len(at[group])
+                edges = np.flatnonzero(marks[ids])
+                if len(edges) == n - bool(glue):
+                    if glue:  # the line feeds go
+                        size = np.diff(np.concatenate([[-1], edges, [len(ids)]])) - 1
+                        ids = np.delete(ids, edges)
+                    else:
+                        size = np.diff(np.append(edges, len(ids)))
+                    order.append(at[group])
+                    found.append(ids)
+                    sizes.append(size)
+                else:
+                    chosen[at[group]] = False
+        alone = np.flatnonzero(~(opened | plain))
+        each = self._encode(chunks.take(pa.array(alone)).to_pylist())
+        order = np.concatenate([*order, alone]).astype(np.int64)
+        sizes = np.concatenate([*sizes, [len(x) for x in each]]).astype(np.int64)
+        ends = np.cumsum(sizes)
+        place = np.empty(len(chunks), np.int64)
+        place[order] = np.arange(len(chunks))
+        return _gathered(np.concatenate([*found, *each, self.ids[:0]]), (ends - sizes)[place], sizes[place])
+
+    def _distinct_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_chunk_ids``, with the help of what earlier texts had."""
+        at = pc.index_in(chunks, self.known)
+        new = chunks.filter(pc.is_null(at))
+        ids, cuts = self._chunk_ids(new)
+        pool = np.concatenate([self.ids, ids])
+        starts = np.concatenate([self.cuts[:-1], cuts[:-1] + len(self.ids)])
+        sizes = np.concatenate([np.diff(self.cuts), np.diff(cuts)])
+        spot = np.empty(len(chunks), np.int64)
+        missing = pc.is_null(at).to_numpy(zero_copy_only=False)
+        spot[missing] = len(self.known) + np.arange(len(new))
+        spot[~missing] = at.drop_null().to_numpy()
+        ids, cuts = _gathered(pool, starts[spot], sizes[spot])
+        # beyond the bound only the last texts' chunks are kept
+        kept, numbers = (pa.concat_arrays([self.known, new]), None) if len(self.known) + len(new) <= _KNOWN else (chunks, spot)
+        short = pc.less_equal(pc.binary_length(kept), _LONGEST).to_numpy(zero_copy_only=False)
+        numbers = (np.arange(len(kept)) if numbers is None else numbers)[short]
+        self.known = kept.filter(pa.array(short))
+        self.ids, self.cuts = _gathered(pool, starts[numbers], sizes[numbers])
+        if len(self.known) > _KNOWN:
+            self._forget()
+        return ids, cuts
+
+    def _of_lists(self, lists: pa.Array) -> list[bytes]:
+        """Ids of texts given as lists of their chunks."""
+        coded = lists.flatten().dictionary_encode()
+        ids, cuts = self._distinct_ids(coded.dictionary)
+        code = coded.indices.to_numpy()
+        ids, cuts = _gathered(ids, cuts[:-1][code], np.diff(cuts)[code])
+        edges = (4 * cuts[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in itertools.pairwise(edges)]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers; a null text is empty."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        names = texts.to_pylist()
+        whole = np.array([any(s in t for s in self.special) for t in names], bool)
+        wide = np.array([bool(_WIDE.search(t)) or "\0" in t for t in names], bool) & ~whole
+        narrow = ~(whole | wide)
+        out: list[bytes] = [b""] * len(names)
+        cut = pc.replace_substring(texts.filter(pa.array(narrow)), " ", "\0 ")
+        if self.fine:
+            cut = pc.replace_substring(cut, "\n", "\0\n\0")
+        pattern = _FINE_CUT if self.fine else _CUT
+        widely = pa.array([pattern.split(names[i]) for i in np.flatnonzero(wide)], pa.large_list(pa.large_string()))
+        singly = [x.tobytes() for x in self._encode([names[i] for i in np.flatnonzero(whole)])]
+        for chosen, found in ((narrow, self._of_lists(pc.split_pattern(cut, "\0"))), (wide, self._of_lists(widely)), (whole, singly)):
+            for i, ids in zip(np.flatnonzero(chosen).tolist(), found, strict=True):
+                out[i] = ids
         return out
 
-    def _chunks(self, text: str) -> list[str]:
-        if _WIDE.search(text) or "\0" in text:
-            return (_FINE_CUT if self.fine else _CUT).split(text)
-        text = text.replace(" ", "\0 ")
-        return (text.replace("\n", "\0\n\0") if self.fine else text).split("\0")
-
-    def _parts(self, chunk: str) -> list[str]:
-        """The pieces of a chunk that the pre-tokenizer sets apart; the chunk itself unless that is plain."""
-        if self.fine and chunk.isascii() and "'" not in chunk:
-            parts = _KINDS.findall(chunk)
-            if len("".join(parts)) == len(chunk):
-                return parts
-        return [chunk]
-
-    def _keep(self, found: dict[str, bytes]) -> None:
-        self.recent.update((c, ids) for c, ids in found.items() if len(c) <= _LONGEST)
-        if len(self.recent) > _KNOWN:
-            self.older, self.recent = self.recent, {}
-
-    def _lookup(self, wanted: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """Known ids, and the strings without; those from the older generation count as recent again."""
-        found = {c: ids for c in wanted if (ids := self.recent.get(c)) is not None}
-        again = {c: ids for c in wanted if c not in found and (ids := self.older.get(c)) is not None}
-        found.update(again)
-        self._keep(again)
-        return found, [c for c in wanted if c not in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        chunked = [None if any(s in t for s in self.special) else self._chunks(t) for t in texts]
-        known, missing = self._lookup({c for chunks in chunked if chunks for c in chunks})
-        cut = {c: self._parts(c) for c in missing}
-        ids, new = self._lookup({p for parts in cut.values() for p in parts})
-        fresh = self._encode_chunks(new)
-        ids.update(fresh)
-        whole = {c: b"".join([ids[p] for p in parts]) for c, parts in cut.items()}
-        self._keep(fresh | whole)
-        known.update(whole)
-        return [self._encode([t])[0] if c is None else b"".join([known[x] for x in c]) for t, c in zip(texts, chunked, strict=True)]
-
-
-_OPENED = re.compile(r" \S+")
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` one after the other, and where each begins and ends in the result."""
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return values[np.repeat(starts - cuts[:-1], sizes) + np.arange(cuts[-1])], cuts
+
+
+_NO_BLANK = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
+_OPENED = f"^ {_NO_BLANK}$"
+_PLAIN = f"^{_NO_BLANK}$"
 _WIDE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?= \S)")
 _FINE_CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-_KINDS = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+")
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
 
@@ -152,8 +197,8 @@ def tokenised_pieces(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
-        for part in slices(batches):
-            encoded = tokenizer(path).encode([(t or b"").decode() for t in texts(part)])
+        for part in slices(batches, limit=_SLICE_BYTES):
+            encoded = tokenizer(path).encode(part.column(part.schema.get_field_index("text")))
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, raw in enumerate(encoded):
                 raw += end

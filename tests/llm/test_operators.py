@@ -155,7 +155,7 @@ def test_tokenizer_chunks():
     assert own.encode(cases) == want
 
 
-def test_tokenizer_forgets_in_generations(monkeypatch):
+def test_tokenizer_forgets(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -169,7 +169,8 @@ def test_tokenizer_forgets_in_generations(monkeypatch):
         some = ["".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(10)] + ["x" * 100, ""]
         want = [np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
         assert own.encode(some) == want
-        assert len(own.recent) <= 40 and max(map(len, [*own.recent, *own.older])) <= 64
+        assert len(own.known) <= 40 and len(own.cuts) == len(own.known) + 1
+        assert max((len(x.encode()) for x in own.known.to_pylist()), default=0) <= 64
 
 
 def test_line_dedup_odd(spark, odd):
