@@ -16,9 +16,9 @@ pairs, combined on the map side, so a leaf or template with very many lines is n
 """
 
 import re
-import zlib
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from gazette.llm.blocks import column, slices, texts
@@ -45,9 +45,8 @@ def masked(line: bytes) -> list[bytes]:
 
 
 def _hash(parts: list[bytes]) -> int:
-    """A signed 64-bit hash from two independent 32-bit sums."""
-    data = b" ".join(parts)
-    return ((zlib.crc32(data) << 32) | zlib.adler32(data[::-1] + b"%d" % zlib.crc32(data, 77))) - (1 << 63)
+    """A signed 64-bit hash."""
+    return xxhash.xxh3_64_intdigest(b" ".join(parts)) - (1 << 63)
 
 
 def _parsed(rows: DataFrame, depth: int, long_tokens: int | None = None) -> DataFrame:
@@ -161,7 +160,7 @@ def drop_recurring_lines(
     constant tokens. A text whose recurring lines hold ``copy_percent`` of the bytes of its lines that
     are not blank is a copy and stays as it is. Null texts (0 lines) and texts with a null id stay as
     they are; blank lines are never dropped. Rows of a repeated id count as one document. Columns
-    named like the three new ones are replaced.
+    named like the three new ones are replaced; names that begin with two underscores are reserved.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     parsed = materialise(_parsed(rows, depth))
@@ -172,23 +171,23 @@ def drop_recurring_lines(
         .agg(
             F.sum("chars").alias("chars"),
             F.sum(F.when(F.col("hit"), F.col("chars"))).alias("recurring"),
-            F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("nr")))).alias("at"),
+            F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("nr")))).alias("__at"),
         )
         .filter("recurring > 0")
         .select(
-            F.col("id").alias("__id"), F.col("h").alias("__h"), "at",
+            F.col("id").alias("__id"), F.col("h").alias("__h"), "__at",
             (F.col("recurring") * 100 >= F.col("chars") * copy_percent).alias("__copy"),
         )
     )
     joined = docs.withColumn("__key", F.xxhash64(text_col)).join(found, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
     whole = F.split(text_col, "\n", -1)
     drops = F.col("__copy").isNotNull() & ~F.col("__copy")
-    cut = F.array_join(F.filter(whole, lambda line, nr: ~F.array_contains(F.col("at"), nr)), "\n")
+    cut = F.array_join(F.filter(whole, lambda line, nr: ~F.array_contains(F.col("__at"), nr)), "\n")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "is_copy")]
     return joined.select(
         *[F.when(drops, cut).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(whole)).cast("long").alias("n_lines"),
-        F.when(drops, F.size("at")).otherwise(0).cast("long").alias("n_dropped"),
+        F.when(drops, F.size("__at")).otherwise(0).cast("long").alias("n_dropped"),
         F.coalesce("__copy", F.lit(False)).alias("is_copy"),
     )
 

@@ -180,6 +180,9 @@ def test_line_dedup_odd(spark, odd):
     done = lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_constant=50).collect()
     assert all(r.n_dropped == 1 and "rights" not in r.text for r in done)
     assert lines.drop_recurring_lines(odd.limit(0)).count() == 0
+    clash = spark.createDataFrame([(*r, 7, "x", None) for r in rows], "doc_id long, text string, at long, h string, chars string")
+    done = lines.drop_recurring_lines(clash, min_constant=50).collect()
+    assert all(r.n_dropped == 1 and r.at == 7 and r.h == "x" and r.chars is None for r in done)
 
 
 def test_lines_across_copies(spark):
