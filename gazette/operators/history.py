@@ -9,7 +9,7 @@ from gazette.functions.arrays import field, tail, tail_padded
 from gazette.functions.draws import digest
 from gazette.operators.checks import require_columns
 from gazette.plans.lookup import HOT_ROWS, lookup_join
-from gazette.plans.numbering import row_index
+from gazette.plans.numbering import first_rows, row_index
 
 
 def truncate_history(df, column, history_size, padding_value=None, enable_warning=True) -> DataFrame:
@@ -84,20 +84,20 @@ def fixed_histories(
     item_col: str = C.ARTICLE_ID,
     timestamp_col: str = C.IMPRESSION_TIME,
     tie_cols=None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per user: parallel lists over the rows before the cut-off, in time order.
 
-    With a ``history_size`` the latest rows are picked by a ranked window, which Spark limits
-    on the map side, so a heavy user sends at most ``history_size`` rows per task. Without one
-    the list is the user's whole past, as long as that is.
+    With a ``history_size`` the latest rows are picked by ``first_rows``: up to 1000 a heavy user sends at
+    most ``history_size`` rows per task, and beyond that a user with more than ``hot_rows`` rows is ranked
+    over many tasks. Without one the list is the user's whole past, as long as that is.
     """
     order = [timestamp_col, *_tie(df, tie_cols)]
     before = F.lit(dt_cutoff)
     past = df.filter(F.col(item_col).isNotNull() & (F.col(timestamp_col) < before))
     past = past.select(*dict.fromkeys([user_col, *order, *columns]))
     if history_size is not None:
-        latest = Window.partitionBy(user_col).orderBy(*[F.col(c).desc() for c in order])
-        past = past.withColumn("__nr", F.row_number().over(latest)).filter(F.col("__nr") <= history_size)
+        past = first_rows(past, history_size, [user_col], [F.col(c).desc() for c in order], hot_rows)
     # one struct per row: separate lists would lose nulls and fall out of step
     row = F.struct(*order, *[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)])
     lists = past.groupBy(user_col).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
@@ -149,14 +149,10 @@ def create_fixed_history_aggr_columns(
     return _with_past(df, past, user_col).select(*df.columns, *names)
 
 
-def down_sample_on_users(df, n, user_col=C.USER, seed=None, key=C.IMPRESSION_ID) -> DataFrame:
-    """At most ``n`` rows per user, picked by digest of ``key``.
-
-    The ranked window is limited on the map side, so a heavy user costs ``n`` rows per task.
-    """
+def down_sample_on_users(df, n, user_col=C.USER, seed=None, key=C.IMPRESSION_ID, hot_rows=None) -> DataFrame:
+    """At most ``n`` rows per user, picked by digest of ``key``; ``first_rows`` says how heavy users are ranked."""
     keys = [key] if isinstance(key, str) else list(key)
-    pick = Window.partitionBy(user_col).orderBy(digest(seed, *keys), *keys)
-    return df.withColumn("__nr", F.row_number().over(pick)).filter(F.col("__nr") <= n).drop("__nr")
+    return first_rows(df, n, [user_col], [digest(seed, *keys), *keys], hot_rows)
 
 
 def split_last_period(df, period="INTERVAL 1 DAY", timestamp_col=C.IMPRESSION_TIME) -> tuple[DataFrame, DataFrame]:

@@ -11,14 +11,19 @@ from gazette.plans.lookup import lookup_join
 
 
 def create_lookup(df, key, value, order_col=None) -> DataFrame:
-    """A two-column mapping, one row per key; on repeated keys the last one in ``order_col`` wins."""
-    if order_col is None:
-        return df.select(key, value).dropDuplicates([key])
-    return df.groupBy(key).agg(F.max_by(value, order_col).alias(value))
+    """A two-column mapping, one row per key; on repeated keys the last one in ``order_col`` wins.
+
+    Rows that tie, as all rows of a key do without ``order_col``, are settled by the greatest value, nulls
+    least, so that the mapping does not depend on how rows are partitioned.
+    """
+    order = [] if order_col is None else [F.col(c) for c in as_keys(order_col)]
+    last = F.max(F.struct(*[c.alias(f"__{i}") for i, c in enumerate(order)], F.col(value).alias("__value")))
+    return df.groupBy(key).agg(last.alias("__last")).select(key, F.col("__last.__value").alias(value))
 
 
-def create_article_id_to_value_mapping(df, value_col, article_col=C.ARTICLE_ID) -> DataFrame:
-    return df.select(article_col, value_col)
+def create_article_id_to_value_mapping(df, value_col, article_col=C.ARTICLE_ID, order_col=None) -> DataFrame:
+    """A two-column mapping from item to value, one row per item, as ``create_lookup`` settles it."""
+    return create_lookup(df, article_col, value_col, order_col)
 
 
 def map_list_article_id_to_value(

@@ -2,7 +2,7 @@
 
 import random
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gazette import columns as C
 from gazette.functions.arrays import without
@@ -15,7 +15,7 @@ from gazette.functions.draws import (
 )
 from gazette.plans.lists import as_keys
 from gazette.plans.lookup import lookup_join
-from gazette.plans.numbering import digest_cut, digest_index, row_index
+from gazette.plans.numbering import digest_cut, digest_index, first_rows, row_index
 
 
 def _seed(seed):
@@ -168,7 +168,6 @@ def random_candidates(candidates, n, n_lists, seed, item_col=C.ARTICLE_ID, list_
     return lookup_join(rows, indexed, "__nr", "inner", spread=[list_id, "pos"]).select(list_id, "pos", item_col)
 
 
-def top_n_per_group(df, n, group, order) -> DataFrame:
-    """The first ``n`` rows of each group; the limit is applied on the map side too."""
-    pick = Window.partitionBy(*as_keys(group)).orderBy(*order)
-    return df.withColumn("__nr", F.row_number().over(pick)).filter(F.col("__nr") <= n).drop("__nr")
+def top_n_per_group(df, n, group, order, hot_rows=None) -> DataFrame:
+    """The first ``n`` rows of each group, limited on the map side or ranked over many tasks (``first_rows``)."""
+    return first_rows(df, n, as_keys(group), list(order), hot_rows)

@@ -1,7 +1,11 @@
 """Dense row numbers and running totals without a single-task window."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gazette.plans.lookup import HOT_ROWS
 from gazette.plans.store import materialise
 
 _LOCAL_BITS = 33  # layout of monotonically_increasing_id: partition number above, row number below
@@ -61,6 +65,47 @@ def running_total(df: DataFrame, order: list, value: str, name: str, inclusive:
     )
 
 
+def row_position(df: DataFrame, name: str = "row_nr") -> DataFrame:
+    """Add the 0-based position of each row in the order that ``df`` already has; it is stored once for that."""
+    tag = F.monotonically_increasing_id()
+    stored = materialise(
+        df.withColumn("__tag", tag)
+        .withColumn("__part", F.shiftrightunsigned("__tag", _LOCAL_BITS).cast("int"))
+        .withColumn("__local", F.col("__tag").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+        .drop("__tag")
+    )
+    starts = _starts(stored.groupBy("__part").agg(F.count("*").alias("__n")), "__n")
+    placed = stored.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__local"))
+    return placed.drop("__part", "__local", "__start")
+
+
+def first_rows(df: DataFrame, n: int, group: list[str], order: list, hot_rows: int | None = None) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, which should be total.
+
+    A ranked window does it, and up to the session's ``windowGroupLimitThreshold`` Spark limits it on the
+    map side. Beyond that, groups with more than ``hot_rows`` rows are numbered along (group, order) by
+    a range sort instead, so that no task sorts such a group.
+    """
+
+    def windowed(rows):
+        ranked = Window.partitionBy(*group).orderBy(*order)
+        return rows.withColumn("__nr", F.row_number().over(ranked)).filter(F.col("__nr") <= n).drop("__nr")
+
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return windowed(df)
+    names = [f"__group_{i}" for i in range(len(group))]
+    keys = [F.col(c).alias(k) for c, k in zip(group, names, strict=True)]
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(group, names, strict=True)])
+    large = df.groupBy(*keys).count().filter(F.col("count") > (HOT_ROWS if hot_rows is None else hot_rows)).drop("count")
+    if large.isEmpty():
+        return windowed(df)
+    hot = F.broadcast(large)  # at most rows / hot_rows groups
+    numbered = row_index(df.join(hot, same, "left_semi"), [*group, *order], "__nr")
+    starts = F.broadcast(numbered.groupBy(*keys).agg(F.min("__nr").alias("__first")))
+    picked = numbered.join(starts, same).filter(F.col("__nr") - F.col("__first") < n).select(*df.columns)
+    return windowed(df.join(hot, same, "left_anti")).unionByName(picked)
+
+
 # Digests are uniform, so their leading hex digits cut the rows into even buckets.
 _BUCKET_DIGITS = 4
 

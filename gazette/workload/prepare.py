@@ -10,7 +10,7 @@ from gazette import columns as C
 from gazette.functions import ranking
 from gazette.functions.arrays import binary_labels
 from gazette.operators import checks, filters, history, mapping, sampling, scoring
-from gazette.plans.numbering import row_index as number_rows
+from gazette.plans.numbering import row_index as number_rows, row_position
 from gazette.plans.store import materialise, scratch_folder
 from gazette.sources import files
 from gazette.workload import views as V
@@ -522,7 +522,7 @@ def unique_list(spark, d):
 
 @query(f"SELECT o_orderkey AS impression_id, row_number() OVER (ORDER BY {sql_key(SEED, 'o_orderkey')}) - 1 AS row_nr FROM orders")
 def shuffle_rows(spark, d):
-    return sampling.shuffled_index(V.order_heads(spark, d), SEED).select(C.IMPRESSION_ID, "row_nr")
+    return row_position(sampling.shuffle_rows(V.order_heads(spark, d).select(C.IMPRESSION_ID), SEED, C.IMPRESSION_ID))
 
 
 _SHUFFLED = f"""

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from gazette import columns as C
 from gazette.functions.arrays import linear_decay_weights
 from gazette.operators import history, mapping, sampling, scoring
+from gazette.operators.mapping import create_article_id_to_value_mapping, create_lookup
 from gazette.plans import lookup
+from gazette.plans.numbering import first_rows, row_position
 from gazette.plans.store import materialise, scratch_folder
 from gazette.workload import views as V
 
@@ -149,3 +151,26 @@ def test_histories_are_whole(spark, small):
 
     read = V.clicks(spark, small).filter("article_id IS NOT NULL").count()
     assert V.histories(spark, small).selectExpr("sum(size(article_id_fixed))").first()[0] == read
+
+
+@pytest.mark.parametrize("hot_rows", [None, 50])
+def test_first_rows_beyond_the_window_limit(spark, hot_rows):
+    heavy = spark.range(3000).select(F.lit("a").alias("user"), F.col("id").alias("t"))
+    light = spark.range(60).select(F.lit("b").alias("user"), F.col("id").alias("t"))
+    null = spark.range(5).select(F.lit(None).cast("string").alias("user"), F.col("id").alias("t"))
+    rows = heavy.unionByName(light).unionByName(null).repartition(7)
+    got = first_rows(rows, 1500, ["user"], [F.col("t").desc()], hot_rows)
+    found = {r.user: (r.n, r.low, r.high) for r in got.groupBy("user").agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).collect()}
+    assert found == {"a": (1500, 1500, 2999), "b": (60, 0, 59), None: (5, 0, 4)}
+    # only groups at or below hot_rows meet in a window
+    plan = got._jdf.queryExecution().toString()
+    assert ("LeftAnti" in plan) == (hot_rows is not None)
+
+
+def test_positions_and_last_wins(spark):
+    df = spark.range(1000).repartition(5).orderBy(F.col("id").desc())
+    assert row_position(df).filter("row_nr <> 999 - id").count() == 0
+    pairs = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, None, 5), (2, "c", 4), (3, "d", 1), (3, "e", 1)], "k int, v string, t int")
+    last = {r.k: r.v for r in create_lookup(pairs, "k", "v", "t").collect()}
+    assert last == {1: "b", 2: None, 3: "e"}
+    assert {r.k: r.v for r in create_article_id_to_value_mapping(pairs, "v", "k").collect()} == {1: "b", 2: "c", 3: "e"}
