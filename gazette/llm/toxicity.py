@@ -2,9 +2,9 @@
 
 ``logit = b + sum w_i + 1/2 * sum_f ((sum_i v_if)**2 - sum_i v_if**2)`` over the distinct terms ``i`` of a
 text. The second part weighs every pair of terms, so a pair such as an insult and a group can count
-for more than its terms do alone. Terms are hashed into ``2**bits`` places; places in fewer than
-``min_docs`` training texts, or whose link with the label may be chance (a log-likelihood ratio up to
-``min_ratio``, about one in a hundred thousand), keep weight 0.
+for more than its terms do alone. Terms are hashed into ``2**bits`` places; all places that two training
+texts share are fitted, whatever their own link with the label, since a pair may count where neither
+term does.
 
 The machine is fitted on at most ``max_rows`` labelled rows, those with the smallest hash of their
 id; that bound is what makes it safe to fit in one place. All texts are scored, whole, in the tasks.
@@ -67,54 +67,58 @@ def fit(
     rows: list[np.ndarray],
     labels: np.ndarray,
     rank: int = RANK,
-    epochs: int = 20,
+    epochs: int = 12,
     rate: float = 0.3,
     decay: float = 1e-4,
-    min_docs: int = 4,
-    min_ratio: float = 20.0,
+    min_docs: int = 2,
+    start: float = 1.0,
     seed: int = 11,
 ) -> FactorizationMachine:
-    """Logistic loss, mini-batches with one adaptive step length per weight (AdaGrad)."""
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    """Logistic loss, mini-batches with one adaptive step length per weight (AdaGrad).
+
+    ``start`` is what a weight's squared gradients begin with: a term seen a few times moves by its gradient
+    alone, instead of a whole step each time, which is what keeps the many rare terms from learning the
+    training texts by heart.
+    """
+    lengths = np.array([len(r) for r in rows], np.int64)
+    flat = np.concatenate(rows) if len(rows) else np.empty(0, np.int32)
     places, counts = np.unique(flat, return_counts=True)
+    places = places[counts >= min_docs]
     share = float(labels.mean()) if len(labels) else 0.0
     share = min(max(share, 1e-3), 1 - 1e-3)
-    if len(places):
-        positive = np.concatenate([r for r, y in zip(rows, labels, strict=True) if y] or [flat[:0]])
-        hits = np.bincount(np.searchsorted(places, positive), minlength=len(places))
-        rest = counts - hits
-        # likelihood ratio of "as frequent among positives as overall" against what was seen
-        gain = hits * np.log(np.maximum(hits, 1) / (counts * share)) + rest * np.log(
-            np.maximum(rest, 1) / (counts * (1 - share))
-        )
-        places = places[(counts >= min_docs) & (2 * gain > min_ratio)]
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(places)), rng.normal(0, 0.01, (len(places), rank)), float(np.log(share / (1 - share)))
     if not len(places) or len(set(labels.tolist())) < 2:
         return FactorizationMachine(places, w, np.zeros_like(v), bias)
-    known = [np.searchsorted(places, r[np.isin(r, places, assume_unique=True)]) for r in rows]
-    gw, gv, gb = np.full(len(places), 1e-6), np.full((len(places), rank), 1e-6), 1e-6
+    # all rows as one array of weight numbers, cut by ``ends``
+    held = np.isin(flat, places)
+    row_of = np.repeat(np.arange(len(rows)), lengths)[held]
+    known = np.searchsorted(places, flat[held]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=len(rows)))])
+    place = np.zeros(len(places), np.int64)  # a batch's own numbers of the weights it uses, 0 in between
+    gw, gv, gb = np.full(len(places), start), np.full((len(places), rank), start), 1e-6
     for _ in range(epochs):
-        order = rng.permutation(len(known))
-        for start in range(0, len(order), 64):
-            batch = order[start : start + 64]
-            sizes = np.array([len(known[i]) for i in batch])
-            at = np.concatenate([known[i] for i in batch])
+        order = rng.permutation(len(rows))
+        for first in range(0, len(order), 64):
+            batch = order[first : first + 64]
+            sizes = ends[batch + 1] - ends[batch]
+            at = np.concatenate([known[ends[i] : ends[i + 1]] for i in batch])
             row = np.repeat(np.arange(len(batch)), sizes)
             va = v[at]
-            s = np.zeros((len(batch), rank))
-            np.add.at(s, row, va)
+            s = _sums(va, row, len(batch))
             linear = np.bincount(row, w[at], len(batch))
             squares = np.bincount(row, (va * va).sum(axis=1), len(batch))
             z = bias + linear + 0.5 * ((s * s).sum(axis=1) - squares)
             d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]
-            used, inverse = np.unique(at, return_inverse=True)
+            place[at] = 1
+            used = np.flatnonzero(place)
+            place[used] = np.arange(len(used))
+            inverse = place[at]
+            place[used] = 0
             grad = np.bincount(inverse, d[row], len(used)) / len(batch) + decay * w[used]
             gw[used] += grad * grad
             w[used] -= rate * grad / np.sqrt(gw[used])
-            grad_v = np.zeros((len(used), rank))
-            np.add.at(grad_v, inverse, d[row, None] * (s[row] - va))
-            grad_v = grad_v / len(batch) + decay * v[used]
+            grad_v = _sums(d[row, None] * (s[row] - va), inverse, len(used)) / len(batch) + decay * v[used]
             gv[used] += grad_v * grad_v
             v[used] -= 0.2 * rate * grad_v / np.sqrt(gv[used])
             g = float(d.mean())
@@ -123,6 +127,11 @@ def fit(
     return FactorizationMachine(places, w, v, bias)
 
 
+def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by group number."""
+    return np.stack([np.bincount(group, column, n) for column in values.T], axis=1)
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -136,7 +145,8 @@ def learn(
     """Fit on at most ``max_rows`` labelled ids.
 
     Null ids and labels are left out; an id labelled more than once is positive if any label is.
-    Texts of a repeated id all count. Without positives or without negatives the score is constant.
+    Of the texts of a repeated id the least counts, so ``max_rows`` bounds the texts too; an id with null texts
+    alone counts as an empty text. Without positives or without negatives the score is constant.
     """
     chosen = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -147,6 +157,7 @@ def learn(
         .limit(max_rows)  # the bound that lets the sample be broadcast and fitted in one place
     )
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    sample = sample.groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def featurise(batch):
         rows = [terms(t, bits).tolist() for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -154,8 +165,11 @@ def learn(
 
     found = with_columns(sample.select("id", "text", "y"), "terms array<int>", featurise)
     got = found.select("id", "y", "terms").toArrow().sort_by("id")
-    rows = [np.asarray(x, np.int32) for x in got.column("terms").to_pylist()]
-    return fit(rows, np.array(got.column("y").to_pylist(), float), **options)
+    lists = got.column("terms").combine_chunks()
+    cuts = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy()
+    rows = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return fit(rows, got.column("y").to_numpy().astype(float), **options)
 
 
 def score(

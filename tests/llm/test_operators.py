@@ -308,11 +308,39 @@ def test_factorization_machine_finds_pairs():
         a, b = rng.random() < 0.5, rng.random() < 0.5
         rows.append(np.array(sorted({*rng.choice(200, 5), *([500] * a), *([501] * b)}), np.int32))
         y.append(float(a and b))
-    model = toxicity.fit(rows, np.array(y), min_ratio=10)
+    model = toxicity.fit(rows, np.array(y))
     s = model.scores([np.array([500]), np.array([501]), np.array([500, 501]), np.array([], np.int32)])
     assert s[2] > 0.5 > max(s[0], s[1], s[3])
 
 
+def test_a_pair_counts_though_one_term_alone_says_nothing():
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for _ in range(20_000):
+        insult, group = rng.random() < 0.1, rng.random() < 0.1
+        rows.append(np.array(sorted({*rng.integers(0, 3000, 20).tolist(), *([5000] * insult), *([5001] * group)}), np.int32))
+        y.append(float(rng.random() < (0.9 if insult and group else 0.25 if insult else 0.02)))
+    model = toxicity.fit(rows, np.array(y))
+    insult, group, both = model.scores([np.array([5000]), np.array([5001]), np.array([5000, 5001])])
+    assert {5000, 5001} <= set(model.places.tolist()) and both > 0.5 > max(insult, group)
+
+
+def test_toxicity_held_out_ranking(spark):
+    d = "/root/testdata/sf0.1"
+    rows = QUERIES["op8_toxicity"](spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet").dropna(subset=["toxic"]), "doc_id")
+    got = rows.select("score", "toxic").toPandas()
+    ranks, n = got.score.rank(), int(got.toxic.sum())
+    auc = (ranks[got.toxic == 1].sum() - n * (n + 1) / 2) / (n * (len(got) - n))
+    assert len(got) > 500 and auc >= 0.96
+
+
+def test_toxicity_of_repeated_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "you fool", 5, "a"), (1, None, 6, "b"), (2, "hello", 7, "c"), (2, "hello", 7, "c"), (3, None, 1, "d")], "doc_id long, text string, y int, id string")
+    labels = spark.createDataFrame([(1, 1, "x"), (1, 0, "x"), (2, 0, "y"), (3, 0, "z")], "doc_id long, toxic int, text string")
+    got = toxicity.score(docs, toxicity.learn(docs, labels, min_docs=1))
+    assert got.columns == [*docs.columns, "score", "predicted"] and got.count() == 5
+
+
 def removed(docs, n=100):
     seen, out = set(), {}
     for d in sorted(docs):
