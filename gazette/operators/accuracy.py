@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gazette import columns as C
 from gazette.functions import ranking
 from gazette.functions.arrays import field
-from gazette.plans.numbering import row_index
+from gazette.plans.lists import as_keys
+from gazette.plans.numbering import row_index, running_total
 
 
 @dataclass(frozen=True)
@@ -139,3 +140,40 @@ def auc_from_fixed_groups(df, group_size, order, label_col="label", score_col="s
     )
 
 
+def auc_of_rows(df, group=(), label_col="label", score_col="score") -> DataFrame:
+    """AUC over flat rows, whole or per ``group``, however many rows a group has.
+
+    Returns the group, ``auc`` (ties count one half), ``auc_strict`` (ties count nothing), ``n_positive``
+    and ``n_negative``; both areas are null where a class is missing. Rows with a null label or score
+    are left out; NaN ranks first.
+
+    Rows of one score are counted first, on the map side, so a frequent score is one row. The counts are
+    range-sorted by group and score, and a running total of negatives then stands for the ranks: a positive beats
+    the negatives before its score, less those of earlier groups. No group is one list or one task's sort.
+    """
+    keys = as_keys(group)
+    names = [f"__group_{i}" for i in range(len(keys))]
+    positive = F.col(label_col).cast("double") == 1
+    rows = df.filter(F.col(label_col).isNotNull() & F.col(score_col).isNotNull())
+    counts = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(score_col).cast("double").alias("__score")).agg(
+        F.count_if(positive).alias("__pos"), F.count_if(~positive).alias("__neg")
+    )
+    before = running_total(counts, [*names, "__score"], "__neg", "__before", inclusive=False)
+    # exact whole numbers: positives times rows outgrow a double
+    p, n, earlier = (F.col(c).cast("decimal(18,0)") for c in ("__pos", "__neg", "__before"))
+    sums = before.groupBy(*names).agg(
+        F.sum("__pos").alias("n_positive"),
+        F.sum("__neg").alias("n_negative"),
+        F.min(earlier).alias("__start"),
+        F.sum((p * earlier).cast("decimal(38,0)")).alias("__below"),
+        F.sum((p * n).cast("decimal(38,0)")).alias("__tied"),
+    )
+    pairs = F.col("n_positive").cast("double") * F.col("n_negative")
+    wins = (F.col("__below") - (F.col("n_positive").cast("decimal(18,0)") * F.col("__start")).cast("decimal(38,0)")).cast("double")
+    return sums.select(
+        *[F.col(x).alias(k) for x, k in zip(names, keys, strict=True)],
+        F.try_divide(wins + F.col("__tied").cast("double") / 2, pairs).alias("auc"),
+        F.try_divide(wins, pairs).alias("auc_strict"),
+        F.coalesce("n_positive", F.lit(0)).alias("n_positive"),
+        F.coalesce("n_negative", F.lit(0)).alias("n_negative"),
+    )

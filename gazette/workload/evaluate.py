@@ -137,6 +137,27 @@ def examples_multi(spark, d):
     return out.select(C.IMPRESSION_ID, *[as_text(c).alias(c) for c in lists])
 
 
+@query(
+    with_views(
+        "impressions past articles",
+        """WITH known AS (SELECT * FROM articles),
+        h AS (SELECT user_id, string_agg(coalesce(title, '?'), ',' ORDER BY nr) AS title_history, string_agg(coalesce(size, 0)::VARCHAR, ',' ORDER BY nr) AS size_history
+              FROM past LEFT JOIN known USING (article_id) GROUP BY 1),
+        shown AS (SELECT impression_id, user_id, unnest(article_ids_inview) AS article_id, unnest(range(len(article_ids_inview))) AS pos, article_ids_clicked AS c FROM impressions)
+        SELECT impression_id, pos::INT AS pos, coalesce(title_history, '?') AS title_history, coalesce(size_history, '0') AS size_history,
+               coalesce(title, '?') AS title, coalesce(size, 0) AS size, CASE WHEN list_contains(c, article_id) THEN 1 ELSE 0 END AS label
+        FROM shown LEFT JOIN known USING (article_id) LEFT JOIN h USING (user_id)""",
+    )
+)
+def examples_multi_eval(spark, d):
+    attributes = V.articles(spark, d).select(C.ARTICLE_ID, C.TITLE, "size")
+    out = L.attribute_examples(_labelled(spark, d), attributes, histories=_past(spark, d), unknown={C.TITLE: "?", "size": 0}, eval_mode=True)
+    return out.select(
+        C.IMPRESSION_ID, "pos", *[as_text(f"{a}_history").alias(f"{a}_history") for a in (C.TITLE, "size")],
+        F.col(f"{C.TITLE}_inview").alias("title"), F.col("size_inview").alias("size"), F.col(C.LABELS).cast("int").alias("label"),
+    )
+
+
 @query(
     with_views(
         "impressions past",
@@ -455,6 +476,40 @@ def auc_fixed_groups(spark, d):
     return accuracy.auc_from_fixed_groups(flat, 20, [C.IMPRESSION_ID, "pos"]).withColumns(r6("auc"))
 
 
+def _sql_auc(rows, group):
+    """AUC by average ranks over ``rows (g.., y, p)``."""
+    part = f"PARTITION BY {group}" if group else ""
+    first = f"{group}, " if group else ""
+    return f"""WITH flat AS ({rows}),
+        ranked AS (SELECT *, rank() OVER ({part} ORDER BY p) AS low, count(*) OVER (PARTITION BY {first}p) AS ties,
+                          sum(1 - y) OVER (PARTITION BY {first}p) AS same FROM flat),
+        sums AS (SELECT {first}sum(y)::BIGINT AS n_positive, sum(1 - y)::BIGINT AS n_negative,
+                        sum((low + (ties - 1) / 2.0) * y) AS r, sum(same * y) / 2.0 AS half FROM ranked {f"GROUP BY {group}" if group else ""}),
+        wins AS (SELECT *, r - n_positive * (n_positive + 1) / 2.0 AS w, n_positive::DOUBLE * n_negative AS pairs FROM sums)
+        SELECT {first}CASE WHEN pairs > 0 THEN round(w / pairs, 6) END AS auc,
+               CASE WHEN pairs > 0 THEN round((w - half) / pairs, 6) END AS auc_strict, n_positive, n_negative FROM wins"""
+
+
+@query(_sql_auc("SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_extendedprice AS p FROM lineitem", ""))
+def auc_whole(spark, d):
+    lines = V.table(spark, d, "lineitem")
+    flat = lines.select((F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_extendedprice").alias("score"))
+    return accuracy.auc_of_rows(flat).withColumns(r6("auc", "auc_strict"))
+
+
+@query(
+    _sql_auc(
+        "SELECT l_discount AS discount, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity AS p FROM lineitem", "discount"
+    )
+)
+def auc_by_group(spark, d):
+    lines = V.table(spark, d, "lineitem")
+    flat = lines.select(
+        F.col("l_discount").alias("discount"), (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_quantity").alias("score")
+    )
+    return accuracy.auc_of_rows(flat, "discount").withColumns(r6("auc", "auc_strict"))
+
+
 @query(
     with_views(
         "cells",

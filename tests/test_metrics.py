@@ -1,6 +1,7 @@
 """Golden values of the accuracy and beyond-accuracy metrics."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -302,3 +303,30 @@ def test_candidate_list_check(spark):
     other = same.unionByName(spark.createDataFrame([([2, 1],)], "article_ids_inview array<int>"))
     with pytest.raises(Exception, match="different candidate lists"):
         D.shared_candidates(other).collect()
+
+
+def test_auc_of_rows(spark):
+    from gazette.operators.accuracy import auc_of_rows
+
+    rng = random.Random(5)
+    nan = float("nan")
+    rows = [(rng.choice(["a", "b", None]), int(rng.random() < 0.3), float(rng.choice([0.0, -0.0, 1.0, 2.5, 7.0, nan]))) for _ in range(3000)]
+    rows += [("one class", 1, 0.5), ("a", None, 1.0), ("a", 1, None)]
+    df = spark.createDataFrame(rows, "g string, label int, score double")
+
+    def brute(of):
+        key = lambda x: math.inf if x != x else x
+        p, n = ([key(s) for _, y, s in of if y == c and s is not None] for c in (1, 0))
+        if not p or not n:
+            return None, None, len(p), len(n)
+        wins, ties = sum(a > b for a in p for b in n), sum(a == b for a in p for b in n)
+        return (wins + ties / 2) / len(p) / len(n), wins / len(p) / len(n), len(p), len(n)
+
+    got = {r.g: tuple(r)[1:] for r in auc_of_rows(df, "g").collect()}
+    want = {g: brute([r for r in rows if r[0] == g]) for g in {r[0] for r in rows}}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    whole = auc_of_rows(df)
+    assert tuple(whole.first()) == pytest.approx(brute(rows))
+    assert tuple(auc_of_rows(df.limit(0)).first()) == (None, None, 0, 0)
+    text = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in text
