@@ -13,7 +13,9 @@ fit anywhere.
 
 Vectors that are null, or hold a null or non-finite component, take no part. Vectors shorter than the
 longest count as padded with zeros. Repeated vectors are candidates on their own; equal scores go to
-the smaller id. Components are expected within +-2**31 after scaling; larger ones are clipped there.
+the smaller id. Components of any finite size count whole: products beyond the exact range of doubles are
+taken in 64-bit integers, and beyond those in Python's. Scores outside the range of a long are held at its
+ends and tie there.
 """
 
 import numpy as np
@@ -22,14 +24,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gazette.llm.registry import query, table
 
-_LIMIT = float(2**31)
+_EXACT = 2.0**53  # doubles from here on are whole numbers themselves
+_LONG = 2**63 - 1
 
 
 def _integers(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    scaled = F.transform(
-        F.col(vec_col),
-        lambda x: F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), F.floor(x.cast("double") * scale).cast("double"))),
-    )
+    times = F.transform(F.col(vec_col), lambda x: x.cast("double") * scale)
+    scaled = F.transform(times, lambda x: F.when(F.abs(x) < _EXACT, F.floor(x).cast("double")).otherwise(x))
     bad = F.exists(F.col(vec_col), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     return df.filter(F.col(vec_col).isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("id"), scaled.alias("v"))
 
@@ -60,7 +61,7 @@ def _gram(vectors: DataFrame, width: int) -> np.ndarray:
     out = np.zeros(width * width)
     for i, x in cells:  # width**2 cells, whatever the number of vectors
         out[i] = x
-    return out.reshape(width, width)
+    return out.reshape(width, width) if np.isfinite(out).all() else np.eye(width)  # any rotation gives right results
 
 
 def _packed(vectors: DataFrame, width: int, rows: int, parts: int, spread) -> DataFrame:
@@ -95,10 +96,21 @@ def _packed(vectors: DataFrame, width: int, rows: int, parts: int, spread) -> Da
 
 def _best(ids, scores, k):
     """The k best of one query: highest score, then smallest id."""
-    order = np.lexsort((ids, -scores))[:k]
+    order = np.lexsort((ids, ~scores))[:k]  # ~x falls as x rises, and has no overflow
     return ids[order], scores[order]
 
 
+def _scores(raw: np.ndarray, query_row: np.ndarray, most: float) -> np.ndarray:
+    """Whole inner products of all rows with one; no partial sum is above ``most``."""
+    if most < _EXACT:
+        return (raw @ query_row).astype(np.int64)
+    if most < _LONG / 2:
+        return raw.astype(np.int64) @ query_row.astype(np.int64)
+    one = [int(x) for x in query_row]
+    found = [sum(a * int(b) for a, b in zip(one, row, strict=True)) for row in raw]
+    return np.array([min(max(x, -_LONG - 1), _LONG) for x in found], np.int64)
+
+
 def _search(batches, rotation, head, width, k):
     """Streams (query block, candidate blocks by descending length); yields each query's best."""
     state = None
@@ -136,7 +148,8 @@ def _search(batches, rotation, head, width, k):
                 }
             s = state
             slack = 1e-6 * (1 + s["norm"] * top)  # far above rounding, far below what would cost work
-            open_ = np.flatnonzero(s["norm"] * top + slack >= s["floor"])
+            # said so that an undefined bound rules out nothing
+            open_ = np.flatnonzero(~(s["norm"] * top + slack < s["floor"]))
             if not len(open_):
                 continue
             ids = np.frombuffer(x_ids, np.int64)
@@ -144,16 +157,14 @@ def _search(batches, rotation, head, width, k):
             turned = raw @ rotation
             rest = np.linalg.norm(turned[:, head:], axis=1)
             bound = s["head"][open_] @ turned[:, :head].T + np.outer(s["rest"][open_], rest)
-            passed = bound + slack[open_, None] >= s["floor"][open_, None]
-            exact = np.abs(s["raw"]).max(initial=0) * np.abs(raw).max(initial=0) * width < 2**53
-            whole = raw if exact else raw.astype(np.int64)
+            passed = ~(bound + slack[open_, None] < s["floor"][open_, None])
+            most = float(np.abs(s["raw"]).max(initial=0)) * float(np.abs(raw).max(initial=0)) * width
             for row, i in enumerate(open_):
                 hit = np.flatnonzero(passed[row])
                 hit = hit[ids[hit] != s["ids"][i]]
                 if not len(hit):
                     continue
-                query_row = s["raw"][i] if exact else s["raw"][i].astype(np.int64)
-                scores = (whole[hit] @ query_row).astype(np.int64)
+                scores = _scores(raw[hit], s["raw"][i], most)
                 s["best_ids"][i], s["best"][i] = _best(
                     np.concatenate([s["best_ids"][i], ids[hit]]), np.concatenate([s["best"][i], scores]), k
                 )

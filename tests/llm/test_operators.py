@@ -313,6 +313,21 @@ def test_factorization_machine_finds_pairs():
     assert s[2] > 0.5 > max(s[0], s[1], s[3])
 
 
+@pytest.mark.parametrize("size", [3e6, 3e9, 1e12, 1e200])
+def test_topk_of_large_components(spark, size):
+    """Components far above 2**31 after scaling keep their order; scores beyond a long are held at its ends."""
+    vectors = [(0, [1.0, 1.0]), (1, [size, 0.0]), (2, [size * 4 / 3, 0.0]), (3, [-size, 0.5]), (4, [0.0, 0.0]), (5, [size, -size]), (6, [size / 7, 0.3])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = topk.topk_inner_products(df, F.col("vec_id") % 2 == 0, k=3, block_rows=2, stripes=2).collect()
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in vectors}
+    want = set()
+    for q in (0, 2, 4, 6):
+        score = {i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))) for i, v in whole.items() if i != q}
+        best = sorted(score, key=lambda i: (-score[i], i))[:3]
+        want |= {(q, r + 1, i, score[i]) for r, i in enumerate(best)}
+    assert {tuple(r) for r in got} == want
+
+
 def test_a_pair_counts_though_one_term_alone_says_nothing():
     rng = np.random.default_rng(3)
     rows, y = [], []
