@@ -96,7 +96,8 @@ def fit(
     known = np.searchsorted(places, flat[held]).astype(np.int32)
     ends = np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=len(rows)))])
     place = np.zeros(len(places), np.int64)  # a batch's own numbers of the weights it uses, 0 in between
-    gw, gv, gb = np.full(len(places), start), np.full((len(places), rank), start), 1e-6
+    v = np.ascontiguousarray(v.T)  # factor by factor, so that every step runs along memory
+    gw, gv, gb = np.full(len(places), start), np.full(v.shape, start), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for first in range(0, len(order), 64):
@@ -104,32 +105,34 @@ def fit(
             sizes = ends[batch + 1] - ends[batch]
             at = np.concatenate([known[ends[i] : ends[i + 1]] for i in batch])
             row = np.repeat(np.arange(len(batch)), sizes)
-            va = v[at]
+            va = np.take(v, at, axis=1)
             s = _sums(va, row, len(batch))
             linear = np.bincount(row, w[at], len(batch))
-            squares = np.bincount(row, (va * va).sum(axis=1), len(batch))
-            z = bias + linear + 0.5 * ((s * s).sum(axis=1) - squares)
+            squares = np.bincount(row, np.einsum("fi,fi->i", va, va), len(batch))
+            z = bias + linear + 0.5 * ((s * s).sum(axis=0) - squares)
             d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]
             place[at] = 1
             used = np.flatnonzero(place)
             place[used] = np.arange(len(used))
             inverse = place[at]
             place[used] = 0
-            grad = np.bincount(inverse, d[row], len(used)) / len(batch) + decay * w[used]
+            each = np.repeat(d, sizes)
+            grad = np.bincount(inverse, each, len(used)) / len(batch) + decay * w[used]
             gw[used] += grad * grad
             w[used] -= rate * grad / np.sqrt(gw[used])
-            grad_v = _sums(d[row, None] * (s[row] - va), inverse, len(used)) / len(batch) + decay * v[used]
-            gv[used] += grad_v * grad_v
-            v[used] -= 0.2 * rate * grad_v / np.sqrt(gv[used])
+            pull = (np.repeat(s, sizes, axis=1) - va) * each
+            grad_v = _sums(pull, inverse, len(used)) / len(batch) + decay * v[:, used]
+            gv[:, used] += grad_v * grad_v
+            v[:, used] -= 0.2 * rate * grad_v / np.sqrt(gv[:, used])
             g = float(d.mean())
             gb += g * g
             bias -= rate * g / np.sqrt(gb)
-    return FactorizationMachine(places, w, v, bias)
+    return FactorizationMachine(places, w, np.ascontiguousarray(v.T), bias)
 
 
 def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by group number."""
-    return np.stack([np.bincount(group, column, n) for column in values.T], axis=1)
+    """Sums of the columns of ``values`` by group number, for each of its rows."""
+    return np.stack([np.bincount(group, row, n) for row in values])
 
 
 def learn(
