@@ -7,7 +7,7 @@ without sorting the whole corpus in one place:
 * In every string one place is chosen by its content alone: the ``_GRAM``-byte gram with the least hash
   (winnowing). Equal strings choose the same gram, so a string can only repeat if its gram does.
 * Neighbouring starts with the same chosen gram make a segment. Segments whose gram occurs once
-  are done; the others go to the shard of their gram's hash. Equal segments are combined before,
+  are done; the others go to the shard of their gram, by a second hash, since the chosen ones crowd at small values of the first. Equal segments are combined before,
   so a passage in very many documents arrives once. A gram whose segments exceed a shard (a short
   passage with ever other neighbours) goes to none: each string of its segments is told by its
   digest, which spreads over all tasks.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gazette.llm.blocks import column, slices, texts, with_columns
 from gazette.llm.decontaminate import merged
-from gazette.llm.hashing import Spans
+from gazette.llm.hashing import Spans, mix
 from gazette.llm.induced import suffixes_with_common
 from gazette.llm.registry import query, table
 from gazette.plans.lookup import lookup_join
@@ -83,7 +83,8 @@ def _packed_grams(rows: DataFrame, length: int, bits: int) -> DataFrame:
         _, first = np.unique(nodes, return_index=True)  # copies within the block once
         keep = np.isin(owner, first)
         owner, grams, places = owner[keep], grams[keep], places[keep]
-        part = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+        # chosen grams have the least hashes of their strings: their leading bits are nearly all zero until mixed again
+        part = (mix(grams) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
         order = np.argsort(part, kind="stable")
         owner, grams, places = owner[order], grams[order], places[order]
         cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
@@ -258,7 +259,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         large = distinct.join(F.broadcast(hot), "gram", "left_semi").select("content", "at.id", "at.start")
         spread = _repeats_by_digest(large, length)
         distinct = distinct.join(F.broadcast(hot), "gram", "left_anti")
-    shards = distinct.select(F.shiftrightunsigned("gram", 64 - bits).alias("part") if bits else F.lit(0).cast("long").alias("part"), "content", "at.id", "at.start")
+    # hashed again for the same reason as the ranges: by the leading bits of the gram most segments would meet in a few shards
+    part = F.shiftrightunsigned(F.xxhash64("gram"), 64 - bits) if bits else F.lit(0).cast("long")
+    shards = distinct.select(part.alias("part"), "content", "at.id", "at.start")
     # as many tasks as shards: small shuffle partitions put together would sort them one after the other
     dealt = shards.repartition(1 << bits, "part")
     inside = dealt.groupBy("part").applyInArrow(_sorted_repeats(length), "id long, start long, end long")

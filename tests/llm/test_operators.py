@@ -411,6 +411,36 @@ def test_repeats_of_a_hot_gram(spark, monkeypatch):
     assert got == removed(docs)
 
 
+def test_repeats_are_spread(spark, monkeypatch):
+    """Chosen grams have small hashes, yet no range and no shard takes most of them."""
+    limit, inner, ranged = 1 << 14, repeats._sorted_repeats, repeats._repeated_grams
+
+    def bounded(length):
+        run = inner(length)
+
+        def checked(group):
+            assert sum(map(len, group.column("content").to_pylist())) <= 4 * limit
+            return run(group)
+
+        return checked
+
+    def checked_range(group):
+        assert sum(map(len, group.column("grams").to_pylist())) <= 4 * limit
+        return ranged(group)
+
+    monkeypatch.setattr(repeats, "_SHARD_BYTES", limit)
+    monkeypatch.setattr(repeats, "_RANGE_BYTES", limit * 4)
+    monkeypatch.setattr(repeats, "_sorted_repeats", bounded)
+    monkeypatch.setattr(repeats, "_repeated_grams", checked_range)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passages = [noise(300) for _ in range(1000)]
+    docs = {i: noise(9) + passages[i % 1000] + noise(20 + i % 5) for i in range(2000)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in repeats.remove_repeats(df).collect()}
+    assert got == removed(docs)
+
+
 def test_induced_sorting():
     rng = random.Random(1)
     for _ in range(300):
