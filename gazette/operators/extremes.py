@@ -3,22 +3,29 @@
 A selection grows item by item in the order of item numbers. A prefix holds the sum of its unit vectors (for cosine; else its
 vectors), the total distance within it, and how near its items have their nearest other items at best. Whatever is added, ``r``
 more items are at least as far from each item of the prefix as its ``r`` nearest ones, and from one another as the nearest
-pair of all; a prefix whose total cannot come below that of a known selection is dropped. The first known
-selections are each item with its own nearest ones. The greatest total is the least total of negated distances.
+pair of all; a prefix whose total cannot come below that of a known selection is dropped. Leaving out the item farthest from
+the others never raises the mean distance, so every selection grows from a pair through prefixes whose mean is at most its
+own: prefixes above the mean of the best selection are dropped too. They are sets then, and any other item may be added.
+The first known selections are each item with its own nearest ones. The greatest total is the least total of negated distances.
 
-Prefixes are rows spread over tasks; each meets the items in blocks that are arrays, so a candidate that
-the bound rules out never becomes a row.
+Prefixes are rows spread over tasks; each meets the items in blocks, so a candidate that the bounds rule out never becomes a
+row. For cosine over whole vectors the distances of two blocks are one matrix product in an Arrow task; other
+distances are column functions over blocks that are arrays.
 """
 
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gazette.functions.arrays import array_sum, dot, is_udf, resolve_distance, unit
-from gazette.plans.numbering import row_index
+from gazette.plans.numbering import first_rows, row_index
 from gazette.plans.store import materialise
 
 BLOCK = 256  # items of a block
+_DENSE = 32  # times as many rows of a block of a matrix product
+_STRIP = 256  # rows of a product held at a time
 _SLACK = 1e-9  # totals this close to the best one are followed further, so that rounding drops none
 
 
@@ -34,20 +41,70 @@ def _meeting(rows: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
     return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
 
 
-def _with_found(items: DataFrame, k: int, between) -> DataFrame:
+def _is_dense(items: DataFrame, distance) -> bool:
+    """Whether distances are products of matrices: cosine, and vectors of one width without gaps."""
+    if distance != "cosine":
+        return False
+    gaps = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    low, high, gap = items.agg(F.min(F.size("v")), F.max(F.size("v")), F.max(gaps)).first()
+    return bool(low and low > 0 and low == high and not gap)
+
+
+def _met_in_arrow(rows: DataFrame, n_rows: int, key, items: DataFrame, n_items: int, fn, schema: str) -> DataFrame:
+    """``fn(rows, items)`` for every block of rows, dealt by the hash of ``key``, with every block of items."""
+    size = BLOCK * _DENSE
+    n, m = -(-n_rows // size), -(-n_items // size)
+    left = rows.withColumn("a", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = items.withColumn("b", F.floor(F.col("nr") / size).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(fn, schema)
+
+
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    col = table.column(name).combine_chunks()
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
+def _ends(k: int):
+    """The ``k - 1`` nearest (side 1) and farthest (side -1) items of a block for each row of another: ``nr, side, e, other``."""
+
+    def run(rows: pa.Table, items: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0), np.empty(0, np.int64))]
+        if rows.num_rows and items.num_rows:
+            a, b, left, right = rows.column("nr").to_numpy(), items.column("nr").to_numpy(), _matrix(rows, "v"), _matrix(items, "v")
+            n = min(k - 1, len(b))
+            for at in range(0, len(a), _STRIP):
+                own = a[at : at + _STRIP]
+                apart = 1 - left[at : at + _STRIP] @ right.T
+                itself = own[:, None] == b[None, :]
+                for side in (1, -1):
+                    e = np.where(itself, np.inf, side * apart)
+                    near = np.argpartition(e, n - 1, axis=1)[:, :n]
+                    e = np.take_along_axis(e, near, 1).ravel()
+                    kept = e < np.inf
+                    out.append((np.repeat(own, n)[kept], np.full(int(kept.sum()), side, np.int32), e[kept], b[near].ravel()[kept]))
+        return pa.table(dict(zip(("nr", "side", "e", "other"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return run
+
+
+def _found_dense(items: DataFrame, k: int) -> DataFrame:
+    """``nr, low, high`` of ``(e, nr)``, as the column functions find them."""
+    n = items.count()
+    few = _met_in_arrow(items.select("nr", "v"), n, "nr", items.select("nr", "v"), n, _ends(k), "nr long, side int, e double, other long")
+    ends = [
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("e", F.col("other").alias("nr"))))), 1, k - 1).alias(c)
+        for c, side in (("low", 1), ("high", -1))
+    ]
+    return materialise(few.groupBy("nr").agg(*ends))
+
+
+def _with_found(items: DataFrame, k: int, between, dense: bool = False) -> DataFrame:
     """``nr, v, low, high``: the ``k - 1`` nearest and farthest other items of each item.
 
     Both are ``(e, nr, v)`` in order, ``e`` being the distance in ``low`` and its negation in ``high``. The distances of an
     item to all others are worked out once, and only the ends of their order leave a block.
     """
-    blocks, n_blocks = _blocks(items.withColumn("near", F.array().cast("array<double>")))
-    met = _meeting(items.select("nr", "v"), materialise(blocks), n_blocks)
-    others = F.filter("xs", lambda x: x["nr"] != F.col("nr"))
-    order = F.array_sort(F.transform(others, lambda x: F.struct(between(F.col("v"), x["v"]).alias("e"), x["nr"].alias("nr"))))
-    farther = F.transform(F.reverse("order"), lambda x: F.struct((-x["e"]).alias("e"), x["nr"].alias("nr")))
-    few = met.select("nr", order.alias("order")).select("nr", F.slice("order", 1, k - 1).alias("low"), F.slice(farther, 1, k - 1).alias("high"))
-    ends = [F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k - 1).alias(c) for c in ("low", "high")]
-    found = materialise(few.groupBy("nr").agg(*ends))
+    found = _found_dense(items, k) if dense else _found_by_columns(items, k, between)
     vectors = items.select(F.col("nr").alias("other"), F.col("v").alias("own"))
     out = found.join(items.select("nr", "v"), "nr")
     for c in ("low", "high"):
@@ -57,6 +114,18 @@ def _with_found(items: DataFrame, k: int, between) -> DataFrame:
     return materialise(out)
 
 
+def _found_by_columns(items: DataFrame, k: int, between) -> DataFrame:
+    """``nr, low, high`` of ``(e, nr)``."""
+    blocks, n_blocks = _blocks(items.withColumn("near", F.array().cast("array<double>")))
+    met = _meeting(items.select("nr", "v"), materialise(blocks), n_blocks)
+    others = F.filter("xs", lambda x: x["nr"] != F.col("nr"))
+    order = F.array_sort(F.transform(others, lambda x: F.struct(between(F.col("v"), x["v"]).alias("e"), x["nr"].alias("nr"))))
+    farther = F.transform(F.reverse("order"), lambda x: F.struct((-x["e"]).alias("e"), x["nr"].alias("nr")))
+    few = met.select("nr", order.alias("order")).select("nr", F.slice("order", 1, k - 1).alias("low"), F.slice(farther, 1, k - 1).alias("high"))
+    ends = [F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k - 1).alias(c) for c in ("low", "high")]
+    return materialise(few.groupBy("nr").agg(*ends))
+
+
 def _measures(distance):
     """The distance of two vectors, that of a prefix of ``m`` to a vector, and a prefix with one more vector."""
     if is_udf(distance):
@@ -69,7 +138,66 @@ def _measures(distance):
     return lambda a, b: 1 - dot(a, b), lambda vs, v, m: F.lit(float(m)) - dot(vs[0], v), grown
 
 
-def least_total(found: DataFrame, k: int, distance="cosine", sign: int = 1) -> tuple[float, list[int]]:
+def _last(size: int, sign: int):
+    """The least total of a block of prefixes with one more item of a block: ``w``."""
+
+    def run(prefixes: pa.Table, items: pa.Table) -> pa.Table:
+        totals = [e.min() for _, e in _totals(prefixes, items, size, sign)]
+        return pa.table({"w": pa.array([x for x in (min(totals, default=np.inf),) if x < np.inf], pa.float64())})
+
+    return run
+
+
+def _totals(prefixes: pa.Table, items: pa.Table, size: int, sign: int):
+    """The first row of each strip of prefixes, and their totals with every item; infinite for items that may not be added."""
+    if not prefixes.num_rows or not items.num_rows:
+        return
+    sums, right, w = _matrix(prefixes, "s"), _matrix(items, "v"), prefixes.column("w").to_numpy()
+    own, nr = _matrix(prefixes, "nrs"), items.column("nr").to_numpy()
+    for at in range(0, len(w), _STRIP):
+        to = slice(at, at + _STRIP)
+        e = w[to, None] + sign * (size - sums[to] @ right.T)
+        if size == 1:  # pairs once
+            e[nr[None, :] <= own[to]] = np.inf
+        else:
+            for c in range(size):
+                e[own[to, c][:, None] == nr[None, :]] = np.inf
+        yield at, e
+
+
+def _grown(size: int, sign: int, left: int, reach: float, best: float, mean: float):
+    """Prefixes of a block with one more item of a block, as far as the bounds let them: ``nrs, s, w, near``."""
+
+    def run(prefixes: pa.Table, items: pa.Table) -> pa.Table:
+        out = {"nrs": [], "s": [], "w": [], "near": []}
+        for at, e in _totals(prefixes, items, size, sign):
+            near, more = _matrix(prefixes, "near")[at : at + _STRIP], _matrix(items, "near")
+            hopeful = (e <= mean + _SLACK) & (e + near[:, left - 1 : left] + more[None, :, left - 1] + reach <= best + _SLACK)
+            i, j = np.nonzero(hopeful)
+            if len(i):
+                out["nrs"].append(np.sort(np.column_stack([_matrix(prefixes, "nrs")[at + i], items.column("nr").to_numpy()[j]]), axis=1))
+                out["s"].append(_matrix(prefixes, "s")[at + i] + _matrix(items, "v")[j])
+                out["w"].append(e[i, j])
+                out["near"].append(near[i] + more[j])
+        if not out["w"]:
+            return pa.table({"nrs": pa.array([], pa.list_(pa.int64())), "s": pa.array([], pa.list_(pa.float64())), "w": pa.array([], pa.float64()), "near": pa.array([], pa.list_(pa.float64()))})
+
+        def lists(parts):
+            whole = np.concatenate(parts)
+            offsets = np.arange(0, whole.size + 1, whole.shape[1], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole.ravel()))
+
+        return pa.table({c: np.concatenate(x) if c == "w" else lists(x) for c, x in out.items()})
+
+    return run
+
+
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """Stored prefixes, each set of items once; pairs are formed once anyway."""
+    return materialise(rows if size == 1 else rows.dropDuplicates(["nrs"]))
+
+
+def least_total(found: DataFrame, k: int, distance="cosine", sign: int = 1, dense: bool = False) -> tuple[float, list[int]]:
     """The least sum of ``sign`` times the distances over all pairs within ``k`` items, and the prefixes kept by size.
 
     ``found`` comes from ``_with_found``; its numbers ``nr`` are dense from 0.
@@ -79,9 +207,6 @@ def least_total(found: DataFrame, k: int, distance="cosine", sign: int = 1) -> t
     # near[r - 1] bounds what r more items add to this item's distances from below
     near = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda r: array_sum(F.transform(F.slice("found", F.lit(1), r), lambda x: x["e"])))
     ready = materialise(found.select("nr", "v", near.alias("near")))
-    blocks, n_blocks = _blocks(ready)
-    blocks = materialise(blocks)
-
     chosen = F.concat(F.array("v"), F.transform("found", lambda x: x["v"]))
     every = F.transform(chosen, lambda a: array_sum(F.transform(chosen, lambda b: sign * between(a, b))))
     itself = F.transform(chosen, lambda a: sign * between(a, a))
@@ -89,26 +214,45 @@ def least_total(found: DataFrame, k: int, distance="cosine", sign: int = 1) -> t
     best, closest = first.agg(F.min("w"), F.min("e")).first()
 
     kept = []
-    prefixes = ready.select(F.col("nr").alias("last"), F.array("v").alias("vs"), F.lit(0.0).alias("w"), "near")
+    if dense:
+        n = ready.count()
+        prefixes = ready.select(F.array("nr").alias("nrs"), F.col("v").alias("s"), F.lit(0.0).alias("w"), "near")
+        for size in range(1, k):
+            left, rows = k - size - 1, kept[-1] if kept else n
+            if not rows:
+                break
+            if not left:
+                last = _met_in_arrow(prefixes.drop("near"), rows, "nrs", ready.drop("near"), n, _last(size, sign), "w double").agg(F.min("w")).first()[0]
+                best = best if last is None else min(best, last)
+                break
+            run = _grown(size, sign, left, comb(left, 2) * closest, best, best * comb(size + 1, 2) / comb(k, 2))
+            prefixes = _sets(_met_in_arrow(prefixes, rows, "nrs", ready, n, run, "nrs array<long>, s array<double>, w double, near array<double>"), size)
+            kept.append(prefixes.count())
+        return best, kept
+
+    blocks, n_blocks = _blocks(ready)
+    blocks = materialise(blocks)
+    prefixes = ready.select(F.array("nr").alias("nrs"), F.array("v").alias("vs"), F.lit(0.0).alias("w"), "near")
     for size in range(1, k):
         left = k - size - 1
         met = _meeting(prefixes, blocks, n_blocks)
         total = lambda x: F.col("w") + sign * to_prefix(F.col("vs"), x["v"], size)  # noqa: E731, B023
-        later = F.filter("xs", lambda x: x["nr"] > F.col("last"))
+        # pairs once; a larger prefix takes any other item
+        others = F.filter("xs", lambda x: x["nr"] > F.col("nrs")[0] if size == 1 else ~F.array_contains("nrs", x["nr"]))  # noqa: B023
         if not left:
-            last = met.select(F.array_min(F.transform(later, total)).alias("w")).agg(F.min("w")).first()[0]
+            last = met.select(F.array_min(F.transform(others, total)).alias("w")).agg(F.min("w")).first()[0]
             best = best if last is None else min(best, last)
             break
-        reach = F.lit(comb(left, 2) * closest)
+        reach, mean = F.lit(comb(left, 2) * closest), F.lit(best * comb(size + 1, 2) / comb(k, 2) + _SLACK)
         grown = F.transform(
-            later,
+            others,
             lambda x: F.struct(
                 x["nr"].alias("last"), total(x).alias("w"), x["v"].alias("v"), F.zip_with("near", x["near"], lambda a, b: a + b).alias("near")
             ),
         )
-        hopeful = F.filter(grown, lambda g: g["w"] + F.element_at(g["near"], left) + reach <= F.lit(best + _SLACK))
-        rows = met.select("vs", F.inline(hopeful))
-        prefixes = materialise(rows.select("last", joined(F.col("vs"), F.col("v")).alias("vs"), "w", "near"))
+        hopeful = F.filter(grown, lambda g: (g["w"] <= mean) & (g["w"] + F.element_at(g["near"], left) + reach <= F.lit(best + _SLACK)))
+        rows = met.select("nrs", "vs", F.inline(hopeful))
+        prefixes = _sets(rows.select(F.array_sort(F.array_append("nrs", F.col("last"))).alias("nrs"), joined(F.col("vs"), F.col("v")).alias("vs"), "w", "near"), size)
         kept.append(prefixes.count())
     return best, kept
 
@@ -116,8 +260,12 @@ def least_total(found: DataFrame, k: int, distance="cosine", sign: int = 1) -> t
 def diversity_bounds(known: DataFrame, vector_col: str, n: int, order: list, distance="cosine") -> tuple[float, float]:
     """Lowest and highest mean distance within ``n`` rows of ``known``, each with a vector."""
     vector = F.col(vector_col).cast("array<double>")
-    numbered = row_index(known.select(*order, (unit(vector) if distance == "cosine" else vector).alias("v")), order, "nr")
-    found = _with_found(materialise(numbered.select("nr", "v")), n, _measures(distance)[0])
-    low, _ = least_total(found, n, distance, 1)
-    high, _ = least_total(found, n, distance, -1)
+    vectors = known.select(*order, (unit(vector) if distance == "cosine" else vector).alias("v"))
+    # a selection never has more than n copies of one vector
+    numbered = row_index(first_rows(vectors, n, ["v"], order), order, "nr").select("nr", "v")
+    items = materialise(numbered)
+    dense = _is_dense(items, distance)
+    found = _with_found(items, n, _measures(distance)[0], dense)
+    low, _ = least_total(found, n, distance, 1, dense)
+    high, _ = least_total(found, n, distance, -1, dense)
     return low / comb(n, 2), -high / comb(n, 2)

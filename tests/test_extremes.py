@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gazette.operators import beyond as B
+from gazette.operators import beyond as B, extremes
 from gazette.operators.extremes import _measures, _with_found, least_total
 
 
@@ -49,6 +49,40 @@ def test_prefixes_are_dropped(spark, monkeypatch):
     assert kept[0] < math.comb(90, 2) / 20 and kept_high[0] < math.comb(90, 2)
 
 
+@pytest.mark.parametrize("dense", [True, False])
+def test_prefixes_above_the_best_mean_are_dropped(spark, monkeypatch, dense):
+    """Where vectors lie all around, few pairs are as far apart as the best selection on average; several blocks either way."""
+    monkeypatch.setattr("gazette.operators.extremes.BLOCK", 1 if dense else 16)
+    rng = random.Random(3)
+    rows = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    vectors = [[x / math.sqrt(sum(y * y for y in v)) for x in v] for v in rows]
+    items = spark.createDataFrame(list(enumerate(vectors)), "nr long, v array<double>")
+    apart = [[cosine(a, b) for b in vectors] for a in vectors]
+    for k in (3, 4):
+        found = _with_found(items, k, _measures("cosine")[0], dense)
+        low, kept = least_total(found, k, dense=dense)
+        high, kept_high = least_total(found, k, sign=-1, dense=dense)
+        totals = [sum(apart[a][b] for a, b in itertools.combinations(c, 2)) for c in itertools.combinations(range(40), k)]
+        assert (low, -high) == pytest.approx((min(totals), max(totals)))
+        assert max(kept[0], kept_high[0]) < math.comb(40, 2) / 3
+
+
+def test_copies_beyond_a_selection_take_no_part(spark, monkeypatch):
+    """However many copies a vector has, a selection holds at most its own number of them."""
+    seen, inner = [], extremes._with_found
+
+    def counted(items, *args):
+        seen.append(items.count())
+        return inner(items, *args)
+
+    monkeypatch.setattr(extremes, "_with_found", counted)
+    distinct = [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.5]]
+    rows = [(i, distinct[i % 3] if i else [2.0, 2.0]) for i in range(60)]
+    items = spark.createDataFrame(rows, "article_id long, v array<double>")
+    got = tuple(B.candidate_diversity(items, items, "v", 3).first())
+    assert got == pytest.approx(bounds([*distinct * 3, [2.0, 2.0]], 3, cosine)) and seen == [10]
+
+
 def test_arguments(spark):
     items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "article_id long, v array<double>")
     assert all(math.isnan(x) for x in B.candidate_diversity(items, items, "v", 1).first())
