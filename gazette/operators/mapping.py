@@ -119,7 +119,10 @@ def known_items(lists, items, list_id="list_id", items_col="items", item_col=C.A
 
 
 def gather_vectors(df, column, vectors, unknown="zeros", key=C.IMPRESSION_ID, out=None, **join_options) -> DataFrame:
-    """Replace ids in a list by their vectors; unknown ids get zeros or the mean vector."""
+    """Replace ids in a list by their vectors; unknown ids get zeros or the mean vector.
+
+    Vectors travel in their own type and become doubles, as the stand-in is, once they are in their lists.
+    """
     id_col, vec_col = vectors.columns[:2]
     fallback = unknown_vector(vectors, unknown)
     wide = gathered(df, [column], vectors, id_col, [vec_col], key, **join_options)

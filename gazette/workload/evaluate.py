@@ -196,7 +196,7 @@ def lookup_mean(spark, d):
     )
 )
 def gather_vectors(spark, d):
-    out = mapping.gather_vectors(V.inview(spark, d), C.INVIEW, V.vectors(spark, d), out="vectors")
+    out = mapping.gather_vectors(V.inview(spark, d), C.INVIEW, V.stored_vectors(spark, d), out="vectors")
     rows = out.select(C.IMPRESSION_ID, F.posexplode("vectors").alias("pos", "v"))
     at = lambda i: F.round(F.get("v", F.lit(i)), 6)
     return rows.select(C.IMPRESSION_ID, "pos", at(0).alias("v0"), at(63).alias("v63"), F.size("v").alias("width"))

@@ -242,7 +242,7 @@ def decay_add(spark, d):
     )
 )
 def decay_apply(spark, d):
-    cells = mapping.map_list_article_id_to_value(V.inview(spark, d).select(C.IMPRESSION_ID, C.INVIEW), C.INVIEW, V.vectors(spark, d))
+    cells = mapping.map_list_article_id_to_value(V.inview(spark, d).select(C.IMPRESSION_ID, C.INVIEW), C.INVIEW, V.stored_vectors(spark, d))
     weighted = decay.add_decay_weights(cells, C.INVIEW)
     scaled = decay.decay_weighting_nested_lists(weighted, C.INVIEW, f"{C.INVIEW}_weights")
     rows = scaled.select(C.IMPRESSION_ID, F.posexplode(C.INVIEW).alias("pos", "v"))

@@ -133,6 +133,11 @@ def vectors(spark, sf_dir) -> DataFrame:
     )
 
 
+def stored_vectors(spark, sf_dir) -> DataFrame:
+    """The vectors as stored, half as wide: for work that carries them through shuffles and widens them behind."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(C.ARTICLE_ID), F.col("embedding").alias("vector"))
+
+
 def users(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias(C.USER), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") < 0).alias("in_debt")

@@ -12,7 +12,7 @@ from gazette.operators.mapping import create_article_id_to_value_mapping, create
 from gazette.plans import lookup
 from gazette.plans.numbering import first_rows, row_position
 from gazette.plans.store import materialise, scratch_folder
-from gazette.workload import views as V
+from gazette.workload import QUERIES, views as V
 
 
 def plan(df):
@@ -174,3 +174,11 @@ def test_positions_and_last_wins(spark):
     last = {r.k: r.v for r in create_lookup(pairs, "k", "v", "t").collect()}
     assert last == {1: "b", 2: None, 3: "e"}
     assert {r.k: r.v for r in create_article_id_to_value_mapping(pairs, "v", "k").collect()} == {1: "b", 2: "c", 3: "e"}
+
+
+@pytest.mark.parametrize("name", ["gather_vectors", "decay_apply"])
+def test_vectors_are_widened_behind_the_shuffles(spark, small, name, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    out = QUERIES[name](spark, small)
+    assert "cast(embedding" not in plan(out) and dict(out.dtypes)["v0"] == "double"
+    assert out.filter("v0 <> 0 AND v0 <> cast(cast(v0 AS float) AS double)").count() > 0
