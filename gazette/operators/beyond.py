@@ -5,17 +5,20 @@ Ids missing from the item table are dropped first (coverage apart). Lists are ex
 to the item table once and folded back with map-side partial aggregates.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gazette import columns as C
-from gazette.functions.arrays import array_sum, dot, is_udf, resolve_distance, unit
+from gazette.functions.arrays import array_sum, dot, is_udf, norm, resolve_distance, with_each
 from gazette.functions.draws import distinct_draws
 from gazette.operators.checks import require_columns
 from gazette.operators.extremes import diversity_bounds
 from gazette.plans.lists import as_keys
-from gazette.plans.lookup import lookup_join
+from gazette.plans.lookup import is_small, lookup_join, shuffled_join
 from gazette.plans.numbering import row_index
 from gazette.plans.store import materialise
 
@@ -37,9 +40,36 @@ def _or_nan(value):
 
 
 def _unit_items(items, vector_col, item_col, *extra):
-    """Item id, unit vector ``__u`` and its squared length ``__sq``; both null without a vector."""
-    v = unit(F.col(vector_col).cast("array<double>"))
-    return items.select(item_col, v.alias("__u"), *extra).withColumn("__sq", dot("__u", "__u"))
+    """Item id, its vector ``__v`` as given, the length ``__len`` to divide it by and the squared length ``__sq`` of
+    the quotient; all null without a vector. A zero vector stays as it is."""
+    length = norm(F.col(vector_col).cast("array<double>"))
+    table = items.select(item_col, F.col(vector_col).alias("__v"), F.when(length == 0, F.lit(1.0)).otherwise(length).alias("__len"), *extra)
+    return table.withColumn("__sq", dot(_unit(), _unit()))
+
+
+def _unit():
+    return with_each("__v", F.col("__len"), lambda x, length: x.cast("double") / length)
+
+
+def _unit_rows(lists, table, columns, keys, items_col, item_col, broadcast_bytes=None, hot_rows=None, count_on=None):
+    """The rows of ``_listed``, all rows of a list in one partition, where sums of vectors are as many as lists.
+
+    Lines of one list seldom lie in one task before a shuffle, so sums hardly combine there, and each is as wide as a
+    vector of doubles. So vectors travel as given, once per known item, and are added up behind. Spark joins partitions
+    by the bytes they read, which tell nothing of the sums: a number of its own, twice the session's, keeps them small.
+    """
+    n = 2 * int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists, table = lists.select(*keys, items_col), table.select(item_col, *columns)
+    place = F.posexplode_outer(items_col).alias("pos", item_col)
+    small = is_small(table, broadcast_bytes)
+    if small:
+        joined = lists.repartition(n, *keys).select(*keys, place).join(F.broadcast(table), item_col, "left")
+    else:
+        joined = shuffled_join(lists.select(*keys, place), table, item_col, "left", [*keys, "pos"], hot_rows, count_on)
+    # an item that tells nothing only has to name its list, for which the first one does
+    told = reduce(or_, [F.col(c).isNotNull() for c in columns])
+    rows = joined.filter(told | (F.coalesce("pos", F.lit(0)) == 0)).drop(item_col)
+    return rows if small else rows.repartition(n, *keys)
 
 
 # Vectors of up to this many components are summed place by place in generated code, which took a third of
@@ -48,25 +78,25 @@ _PLACES = 96
 
 
 def _vector_sums(items, vector_col):
-    """Aggregates that add up ``__u`` by list, unknown items left out, and the sum as one list made of them."""
+    """Aggregates that add up the unit vectors by list, unknown items left out, and the sum as one list made of them."""
     width = items.agg(F.max(F.size(vector_col))).first()[0] or 0
     none = F.array().cast("array<double>")
     if width <= _PLACES:
-        sums = [F.sum(F.col("__u")[k]).alias(f"__s{k}") for k in range(width)]
+        sums = [F.sum(F.col("__v")[k].cast("double") / F.col("__len")).alias(f"__s{k}") for k in range(width)]
         return sums, F.array(*[F.coalesce(f"__s{k}", F.lit(0.0)) for k in range(width)]) if width else none
     # the summarizer takes no nulls and no empty group, but passes rows of weight 0 by before it looks at
     # them: unknown items weigh nothing, and the first place of a list adds zeros instead
-    known, first = F.col("__u").isNotNull(), F.coalesce(F.col("pos") == 0, F.lit(True))
-    vector = F.when(known, F.col("__u")).when(first, F.array_repeat(F.lit(0.0), width)).otherwise(none)
+    known, first = F.col("__v").isNotNull(), F.coalesce(F.col("pos") == 0, F.lit(True))
+    vector = F.when(known, _unit()).when(first, F.array_repeat(F.lit(0.0), width)).otherwise(none)
     total = Summarizer.sum(array_to_vector(vector), F.when(known | first, F.lit(1.0)).otherwise(F.lit(0.0)))
     return [vector_to_array(total).alias("__s")], F.col("__s")
 
 
 def _folded_units(lists, items, vector_col, list_id, items_col, item_col, **join_options):
     """Per list: known items ``n``, the sum ``s`` of their unit vectors and the sum ``sq`` of its squared lengths."""
-    rows = _listed(lists, _unit_items(items, vector_col, item_col), ["__u", "__sq"], list_id, items_col, item_col, **join_options)
-    sums, total = _vector_sums(items, vector_col)
     keys = as_keys(list_id)
+    rows = _unit_rows(lists, _unit_items(items, vector_col, item_col), ["__v", "__len", "__sq"], keys, items_col, item_col, **join_options)
+    sums, total = _vector_sums(items, vector_col)
     folded = rows.groupBy(*keys).agg(F.count("__sq").alias("n"), F.coalesce(F.sum("__sq"), F.lit(0.0)).alias("sq"), *sums)
     return folded.select(*keys, "n", "sq", total.alias("s"))
 
@@ -348,7 +378,7 @@ def scored_lists(
     require_columns(items, [vector_col, sentiment_col, popularity_col])
     extra = [F.col(sentiment_col).alias("__feeling"), self_information(popularity_col).alias("__i")]
     table = _unit_items(items, vector_col, item_col, *extra)
-    rows = _listed(lists, table, ["__u", "__sq", "__feeling", "__i"], keys, items_col, item_col, **join_options)
+    rows = _listed(lists, table, ["__v", "__len", "__sq", "__feeling", "__i"], keys, items_col, item_col, **join_options)
     sums, total = _vector_sums(items, vector_col)
     folded = rows.groupBy(*keys).agg(
         F.count("__sq").alias("n"),

@@ -85,11 +85,20 @@ def lookup_join(
     stage proves small. ``count_on`` names a cheaper frame with the same keys to count hot keys
     on. ``how`` is ``left``, ``inner`` or ``left_semi``.
     """
-    broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    if broadcast_bytes and fits_broadcast(lookup, broadcast_bytes):
+    if is_small(lookup, broadcast_bytes):
         return df.join(F.broadcast(lookup), key, how)
+    return shuffled_join(df, lookup, key, how, spread, hot_rows, count_on)
 
+
+def is_small(lookup: DataFrame, broadcast_bytes: int | None = None) -> bool:
+    """Whether ``lookup_join`` broadcasts a table."""
+    broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    return bool(broadcast_bytes and fits_broadcast(lookup, broadcast_bytes))
+
+
+def shuffled_join(df, lookup, key, how="left", spread=None, hot_rows=None, count_on=None) -> DataFrame:
+    """``lookup_join`` for a table that is not broadcast."""
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     spread = spread or [c for c in plain if c != key]
     # at most (rows / hot_rows) keys can be hot, which bounds this broadcast

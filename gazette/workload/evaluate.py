@@ -548,7 +548,7 @@ _DIVERSITY = """
     )
 )
 def diversity(spark, d):
-    return beyond.intralist_diversity(_lists(spark, d), V.vectors(spark, d), "vector").withColumns(r6("diversity"))
+    return beyond.intralist_diversity(_lists(spark, d), V.stored_vectors(spark, d), "vector").withColumns(r6("diversity"))
 
 
 @query(
@@ -663,7 +663,7 @@ def candidate_sentiment(spark, d):
 def serendipity(spark, d):
     lists = V.impressions(spark, d).select(F.col(C.IMPRESSION_ID).alias("list_id"), C.USER, F.col(C.INVIEW).alias("items"))
     past = V.histories(spark, d).select(C.USER, F.col(C.HISTORY_IDS).alias("history"))
-    out = beyond.serendipity(lists, past, V.vectors(spark, d), "vector", history_key=C.USER)
+    out = beyond.serendipity(lists, past, V.stored_vectors(spark, d), "vector", history_key=C.USER)
     return out.withColumns(r6("serendipity"))
 
 

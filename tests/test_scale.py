@@ -182,3 +182,19 @@ def test_vectors_are_widened_behind_the_shuffles(spark, small, name, monkeypatch
     out = QUERIES[name](spark, small)
     assert "cast(embedding" not in plan(out) and dict(out.dtypes)["v0"] == "double"
     assert out.filter("v0 <> 0 AND v0 <> cast(cast(v0 AS float) AS double)").count() > 0
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, lookup.BROADCAST_BYTES])
+@pytest.mark.parametrize("name", ["diversity", "serendipity"])
+def test_sums_of_vectors_are_not_shuffled_before_they_combine(spark, small, name, broadcast_bytes, monkeypatch):
+    """Partial sums, as wide as a vector for every line, lie under the whole sums without an exchange between."""
+    want = {r[0]: r[1] for r in QUERIES[name](spark, small).collect()}
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", broadcast_bytes)
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    out = QUERIES[name](own, small)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [above for above, line in zip(lines, lines[1:]) if "functions=[partial_count(__sq" in line]
+    assert below and not any("Exchange" in x for x in below)
+    got = {r[0]: r[1] for r in out.collect()}
+    assert len(got) == len(want) and all(got[k] == pytest.approx(want[k], abs=2e-6, nan_ok=True) for k in want)
