@@ -349,7 +349,6 @@ def mean_std(df, value, group=()) -> DataFrame:
 
 
 METRICS = ("diversity", "sentiment", "novelty", "serendipity")
-ITEM = "item"  # the attribute under which listed ids are counted, for coverage
 
 
 def _attribute_values(items, attributes):
@@ -370,15 +369,15 @@ def _attribute_values(items, attributes):
 def scored_lists(
     lists, items, vector_col, sentiment_col, popularity_col, keys, items_col="items", item_col=C.ARTICLE_ID, **join_options
 ) -> DataFrame:
-    """Every list with all that its items tell: ``keys``, ``diversity``, ``sentiment``, ``novelty``, ``n``, ``s``, ``ids``.
+    """Every list with all that its items tell: ``keys``, ``diversity``, ``sentiment``, ``novelty``, ``n``, ``s``.
 
     The lists are exploded and joined to the items once, and one fold gives every metric side by side. ``n`` and ``s`` are
-    the number and the sum of the unit vectors; ``ids`` are the listed ids.
+    the number and the sum of the unit vectors.
     """
     require_columns(items, [vector_col, sentiment_col, popularity_col])
     extra = [F.col(sentiment_col).alias("__feeling"), self_information(popularity_col).alias("__i")]
     table = _unit_items(items, vector_col, item_col, *extra)
-    rows = _listed(lists, table, ["__v", "__len", "__sq", "__feeling", "__i"], keys, items_col, item_col, **join_options)
+    rows = _unit_rows(lists, table, ["__v", "__len", "__sq", "__feeling", "__i"], keys, items_col, item_col, **join_options)
     sums, total = _vector_sums(items, vector_col)
     folded = rows.groupBy(*keys).agg(
         F.count("__sq").alias("n"),
@@ -386,10 +385,9 @@ def scored_lists(
         *sums,
         _or_nan(F.avg("__feeling")).alias("sentiment"),
         _or_nan(F.avg("__i")).alias("novelty"),
-        F.collect_list(item_col).alias("ids"),
     )
     summed = folded.withColumn("s", total)
-    return summed.select(*keys, _mean_of_pairs(_cosine_total()).alias("diversity"), "sentiment", "novelty", "n", "s", "ids")
+    return summed.select(*keys, _mean_of_pairs(_cosine_total()).alias("diversity"), "sentiment", "novelty", "n", "s")
 
 
 def _with_serendipity(scored, past, name_col, user_col, shared_col) -> DataFrame:
@@ -419,6 +417,47 @@ def _by_groups(df, segments, keys, aggregates) -> DataFrame:
     return out.select(*keys, segment.alias("segment"), value.alias("segment_value"), *names)
 
 
+def _shares(shown, items, attributes, segments, name_col, user_col, shared_col, item_col, **join_options) -> DataFrame:
+    """The share of each attribute value among the listed items, whole and by segment.
+
+    Attribute values are few, so listed items meet theirs before anything is counted: counts then combine on the map
+    side, which counts of ids by all segments hardly do.
+    """
+    told = items.select(item_col, _attribute_values(items, attributes).alias("__values")).join(_copies(items, item_col), item_col)
+    valued = lookup_join(shown, told, item_col, "inner", spread=[name_col, user_col, *segments], **join_options)
+    counted = valued.select(name_col, shared_col, *segments, "__copies", F.inline("__values"))
+    counted = counted.groupBy(name_col, shared_col, *segments, "attribute", "value").agg(F.sum("__copies").alias("n"))
+    grouped = _by_groups(counted, segments, [name_col, shared_col, "attribute", "value"], [F.sum("n").alias("n")])
+    grouped = grouped.filter(~F.col(shared_col) | (F.col("segment") == "all")).drop(shared_col)
+    place = [name_col, "segment", "segment_value", "attribute"]
+    totals = grouped.groupBy(*place).agg(F.sum("n").alias("total"))
+    here = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in place]
+    shares = grouped.alias("a").join(totals.alias("b"), here)
+    return shares.select(*[f"a.{c}" for c in place], "value", (F.col("n") / F.col("total")).alias("share"))
+
+
+def _copies(items, item_col) -> DataFrame:
+    """How often the item table repeats an id: a repeated item counts that often wherever it meets the table."""
+    return items.groupBy(item_col).agg(F.count("*").alias("__copies"))
+
+
+def _covered(shown, items, segments, name_col, shared_col, item_col) -> DataFrame:
+    """Distinct listed items ``n_items`` and listed items ``total``, whole and by segment.
+
+    Ids are counted by all segments first, so an id has few rows however often it is listed, and these meet in one task.
+    """
+    counted = shown.groupBy(name_col, shared_col, *segments, item_col).agg(F.count("*").alias("n"))
+    counted = counted.repartition(item_col).join(_copies(items, item_col), item_col, "left")
+    # listed items meet the table twice, for what they tell and for their attributes
+    copies = F.coalesce("__copies", F.lit(1))
+    whole = F.struct(F.lit("all").alias("segment"), F.lit(None).cast("string").alias("segment_value"))
+    by_segment = [F.struct(F.lit(s).alias("segment"), F.col(s).cast("string").alias("segment_value")) for s in segments]
+    places = F.when(~F.col(shared_col), F.array(whole, *by_segment)).otherwise(F.array(whole))
+    spread = counted.select(name_col, shared_col, item_col, (F.col("n") * copies * copies).alias("n"), F.inline(places))
+    each = spread.groupBy(item_col, name_col, shared_col, "segment", "segment_value").agg(F.sum("n").alias("n"))
+    return each.groupBy(name_col, "segment", "segment_value").agg(F.count("*").alias("n_items"), F.sum("n").alias("total"))
+
+
 def beyond_accuracy_report(
     lists, items, histories, vector_col, sentiment_col, popularity_col, attributes=(), users=None, segments=(), user_col=C.USER,
     name_col="list_name", list_id="list_id", items_col="items", history_col="history", item_col=C.ARTICLE_ID, shared_col="is_shared",
@@ -435,20 +474,19 @@ def beyond_accuracy_report(
     * ``list_name, segment, segment_value, attribute, value, share`` for each of ``attributes``. A shared list
       is the same in all segments and given as a whole only, here and for coverage.
 
-    ``segment`` is ``all`` for the whole. The lists are read, exploded and joined to the items once; one stored row per list
-    then feeds every table.
+    ``segment`` is ``all`` for the whole. The lists are stored once as they are, and every table reads these: the metrics
+    fold them by list, the others count ids by segment, so a table that is not used costs nothing.
     """
     keys = list(dict.fromkeys([name_col, list_id, user_col, shared_col]))
     segments = list(segments)
-    scored = materialise(
-        scored_lists(lists, items, vector_col, sentiment_col, popularity_col, keys, items_col, item_col, **join_options)
-    )
+    lists = materialise(lists.select(*keys, items_col))
+    scored = scored_lists(lists, items, vector_col, sentiment_col, popularity_col, keys, items_col, item_col, **join_options)
     past = _folded_units(histories, items, vector_col, user_col, history_col, item_col, **join_options)
     scores = _with_serendipity(scored, past, name_col, user_col, shared_col)
-    listed = scored.select(name_col, user_col, shared_col, "ids")
+    listed = lists.select(name_col, user_col, shared_col, items_col)
     if segments:
         known = users.select(user_col, *segments)
-        scores = lookup_join(scores, known, user_col, "left", spread=[name_col], count_on=scored)
+        scores = lookup_join(scores, known, user_col, "left", spread=[name_col], count_on=lists)
         listed = lookup_join(listed, known, user_col, "left", spread=[name_col])
 
     defined = {m: F.nanvl(m, F.lit(None)) for m in METRICS}
@@ -456,29 +494,16 @@ def beyond_accuracy_report(
     metrics = _by_groups(scores, segments, [name_col], [F.array(*cells).alias("__m")])
     metrics = metrics.select(name_col, "segment", "segment_value", F.inline("__m"))
 
-    # ids are counted by all segments at once, on the map side, and only then meet their attributes
-    shown = listed.select(name_col, shared_col, *segments, F.explode("ids").alias(item_col))
-    shown = shown.groupBy(name_col, shared_col, *segments, item_col).agg(F.count("*").alias("n"))
-    told = items.select(item_col, _attribute_values(items, attributes).alias("__values"))
-    shown = lookup_join(shown, told, item_col, "left", spread=[name_col, *segments], **join_options)
-    itself = F.array(F.struct(F.lit(ITEM).alias("attribute"), F.col(item_col).cast("string").alias("value")))
-    pairs = F.inline(F.when(F.col("__values").isNull(), itself).otherwise(F.concat(itself, "__values")))
-    counted = shown.select(name_col, shared_col, *segments, "n", pairs)
-    counted = counted.groupBy(name_col, shared_col, *segments, "attribute", "value").agg(F.sum("n").alias("n"))
-    grouped = _by_groups(counted, segments, [name_col, shared_col, "attribute", "value"], [F.sum("n").alias("n")])
-    grouped = materialise(grouped.filter(~F.col(shared_col) | (F.col("segment") == "all")).drop(shared_col))
-    place = [name_col, "segment", "segment_value", "attribute"]
-    totals = grouped.groupBy(*place).agg(F.sum("n").alias("total"), F.count("*").alias("n_values"))
-    here = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in place]
-    shares = grouped.filter(F.col("attribute") != ITEM).alias("a").join(totals.alias("b"), here)
-    shares = shares.select(*[f"a.{c}" for c in place], "value", (F.col("n") / F.col("total")).alias("share"))
+    shown = listed.select(name_col, user_col, shared_col, *segments, F.explode(items_col).alias(item_col)).filter(F.col(item_col).isNotNull())
+    shares = _shares(shown, items, attributes, segments, name_col, user_col, shared_col, item_col, **join_options)
+    totals = _covered(shown, items, segments, name_col, shared_col, item_col)
 
-    none, count = F.lit(None).cast("double"), F.col("n_values").cast("double")
+    none, count = F.lit(None).cast("double"), F.col("n_items").cast("double")
     covered = [F.struct(F.lit("coverage_count").alias("metric"), count.alias("mean"), none.alias("std"), F.col("total").alias("n"))]
     if candidates is not None:
         fraction = F.try_divide(count, candidates.agg(F.count_distinct(item_col)).scalar())
         covered.append(F.struct(F.lit("coverage_fraction").alias("metric"), fraction.alias("mean"), none.alias("std"), F.col("total").alias("n")))
-    coverage_rows = totals.filter(F.col("attribute") == ITEM).select(name_col, "segment", "segment_value", F.inline(F.array(*covered)))
+    coverage_rows = totals.select(name_col, "segment", "segment_value", F.inline(F.array(*covered)))
     return metrics.unionByName(coverage_rows), shares
 
 

@@ -768,7 +768,7 @@ def _report(spark, d):
     items = materialise(
         V.articles(spark, d)
         .join(_popular_items(spark, d), C.ARTICLE_ID, "left")
-        .join(V.vectors(spark, d), C.ARTICLE_ID, "left")
+        .join(V.stored_vectors(spark, d), C.ARTICLE_ID, "left")
         .select(C.ARTICLE_ID, C.CATEGORY_STR, C.SUBCATEGORY, C.SENTIMENT_SCORE, label.alias(C.SENTIMENT_LABEL), "popularity", "vector")
     )
     best = items.filter("popularity IS NOT NULL").orderBy(F.desc("popularity"), C.ARTICLE_ID).limit(TOP_N)

@@ -330,3 +330,19 @@ def test_auc_of_rows(spark):
     assert tuple(auc_of_rows(df.limit(0)).first()) == (None, None, 0, 0)
     text = whole._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in text
+
+
+def test_shares_do_not_wait_for_the_metrics(spark):
+    """Each table of the report is made when it is used, and sums of vectors are never stored."""
+    lists, items, past, users = _report_tables(spark)
+    twice = items.unionByName(items.filter("article_id = 1"))
+    metrics, shares = B.beyond_accuracy_report(lists, twice, past, "v", "mood", "pop", ["kind", "topics"], users, ["sex", "area"], candidates=items)
+    told = shares._jdf.queryExecution().optimizedPlan().toString()
+    assert "__s0" not in told and "history" not in told
+    plan = metrics._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(article_id" not in plan and "sum(" in plan and "hn" in plan
+    got = {(r["list_name"], r["segment"], r["segment_value"], r["metric"]): (r["mean"], r["n"]) for r in metrics.collect()}
+    assert got["own", "all", None, "coverage_count"] == (5, 8) and got["own", "sex", "m", "coverage_count"] == (3, 6)
+    assert got["own", "sex", "f", "novelty"] == pytest.approx((2.0, 1))
+    shared = {(r["list_name"], r["segment"], r["attribute"], r["value"]): r["share"] for r in shares.collect() if r["segment"] == "all"}
+    assert shared["own", "all", "kind", "a"] == pytest.approx(5 / 7) and shared["own", "all", "topics", "y"] == pytest.approx(4 / 9)
