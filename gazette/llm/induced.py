@@ -43,18 +43,22 @@ class DiskQueues:
             self.chunks[symbol].append((position, common))
 
     def pop(self, symbol: int):
-        """Chunks of a symbol as they came, also those pushed meanwhile."""
+        """What came for a symbol, in order, also what is pushed meanwhile: as many chunks at once as the budget takes."""
         chunks = self.chunks[symbol]
         while chunks:
-            chunk = chunks.pop(0)
-            if isinstance(chunk, str):
-                with open(chunk, "rb") as f:
-                    position, common = np.load(f), np.load(f)
-                os.unlink(chunk)
-            else:
-                position, common = chunk
-                self.held -= position.nbytes + common.nbytes
-            yield position, common
+            taken, size = [], 0
+            while chunks and (not taken or size < self.budget):
+                chunk = chunks.pop(0)
+                if isinstance(chunk, str):
+                    with open(chunk, "rb") as f:
+                        position, common = np.load(f), np.load(f)
+                    os.unlink(chunk)
+                else:
+                    position, common = chunk
+                    self.held -= position.nbytes + common.nbytes
+                taken.append((position, common))
+                size += position.nbytes + common.nbytes
+            yield taken[0] if len(taken) == 1 else tuple(np.concatenate(x) for x in zip(*taken, strict=True))
 
     def close(self) -> None:
         if self.folder:

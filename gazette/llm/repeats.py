@@ -11,7 +11,8 @@ without sorting the whole corpus in one place:
   so a passage in very many documents arrives once. A gram whose segments exceed a shard (a short
   passage with ever other neighbours) goes to none: each string of its segments is told by its
   digest, which spreads over all tasks.
-* A shard sorts the suffixes of its segments by external induced sorting (``induced``). Suffixes whose
+* A shard leaves out segments that are alone with their gram (strings with one gram at different offsets differ)
+  and sorts the suffixes of the others by external induced sorting (``induced``). Suffixes whose
   common prefixes reach ``length`` are equal strings, and all but the first start are repeats.
 
 Whole copies of a text are told by their digest and only the first is looked at.
@@ -178,6 +179,11 @@ def _cut_segments(candidates: DataFrame, length: int) -> DataFrame:
 
 def _sorted_repeats(length: int):
     def run(group: pa.Table) -> pa.Table:
+        # strings of one segment hold the gram at different offsets, so they differ: a segment alone with its gram has no repeats
+        _, gram, size = np.unique(group.column("gram").to_numpy(), return_inverse=True, return_counts=True)
+        group = group.filter(pa.array(size[gram] > 1, pa.bool_()))
+        if not group.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "end": pa.array([], pa.int64())})
         content = group.column("content").to_pylist()
         ids, starts = group.column("id").to_numpy(), group.column("start").to_numpy()
         sizes = np.fromiter(map(len, content), np.int64, len(content))
@@ -261,7 +267,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         distinct = distinct.join(F.broadcast(hot), "gram", "left_anti")
     # hashed again for the same reason as the ranges: by the leading bits of the gram most segments would meet in a few shards
     part = F.shiftrightunsigned(F.xxhash64("gram"), 64 - bits) if bits else F.lit(0).cast("long")
-    shards = distinct.select(part.alias("part"), "content", "at.id", "at.start")
+    shards = distinct.select(part.alias("part"), "gram", "content", "at.id", "at.start")
     # as many tasks as shards: small shuffle partitions put together would sort them one after the other
     dealt = shards.repartition(1 << bits, "part")
     inside = dealt.groupBy("part").applyInArrow(_sorted_repeats(length), "id long, start long, end long")

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -441,6 +442,40 @@ def test_repeats_are_spread(spark, monkeypatch):
     assert got == removed(docs)
 
 
+def test_segments_alone_with_their_gram_are_not_sorted(monkeypatch):
+    inner, sorted_bytes = repeats.suffixes_with_common, []
+
+    def counted(text, cap):
+        sorted_bytes.append(len(text))
+        return inner(text, cap)
+
+    monkeypatch.setattr(repeats, "suffixes_with_common", counted)
+    rng = random.Random(8)
+    noise = lambda n: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=n))
+    shared = noise(104)
+    content = [noise(150), shared + noise(9), noise(7) + shared, noise(150), noise(140)]
+    group = pa.table({"part": [0] * 5, "gram": [5, 6, 6, 7, 8], "content": content, "id": [1, 2, 3, 4, 5], "start": [0, 10, 20, 0, 0]})
+    assert repeats._sorted_repeats(100)(group).to_pylist() == [{"id": 3, "start": 27, "end": 131}]
+    assert sorted_bytes == [len(content[1]) + len(content[2]) + 2]
+    assert repeats._sorted_repeats(100)(group.slice(0, 1)).num_rows == 0
+    assert len(sorted_bytes) == 1
+
+
+def test_queue_chunks_leave_together():
+    chunks = [(np.arange(i, dtype=np.int64), np.full(i, i, np.uint8)) for i in (3, 1, 4)]
+    for budget, groups in ((1 << 20, [[0, 1, 2]]), (1, [[0], [1], [2]])):
+        queues = induced.DiskQueues(2, budget)
+        for position, common in chunks:
+            queues.push(1, position, common)
+        got = list(queues.pop(1))
+        assert len(got) == len(groups)
+        for (position, common), own in zip(got, groups, strict=True):
+            assert position.tolist() == [x for i in own for x in chunks[i][0].tolist()]
+            assert common.tolist() == [x for i in own for x in chunks[i][1].tolist()]
+        assert queues.held == 0
+        queues.close()
+
+
 def test_induced_sorting():
     rng = random.Random(1)
     for _ in range(300):
