@@ -24,9 +24,17 @@ def word_count(c) -> Column:
     return F.when(c != "", F.size(F.split(c, " "))).otherwise(F.lit(0))
 
 
+_GAP = r"[^\p{L}\p{N}]+"
+
+
+def spaced_words(c) -> Column:
+    """``words`` joined by a space: one string to hand to a task instead of a list of many."""
+    return F.trim(F.regexp_replace(F.lower(col(c)), _GAP, " "))
+
+
 def words(c) -> Column:
     """Lower-cased runs of letters and digits in order."""
-    return F.filter(F.split(F.lower(col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(col(c)), _GAP), lambda w: w != "")
 
 
 def format_delta(seconds) -> Column:

@@ -1,17 +1,25 @@
 """Text columns: concatenation, vocabularies, token ids and vectors."""
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from gazette import columns as C
-from gazette.functions.arrays import field, head_padded, named, unit, with_each
+from gazette.functions.arrays import field, head_padded
 from gazette.functions.draws import as_integer, digest
-from gazette.functions.text import joined_text, list_text, words
+from gazette.functions.text import joined_text, list_text, spaced_words, words
 from gazette.plans.lists import as_keys
 from gazette.plans.lookup import lookup_join
 from gazette.plans.numbering import row_index
 
+_BLOCK_TOKENS = 1 << 20  # tokens of the texts that share a dictionary in a task
+_VECTORS = 1 << 14  # rows of sums made dense at a time
+
 
 def concat_str_columns(df, columns) -> tuple[DataFrame, str]:
     """Join text columns by a space into a column named by joining their names with ``-``."""
@@ -53,6 +61,25 @@ def convert_text2encoding(df, vocab, column, name="vocab", max_length=None, key=
     return encoded.select(*df.columns, out), out
 
 
+def _token_blocks(batches, limit: int):
+    """Rows with words, as tables, with the words of the last column (``spaced_words``) as lists: up to ``limit`` words together, or a single row."""
+    held, size = [], 0
+    for batch in batches:
+        # texts without words are left out here: a filter before the task would make the words twice
+        batch = batch.filter(pc.not_equal(batch.column(batch.num_columns - 1), ""))
+        lists = pc.split_pattern(batch.column(batch.num_columns - 1), " ")
+        batch = pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=batch.schema.names)
+        start = 0
+        for i, n in enumerate(lists.value_lengths().to_pylist()):
+            if size and size + n > limit:
+                yield pa.Table.from_batches([*held, batch.slice(start, i - start)])
+                held, start, size = [], i, 0
+            size += n
+        held.append(batch.slice(start))
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def hashed_embeddings(df, column, dim=256, out="embedding", key=C.ARTICLE_ID, seed=0, dtype="float32") -> DataFrame:
     """A unit-length hashed bag of words per text, computed where the text lies.
 
@@ -81,39 +108,88 @@ def encode_with(df, column, encoder, out="embedding", key=C.ARTICLE_ID) -> DataF
     return df.select(*keys, column).mapInPandas(run, schema)
 
 
+def _neighbour_sums(dim: int, window: int, seed, limit: int):
+    """Per block of texts and token: coordinates of the neighbours and their sums, from one sort of numbers."""
+    prefix = f"{seed}:".encode()
+
+    def coordinates(tokens):
+        # as ``digest`` and ``as_integer`` read it: 8 hex digits for the place, the ninth for the sign
+        digests = b"".join(hashlib.md5(prefix + t).digest() for t in tokens.cast(pa.binary()).to_pylist())
+        table = np.frombuffer(digests, np.uint8).reshape(-1, 16)
+        place = np.ascontiguousarray(table[:, :4]).view(">u4").ravel().astype(np.int64) % dim
+        return 2 * place + (table[:, 4] >> 7)
+
+    def run(batches):
+        for block in _token_blocks(batches, limit):
+            lists = block.column(-1).combine_chunks()
+            coded = lists.flatten().dictionary_encode()
+            tokens, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            here, lead = coordinates(tokens)[code], code * (2 * dim)
+            keys = [np.empty(0, np.int64)]
+            for k in range(1, window + 1):
+                same = text[k:] == text[:-k]
+                keys += [(lead[:-k] + here[k:])[same], (lead[k:] + here[:-k])[same]]
+            keys = np.sort(np.concatenate(keys))
+            if not len(keys):
+                continue
+            edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            n = np.diff(np.append(edge, len(keys)))
+            cell, n = keys[edge] >> 1, np.where(keys[edge] & 1, -n, n)
+            edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            cell, total = cell[edge], np.add.reduceat(n, edge)
+            owner = cell // dim
+            edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            ends = pa.array(np.append(edge, len(owner)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    tokens.take(pa.array(owner[edge])),
+                    pa.ListArray.from_arrays(ends, pa.array(cell % dim, pa.int32())),
+                    pa.ListArray.from_arrays(ends, pa.array(total, pa.int64())),
+                ],
+                names=["token", "dims", "sums"],
+            )
+
+    return run
+
+
+def _unit_vectors(dim: int):
+    """Adds up the rows of each token, which follow one another, and scales the sums to length one."""
+
+    def emit(tokens, total):
+        length = np.sqrt((total * total).sum(axis=1))
+        vectors = total / np.where(length == 0, 1.0, length)[:, None]
+        ends = pa.array(np.arange(len(total) + 1) * dim, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))], names=["token", "vector"])
+
+    def run(batches):
+        last, held = None, None
+        for batch in (whole.slice(at, _VECTORS) for whole in batches for at in range(0, whole.num_rows, _VECTORS)):
+            tokens, dims = batch.column(0), batch.column(1)
+            new = np.append(True, pc.not_equal(tokens.slice(1), tokens.slice(0, len(tokens) - 1)).to_numpy(zero_copy_only=False))
+            cell = np.repeat(np.cumsum(new) - 1, dims.value_lengths().to_numpy()) * dim + dims.flatten().to_numpy()
+            total = np.bincount(cell, batch.column(2).flatten().to_numpy(), int(new.sum()) * dim).reshape(-1, dim)
+            tokens = tokens.take(pa.array(np.flatnonzero(new))).to_pylist()
+            if last == tokens[0]:
+                total[0] += held
+            elif last is not None:
+                yield emit([last], held[None])
+            yield emit(tokens[:-1], total[:-1])
+            last, held = tokens[-1], total[-1].copy()
+        if last is not None:
+            yield emit([last], held[None])
+
+    return run
+
+
 def token_vectors(df, column, dim=64, window=2, seed=0, out="vector") -> DataFrame:
     """A ``(token, vector)`` table learnt from the corpus by random indexing.
 
     Every token owns one signed coordinate (from its digest). A token's vector is the sum of
-    the coordinates of its neighbours within ``window`` places, scaled to length one. The work
-    is a count per (token, coordinate) with map-side combine; the vocabulary is never on the
-    driver.
+    the coordinates of its neighbours within ``window`` places, scaled to length one. Blocks of texts
+    add up their own sums, so one row per block and token is shuffled; the vocabulary is never on the
+    driver, nor whole in a task.
     """
-    tokens = df.select(words(column).alias("w"))
-    digests = F.transform("w", lambda t: digest(seed, t))
-    coordinate = F.transform(
-        digests,
-        lambda d: named(
-            dim=F.pmod(as_integer(d, 8), F.lit(dim)).cast("int"),
-            sign=F.when(F.substring(d, 9, 1) < "8", 1.0).otherwise(-1.0),
-        ),
-    )
-    placed = tokens.withColumn("c", coordinate)
-    numbered = F.transform("w", lambda t, i: named(token=t, i=i))
-    near = with_each(
-        numbered,
-        F.col("c"),
-        lambda t, c: named(
-            token=t["token"],
-            near=F.concat(
-                F.slice(c, F.greatest(t["i"] - window, F.lit(0)) + 1, F.least(t["i"], F.lit(window))),
-                F.slice(c, t["i"] + 2, F.lit(window)),
-            ),
-        ),
-    )
-    pairs = placed.select(F.inline(near)).select("token", F.explode("near").alias("c")).select("token", "c.*")
-    sums = pairs.groupBy("token", "dim").agg(F.sum("sign").alias("x"))
-    sparse = sums.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"))
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
-    dense = with_each(places, F.col("m"), lambda d, m: F.coalesce(F.try_element_at(m, d), F.lit(0.0)))
-    return sparse.select("token", unit(dense).alias(out))
+    sums = df.select(spaced_words(column).alias("__w")).mapInArrow(_neighbour_sums(dim, window, seed, _BLOCK_TOKENS), "token string, dims array<int>, sums array<bigint>")
+    together = sums.repartition("token").sortWithinPartitions("token")
+    return together.mapInArrow(_unit_vectors(dim), "token string, vector array<double>").select("token", F.col("vector").alias(out))

@@ -126,6 +126,33 @@ def test_encoding_and_hashed_vectors(spark):
     assert values(own, "embedding") == [[5.0, 1.0], [2.0, 1.0], [0.0, 1.0], [0.0, 1.0]]
 
 
+def test_token_sums_of_a_block_are_one_row_per_token():
+    import pyarrow as pa
+
+    own = [" ".join(["a", "b"] * 50), "b c a", None, "", "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(own)], names=["w"])
+    whole = [r for b in T._neighbour_sums(16, 2, 0, 1 << 20)([batch]) for r in b.to_pylist()]
+    assert sorted(r["token"] for r in whole) == ["a", "b", "c"]
+    cut = [r for b in T._neighbour_sums(16, 2, 0, 3)([batch]) for r in b.to_pylist()]
+    assert sorted(r["token"] for r in cut) == ["a", "a", "b", "b", "c"]
+
+    def total(rows):
+        sums = {}
+        for r in rows:
+            for d, x in zip(r["dims"], r["sums"], strict=True):
+                sums[r["token"], d] = sums.get((r["token"], d), 0) + x
+        return sums
+
+    assert total(whole) == total(cut)
+    rows = pa.RecordBatch.from_pylist(sorted(cut, key=lambda r: r["token"]), schema=pa.schema([("token", pa.string()), ("dims", pa.list_(pa.int32())), ("sums", pa.list_(pa.int64()))]))
+    apart = [r for b in T._unit_vectors(16)([rows.slice(i, 1) for i in range(5)]) for r in b.to_pylist()]
+    assert [r["token"] for r in apart] == ["a", "b", "c"]
+    for r in apart:
+        plain = [total(whole).get((r["token"], d), 0) for d in range(16)]
+        length = sum(x * x for x in plain) ** 0.5
+        assert r["vector"] == pytest.approx([x / length if length else 0.0 for x in plain])
+
+
 def test_token_vectors_match_brute_force(spark):
     import hashlib
 
