@@ -5,17 +5,19 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from gazette import columns as C
-from gazette.functions.arrays import field, head_padded
+from gazette.functions.arrays import field, head_padded, named
 from gazette.functions.draws import as_integer, digest
 from gazette.functions.text import joined_text, list_text, spaced_words, words
 from gazette.plans.lists import as_keys
 from gazette.plans.lookup import lookup_join
 from gazette.plans.numbering import row_index
+from gazette.plans.store import materialise
 
 _BLOCK_TOKENS = 1 << 20  # tokens of the texts that share a dictionary in a task
 _VECTORS = 1 << 14  # rows of sums made dense at a time
@@ -31,34 +33,91 @@ def concat_list_str(df, column) -> DataFrame:
     return df.withColumn(column, list_text(column))
 
 
+def _token_counts(limit: int):
+    def run(batches):
+        for block in _token_blocks(batches, limit):
+            counts = block.column(-1).combine_chunks().flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["token", "n"])
+
+    return run
+
+
 def vocabulary(df, column, order_offset=1) -> DataFrame:
-    """``(token, n, id)``: tokens numbered from the most frequent down (ties by token)."""
-    counts = df.select(F.explode(words(column)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """``(token, n, id)``: tokens numbered from the most frequent down (ties by token). Blocks of texts count their own first."""
+    texts = df.select(spaced_words(column).alias("__w"))
+    counts = texts.mapInArrow(_token_counts(_BLOCK_TOKENS), "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     return row_index(counts, [F.col("n").desc(), "token"], "id", offset=order_offset)
 
 
+def _coded(limit: int):
+    """Blocks of texts as places in the dictionary of their block, and a row with the dictionary; the last column holds the tokens."""
+
+    def run(batches):
+        task = TaskContext.get().partitionId() << 33
+        for i, block in enumerate(_token_blocks(batches, limit)):
+            block = block.combine_chunks()
+            lists, keys = block.column(-1).combine_chunks(), block.columns[:-1]
+            coded = lists.flatten().dictionary_encode()
+            ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), coded.indices)
+            tokens = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+            names = ["__block", "__places", "__tokens", *block.schema.names[:-1]]
+            number = pa.array([task + i], pa.int64())
+            yield pa.RecordBatch.from_arrays([number, pa.nulls(1, places.type), tokens, *[pa.nulls(1, k.type) for k in keys]], names=names)
+            number = pa.repeat(number[0], len(lists))
+            yield pa.RecordBatch.from_arrays([number, places, pa.nulls(len(lists), tokens.type), *[k.combine_chunks() for k in keys]], names=names)
+
+    return run
+
+
+def _decoded(texts: pa.Table, found: pa.Table) -> pa.Table:
+    """Ids of the texts of a block from the ids of its dictionary."""
+    found = found.sort_by([("__place", "ascending"), ("__id", "ascending")])
+    lists = texts.column("__places").combine_chunks()
+    place = lists.flatten().to_numpy()
+    first = np.searchsorted(found.column("__place").to_numpy(), np.arange(place.max() + 2))
+    n = np.diff(first)[place]  # above one where the vocabulary repeats a token
+    ends = np.append(0, np.cumsum(n))
+    at = np.repeat(first[place] - ends[:-1], n) + np.arange(ends[-1])
+    cuts = ends[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
+    ids = found.column("__id").combine_chunks().take(pa.array(at))
+    return texts.drop_columns(["__of", "__places"]).append_column("__ids", pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids))
+
+
 def convert_text2encoding(df, vocab, column, name="vocab", max_length=None, key=C.ARTICLE_ID, unknown=0, **join_options) -> tuple[DataFrame, str]:
     """Token ids of each text in order, from a ``(token, id)`` table.
 
     With ``max_length`` lists are cut, before anything is joined, and filled with 0 on the right.
     Unknown tokens get ``unknown``, a null text null. The new column is ``<column>_encode_<name>``;
-    ``key`` must identify a row.
+    ``key`` must identify a row. Blocks of texts share a dictionary, and a token is joined once for each block.
     """
     keys = as_keys(key)
     out = f"{column}_encode_{name}"
-    tokens = F.slice(words(column), 1, max_length) if max_length else words(column)
-    rows = df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
+    tokens = F.substring_index(spaced_words(column), " ", max_length) if max_length else spaced_words(column)
+    # keys travel under names of their own, which the tasks pass on
+    held = [f"__k{i}" for i in range(len(keys))]
+    types = ", ".join(f"{h} {df.schema[k].dataType.simpleString()}" for h, k in zip(held, keys, strict=True))
+    rows = df.select(*[F.col(k).alias(h) for k, h in zip(keys, held, strict=True)], tokens.alias("__w"))
+    # stored, so that texts and dictionaries of a block are the same ones for both readers
+    coded = materialise(rows.mapInArrow(_coded(_BLOCK_TOKENS), f"__block bigint, __places array<int>, __tokens array<string>, {types}"))
+    entries = coded.filter("__tokens IS NOT NULL").select("__block", F.posexplode("__tokens").alias("__place", "token"))
     table = vocab.select("token", F.col("id").cast("bigint").alias("__id"))
-    found = lookup_join(rows, table, "token", "left", spread=[*keys, "pos"], **join_options)
-    cell = F.struct("pos", F.coalesce("__id", F.lit(unknown).cast("bigint")).alias("id"))
-    lists = found.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("__c"))
-    ids = F.coalesce(field("__c", "id"), F.array().cast("array<bigint>"))
+    found = lookup_join(entries, table, "token", "left", spread=["__block", "__place"], **join_options)
+    found = found.select("__block", "__place", F.coalesce("__id", F.lit(unknown).cast("bigint")).alias("__id"))
+    texts = coded.filter("__places IS NOT NULL").select(F.col("__block").alias("__of"), "__places", *held)
+    encoded = texts.groupBy("__of").cogroup(found.groupBy("__block")).applyInArrow(_decoded, f"{types}, __ids array<bigint>")
+    encoded = encoded.select(*[F.col(h).alias(k) for k, h in zip(keys, held, strict=True)], "__ids")
+    # rows with one key share their ids, in the order of places
+    placed = F.flatten(F.transform("__l", lambda ids: F.transform(ids, lambda x, i: named(pos=i, id=x))))
+    ids = F.when(F.size("__l") == 1, F.col("__l")[0]).otherwise(field(F.array_sort(placed), "id"))
+    lists = encoded.groupBy(*keys).agg(F.collect_list("__ids").alias("__l"))
+    ids = F.coalesce(ids, F.array().cast("array<bigint>"))
     if max_length:
         ids = head_padded(ids, max_length, 0)
     # the text itself is not needed behind the join and drops out where the caller does not select it
     marked = df.withColumn("__known", F.col(column).isNotNull())
-    encoded = marked.join(lists, keys, "left").withColumn(out, F.when(F.col("__known"), ids))
-    return encoded.select(*df.columns, out), out
+    joined = marked.join(lists, keys, "left").withColumn(out, F.when(F.col("__known"), ids))
+    return joined.select(*df.columns, out), out
 
 
 def _token_blocks(batches, limit: int):

@@ -126,6 +126,32 @@ def test_encoding_and_hashed_vectors(spark):
     assert values(own, "embedding") == [[5.0, 1.0], [2.0, 1.0], [0.0, 1.0], [0.0, 1.0]]
 
 
+def test_encoding_by_block_dictionaries(spark, monkeypatch):
+    """A block joins a distinct token once; results don't depend on how rows fall into blocks."""
+    texts = ["b a b", "c b!", "", None, "x a a a", "b b b b b b b b", "a"]
+    df = frame(spark, "t string", *[(t,) for t in texts]).coalesce(1)
+    vocab = T.vocabulary(df, "t")
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    assert ids == {"b": 1, "a": 2, "c": 3, "x": 4}
+    inner, joined = T.lookup_join, []
+    monkeypatch.setattr(T, "lookup_join", lambda rows, *a, **o: joined.append(rows.count()) or inner(rows, *a, **o))
+    want = [None if t is None else [ids[w] for w in t.replace("!", "").split()] for t in texts]
+    for limit, distinct in ((1 << 20, 4), (5, 2 + 2 + 2 + 1 + 1), (1, 2 + 2 + 2 + 1 + 1)):
+        monkeypatch.setattr(T, "_BLOCK_TOKENS", limit)
+        out, name = T.convert_text2encoding(df, vocab, "t", key="k")
+        assert values(out, name) == want
+        assert joined.pop() <= distinct + (limit == 5)
+    keys = "a int, b string, t string"
+    repeated = spark.createDataFrame([(1, "x", "b a"), (1, "x", "c"), (1, None, "a b"), (2, "x", "zz b"), (2, "x", "zz b")], keys)
+    twice = vocab.unionByName(vocab.filter("token = 'c'").withColumn("id", F.col("id") + 6))
+    out, name = T.convert_text2encoding(repeated.filter("a = 1"), vocab, "t", key=["a", "b"])
+    assert sorted((r["t"], r[name]) for r in out.collect()) == [("a b", []), ("b a", [1, 3, 2]), ("c", [1, 3, 2])]
+    out, name = T.convert_text2encoding(repeated.filter("a = 2"), vocab, "t", key=["a", "b"], unknown=-1)
+    assert [r[name] for r in out.collect()] == [[-1, -1, 1, 1]] * 2
+    out, name = T.convert_text2encoding(df, twice, "t", key="k")
+    assert values(out, name)[:2] == [[1, 2, 1], [3, 9, 1]]
+
+
 def test_token_sums_of_a_block_are_one_row_per_token():
     import pyarrow as pa
 
