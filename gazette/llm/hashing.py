@@ -45,6 +45,13 @@ class Spans:
         span = (self.sums[end] - self.sums[start]) * self.back[start]
         return mix(span + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def every(self, size: int) -> np.ndarray:
+        """Hashes of all spans of ``size`` bytes, by start."""
+        span = self.sums[size:] - self.sums[: len(self.sums) - size]
+        span *= self.back[: len(span)]
+        span += np.uint64(size * 0xD6E8FEB86659FD93 % 2**64)
+        return mix(span)
+
 
 class Words:
     """The words of several texts side by side: byte spans, and the text each belongs to.

@@ -96,6 +96,14 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndar
     return out
 
 
+def _common_of(text: np.ndarray, a: int, b: int, cap: int) -> int:
+    """``_common`` of a single pair."""
+    size = min(cap, len(text) - max(a, b))
+    x = text[a : a + size]
+    differ = np.flatnonzero((x != text[b : b + size]) | (x == 0))
+    return int(differ[0]) if len(differ) else size
+
+
 def _types(text: np.ndarray) -> np.ndarray:
     """True for S suffixes. Equal symbols take the type of what follows; the last is a separator."""
     n = len(text)
@@ -201,7 +209,7 @@ def suffixes_with_common(text: np.ndarray, cap: int = CAP, budget: int = 1 << 28
             for position, common in seeds(c):
                 if before >= 0:
                     common = common.copy()
-                    common[0] = _common(text, np.array([before]), position[:1], cap)[0]
+                    common[0] = _common_of(text, int(before), int(position[0]), cap)
                 pass_on(position, common)
                 before = -1
         queues.close()
@@ -236,7 +244,7 @@ def suffixes_with_common(text: np.ndarray, cap: int = CAP, budget: int = 1 << 28
             s_down = np.concatenate([v for _, v in rest[c]])
             s_common = np.concatenate([[0], s_down[:0:-1]]).astype(np.uint8)
             if len(position):
-                s_common[0] = _common(text, position[-1:], s_position[:1], cap)[0]
+                s_common[0] = _common_of(text, int(position[-1]), int(s_position[0]), cap)
             position, common = np.concatenate([position, s_position]), np.concatenate([common, s_common])
         order.append(position)
         values.append(common)

@@ -12,6 +12,7 @@ without sorting the whole corpus in one place:
   passage with ever other neighbours) goes to none: each string of its segments is told by its
   digest, which spreads over all tasks.
 * A shard leaves out segments that are alone with their gram (strings with one gram at different offsets differ)
+  and starts whose surroundings of the gram no other segment has,
   and sorts the suffixes of the others by external induced sorting (``induced``). Suffixes whose
   common prefixes reach ``length`` are equal strings, and all but the first start are repeats.
 
@@ -22,9 +23,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gazette.llm.blocks import column, slices, texts, with_columns
+from gazette.llm.blocks import column, give_back, slices, texts, with_columns
 from gazette.llm.decontaminate import merged
 from gazette.llm.hashing import Spans, mix
 from gazette.llm.induced import suffixes_with_common
@@ -35,7 +37,9 @@ from gazette.plans.store import materialise
 LENGTH = 100
 _GRAM = 32
 _RANGE_BYTES = 1 << 25  # text per range of gram hashes
-_SHARD_BYTES = 1 << 20  # segments per suffix-sorted shard
+_SHARD_BYTES = 1 << 21  # distinct segments per suffix-sorted shard
+_SORT_BYTES = 1 << 20  # of a shard, sorted at a time
+_CLASSES = 4  # of starts, by their distance to the gram
 _BLOCK_TEXT = 1 << 24
 _SLICE_BYTES = 1 << 18  # text hashed at a time: a few arrays of 8 bytes for each of its own
 
@@ -50,25 +54,27 @@ def _segments(parts: list[bytes], length: int):
     if n < length:
         return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
     base = np.cumsum(sizes) - sizes
-    spans = Spans(b"".join(parts))
-    at = np.arange(n - _GRAM + 1)
-    hashes = spans.hash(at, at + _GRAM)
-    key = (hashes >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+    hashes = Spans(b"".join(parts)).every(_GRAM)
+    key = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
     window, span = length - _GRAM + 1, 1
     while 2 * span <= window:
         key = np.minimum(key[:-span], key[span:])
         span *= 2
     if span < window:
         key = np.minimum(key[: len(key) - (window - span)], key[window - span :])
-    text = np.repeat(np.arange(len(parts)), sizes)[: len(key)]
-    start = np.arange(len(key))
-    valid = start + length <= (base + sizes)[text]
-    start, text = start[valid], text[valid]
-    place = (key[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])])[: len(place)])
-    count = np.diff(np.append(edge, len(place)))
-    text, place = text[edge], place[edge]
-    return text, start[edge] - base[text], count, place - base[text], hashes[place]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    # a text's starts begin at its first byte and end ``length`` bytes before its last
+    fits = sizes >= length
+    new[base[fits]] = True
+    past = (base + sizes)[fits] - length + 1
+    new[past[past < len(new)]] = True
+    edge = np.flatnonzero(new)
+    count = np.diff(np.append(edge, len(new)))
+    text = np.searchsorted(base, edge, side="right") - 1
+    valid = edge + length <= (base + sizes)[text]
+    edge, count, text = edge[valid], count[valid], text[valid]
+    place = (key[edge] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return text, edge - base[text], count, place - base[text], hashes[place]
 
 
 def _digest(text: bytes | None) -> int:
@@ -150,7 +156,10 @@ def _repeated_grams(group: pa.Table) -> pa.Table:
 
 
 def _cut_segments(candidates: DataFrame, length: int) -> DataFrame:
-    """``gram, key, content, id, start`` of the segments at the given places (``id, text, places``)."""
+    """``gram, key, content, id, start, size, ahead`` of the segments at the given places (``id, text, places``).
+
+    ``ahead`` is the place of the gram in the content.
+    """
 
     def run(batches):
         for part in slices(batches, limit=_SLICE_BYTES):
@@ -161,7 +170,7 @@ def _cut_segments(candidates: DataFrame, length: int) -> DataFrame:
             shift = np.cumsum([0, *map(len, own)])
             every = np.concatenate([w + shift[i] for i, w in enumerate(wanted)])
             keep = np.isin(place + shift[text], every)
-            text, start, count, grams = text[keep], start[keep], count[keep], grams[keep]
+            text, start, count, place, grams = text[keep], start[keep], count[keep], place[keep], grams[keep]
             content = [own[t][s : s + c + length - 1] for t, s, c in zip(text.tolist(), start.tolist(), count.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -170,11 +179,46 @@ def _cut_segments(candidates: DataFrame, length: int) -> DataFrame:
                     pa.array(content, pa.binary()),
                     part.column(0).take(pa.array(text)),
                     pa.array(start),
+                    pa.array(count + length - 1),
+                    pa.array((place - start).astype(np.int32)),
                 ],
-                names=["gram", "key", "content", "id", "start"],
+                names=["gram", "key", "content", "id", "start", "size", "ahead"],
             )
 
-    return candidates.select("id", "text", "places").mapInArrow(run, "gram long, key binary, content binary, id long, start long")
+    return candidates.select("id", "text", "places").mapInArrow(run, "gram long, key binary, content binary, id long, start long, size long, ahead int")
+
+
+def _with_partners(group: pa.Table, length: int) -> pa.Table:
+    """Segments of a shard cut to the starts that may occur in another one: ``gram, content, id, start``.
+
+    Starts are put in classes by their distance to the gram. The strings of a class have a middle part in common,
+    and equal strings are in one class, so a class whose middle no other segment of the gram has holds no repeat.
+    """
+    content = group.column("content").to_pylist()
+    gram, ahead = group.column("gram").to_numpy(), group.column("ahead").to_numpy().astype(np.int64)
+    sizes = np.fromiter(map(len, content), np.int64, len(content))
+    low, high, salt = sizes.copy(), np.full(len(content), -1), mix(gram.view(np.uint64))
+    cuts = np.linspace(0, length - _GRAM + 1, _CLASSES + 1).astype(np.int64)
+    classes = []  # first and last start of a class, segments with any, hashes of their middles
+    for near, far in zip(cuts[:-1].tolist(), (cuts[1:] - 1).tolist(), strict=True):
+        first, last = np.maximum(ahead - far, 0), np.minimum(ahead - near, sizes - length)
+        own = np.flatnonzero(first <= last)
+        classes.append((first, last, own, ahead - near, ahead - far + length, np.zeros(len(content), np.uint64)))
+    pieces = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // _SLICE_BYTES, prepend=-1, append=-1))
+    for begin, end in zip(pieces[:-1].tolist(), pieces[1:].tolist(), strict=True):
+        base = np.cumsum(sizes[begin:end]) - sizes[begin:end]
+        spans = Spans(b"".join(content[begin:end]))
+        for _, _, own, left, right, middle in classes:
+            i = own[np.searchsorted(own, begin) : np.searchsorted(own, end)]
+            middle[i] = spans.hash(base[i - begin] + left[i], base[i - begin] + right[i]) ^ salt[i]
+    for first, last, own, _, _, middle in classes:
+        _, alike, count = np.unique(middle[own], return_inverse=True, return_counts=True)
+        own = own[count[alike] > 1]
+        low[own], high[own] = np.minimum(low[own], first[own]), np.maximum(high[own], last[own])
+    kept = np.flatnonzero(high >= 0)
+    parts = [content[i][s : e + length] for i, s, e in zip(kept.tolist(), low[kept].tolist(), high[kept].tolist(), strict=True)]
+    start = group.column("start").to_numpy()[kept] + low[kept]
+    return pa.table({"gram": gram[kept], "content": pa.array(parts, pa.binary()), "id": group.column("id").to_numpy()[kept], "start": start})
 
 
 def _sorted_repeats(length: int):
@@ -209,6 +253,22 @@ def _sorted_repeats(length: int):
     return run
 
 
+def _shard_repeats(length: int):
+    """Repeats of a shard, found in pieces of whole grams, which share no strings."""
+    sort = _sorted_repeats(length)
+
+    def run(group: pa.Table) -> pa.Table:
+        kept = _with_partners(group, length)
+        _, gram = np.unique(kept.column("gram").to_numpy(), return_inverse=True)
+        size = np.bincount(gram, weights=pc.binary_length(kept.column("content")).to_numpy())
+        piece = ((np.cumsum(size) - size) // _SORT_BYTES)[gram]
+        found = [sort(kept.filter(pa.array(piece == p, pa.bool_()))) for p in np.unique(piece)]
+        give_back()
+        return pa.concat_tables(found) if found else sort(kept)
+
+    return run
+
+
 def _strings(segments: DataFrame, length: int) -> DataFrame:
     """``digest, id, start`` of every string of ``length`` bytes in segments (``content, id, start``)."""
 
@@ -252,14 +312,15 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     wanted = firsts.select("id", "md5", node.alias("node")).join(places, "node").select("id", "md5", "places")
     cut = _cut_segments(rows.join(wanted, ["id", "md5"]).dropDuplicates(["id", "md5"]), length)
     segments = materialise(cut, compression="zstd")  # neighbouring segments overlap
-    total = segments.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
-    bits = int(total // _SHARD_BYTES).bit_length()
-    distinct = segments.groupBy("gram", "key").agg(F.min(F.struct("id", "start")).alias("at"), F.min("content").alias("content"))
+    alike = segments.groupBy("gram", "key")
+    distinct = alike.agg(F.min(F.struct("id", "start")).alias("at"), F.min("content").alias("content"), F.min("size").alias("size"), F.min("ahead").alias("ahead"))
     distinct = materialise(distinct, compression="zstd")
+    # a sort has a fixed cost, so shards are as few as the distinct segments allow
+    bits = int((distinct.agg(F.sum("size")).first()[0] or 0) // _SHARD_BYTES).bit_length()
     first_of = distinct.select("gram", "key", "at")
-    sizes = distinct.groupBy("gram").agg(F.sum(F.octet_length("content").cast("long")).alias("size"))
-    # at most one for each _SHARD_BYTES of segments
-    hot = materialise(sizes.filter(F.col("size") > _SHARD_BYTES).select("gram"))
+    sizes = distinct.groupBy("gram").agg(F.sum("size").alias("size"))
+    # at most two for each _SHARD_BYTES of segments
+    hot = materialise(sizes.filter(F.col("size") > _SHARD_BYTES // 2).select("gram"))
     spread = None
     if not hot.isEmpty():
         large = distinct.join(F.broadcast(hot), "gram", "left_semi").select("content", "at.id", "at.start")
@@ -267,12 +328,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         distinct = distinct.join(F.broadcast(hot), "gram", "left_anti")
     # hashed again for the same reason as the ranges: by the leading bits of the gram most segments would meet in a few shards
     part = F.shiftrightunsigned(F.xxhash64("gram"), 64 - bits) if bits else F.lit(0).cast("long")
-    shards = distinct.select(part.alias("part"), "gram", "content", "at.id", "at.start")
+    shards = distinct.select(part.alias("part"), "gram", "content", "ahead", "at.id", "at.start")
     # as many tasks as shards: small shuffle partitions put together would sort them one after the other
     dealt = shards.repartition(1 << bits, "part")
-    inside = dealt.groupBy("part").applyInArrow(_sorted_repeats(length), "id long, start long, end long")
+    inside = dealt.groupBy("part").applyInArrow(_shard_repeats(length), "id long, start long, end long")
     later = (
-        segments.select("gram", "key", "id", "start", F.octet_length("content").cast("long").alias("size"))
+        segments.select("gram", "key", "id", "start", "size")
         .join(first_of, ["gram", "key"])
         .filter(F.struct("id", "start") != F.col("at"))
         .select("id", "start", (F.col("start") + F.col("size")).alias("end"))

@@ -461,6 +461,51 @@ def test_segments_alone_with_their_gram_are_not_sorted(monkeypatch):
     assert len(sorted_bytes) == 1
 
 
+def test_starts_without_a_partner_are_not_sorted(monkeypatch):
+    inner, sorted_bytes = repeats.suffixes_with_common, []
+
+    def counted(text, cap):
+        sorted_bytes.append(len(text))
+        return inner(text, cap)
+
+    monkeypatch.setattr(repeats, "suffixes_with_common", counted)
+    rng = random.Random(9)
+    noise = lambda n: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=n))
+    phrase, passage = noise(32), noise(110)
+    content = [noise(60) + phrase + noise(60), noise(60) + phrase + noise(60), noise(9) + passage + noise(5), noise(3) + passage + noise(20)]
+    columns = {"part": [0] * 4, "gram": [5, 5, 6, 6], "content": content, "ahead": pa.array([60, 60, 49, 43], pa.int32()), "id": [1, 2, 3, 4], "start": [0, 10, 20, 30]}
+    group = pa.table(columns)
+    assert repeats._shard_repeats(100)(group).to_pylist() == [{"id": 4, "start": 33, "end": 143}]
+    assert len(sorted_bytes) == 1 and sorted_bytes[0] < sum(map(len, content[2:])) + 2
+    assert repeats._shard_repeats(100)(group.slice(0, 2)).num_rows == 0
+    assert repeats._shard_repeats(100)(group.slice(0, 0)).num_rows == 0
+    assert len(sorted_bytes) == 1
+
+
+@pytest.mark.parametrize("limit", [1 << 8, 1 << 20])
+def test_shards_find_every_repeat(monkeypatch, limit):
+    monkeypatch.setattr(repeats, "_SORT_BYTES", limit)
+    monkeypatch.setattr(repeats, "_SLICE_BYTES", 4 * limit)
+    rng = random.Random(limit)
+    found = 0
+    for letters in ("abcdefghij ", "ab", "a"):
+        noise = lambda n, letters=letters: bytes(rng.choices(letters.encode(), k=n))
+        passages = [noise(rng.randint(60, 300)) for _ in range(6)]
+        docs = [b"".join(rng.choice([noise(rng.randint(0, 60)), rng.choice(passages)]) for _ in range(6)) for _ in range(25)]
+        text, start, count, place, grams = repeats._segments(docs, 100)
+        segments = {}
+        for t, s, c, p, g in zip(text.tolist(), start.tolist(), count.tolist(), place.tolist(), grams.view(np.int64).tolist(), strict=True):
+            segments.setdefault((g, docs[t][s : s + c + 99]), (p - s, t, s))
+        rows = [{"gram": g, "content": c, "ahead": a, "id": t, "start": s} for (g, c), (a, t, s) in segments.items()]
+        schema = pa.schema({"gram": pa.int64(), "content": pa.binary(), "ahead": pa.int32(), "id": pa.int64(), "start": pa.int64()})
+        got = repeats._shard_repeats(100)(pa.Table.from_pylist(rows, schema)).to_pylist()
+        strings = sorted((r["content"][i : i + 100], r["id"], r["start"] + i) for r in rows for i in range(len(r["content"]) - 99))
+        want = {(d, s) for (x, d, s), (y, _, _) in zip(strings[1:], strings[:-1], strict=True) if x == y}
+        assert {(r["id"], i) for r in got for i in range(r["start"], r["end"] - 99)} == want
+        found += len(want)
+    assert found > 1000
+
+
 def test_queue_chunks_leave_together():
     chunks = [(np.arange(i, dtype=np.int64), np.full(i, i, np.uint8)) for i in (3, 1, 4)]
     for budget, groups in ((1 << 20, [[0, 1, 2]]), (1, [[0], [1], [2]])):
