@@ -9,7 +9,8 @@ into its first coordinates. A candidate's score for a query is at most
 and every later candidate is at most ``|query| * |candidate|``, since lengths only fall. Vectors are
 packed into blocks; a task streams the blocks of one stripe of candidates by descending length
 past one block of queries, holding two blocks and the best rows so far, so neither side needs to
-fit anywhere.
+fit anywhere. Queries lie in blocks of their own size, however many partitions the session names: a
+query block travels once to each stripe, and a candidate once for each query block.
 
 Vectors that are null, or hold a null or non-finite component, take no part. Vectors shorter than the
 longest count as padded with zeros. Repeated vectors are candidates on their own; equal scores go to
@@ -23,7 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gazette.llm.registry import query, table
+from gazette.plans.store import materialise
 
+_QUERIES = 8  # times as many rows of a block of queries, up to ...
+_QUERY_BYTES = 1 << 22
+_STRIPES = 64  # of candidates, at most
 _EXACT = 2.0**53  # doubles from here on are whole numbers themselves
 _LONG = 2**63 - 1
 
@@ -111,10 +116,25 @@ def _scores(raw: np.ndarray, query_row: np.ndarray, most: float) -> np.ndarray:
     return np.array([min(max(x, -_LONG - 1), _LONG) for x in found], np.int64)
 
 
-def _search(batches, rotation, head, width, k):
-    """Streams (query block, candidate blocks by descending length); yields each query's best."""
+def _search(batches, rotation, head, width, k, strip):
+    """Streams (query block, candidate blocks by descending length) of every stripe; yields each query's best."""
     state = None
 
+    def started(key, ids, raw):
+        turned = raw @ rotation
+        return {
+            "key": key,
+            "ids": ids,
+            "raw": raw,
+            "head": turned[:, :head],
+            "rest": np.linalg.norm(turned[:, head:], axis=1),
+            "norm": np.linalg.norm(raw, axis=1),
+            "most": float(np.abs(raw).max(initial=0)),
+            "best_ids": [np.empty(0, np.int64)] * len(ids),
+            "best": [np.empty(0, np.int64)] * len(ids),
+            "floor": np.full(len(ids), -np.inf),
+        }
+
     def done():
         ids, best_ids, best_scores = state["ids"], state["best_ids"], state["best"]
         q = np.repeat(ids, [len(x) for x in best_ids])
@@ -127,49 +147,46 @@ def _search(batches, rotation, head, width, k):
             names=["query_id", "vec_id", "score"],
         )
 
-    for b in batches:
-        for qb, stripe, q_ids, q_data, x_ids, x_data, top in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if state is None or state["key"] != (qb, stripe):
-                if state is not None:
-                    yield done()
-                ids = np.frombuffer(q_ids, np.int64)
-                raw = np.frombuffer(q_data).reshape(-1, width)
-                turned = raw @ rotation
-                state = {
-                    "key": (qb, stripe),
-                    "ids": ids,
-                    "raw": raw,
-                    "head": turned[:, :head],
-                    "rest": np.linalg.norm(turned[:, head:], axis=1),
-                    "norm": np.linalg.norm(raw, axis=1),
-                    "best_ids": [np.empty(0, np.int64)] * len(ids),
-                    "best": [np.empty(0, np.int64)] * len(ids),
-                    "floor": np.full(len(ids), -np.inf),
-                }
-            s = state
-            slack = 1e-6 * (1 + s["norm"] * top)  # far above rounding, far below what would cost work
-            # said so that an undefined bound rules out nothing
-            open_ = np.flatnonzero(~(s["norm"] * top + slack < s["floor"]))
-            if not len(open_):
-                continue
-            ids = np.frombuffer(x_ids, np.int64)
-            raw = np.frombuffer(x_data).reshape(-1, width)
-            turned = raw @ rotation
-            rest = np.linalg.norm(turned[:, head:], axis=1)
-            bound = s["head"][open_] @ turned[:, :head].T + np.outer(s["rest"][open_], rest)
-            passed = ~(bound + slack[open_, None] < s["floor"][open_, None])
-            most = float(np.abs(s["raw"]).max(initial=0)) * float(np.abs(raw).max(initial=0)) * width
-            for row, i in enumerate(open_):
-                hit = np.flatnonzero(passed[row])
-                hit = hit[ids[hit] != s["ids"][i]]
-                if not len(hit):
-                    continue
-                scores = _scores(raw[hit], s["raw"][i], most)
+    def compare(ids, raw, top):
+        s = state
+        slack = 1e-6 * (1 + s["norm"] * top)  # far above rounding, far below what would cost work
+        # said so that an undefined bound rules out nothing
+        every = np.flatnonzero(~(s["norm"] * top + slack < s["floor"]))
+        if not len(every):
+            return
+        turned = raw @ rotation
+        rest = np.linalg.norm(turned[:, head:], axis=1)
+        most = s["most"] * float(np.abs(raw).max(initial=0)) * width
+        for open_ in (every[at : at + strip] for at in range(0, len(every), strip)):
+            bound = s["head"][open_] @ turned[:, :head].T
+            bound += np.outer(s["rest"][open_], rest)
+            bound += slack[open_, None]
+            passed = ~(bound < s["floor"][open_, None])
+            passed &= s["ids"][open_, None] != ids
+            exact = None
+            if most < _EXACT and passed.any():  # the products of whole rows at once
+                exact = s["raw"][open_] @ raw.T
+                passed &= exact >= s["floor"][open_, None]
+            for row in np.flatnonzero(passed.any(axis=1)):
+                i, hit = open_[row], np.flatnonzero(passed[row])
+                scores = _scores(raw[hit], s["raw"][i], most) if exact is None else exact[row, hit].astype(np.int64)
                 s["best_ids"][i], s["best"][i] = _best(
                     np.concatenate([s["best_ids"][i], ids[hit]]), np.concatenate([s["best"][i], scores]), k
                 )
                 if len(s["best"][i]) == k:
                     s["floor"][i] = float(s["best"][i][-1])
+
+    for b in batches:
+        keys = zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)
+        for at, (qb, stripe, is_candidate, top) in enumerate(keys):
+            ids = np.frombuffer(b.column(4)[at].as_buffer(), np.int64)
+            raw = np.frombuffer(b.column(5)[at].as_buffer()).reshape(-1, width)
+            if is_candidate:
+                compare(ids, raw, top)
+                continue
+            if state is not None:
+                yield done()
+            state = started((qb, stripe), ids, raw)
     if state is not None:
         yield done()
 
@@ -195,33 +212,38 @@ def topk_inner_products(
     spark = vectors.sparkSession
     ints = _integers(vectors.filter(F.col(id_col).isNotNull()), id_col, vec_col, scale)
     asked = _integers(vectors.filter(F.col(id_col).isNotNull() & is_query), id_col, vec_col, scale)
-    width = ints.agg(F.max(F.size("v"))).first()[0] or 1
+    width, n_rows = ints.agg(F.max(F.size("v")), F.count("*")).first()
+    width, n_asked = width or 1, asked.count()
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")
     ints, asked = ints.select("id", "v", norm), asked.select("id", "v", norm)
     _, basis = np.linalg.eigh(_gram(ints.select("id", "v"), width))
     rotation = np.ascontiguousarray(basis[:, ::-1])
     head = max(1, round(width * head_share))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stripes = stripes or parts
+    stripes = stripes or max(1, min(_STRIPES, -(-n_rows // block_rows)))
+
+    def ranges(n, rows):  # as many as there are blocks, so that blocks are full
+        return max(1, min(parts, -(-n // rows)))
 
     # consecutive blocks along the falling lengths go to different stripes
-    candidates = _packed(ints, width, block_rows, parts, lambda task, i: task + i).select(
-        F.pmod("block", F.lit(stripes)).alias("stripe"), "top", F.col("ids").alias("x_ids"), F.col("data").alias("x_data")
+    candidates = _packed(ints, width, block_rows, ranges(n_rows, block_rows), lambda task, i: task + i)
+    q_rows = max(block_rows, min(block_rows * _QUERIES, _QUERY_BYTES // (8 * width)))
+    # stored, since a block's number depends on how its rows were partitioned, and both sides need it
+    asked_blocks = materialise(_packed(asked, width, q_rows, ranges(n_asked, q_rows), lambda task, i: (task << 32) + i))
+    numbers = asked_blocks.select(F.col("block").alias("qb"))
+    queries = asked_blocks.select(
+        F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(False).alias("is_candidate"), "top", "ids", "data"
     )
-    asked_blocks = _packed(asked, width, block_rows, parts, lambda task, i: (task << 32) + i).select(
-        F.col("block").alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("stripe"),
-        F.col("ids").alias("q_ids"),
-        F.col("data").alias("q_data"),
+    met = candidates.crossJoin(F.broadcast(numbers)).select(
+        "qb", F.pmod("block", F.lit(stripes)).cast("int").alias("stripe"), F.lit(True).alias("is_candidate"), "top", "ids", "data"
     )
-    pairs = (
-        asked_blocks.join(candidates, "stripe")
-        .select("qb", "stripe", "q_ids", "q_data", "x_ids", "x_data", "top")
+    cells = (
+        queries.unionByName(met)
         .repartition(parts, "qb", "stripe")
-        .sortWithinPartitions("qb", "stripe", F.desc("top"))
+        .sortWithinPartitions("qb", "stripe", "is_candidate", F.desc("top"))
     )
-    found = pairs.mapInArrow(
-        lambda batches: _search(batches, rotation, head, width, k), "query_id long, vec_id long, score long"
+    found = cells.mapInArrow(
+        lambda batches: _search(batches, rotation, head, width, k, block_rows), "query_id long, vec_id long, score long"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -329,6 +329,33 @@ def test_topk_of_large_components(spark, size):
     assert {tuple(r) for r in got} == want
 
 
+def test_topk_moves_blocks_once(spark, monkeypatch):
+    """Query blocks reach each stripe once and candidates each query block once, however many partitions the session names."""
+    frames, frame = [], type(spark.range(0))
+    inner = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, *args, **named: frames.append(df) or inner(df, *args, **named))
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = topk.topk_inner_products(df, F.col("vec_id") % 10 == 0, k=3, block_rows=50, stripes=4).collect()
+        moved = frames[-1].select([F.length(c).alias(c) for c, kind in frames[-1].dtypes if kind == "binary"])
+        total = moved.select(F.sum(sum(F.col(c) for c in moved.columns))).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    # an id and four components each: 40 queries to 4 stripes, 400 candidates to one block of queries
+    assert total == (4 * 40 + 400) * 5 * 8
+    whole = np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64)
+    want = set()
+    for q in range(0, 400, 10):
+        scores = whole @ whole[q]
+        best = sorted((i for i in range(400) if i != q), key=lambda i: (-scores[i], i))[:3]
+        want |= {(q, r + 1, i, scores[i]) for r, i in enumerate(best)}
+    assert {tuple(r) for r in got} == want
+
+
 def test_a_pair_counts_though_one_term_alone_says_nothing():
     rng = np.random.default_rng(3)
     rows, y = [], []
