@@ -11,6 +11,11 @@ The first known selections are each item with its own nearest ones. The greatest
 Prefixes are rows spread over tasks; each meets the items in blocks, so a candidate that the bounds rule out never becomes a
 row. For cosine over whole vectors the distances of two blocks are one matrix product in an Arrow task; other
 distances are column functions over blocks that are arrays.
+
+There the last two items ``b`` and ``c`` are added to a prefix in one task, so no row is made of a prefix with ``b``. Of the two let ``c``
+be the farther from the prefix; then what ``b`` has left bounds how far ``c`` may be. In a selection of three, the two shortest
+distances meet in one item: seen from there the third is no shorter than that of ``c``, so ``c`` is among the items
+within half of what the nearest one leaves, which are few.
 """
 
 from math import comb
@@ -24,8 +29,12 @@ from gazette.plans.numbering import first_rows, row_index
 from gazette.plans.store import materialise
 
 BLOCK = 256  # items of a block
-_DENSE = 32  # times as many rows of a block of a matrix product
-_STRIP = 256  # rows of a product held at a time
+_DENSE = 16  # times as many rows of a block that meets the items in matrix products, at least
+_HELD = 512  # times as many items that a task holds in a block
+_TASKS = 32  # blocks of rows times cells of items grow no further; the rows of a block do
+_STRIP = 1 << 22  # distances held at a time
+_CHUNK = 64  # next to last items met with last ones at a time
+_FEW = 8  # least distances found one by one
 _SLACK = 1e-9  # totals this close to the best one are followed further, so that rounding drops none
 
 
@@ -50,20 +59,66 @@ def _is_dense(items: DataFrame, distance) -> bool:
     return bool(low and low > 0 and low == high and not gap)
 
 
-def _met_in_arrow(rows: DataFrame, n_rows: int, key, items: DataFrame, n_items: int, fn, schema: str) -> DataFrame:
-    """``fn(rows, items)`` for every block of rows, dealt by the hash of ``key``, with every block of items."""
-    size = BLOCK * _DENSE
-    n, m = -(-n_rows // size), -(-n_items // size)
-    left = rows.withColumn("a", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    right = items.withColumn("b", F.floor(F.col("nr") / size).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def _met_in_arrow(rows: DataFrame, n_rows: int, key, items: DataFrame, n_items: int, fn, schema: str, pairs: bool = False) -> DataFrame:
+    """``fn(rows, items)`` for every block of rows, dealt by the hash of ``key``, with every block of items, or every pair of them."""
+    held = BLOCK * _HELD
+    m = max(1, -(-n_items // held))
+    whole = pairs and m > 1
+    cells = [(p, q) for p in range(m) for q in range(p + 1, m)] if whole else [(p,) for p in range(m)]
+    n = max(1, -(-n_rows // min(held, max(BLOCK * _DENSE, -(-n_rows * len(cells) // _TASKS)))))
+    left = rows.withColumn("a", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))))
+    own = F.floor(F.col("nr") / held).cast("int")
+    if whole:
+        places = [F.array(*[F.lit(i) for i, cell in enumerate(cells) if p in cell]) for p in range(m)]
+        right = items.withColumn("b", F.explode(F.get(F.array(*places), own)))
+    else:
+        right = items.withColumn("b", own)
+    right = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(fn, schema)
 
 
+def _strips(left: np.ndarray, right: np.ndarray):
+    """Slices of ``left`` and their products with all of ``right``, which the next ones are written over."""
+    step = max(1, min(len(left), _STRIP // len(right)))
+    held = np.empty((step, len(right)))
+    for at in range(0, len(left), step):
+        part = slice(at, min(at + step, len(left)))
+        yield part, np.matmul(left[part], right.T, out=held[: part.stop - at])
+
+
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
     col = table.column(name).combine_chunks()
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
+def _places(nr: np.ndarray):
+    """``find(wanted)``: which of the wanted numbers are in ``nr``, and where."""
+    order = np.argsort(nr)
+
+    def find(wanted):
+        at = order[np.minimum(np.searchsorted(nr, wanted, sorter=order), len(nr) - 1)]
+        there = np.flatnonzero(nr[at] == wanted)
+        return there, at[there]
+
+    return find
+
+
+def _least(e: np.ndarray, n: int):
+    """The ``n`` least of each row and their places."""
+    if n > _FEW:
+        at = np.argpartition(e, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(e, at, 1), at
+    each, found, places = np.arange(len(e)), [], []
+    for _ in range(n):
+        at = e.argmin(axis=1)
+        found.append(e[each, at])
+        places.append(at)
+        e[each, at] = np.inf
+    found, places = np.column_stack(found), np.column_stack(places)
+    e[each[:, None], places[:, ::-1]] = found[:, ::-1]  # the first of a place is its own, where none was left
+    return found, places
+
+
 def _ends(k: int):
     """The ``k - 1`` nearest (side 1) and farthest (side -1) items of a block for each row of another: ``nr, side, e, other``."""
 
@@ -71,17 +126,18 @@ def _ends(k: int):
         out = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0), np.empty(0, np.int64))]
         if rows.num_rows and items.num_rows:
             a, b, left, right = rows.column("nr").to_numpy(), items.column("nr").to_numpy(), _matrix(rows, "v"), _matrix(items, "v")
-            n = min(k - 1, len(b))
-            for at in range(0, len(a), _STRIP):
-                own = a[at : at + _STRIP]
-                apart = 1 - left[at : at + _STRIP] @ right.T
-                itself = own[:, None] == b[None, :]
+            n, find = min(k - 1, len(b)), _places(b)
+            for part, apart in _strips(-left, right):
+                own = a[part]
+                itself = find(own)
+                apart += 1
                 for side in (1, -1):
-                    e = np.where(itself, np.inf, side * apart)
-                    near = np.argpartition(e, n - 1, axis=1)[:, :n]
-                    e = np.take_along_axis(e, near, 1).ravel()
+                    if side < 0:
+                        np.negative(apart, out=apart)
+                    apart[itself] = np.inf
+                    e, near = (x.ravel() for x in _least(apart, n))
                     kept = e < np.inf
-                    out.append((np.repeat(own, n)[kept], np.full(int(kept.sum()), side, np.int32), e[kept], b[near].ravel()[kept]))
+                    out.append((np.repeat(own, n)[kept], np.full(int(kept.sum()), side, np.int32), e[kept], b[near][kept]))
         return pa.table(dict(zip(("nr", "side", "e", "other"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
@@ -138,31 +194,57 @@ def _measures(distance):
     return lambda a, b: 1 - dot(a, b), lambda vs, v, m: F.lit(float(m)) - dot(vs[0], v), grown
 
 
-def _last(size: int, sign: int):
-    """The least total of a block of prefixes with one more item of a block: ``w``."""
-
-    def run(prefixes: pa.Table, items: pa.Table) -> pa.Table:
-        totals = [e.min() for _, e in _totals(prefixes, items, size, sign)]
-        return pa.table({"w": pa.array([x for x in (min(totals, default=np.inf),) if x < np.inf], pa.float64())})
-
-    return run
-
-
 def _totals(prefixes: pa.Table, items: pa.Table, size: int, sign: int):
-    """The first row of each strip of prefixes, and their totals with every item; infinite for items that may not be added."""
+    """Strips of prefixes, and their totals with every item, which the next ones are written over; infinite for items of the prefix."""
     if not prefixes.num_rows or not items.num_rows:
         return
     sums, right, w = _matrix(prefixes, "s"), _matrix(items, "v"), prefixes.column("w").to_numpy()
-    own, nr = _matrix(prefixes, "nrs"), items.column("nr").to_numpy()
-    for at in range(0, len(w), _STRIP):
-        to = slice(at, at + _STRIP)
-        e = w[to, None] + sign * (size - sums[to] @ right.T)
-        if size == 1:  # pairs once
-            e[nr[None, :] <= own[to]] = np.inf
-        else:
-            for c in range(size):
-                e[own[to, c][:, None] == nr[None, :]] = np.inf
-        yield at, e
+    own, find = _matrix(prefixes, "nrs"), _places(items.column("nr").to_numpy())
+    for part, e in _strips(-sign * sums, right):
+        e += (w[part] + sign * size)[:, None]
+        for c in range(size):
+            e[find(own[part, c])] = np.inf
+        yield part, e
+
+
+def _last_two(size: int, sign: int, best: float, closest: float):
+    """The least total of a block of prefixes with two more items, or ``best``, and how many prefixes with one more were followed: ``w, n``."""
+
+    def run(prefixes: pa.Table, items: pa.Table) -> pa.Table:
+        least, n = best, 0
+        if prefixes.num_rows and items.num_rows:
+            # promising prefixes first, since a lower total rules out more of the others
+            prefixes = prefixes.take(np.argsort(prefixes.column("w").to_numpy() + _matrix(prefixes, "near")[:, 0]))
+            right, nr, more = _matrix(items, "v"), items.column("nr").to_numpy(), _matrix(items, "near")[:, 0]
+            own, near, ws = _matrix(prefixes, "nrs"), _matrix(prefixes, "near")[:, 0], prefixes.column("w").to_numpy()
+            share = comb(size + 1, 2) / comb(size + 2, 2)
+        for part, strip in _totals(prefixes, items, size, sign):
+            for row in np.flatnonzero(strip.min(axis=1) <= least * share + _SLACK):
+                i, e = part.start + row, strip[row]
+                w, low = ws[i], e.min()
+
+                def most(b):  # the greatest total of the prefix with the last item, if that with the other is b
+                    return ((least - b) / 2 if size == 1 else least + w - b - closest) + _SLACK  # noqa: B023
+
+                last = np.flatnonzero(e <= most(low))
+                last = last[e[last] + low - w + more[last] <= least + _SLACK]
+                last = last[np.argsort(e[last])]
+                one = last[(e[last] <= least * share + _SLACK) & (e[last] + near[i] + more[last] <= least + _SLACK)]
+                n += int((nr[one] > own[i, 0]).sum()) if size == 1 else len(one)  # pairs once
+                step = max(1, min(_CHUNK, _STRIP // max(1, len(last))))
+                for at in range(0, len(one), step):
+                    some = one[at : at + step]
+                    rest = last[: np.searchsorted(e[last], most(e[some[0]]), "right")]
+                    if not len(rest):
+                        break
+                    total = (-sign * right[some]) @ right[rest].T
+                    total += (e[some] - w + sign)[:, None]
+                    total += e[rest]
+                    total[some[:, None] == rest] = np.inf
+                    least = min(least, float(total.min()))
+        return pa.table({"w": pa.array([least], pa.float64()), "n": pa.array([n], pa.int64())})
+
+    return run
 
 
 def _grown(size: int, sign: int, left: int, reach: float, best: float, mean: float):
@@ -170,14 +252,21 @@ def _grown(size: int, sign: int, left: int, reach: float, best: float, mean: flo
 
     def run(prefixes: pa.Table, items: pa.Table) -> pa.Table:
         out = {"nrs": [], "s": [], "w": [], "near": []}
-        for at, e in _totals(prefixes, items, size, sign):
-            near, more = _matrix(prefixes, "near")[at : at + _STRIP], _matrix(items, "near")
-            hopeful = (e <= mean + _SLACK) & (e + near[:, left - 1 : left] + more[None, :, left - 1] + reach <= best + _SLACK)
-            i, j = np.nonzero(hopeful)
+        if prefixes.num_rows and items.num_rows:
+            nrs, sums, near = (_matrix(prefixes, c) for c in ("nrs", "s", "near"))
+            nr, right, more = items.column("nr").to_numpy(), _matrix(items, "v"), _matrix(items, "near")
+        for part, e in _totals(prefixes, items, size, sign):
+            i, j = np.nonzero(e <= mean + _SLACK)
+            w = e[i, j]
+            i += part.start
+            hopeful = w + near[i, left - 1] + more[j, left - 1] + reach <= best + _SLACK
+            if size == 1:  # pairs once
+                hopeful &= nr[j] > nrs[i, 0]
+            i, j, w = i[hopeful], j[hopeful], w[hopeful]
             if len(i):
-                out["nrs"].append(np.sort(np.column_stack([_matrix(prefixes, "nrs")[at + i], items.column("nr").to_numpy()[j]]), axis=1))
-                out["s"].append(_matrix(prefixes, "s")[at + i] + _matrix(items, "v")[j])
-                out["w"].append(e[i, j])
+                out["nrs"].append(np.sort(np.column_stack([nrs[i], nr[j]]), axis=1))
+                out["s"].append(sums[i] + right[j])
+                out["w"].append(w)
                 out["near"].append(near[i] + more[j])
         if not out["w"]:
             return pa.table({"nrs": pa.array([], pa.list_(pa.int64())), "s": pa.array([], pa.list_(pa.float64())), "w": pa.array([], pa.float64()), "near": pa.array([], pa.list_(pa.float64()))})
@@ -198,7 +287,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def least_total(found: DataFrame, k: int, distance="cosine", sign: int = 1, dense: bool = False) -> tuple[float, list[int]]:
-    """The least sum of ``sign`` times the distances over all pairs within ``k`` items, and the prefixes kept by size.
+    """The least sum of ``sign`` times the distances over all pairs within ``k`` items, and the prefixes kept or followed by size.
 
     ``found`` comes from ``_with_found``; its numbers ``nr`` are dense from 0.
     """
@@ -217,13 +306,15 @@ def least_total(found: DataFrame, k: int, distance="cosine", sign: int = 1, dens
     if dense:
         n = ready.count()
         prefixes = ready.select(F.array("nr").alias("nrs"), F.col("v").alias("s"), F.lit(0.0).alias("w"), "near")
-        for size in range(1, k):
+        for size in range(1, k - 1):  # the pairs are all in the first selections
             left, rows = k - size - 1, kept[-1] if kept else n
             if not rows:
                 break
-            if not left:
-                last = _met_in_arrow(prefixes.drop("near"), rows, "nrs", ready.drop("near"), n, _last(size, sign), "w double").agg(F.min("w")).first()[0]
+            if left == 1:
+                run = _last_two(size, sign, best, closest)
+                last, grown = _met_in_arrow(prefixes, rows, "nrs", ready, n, run, "w double, n long", pairs=True).agg(F.min("w"), F.sum("n")).first()
                 best = best if last is None else min(best, last)
+                kept.append(grown or 0)
                 break
             run = _grown(size, sign, left, comb(left, 2) * closest, best, best * comb(size + 1, 2) / comb(k, 2))
             prefixes = _sets(_met_in_arrow(prefixes, rows, "nrs", ready, n, run, "nrs array<long>, s array<double>, w double, near array<double>"), size)

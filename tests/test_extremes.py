@@ -67,6 +67,30 @@ def test_prefixes_above_the_best_mean_are_dropped(spark, monkeypatch, dense):
         assert max(kept[0], kept_high[0]) < math.comb(40, 2) / 3
 
 
+def test_pairs_never_become_rows(spark, monkeypatch):
+    """Vectors all around a circle leave many pairs to follow, but no stored table has more rows than items; several cells of items."""
+    monkeypatch.setattr("gazette.operators.extremes.BLOCK", 1)
+    monkeypatch.setattr("gazette.operators.extremes._HELD", 16, raising=False)
+    rows, inner = [], extremes.materialise
+
+    def counted(df):
+        stored = inner(df)
+        rows.append(stored.count())
+        return stored
+
+    rng = random.Random(7)
+    vectors = [[math.cos(x), math.sin(x)] for x in (rng.uniform(0, 2 * math.pi) for _ in range(40))]
+    items = spark.createDataFrame(list(enumerate(vectors)), "nr long, v array<double>")
+    apart = [[cosine(a, b) for b in vectors] for a in vectors]
+    monkeypatch.setattr(extremes, "materialise", counted)
+    for k in (2, 3, 4):
+        found = _with_found(items, k, _measures("cosine")[0], True)
+        low, high = least_total(found, k, dense=True)[0], -least_total(found, k, sign=-1, dense=True)[0]
+        totals = [sum(apart[a][b] for a, b in itertools.combinations(c, 2)) for c in itertools.combinations(range(40), k)]
+        assert (low, high) == pytest.approx((min(totals), max(totals)))
+        assert k > 3 or max(rows) == 40
+
+
 def test_copies_beyond_a_selection_take_no_part(spark, monkeypatch):
     """However many copies a vector has, a selection holds at most its own number of them."""
     seen, inner = [], extremes._with_found
